@@ -14,17 +14,36 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixolve.llm.sharding import shard_documents
+
+    placed = shard_documents(table(spark, sf_dir, "documents"), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixolve.llm.tokens import token_output
 
     return token_output(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixolve.llm.decontamination import report, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return report(scan(docs, table(spark, sf_dir, "benchmark")).drop("text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixolve.llm.packing import pack_documents
 
     return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_token_output": op3_token_output, "op10_packing": op10_packing}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_token_output": op3_token_output,
+    "op8_decontamination": op8_decontamination,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}
