@@ -68,6 +68,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixolve.llm.embeddings import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixolve.llm.decontamination import report, scan
 
@@ -98,6 +104,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op7_embeddings": op7_embeddings,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
