@@ -68,6 +68,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixolve.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixolve.llm.embeddings import embedding_groups
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
+    "op6_html_text": op6_html_text,
     "op7_embeddings": op7_embeddings,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
