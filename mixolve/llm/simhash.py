@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -121,19 +122,19 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_edges(codes: DataFrame, limit: int = 2, part_rows: int = 20_000) -> DataFrame:
+def near_edges(codes: DataFrame, limit: int = 2, part_rows: int | None = None) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp, distinct, not null) within `limit` bits.
 
     The fingerprints are dealt into parts by ranges of Gray rank. Each part's shared bits form the
-    leaves of an upper tree (one row a part: part_rows fingerprints or fewer make a part, so its
-    rows are a 1/part_rows of the index), which is sent to all; it tells each fingerprint which parts it
-    must visit. In a part the residents build a tree of their own and visitors stream through it.
+    leaves of an upper tree, a row a part, which is sent to all; it tells each fingerprint which parts
+    it must visit. A part has part_rows fingerprints, or by default the square root of their number
+    (2000 at least), so the upper tree has no more rows than that root. In a part the residents build a tree of their own and visitors stream through it.
     Residents that are linked are merged in place, so a dense group gives an edge a member and not
     an edge a pair.
     """
     spark = codes.sparkSession
     n = codes.count()
-    parts = max(1, -(-n // part_rows))
+    parts = max(1, -(-n // (part_rows or max(2000, math.isqrt(n)))))
     schema = "part int, visit boolean, fp long"
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +156,9 @@ def near_edges(codes: DataFrame, limit: int = 2, part_rows: int = 20_000) -> Dat
             fps = b.column("fp").to_numpy()
             own = b.column("part").to_numpy()
             for q, leaf in tree.search(fps.view(np.uint64), limit):
-                later = numbers[leaf] > own[q]  # of two parts, the earlier one's fingerprints visit
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[leaf[later]]), pa.array(np.ones(int(later.sum()), bool)), pa.array(fps[q[later]])], names=["part", "visit", "fp"])
+                there, here = numbers[leaf], own[q]  # of two parts one visits the other: which, alternates, so parts have like shares
+                go = (there != here) & ((there > here) == ((there + here) % 2 == 0))
+                yield pa.RecordBatch.from_arrays([pa.array(there[go]), pa.array(np.ones(int(go.sum()), bool)), pa.array(fps[q[go]])], names=["part", "visit", "fp"])
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, tree, label, fps = None, [], None, None, None
@@ -206,7 +208,7 @@ def near_edges(codes: DataFrame, limit: int = 2, part_rows: int = 20_000) -> Dat
     return both.repartition(parts, "part").sortWithinPartitions("part", "visit").mapInArrow(link, "a long, b long")
 
 
-def groups(docs: DataFrame, *, id_col: str = "doc_id", fp_col: str = "fp", limit: int = 2, part_rows: int = 20_000) -> DataFrame:
+def groups(docs: DataFrame, *, id_col: str = "doc_id", fp_col: str = "fp", limit: int = 2, part_rows: int | None = None) -> DataFrame:
     """Add component_id to docs with fingerprints: the smallest ID reachable by links of at most `limit` bits.
 
     Equal fingerprints are one code, so copies cost no pairs. Rows with a null ID get the component
