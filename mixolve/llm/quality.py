@@ -16,23 +16,30 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛ
 DIGITS = "0123456789"
 
 
-def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, statistics of the whole text): counts and ratios, all from built-in functions. Null texts are empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    taken = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
-    times = lambda piece: (F.length("t") - F.length(F.replace("t", F.lit(piece), F.lit("")))) / len(piece)
-    words = F.split("t", " ")
-    counted = rows.select(
-        "id", F.length("t").cast("double").alias("chars"), F.size(words).cast("double").alias("words"), F.size(F.array_distinct(words)).cast("double").alias("distinct"),
+def statistics(docs: DataFrame, *, text_col: str = "text", out: str = "_stats") -> DataFrame:
+    """docs and a struct `out` of counts and ratios of the whole text, all from built-in functions.
+
+    Null texts are empty. A column named like `out` is replaced. The struct passes through a
+    generator, so that rules and filters on it don't compute it again for each mention.
+    """
+    keep = [c for c in docs.columns if c != out]
+    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    taken = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
+    times = lambda piece: (F.length("_t") - F.length(F.replace("_t", F.lit(piece), F.lit("")))) / len(piece)
+    words = F.split("_t", " ")
+    counts = F.struct(
+        F.length("_t").cast("double").alias("chars"), F.size(words).cast("double").alias("words"), F.size(F.array_distinct(words)).cast("double").alias("distinct"),
         taken(SYMBOLS).alias("symbols"), taken(CAPITALS).alias("capitals"), taken(DIGITS).alias("digits"),
         times("|").alias("bars"), times("!").alias("shouts"), times(".").alias("stops"), times(",").alias("commas"), times("\n").alias("lines"),
     )
-    share = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1.0)))
-    return counted.select(
-        "id", F.log1p("chars").alias("log_chars"), F.log1p("words").alias("log_words"), share("chars", "words").alias("word_length"), share("distinct", "words").alias("distinct_share"),
-        *[share(c, "chars").alias(f"{c}_share") for c in ("symbols", "capitals", "digits", "bars", "shouts")], *[share(c, "words").alias(f"{c}_share") for c in ("stops", "commas", "lines")],
+    counted = rows.select(*keep, F.explode(F.array(counts)).alias("_c"))
+    c = lambda name: F.col(f"_c.{name}")
+    share = lambda a, b: c(a) / F.greatest(c(b), F.lit(1.0))
+    stats = F.struct(
+        F.log1p(c("chars")).alias("log_chars"), F.log1p(c("words")).alias("log_words"), share("chars", "words").alias("word_length"), share("distinct", "words").alias("distinct_share"),
+        *[share(n, "chars").alias(f"{n}_share") for n in ("symbols", "capitals", "digits", "bars", "shouts")], *[share(n, "words").alias(f"{n}_share") for n in ("stops", "commas", "lines")],
     )
+    return counted.select(*keep, stats.alias(out))
 
 
 @dataclass(frozen=True)
@@ -41,13 +48,15 @@ class Rule:
 
     bounds: tuple[tuple[str, float, float], ...]
 
-    def column(self) -> Column:
+    def column(self, within: str = "") -> Column:
+        """The rule as a condition on columns, or on fields of the struct `within`."""
         out = F.lit(True)
         for name, low, high in self.bounds:
+            value = F.col(f"{within}.{name}" if within else name)
             if low > float("-inf"):
-                out = out & (F.col(name) > low)
+                out = out & (value > low)
             if high < float("inf"):
-                out = out & (F.col(name) <= high)
+                out = out & (value <= high)
         return out
 
 
@@ -58,10 +67,10 @@ class RuleEnsemble:
     intercept: float = 0.0
     weights: list[tuple[Rule, float]] = field(default_factory=list)
 
-    def score(self) -> Column:
+    def score(self, within: str = "") -> Column:
         total = F.lit(self.intercept)
         for rule, weight in self.weights:
-            total = total + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(rule.column(within), F.lit(weight)).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-total))
 
 
@@ -114,16 +123,29 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def learn(stats: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, **how) -> RuleEnsemble:
+    """Fit on the rows of stats (id_col, _stats) that have a label and aren't held out.
+
+    A document's label is the mean of its labels, 1 from one half on; null labels and IDs teach nothing.
+    """
+    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
+    return fit(stats.where(~held_out(id_col)).join(marks, F.col(id_col) == F.col("_id")).select("label", "_stats.*"), **how)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **how) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
     Learns only from labelled documents that aren't held out (crc32 of the ID as text, mod 5, not 0);
-    only statistics of the text are inputs. A document's label is the mean of its labels, 1 from one half on;
-    null labels and IDs teach nothing. Null and empty texts are scored like any; repeated rows each.
-    Statistics are written once to the shared folder, so each text is read once.
+    only statistics of the text are inputs. Null and empty texts are scored like any; repeated rows
+    each. Statistics are written once to the shared folder, so each text is read once.
     """
-    stats = scratch(statistics(docs, id_col=id_col, text_col=text_col), "statistics")
-    names = stats.columns[1:]
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
-    model = fit(stats.where(~held_out("id")).join(marks, "id").select("label", *names), **how)
-    return stats.select(F.col("id").alias("doc_id"), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), model.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    stats = scratch(statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text"), "statistics")
+    model = learn(stats, labels.withColumnRenamed(id_col, "doc_id"), id_col="doc_id", label_col=label_col, **how)
+    return stats.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), model.score("_stats").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **how) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least threshold. Learns as score_documents does."""
+    taught = docs.join(labels.select(F.col(id_col).alias("_id")).distinct(), F.col(id_col) == F.col("_id"), "left_semi").select(id_col, text_col)
+    model = learn(statistics(taught, text_col=text_col), labels, id_col=id_col, label_col=label_col, **how)
+    return statistics(docs, text_col=text_col).where(model.score("_stats") >= threshold).select(*docs.columns)

@@ -90,10 +90,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixolve.llm.secrets import scan, spans_text
 
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"),
     )
 

@@ -37,41 +37,40 @@ def _places(text: Column, pattern: str, hits: Column, good: Column | None = None
     return F.when(F.size(hits) > 0, walked["out"]).otherwise(none)
 
 
-def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, and for each kind an array of spans) of every document, in one pass over the texts.
+def find_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with _key and, for each kind, an array of spans (_assign, ...), in one pass over the texts.
 
-    key (a hash of ID and text) is null unless parts of different kinds could be linked.
+    _key, a hash of the row's text, is null unless parts of different kinds could be linked.
     """
-    text = F.col("text")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     every = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "secret": SECRET, "ident": IDENT, "endpoint": ENDPOINT}
-    hits = rows.select("id", "text", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"h_{k}") for k, p in every.items()])
-    long = F.when(F.size("h_assign") > 0, F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= 6)).otherwise(F.array().cast("array<boolean>"))
-    mixed = F.transform("h_secret", lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-    spans = {k: _places(text, p, F.col(f"h_{k}"), long if k == "assign" else mixed if k == "secret" else None).alias(k) for k, p in every.items()}
-    some = lambda *ks: F.greatest(F.lit(0), *[F.size(F.col(f"h_{k}")) for k in ks]) > 0
+    hits = docs.select("*", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_h_{k}") for k, p in every.items()])
+    long = F.when(F.size("_h_assign") > 0, F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v) >= 6)).otherwise(F.array().cast("array<boolean>"))
+    mixed = F.transform("_h_secret", lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    spans = {k: _places(text, p, F.col(f"_h_{k}"), long if k == "assign" else mixed if k == "secret" else None).alias(f"_{k}") for k, p in every.items()}
+    some = lambda *ks: F.greatest(F.lit(0), *[F.size(F.col(f"_h_{k}")) for k in ks]) > 0
     linkable = some("assign", "hex", "secret") & some("access", "ident", "endpoint")
-    return hits.select("id", F.when(linkable, F.md5(F.concat_ws("\x00", F.col("id").cast("string"), text).cast("binary"))).alias("key"), *spans.values())
+    return hits.select(*docs.columns, F.when(linkable, F.md5(text.cast("binary"))).alias("_key"), *spans.values())
 
 
 def numbered(kinds: list[str]) -> Column:
     """The spans of several kinds' columns in one array, as struct<start, kind, end>."""
 
     def of(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
+        return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
 
     return F.concat(*map(of, kinds))
 
 
 def link(parts: DataFrame, scope: int = 256) -> DataFrame:
-    """(key, spans) of weak parts that stand within `scope` code points of complementary ones.
+    """(key, linked) of weak parts that stand within `scope` code points of complementary ones.
 
     A weak secret (long random-looking run) counts beside an access identifier or an endpoint; a
     weak identifier beside a secret; an endpoint beside a secret and an identifier. The interval
-    join is an equi-join on document and scope-wide bins, a part standing in its own bin and both
+    join is an equi-join on text and scope-wide bins, a part standing in its own bin and both
     next ones on the right side, and keeps left rows once (semi-join): no pairs are made.
     """
-    once = parts.where(F.col("key").isNotNull()).dropDuplicates(["key"])
+    once = parts.where(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), *[f"_{k}" for k in KINDS]).dropDuplicates(["key"])
     rows = once.select("key", F.explode(numbered(KINDS)).alias("p")).select("key", "p.*")
     covered = rows.where(F.col("kind") < 3).select(F.col("key").alias("ck"), F.col("start").alias("cs"), F.col("end").alias("ce"))
     covered = covered.withColumn("cb", F.explode(F.sequence(F.floor(F.col("cs") / scope), F.floor((F.col("ce") - 1) / scope))))
@@ -89,19 +88,21 @@ def link(parts: DataFrame, scope: int = 256) -> DataFrame:
     return linked.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = 256) -> DataFrame:
-    """(id, base, spans) of every document: arrays of struct<start, kind, end>, sorted, kind numbering KINDS.
+def scan(docs: DataFrame, *, text_col: str = "text", keep_text: bool = False, scope: int = 256) -> DataFrame:
+    """docs (without the text, unless it is kept) with `base` and `spans`: arrays of struct<start, kind, end>.
 
-    `base` has the assign, access and hex matches, `spans` the linked weak parts as well. Null and
-    empty texts have none; repeated rows are reported each; nothing is capped. Other columns are
-    ignored. What is found is written to the shared folder, so texts are read once.
+    Both are sorted by start, then kind, which numbers KINDS; `base` has the assign, access and hex
+    matches, `spans` the linked weak parts as well. Null and empty texts have none; equal texts have
+    the same; repeated rows are reported each; nothing is capped. Columns named base or spans are
+    replaced. What is found is written to the shared folder, so texts are searched once.
     """
-    parts = scratch(find_parts(docs, id_col, text_col), "parts")
-    rows = parts.select("id", "key", F.array_sort(numbered(KINDS[:3])).alias("base"))
-    alone = rows.where(F.col("key").isNull()).select("id", "base", F.col("base").alias("spans"))
-    more = link(parts, scope).withColumnRenamed("key", "_key")
-    both = rows.where(F.col("key").isNotNull()).join(more, F.col("key") == F.col("_key"), "left")
-    return alone.unionAll(both.select("id", "base", F.array_sort(F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked")))))
+    keep = [c for c in docs.columns if c not in ("base", "spans") and (keep_text or c != text_col)]
+    parts = scratch(find_parts(docs, text_col).select(*keep, "_key", *[f"_{k}" for k in KINDS]), "parts")
+    rows = parts.select(*keep, "_key", F.array_sort(numbered(KINDS[:3])).alias("base"))
+    alone = rows.where(F.col("_key").isNull()).select(*keep, "base", F.col("base").alias("spans"))
+    more = link(parts, scope).withColumnRenamed("key", "_k")
+    both = rows.where(F.col("_key").isNotNull()).join(more, F.col("_key") == F.col("_k"), "left")
+    return alone.unionAll(both.select(*keep, "base", F.array_sort(F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked")))))
 
 
 def spans_text(spans: str) -> Column:

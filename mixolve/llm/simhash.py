@@ -38,10 +38,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
-    """docs without text_col, with the fingerprint as a signed long in `out` (replaced if it is there)."""
-    keep = [c for c in docs.columns if c not in (text_col, out)]
-    rows = docs.select(*keep, text_col)
+def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = 3, keep_text: bool = False) -> DataFrame:
+    """docs, by default without the text, with the fingerprint as a signed long in `out` (replaced if it is there)."""
+    keep = [c for c in docs.columns if c != out and (keep_text or c != text_col)]
+    rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = rows.select(*keep).schema.add(out, "long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +220,22 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", fp_col: str = "fp", limit
     linked = components(near_edges(codes.select("fp"), limit, part_rows), "a", "b")
     rooted = codes.join(linked, codes.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    named = rooted.join(least, "root").select(F.col("fp").alias("_group_fp"), "component_id")
     keep = [c for c in docs.columns if c != "component_id"]
-    out = docs.select(*keep).join(named, F.col(fp_col) == F.col("_fp"), "left")
-    return out.select(*keep, F.when(F.col("_fp").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
+    out = docs.select(*keep).join(named, F.col(fp_col) == F.col("_group_fp"), "left")
+    return out.select(*keep, F.when(F.col("_group_fp").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of every document; null and empty texts have fingerprint 0 and are linked by it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return groups(scratch(with_fingerprint(rows, shingle=shingle), "fingerprints"), limit=limit)
+
+
+def one_of_each(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
+    """docs, all columns, less all but one row of each group of near copies. Rows are told apart by number, not by ID."""
+    keep = docs.columns
+    rows = scratch(with_fingerprint(docs, text_col, "_fp", shingle, keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    found = groups(rows.select("_row", "_fp"), id_col="_row", fp_col="_fp", limit=limit)
+    first = found.where(F.col("_row") == F.col("component_id")).select(F.col("_row").alias("_first"))
+    return rows.join(first, F.col("_row") == F.col("_first"), "left_semi").select(*keep)
