@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from mixolve.functions.expressions import correlation, logspace, ratio
 
 
-def to_long(wide: DataFrame, ids: list[str]) -> DataFrame:
+def to_long(wide: DataFrame, ids: list[str], name: str = "cell_type", value: str = "h") -> DataFrame:
     """A column for each cell type to a row for each; text that is no number becomes NULL."""
-    values = [c for c in wide.columns if c not in ids]
-    numbers = wide.select(*ids, *[F.col(c).cast("string").try_cast("double").alias(c) for c in values])
-    return numbers.unpivot(ids, values, "cell_type", "h").withColumn("h", F.nanvl("h", F.lit(None)))
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")  # noqa: E731  names may hold dots
+    cells = [F.struct(F.lit(c).alias(name), quoted(c).cast("string").try_cast("double").alias(value)) for c in wide.columns if c not in ids]
+    rows = wide.select(*map(quoted, ids), F.explode(F.array(*cells)).alias("_cell"))
+    return rows.select(*map(quoted, ids), f"_cell.{name}", F.nanvl(f"_cell.{value}", F.lit(None)).alias(value))
 
 
 def to_wide(long: DataFrame, ids: list[str], types: list[str]) -> DataFrame:

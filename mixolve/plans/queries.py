@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mixolve.functions import expressions as X
 from mixolve.operators import atlas as A
+from mixolve.operators import distinguish as D
 from mixolve.operators import linear as L
 from mixolve.operators import metrics as M
 from mixolve.operators import network as N
@@ -325,6 +326,16 @@ def grouped_nmf(spark, d):
     return rounded(S.grouped(T.obs(spark, d), T.atlas(spark, d), [["1-URGENT", "2-HIGH"], ["3-MEDIUM"], ["4-NOT SPECIFIED", "5-LOW"]], steps=10)[0])
 
 
+@query("solve_group_variance")
+def solve_group_variance(spark, d):
+    return rounded(D.solve_with_group_variance(T.obs(spark, d), T.atlas(spark, d), [["1-URGENT", "2-HIGH"], ["3-MEDIUM"], ["4-NOT SPECIFIED", "5-LOW"]]))
+
+
+@query("distinguishability")
+def distinguishability(spark, d):
+    return D.distinguishability(T.embedded_atlas(spark, d), steps=8, draws=1000)
+
+
 @query("mds")
 def mds(spark, d):
     import numpy as np

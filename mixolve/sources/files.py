@@ -65,10 +65,7 @@ def read_dataset(spark: SparkSession, base: str, split: str | None = None) -> di
 
 def read_estimates_csv(spark: SparkSession, path: str) -> DataFrame:
     """A table of cell types by samples to (cell_type, sample, w)."""
-    wide = spark.read.csv(path, header=True)
-    samples = [c for c in wide.columns if c != "CellType"]
-    numbers = wide.select("CellType", *[F.col(c).try_cast("double").alias(c) for c in samples])
-    return numbers.unpivot(["CellType"], samples, "sample", "w").withColumnRenamed("CellType", "cell_type")
+    return to_long(spark.read.csv(path, header=True), ["CellType"], "sample", "w").withColumnRenamed("CellType", "cell_type")
 
 
 def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
