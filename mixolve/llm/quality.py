@@ -145,7 +145,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **how) -> DataFrame:
-    """The rows of docs, all columns, whose score is at least threshold. Learns as score_documents does."""
-    taught = docs.join(labels.select(F.col(id_col).alias("_id")).distinct(), F.col(id_col) == F.col("_id"), "left_semi").select(id_col, text_col)
-    model = learn(statistics(taught, text_col=text_col), labels, id_col=id_col, label_col=label_col, **how)
-    return statistics(docs, text_col=text_col).where(model.score("_stats") >= threshold).select(*docs.columns)
+    """The rows of docs, all columns, whose score is at least threshold. Learns as score_documents does.
+
+    Documents are written to the shared folder with their statistics, so these are counted once and
+    only they, not the texts, meet the labels.
+    """
+    rows = scratch(statistics(docs, text_col=text_col), "scored")
+    model = learn(rows.select(id_col, "_stats"), labels, id_col=id_col, label_col=label_col, **how)
+    return rows.where(model.score("_stats") >= threshold).select(*docs.columns)

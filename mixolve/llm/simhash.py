@@ -232,7 +232,7 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return groups(scratch(with_fingerprint(rows, shingle=shingle), "fingerprints"), limit=limit)
 
 
-def one_of_each(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, limit: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, limit: int = 2) -> DataFrame:
     """docs, all columns, less all but one row of each group of near copies. Rows are told apart by number, not by ID."""
     keep = docs.columns
     rows = scratch(with_fingerprint(docs, text_col, "_fp", shingle, keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
