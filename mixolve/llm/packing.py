@@ -107,21 +107,21 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer, spaced), np.uint32(end_id).tobytes()
+        enc = encoder(tokenizer, spaced)
         for batch in batches:
             for few in slices(batch, "text"):
+                ids, ends = enc.encode(few.column("text"))
+                ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
                 cut = []
-                for doc, ids in zip(few.column("id").to_pylist(), enc.encode(few.column("text").to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    for at in range(0, n, length):
-                        piece = ids[4 * at : 4 * (at + length)]
-                        cut.append((doc, at, len(piece) // 4, zlib.crc32(piece), n, piece))
-                columns = [pa.array(c, pa.int64()) for c in list(zip(*cut))[:5]]
+                for doc, a, b in zip(few.column("id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    for at in range(a, b, length):
+                        cut.append((doc, at - a, min(b - at, length), zlib.crc32(ids[at : min(b, at + length)]), b - a))
+                columns = [pa.array(c, pa.int64()) for c in zip(*cut)]
                 if keep_ids:
-                    ends = np.cumsum([0] + [c[2] for c in cut])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(c[5] for c in cut), "<i4"))))
+                    bounds = np.cumsum([0] + [c[2] for c in cut])
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
+        pa.default_memory_pool().release_unused()  # the worker stays, and shares its executor's memory
 
     return kept.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,83 +28,151 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
     "parquet.dictionary.page.size": str(2 << 20),
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
 }
 
 
+#: Stands for the IDs of a piece that can't stand alone; told apart by identity, and not a multiple of four bytes long.
+UNSAFE = bytes(1)
+
+
 class Encoder:
     """Encodes texts with a `tokenizers` file, remembering what single words became.
 
-    A text is cut where no pre-token can cross: at a space between two other characters. With
-    `spaced`, the space stays with the word behind it (byte-level vocabularies); without, white
-    space is dropped by the tokenizer itself. Each distinct piece is encoded once by the library and
-    kept in a bounded cache; texts that hold a special token's string, or white space of several
-    characters, take the slower exact way. Results equal those of encode() on the whole text.
+    A text is cut where no pre-token can cross: at a space or line end between two other
+    characters. With `spaced`, the space or line end stays with the word behind it (byte-level
+    vocabularies); without, white space is dropped by the tokenizer itself. A word that ends in ASCII punctuation after a letter
+    or digit is cut there too. Each distinct piece is encoded by the library and kept in a cache of
+    two generations of bounded size; texts that hold a special token's string, or white space of
+    several characters, take the slower exact way. Results equal those of encode() on the whole text.
     """
 
     LONGEST = 64
+    PUNCTUATION = string.punctuation
 
-    def __init__(self, path: str, spaced: bool, entries: int = 500_000):
+    def __init__(self, path: str, spaced: bool, entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = tuple({s[:2] for s in self.special if s})
-        self.spaced, self.entries = spaced, entries
-        self.cache: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes | None] = {}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.marks = tuple({s[:2] for s in special if s})
+        self.border, self.border_id = next(iter(special.items()), (None, None))
+        self.lead, self.entries = " " if spaced else "", entries
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.cuts = re.compile(r"(?<=\S)(?= \S)")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str], cache: dict[str, bytes | None], lead: str) -> None:
-        new = list(words)
-        if self.spaced:
-            odd = [w for w in new if not w or w[0].isspace() or w[-1].isspace()]
-            cache.update(dict.fromkeys(odd))
-            new = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        for i in range(0, len(new), 20_000):
-            cache.update(zip(new[i : i + 20_000], self._ids([lead + w for w in new[i : i + 20_000]])))
-
-    def _whole(self, text: str) -> bytes:
-        if any(m in text for m in self.marks) or not self.spaced:
-            return self._ids([text])[0]
-        return b"".join(self._ids(self.cuts.split(text))) if text else b""
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The IDs of each text as little-endian unsigned 32-bit integers."""
-        for i in range(0, len(texts), 500):
-            yield from self._some(texts[i : i + 500])
-
-    def _some(self, texts: list[str]) -> Iterator[bytes]:
-        lead = " " if self.spaced else ""
-        split = [None if any(m in t for m in self.marks) else t.split(" ") for t in texts]
-        if len(self.cache) > self.entries:
-            self.cache.clear()
-            self.heads.clear()
-        plain = [s for s in split if s is not None]
-        words = set(chain.from_iterable(s[1:] for s in plain) if self.spaced else chain.from_iterable(plain))
-        long = {w for w in words if len(w) > self.LONGEST}
-        self._learn(words.difference(self.cache), self.cache, lead)
-        if self.spaced:
-            self._learn({s[0] for s in plain}.difference(self.heads), self.heads, "")
-        get = self.cache.__getitem__
-        for text, s in zip(texts, split):
-            if s is None:
-                yield self._whole(text)
+    def _each(self, words: list[str], lead: str) -> list[bytes]:
+        """IDs of many short words, encoded some hundred to a text and told apart by the leading space or a special token."""
+        if not lead and not self.border:
+            return self._ids(words)
+        join = lead or self.border
+        out: list[bytes] = []
+        for i in range(0, len(words), 10_000):
+            some = [words[j : j + 100] for j in range(i, min(i + 10_000, len(words)), 100)]
+            made = self.tokenizer.encode_batch_fast([join.join(["", *few]) for few in some], add_special_tokens=False)
+            for few, e in zip(some, made):
+                ids = np.asarray(e.ids, "<u4")
+                at = np.flatnonzero(self.opens[ids] if lead else ids == self.border_id)
+                if len(at) != len(few):
+                    out += self._ids([lead + w for w in few])
+                    continue
+                begin, end = (4 * (at + (not lead))).tolist(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                flat = ids.tobytes()
+                out += [flat[x:y] for x, y in zip(begin, end)]
+        return out
+
+    def _learn(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """IDs of words that aren't in the cache; UNSAFE marks those that can't stand alone because of white space."""
+        odd: list[str] = []
+        cut: list[tuple[str, str, str]] = []
+        whole: dict[str, None] = {}
+        for w in words:
+            if lead and (w.strip() is not w or not w) and not (w[:1] == "\n" and w[1:] and w[1:].strip() == w[1:]):
+                odd.append(w)
                 continue
-            try:
-                if self.spaced:
-                    yield self.heads[s[0]] + b"".join(map(get, s[1:])) if text else b""
-                else:
-                    yield b"".join(map(get, s))
-            except TypeError:
-                yield self._whole(text)
-        for w in long:
-            self.cache.pop(w, None)
-        for w in [w for w in self.heads if len(w) > self.LONGEST]:
-            del self.heads[w]
+            base = w.rstrip(self.PUNCTUATION)
+            if base is not w and base and base[-1].isalnum():
+                cut.append((w, base, w[len(base) :]))
+            else:
+                whole[w] = None
+        bases = {c[1] for c in cut}
+        known = {} if lead != self.lead else {x: v for x in bases if (v := self.young.get(x) or self.old.get(x)) is not None}
+        whole |= dict.fromkeys(bases.difference(known))
+        lines = [w for w in whole if w[:1] == "\n"] if lead else []  # nothing stands between a line's end and its next word
+        made = dict(zip(lines, self._each(lines, "")))
+        rest = [w for w in whole if w not in made]
+        made.update(zip(rest, self._each(rest, lead)))
+        new = list({c[2] for c in cut}.difference(self.tails))
+        self.tails.update(zip(new, self._each(new, "")))
+        made.update([(w, (made.get(base) or known[base]) + self.tails[tail]) for w, base, tail in cut])
+        made.update(dict.fromkeys(odd, UNSAFE))
+        return made
+
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > self.entries:
+            self.old, self.young = self.young, {}
+        if len(self.tails) > 10_000:
+            self.tails = {}
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        absent = [i for i, x in enumerate(out) if x is None]
+        kept = {w: x for w in map(words.__getitem__, absent) if (x := old.get(w)) is not None}
+        made = self._learn([w for w in map(words.__getitem__, absent) if w not in kept], self.lead)
+        made.update(kept)
+        for i in absent:
+            out[i] = made[words[i]]
+        young.update((w, x) for w, x in made.items() if len(w) <= self.LONGEST)
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if any(m in text for m in self.marks) or not self.lead:
+            return np.frombuffer(self._ids([text])[0], "<u4")
+        return np.frombuffer(b"".join(self._ids(self.cuts.split(text))), "<u4")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(flat IDs of all texts, offsets of each text in them). Texts must not be null."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.lead else " "), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        bounds = bounds - bounds[0]
+        place, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self._lookup(words)
+        if self.lead:  # the first piece of each text has no space before it
+            firsts = [words[i] for i in place[bounds[:-1]].tolist()]
+            heads = self._learn(list(set(firsts)), "")
+            order = {w: len(ids) + i for i, w in enumerate(heads)}
+            place = place.astype(np.int64)
+            place[bounds[:-1]] = [order[w] for w in firsts]
+            ids += heads.values()
+        hard = np.zeros(len(texts), bool)
+        for m in self.marks:
+            hard |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        if any(x is UNSAFE for x in ids):
+            unsafe = np.fromiter((x is UNSAFE for x in ids), bool, len(ids))
+            hard |= np.add.reduceat(unsafe[place], bounds[:-1]) > 0
+            ids = [b"" if x is UNSAFE else x for x in ids]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = np.cumsum(size) - size
+        sizes = size[place]
+        ends = np.cumsum(sizes)
+        out = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[place] - (ends - sizes), sizes)]
+        offsets = np.concatenate([[0], ends])[bounds]
+        if hard.any():
+            each = [self._whole(texts[i].as_py()) if hard[i] else out[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+            out, offsets = np.concatenate(each), np.cumsum([0, *map(len, each)])
+        return out, offsets
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -116,9 +185,9 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _encoders[path, spaced]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about `most` characters in a column, so that a slice's results stay small."""
-    sizes = np.cumsum([len(x.as_py() or "") if x.is_valid else 0 for x in batch.column(column)]) if batch.num_rows else np.zeros(0)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
@@ -139,17 +208,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
     ordered = kept.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at, end = encoder(tokenizer, spaced), TaskContext.get().partitionId(), 0, np.uint32(end_id).tobytes()
+        enc, part, at = encoder(tokenizer, spaced), TaskContext.get().partitionId(), 0
         for batch in batches:
             for few in slices(batch, "text"):
-                ids = [x + end for x in enc.encode(few.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)])
+                ids, ends = enc.encode(few.column("text"))
+                ids = np.insert(ids, ends[1:], end_id)
+                offsets = ends + np.arange(len(ends))
+                n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [few.column("id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))],
+                    [few.column("id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))],
                     names=["id", "part", "start_in_part", "n_tokens", "tokens"],
                 )
                 at += int(offsets[-1])
+        pa.default_memory_pool().release_unused()  # the worker stays, and shares its executor's memory
 
     ordered.select("id", "text").mapInArrow(run, "id long, part int, start_in_part long, n_tokens long, tokens array<int>").write.options(**LAYOUT).parquet(path)
 

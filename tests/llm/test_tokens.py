@@ -10,7 +10,7 @@ import pytest
 from mixolve.llm.queries import tokenizer_file
 from mixolve.llm.tokens import Encoder, read_tokens, token_output, write_tokens
 
-BITS = ["the", "Word", "it's", "'s", "é", "über", "日本語", "1234", "½", " ", "  ", "\n", "\t", " ", "\u0085", "\x1c", "̈", "á", ",", "...", "%%%", "_", "<", "<|endoftext|>", "<|", "😀", "x" * 80, "don't!!", "(a)", "Ⅷ", "＝", "≠"]
+BITS = ["the", "Word", "it's", "'s", "é", "über", "日本語", "1234", "½", " ", "  ", "\n", "\t", " ", "\u0085", "\x1c", "̈", "á", ",", "...", "%%%", "_", "<", "<|endoftext|>", "<|", "😀", "x" * 80, "\nline", "\nB,", "\n\n", "don't!!", "(a)", "Ⅷ", "＝", "≠"]
 
 
 def texts():
