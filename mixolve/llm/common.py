@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,29 +50,28 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_slice: int = 100_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_slice: int = 2000) -> DataFrame:
     """A gapless rank from 0 within keys, in whatever order, without a task for a whole key.
 
-    Rows of a key are dealt over slices by a hash of `order`; ranks run within a slice and start at
-    the number of rows in the key's earlier slices. `order` should identify a row; rows that agree
-    in all of it are alike and get ranks in any order. The number of slices follows the largest key.
+    A key's rows are dealt over slices by a hash of `order`, as many as its count asks for; ranks run
+    within a slice and start at the number of rows in the key's earlier slices. `order` should identify
+    a row; rows that agree in all of it are alike and get ranks in any order. Keys must be few (a
+    row a key goes to all tasks), rows may be many.
     """
-    counts = df.groupBy(*keys).count()
-    largest = counts.agg(F.max("count")).first()[0] or 0
-    n = 1 + largest // rows_per_slice
-    if n == 1:
+    counts = df.groupBy(*keys).count().cache()
+    if (counts.agg(F.max("count")).first()[0] or 0) <= rows_per_slice:
         return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(n)))
+    same = lambda prefix: reduce(and_, [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)])
+    renamed = lambda prefix: [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+    slices = counts.select(*renamed("_n"), F.expr(f"1 + count div {rows_per_slice}").alias("_slices"))
+    sliced = df.join(F.broadcast(slices), same("_n")).select(*df.columns, F.pmod(F.xxhash64(*order), F.col("_slices")).alias("_slice"))
     before = (
         sliced.groupBy(*keys, "_slice").count()
         .withColumn("_before", F.sum("count").over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"), F.coalesce("_before", F.lit(0)).alias("_before"))
+        .select(*renamed("_k"), F.col("_slice").alias("_s"), F.coalesce("_before", F.lit(0)).alias("_before"))
     )
     inner = sliced.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order)).cast("long") - 1)
-    same: Column = F.col("_slice") == F.col("_s")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return inner.join(before, same, "left").select(*df.columns, (F.col("_rank") + F.col("_before")).alias(out))
+    return inner.join(before, same("_k") & (F.col("_slice") == F.col("_s")), "left").select(*df.columns, (F.col("_rank") + F.col("_before")).alias(out))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -141,7 +141,7 @@ def shard(rows: DataFrame, *, group_col: str, size_col: str, shards: int | None
     order = ranked(groups.select("_group", "_class"), ["_class"], ["_group"], "_rank")
     homes = order.join(F.broadcast(ranges), (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select("_group", "shard")
     placed_rows = scratch(rows.join(homes, F.col(group_col).eqNullSafe(F.col("_group"))).drop("_group"), "placed")
-    return ranked(placed_rows, ["shard"], kept, "slot", 20_000)
+    return ranked(placed_rows, ["shard"], kept, "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

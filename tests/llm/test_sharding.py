@@ -77,3 +77,13 @@ def test_empty_and_capacity(spark):
     df = spark.createDataFrame([(i, f"g{i % 7}", 10) for i in range(70)], "id long, g string, n long")
     got = shard(df, group_col="g", size_col="n", capacity=200).collect()
     assert {r.g: r.shard for r in got} and len({r.shard for r in got}) == 4
+
+
+def test_ranks_are_gapless_over_slices(spark):
+    from mixolve.llm.common import ranked
+
+    df = spark.createDataFrame([(None if i % 3 == 0 else i % 3, i // 2) for i in range(3000)], "k int, v int")
+    got = {}
+    for r in ranked(df, ["k"], ["v"], "rank", 50).collect():
+        got.setdefault(r.k, []).append(r.rank)
+    assert {k: sorted(v) for k, v in got.items()} == {None: list(range(1000)), 1: list(range(1000)), 2: list(range(1000))}
