@@ -127,6 +127,27 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _op9_sql() -> str:
+    from mixolve.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, KINDS, SECRET
+
+    patterns = [ASSIGN, *(f"({p})" for p in (ACCESS, HEX, SECRET, IDENT, ENDPOINT))]
+    rows = ", ".join("({}, '{}', '{}')".format(i, k, p.replace("'", "''")) for i, (k, p) in enumerate(zip(KINDS, patterns)))
+    said = "coalesce(string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind){}, '')"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), k(kind, name, pat) AS (VALUES {rows}),
+x AS (SELECT doc_id, kind, name, regexp_extract_all(text, pat) AS hits, regexp_extract_all(text, pat, 1) AS vals, string_split_regex(text, pat) AS gaps FROM t, k WHERE regexp_matches(text, pat)),
+p AS (SELECT doc_id, kind, name, vals[i] AS v, length(hits[i]) AS size, list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda h: length(h))), 0) AS a
+    FROM x, unnest(range(1, len(hits) + 1)) AS r(i)),
+good AS (SELECT doc_id, kind, name, a::BIGINT AS a, (a + size)::BIGINT AS z FROM p WHERE (kind <> 0 OR length(v) >= 6) AND (kind <> 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')))),
+pool AS (SELECT * FROM good g WHERE kind <> 3 OR NOT EXISTS (SELECT 1 FROM good b WHERE b.doc_id = g.doc_id AND b.kind < 3 AND g.a >= b.a AND g.a < b.z)),
+near AS (SELECT DISTINCT l.doc_id, l.kind, l.name, l.a, l.z, r.kind IN (0, 2, 3) AS secret, r.kind IN (1, 4) AS ident, r.kind = 5 AS place FROM pool l JOIN pool r ON l.doc_id = r.doc_id AND r.a - l.z <= 256 AND l.a - r.z <= 256 AND l.kind >= 3),
+weak AS (SELECT doc_id, kind, name, a, z FROM near GROUP BY ALL HAVING (kind = 3 AND bool_or(ident OR place)) OR (kind = 4 AND bool_or(secret)) OR (kind = 5 AND bool_or(secret) AND bool_or(ident))),
+spans AS (SELECT * FROM good WHERE kind < 3 UNION ALL SELECT * FROM weak)
+SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256({said.format(' FILTER (kind < 3)')}) AS base_sha256, {said.format(' FILTER (kind IS NOT NULL)')} AS spans
+FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id
+"""
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -139,4 +160,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_secrets": _op9_sql()}

@@ -13,8 +13,8 @@ KINDS = ["assign", "access", "hex", "secret", "ident", "endpoint"]
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?![A-Za-z0-9+/_-])"
-IDENT = r"""(?:[aA]ccess_?[kK]ey(?:_?[iI]d)?|[cC]lient_?[iI]d|[aA]ccount(?:_?[iI]d)?|[uU]ser(?:_?name)?|[lL]ogin)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})"""
+SECRET = r"[A-Za-z0-9+/_-]{32,}"
+IDENT = r"""(?:[aA]ccess_?[kK]ey(?:_?[iI]d)?|[cC]lient_?[iI]d|[aA]ccount(?:_?[iI]d)?|[uU]ser(?:_?name)?|[lL]ogin)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~%/-]*)?"
 
 
@@ -67,24 +67,27 @@ def link(parts: DataFrame, scope: int = 256) -> DataFrame:
 
     A weak secret (long random-looking run) counts beside an access identifier or an endpoint; a
     weak identifier beside a secret; an endpoint beside a secret and an identifier. The interval
-    join is an equi-join on text and scope-wide bins, a part standing in its own bin and both
-    next ones on the right side, and keeps left rows once (semi-join): no pairs are made.
+    join is an equi-join on text and scope-wide bins, those that the left part lies in and those that
+    the right part reaches with the scope, and keeps left rows once (semi-join): no pairs are made.
     """
     once = parts.where(F.col("_key").isNotNull()).select(F.col("_key").alias("key"), *[f"_{k}" for k in KINDS]).dropDuplicates(["key"])
     rows = once.select("key", F.explode(numbered(KINDS)).alias("p")).select("key", "p.*")
-    covered = rows.where(F.col("kind") < 3).select(F.col("key").alias("ck"), F.col("start").alias("cs"), F.col("end").alias("ce"))
-    covered = covered.withColumn("cb", F.explode(F.sequence(F.floor(F.col("cs") / scope), F.floor((F.col("ce") - 1) / scope))))
-    binned = rows.withColumn("bin", F.floor(F.col("start") / scope))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / scope), F.floor(b / scope)))
+    covered = rows.where(F.col("kind") < 3).select(F.col("key").alias("ck"), F.col("start").alias("cs"), F.col("end").alias("ce")).withColumn("cb", bins(F.col("cs"), F.col("ce") - 1))
     inside = (F.col("key") == F.col("ck")) & (F.floor(F.col("start") / scope) == F.col("cb")) & (F.col("start") >= F.col("cs")) & (F.col("start") < F.col("ce"))
-    weak_secret = binned.where(F.col("kind") == 3).join(covered, inside, "left_anti")  # not what the base has found already
-    pool = binned.where(F.col("kind") != 3).unionByName(weak_secret)
-    right = pool.select(F.col("key").alias("rk"), F.col("kind").alias("rkind"), F.col("start").alias("rs"), F.col("end").alias("re"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("rb"))
+    weak_secret = rows.where(F.col("kind") == 3).join(covered, inside, "left_anti")  # not what the base has found already
+    pool = rows.where(F.col("kind") != 3).unionByName(weak_secret)
+    right = pool.select(F.col("key").alias("rk"), F.col("kind").alias("rkind"), F.col("start").alias("rs"), F.col("end").alias("re")).withColumn("rb", bins(F.col("rs") - scope, F.col("re") + scope))
     close = (F.col("key") == F.col("rk")) & (F.col("bin") == F.col("rb")) & (F.col("rs") - F.col("end") <= scope) & (F.col("start") - F.col("re") <= scope)
-    beside = lambda left, kinds: left.join(right.where(F.col("rkind").isin(kinds)), close, "left_semi")
+
+    def beside(left: DataFrame, kinds: list[int]) -> DataFrame:
+        placed = left.withColumn("bin", bins(F.col("start"), F.col("end")))
+        return placed.join(right.where(F.col("rkind").isin(kinds)), close, "left_semi").drop("bin").distinct()
+
     secrets, idents = [0, 2, 3], [1, 4]
     linked = beside(weak_secret, [*idents, 5])
-    linked = linked.unionByName(beside(binned.where(F.col("kind") == 4), secrets))
-    linked = linked.unionByName(beside(beside(binned.where(F.col("kind") == 5), secrets), idents))
+    linked = linked.unionByName(beside(rows.where(F.col("kind") == 4), secrets))
+    linked = linked.unionByName(beside(beside(rows.where(F.col("kind") == 5), secrets), idents))
     return linked.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
 
 

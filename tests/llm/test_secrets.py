@@ -54,3 +54,27 @@ def test_masking(spark):
     got = {r.doc_id: r.m for r in scan(df, keep_text=True).select("doc_id", redact(F.col("text"), F.col("spans")).alias("m")).collect()}
     assert got == {1: "é [SECRET] and [SECRET] end", 2: "clean", 3: None}
     assert scan(df.limit(0)).count() == 0
+
+
+def test_long_parts_reach_over_bins(spark):
+    long = "Ab1" * 400
+    df = spark.createDataFrame([(1, f"{long} user=bob"), (2, f"user=bob {long} https://a.example"), (3, f"user=bob {'w ' * 200}{long}")], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in scan(df).select("doc_id", spans_text("spans").alias("s")).collect()}
+    assert got == {1: "secret:0:1200,ident:1201:1209", 2: "ident:0:8,secret:9:1209", 3: ""}
+
+
+def test_sql_gives_the_same_rows(spark, tmp_path):
+    import duckdb
+
+    from mixolve.llm.queries import ORACLES, op9_secrets
+
+    rng = random.Random(9)
+    parts = [*PARTS, "user=bob", "https://a.example/x", " " * 90, "Zx9" + "aB3dE" * 7, "login: al"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(200)] + [(1000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLES["op9_secrets"])
+    got = op9_secrets(spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert sum("secret" in r[-1] for r in want.fetchall()) > 5
