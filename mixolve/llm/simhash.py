@@ -125,28 +125,32 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_edges(codes: DataFrame, limit: int = 2, part_rows: int | None = None) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp, distinct, not null) within `limit` bits.
 
-    The fingerprints are dealt into parts by ranges of Gray rank. Each part's shared bits form the
-    leaves of an upper tree, a row a part, which is sent to all; it tells each fingerprint which parts
-    it must visit. A part has part_rows fingerprints, or by default the square root of their number
-    (2000 at least), so the upper tree has no more rows than that root. In a part the residents build a tree of their own and visitors stream through it.
+    The fingerprints are dealt into parts by ranges of Gray rank. The bits that an eighth of a part
+    shares form the leaves of an upper tree, which is sent to all; it tells each fingerprint which
+    parts it must visit. A part has part_rows fingerprints, or by default the square root of their
+    number (2000 at least), so the upper tree has no more than some eight times that root of rows. In a part the residents build a tree of their own and visitors stream through it.
     Residents that are linked are merged in place, so a dense group gives an edge a member and not
     an edge a pair.
     """
     spark = codes.sparkSession
     n = codes.count()
-    parts = max(1, -(-n // (part_rows or max(2000, math.isqrt(n)))))
+    part_rows = part_rows or max(2000, math.isqrt(n))
+    parts, eighth = max(1, -(-n // part_rows)), max(1, part_rows // 8)
     schema = "part int, visit boolean, fp long"
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.zeros(b.num_rows, bool)), b.column("fp")], names=["part", "visit", "fp"])
-
-    dealt = codes.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").select("fp")
-    home = scratch(dealt.mapInArrow(number, schema), "gray-parts")
-    roots = sorted((r["part"], r["a"], r["o"]) for r in home.groupBy("part").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o")).collect())  # one row a part
+            leaf = np.arange(at, at + b.num_rows, dtype=np.int64) // eighth
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(leaf), b.column("fp")], names=["part", "leaf", "fp"])
+            at += b.num_rows
+
+    dealt = codes.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank").select("fp")
+    home = scratch(dealt.mapInArrow(number, "part int, leaf long, fp long"), "gray-parts")
+    leaves = home.groupBy("part", "leaf").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o"))
+    roots = [(r["part"], r["a"], r["o"]) for r in sorted(leaves.collect(), key=lambda r: (r["part"], r["leaf"]))]  # some eight rows a part
     sent = spark.sparkContext.broadcast((np.array([r[0] for r in roots], np.int32), np.array([r[1] for r in roots], np.int64).view(np.uint64), np.array([r[2] for r in roots], np.int64).view(np.uint64)))
 
     def visits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +160,10 @@ def near_edges(codes: DataFrame, limit: int = 2, part_rows: int | None = None) -
             fps = b.column("fp").to_numpy()
             own = b.column("part").to_numpy()
             for q, leaf in tree.search(fps.view(np.uint64), limit):
-                there, here = numbers[leaf], own[q]  # of two parts one visits the other: which, alternates, so parts have like shares
+                q, there = np.unique(np.stack([q, numbers[leaf].astype(np.int64)]), axis=1)
+                here = own[q]  # of two parts one visits the other: which, alternates, so parts have like shares
                 go = (there != here) & ((there > here) == ((there + here) % 2 == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(there[go]), pa.array(np.ones(int(go.sum()), bool)), pa.array(fps[q[go]])], names=["part", "visit", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(there[go].astype(np.int32)), pa.array(np.ones(int(go.sum()), bool)), pa.array(fps[q[go]])], names=["part", "visit", "fp"])
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, tree, label, fps = None, [], None, None, None
@@ -204,7 +209,7 @@ def near_edges(codes: DataFrame, limit: int = 2, part_rows: int | None = None) -
         if held and tree is None:
             yield settle()
 
-    both = home.unionAll(home.mapInArrow(visits, schema))
+    both = home.select("part", F.lit(False).alias("visit"), "fp").unionAll(home.select("part", "fp").mapInArrow(visits, schema))
     return both.repartition(parts, "part").sortWithinPartitions("part", "visit").mapInArrow(link, "a long, b long")
 
 
