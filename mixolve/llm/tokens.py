@@ -50,7 +50,7 @@ class Encoder:
     LONGEST = 64
     PUNCTUATION = string.punctuation
 
-    def __init__(self, path: str, spaced: bool, entries: int = 400_000):
+    def __init__(self, path: str, spaced: bool, entries: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -185,7 +185,7 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _encoders[path, spaced]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about `most` characters in a column, so that a slice's results stay small."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
