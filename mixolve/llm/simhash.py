@@ -48,6 +48,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", s
         for b in batches:
             fps = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fps], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker stays, and shares its executor's memory
 
     return rows.mapInArrow(run, schema)
 
@@ -77,7 +78,7 @@ class GrayTree:
             at = np.arange(0, len(a), fan)
             self.levels.append((np.bitwise_and.reduceat(a, at), np.bitwise_or.reduceat(o, at)))
 
-    def search(self, queries: np.ndarray, limit: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, limit: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query number, leaf number) of leaves within limit of a query, in blocks of bounded size."""
         queries = queries.astype(np.uint64)
         top = len(self.levels) - 1
