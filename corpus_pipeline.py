@@ -16,7 +16,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near copies (3-word shingles, at most 2 of 64 bits apart, as query op5 links them)."""
+    """One document of each group of near copies: 5-word shingles of Jaccard similarity 0.8 or more, or 3-word SimHashes at most 3 of 64 bits apart."""
     return simhash.one_of_each(docs)
 
 

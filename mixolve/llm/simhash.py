@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixolve.llm.common import components, scratch
+from mixolve.llm.minhash import similar_edges
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -238,10 +239,14 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return groups(scratch(with_fingerprint(rows, shingle=shingle), "fingerprints"), limit=limit)
 
 
-def one_of_each(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, limit: int = 2) -> DataFrame:
-    """docs, all columns, less all but one row of each group of near copies. Rows are told apart by number, not by ID."""
+def one_of_each(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, limit: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, less all but one row of each group of near copies. Rows are told apart by number, not by ID.
+
+    Links are SimHashes of `shingle` words at most `limit` bits apart, and shingle sets of `words` words of at least the Jaccard similarity.
+    """
     keep = docs.columns
     rows = scratch(with_fingerprint(docs, text_col, "_fp", shingle, keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
     found = groups(rows.select("_row", "_fp"), id_col="_row", fp_col="_fp", limit=limit)
-    first = found.where(F.col("_row") == F.col("component_id")).select(F.col("_row").alias("_first"))
-    return rows.join(first, F.col("_row") == F.col("_first"), "left_semi").select(*keep)
+    known = scratch(found.where(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("a"), F.col("component_id").alias("b")), "simhash-links")
+    linked = components(similar_edges(rows, known, text_col=text_col, shingle=words, similarity=similarity), "a", "b")
+    return rows.join(linked.where("node <> root"), F.col("_row") == F.col("node"), "left_anti").select(*keep)
