@@ -333,7 +333,7 @@ def solve_group_variance(spark, d):
 
 @query("distinguishability")
 def distinguishability(spark, d):
-    return D.distinguishability(T.embedded_atlas(spark, d), steps=8, draws=1000)
+    return D.distinguishability(T.embedded_atlas(spark, d))
 
 
 @query("mds")
