@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -19,19 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests, one machine) a
-    temporary folder is made and set.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset and all runs in one process
+    (tests, one machine) a temporary folder is made and set; elsewhere that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mixolve-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Scratch folders that this process has made and not deleted yet.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def scratch(df: DataFrame, name: str, **options) -> DataFrame:
@@ -42,36 +50,79 @@ def scratch(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made[:] = [m for m in _made if m not in folders]
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    _delete(df.sparkSession, [m for m in _made if m.rpartition("/")[2] in names])
+
+
+def clear_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all scratch tables of this process but `keep`: for use when results that read them are written."""
+    names = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    _delete(spark, [m for m in _made if m.rpartition("/")[2] not in names])
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)])
+
+
+def _renamed(keys: list[str], prefix: str) -> list[Column]:
+    return [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+
+
+def sliced(df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int) -> DataFrame:
+    """df with _slice: a key's rows dealt by a hash of `order` over as many slices as its count asks for. Keys must be few."""
+    counts = df.groupBy(*keys).count() if keys else df.groupBy().count()
+    slices = counts.select(*_renamed(keys, "_n"), F.expr(f"1 + count div {rows_per_slice}").alias("_slices"))
+    joined = df.join(F.broadcast(slices), _same(keys, "_n")) if keys else df.crossJoin(F.broadcast(slices))  # one row a key
+    return joined.select(*df.columns, F.pmod(F.xxhash64(*order), F.col("_slices")).alias("_slice"))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, rows_per_slice: int = 2000) -> DataFrame:
+    """Add the sum of `value` over the rows before this one within keys, in whatever order, without a task for a whole key.
+
+    Sums run within a slice (see sliced) and start at the sum of the key's earlier slices. `order`
+    should identify a row; rows that agree in all of it are alike and come in any order. Keys must
+    be few (a row a key goes to all tasks), rows may be many; with no keys all rows are one.
+    """
+    parts = sliced(df.withColumn("_value", value.cast("long")), keys, order, rows_per_slice)
+    whole = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = parts.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(whole), F.lit(0)))
+    before = before.select(*_renamed(keys, "_k"), F.col("_slice").alias("_s"), "_before")
+    inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = parts.withColumn("_inner", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    found = F.col("_slice") == F.col("_s")
+    return summed.join(before, (_same(keys, "_k") & found) if keys else found).select(*df.columns, (F.col("_inner") + F.col("_before")).alias(out))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_slice: int = 2000) -> DataFrame:
-    """A gapless rank from 0 within keys, in whatever order, without a task for a whole key.
+    """A gapless rank from 0 within keys: the running sum of ones."""
+    return running_sum(df, keys, order, F.lit(1), out, rows_per_slice)
+
 
-    A key's rows are dealt over slices by a hash of `order`, as many as its count asks for; ranks run
-    within a slice and start at the number of rows in the key's earlier slices. `order` should identify
-    a row; rows that agree in all of it are alike and get ranks in any order. Keys must be few (a
-    row a key goes to all tasks), rows may be many.
+def spread_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], how: str = "inner", share: int = 1000) -> DataFrame:
+    """big joined with small on pairs of columns (null-safe), keys of more than 1/share of big's rows split.
+
+    At most `share` keys can be so heavy, so their table is broadcast; such a key's rows are dealt
+    over salts, and the few rows of small that have it are repeated for each. `how`: inner or left.
+    Columns of the two sides must differ in name; small should have few rows a key.
     """
-    counts = df.groupBy(*keys).count().cache()
-    if (counts.agg(F.max("count")).first()[0] or 0) <= rows_per_slice:
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    same = lambda prefix: reduce(and_, [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)])
-    renamed = lambda prefix: [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
-    slices = counts.select(*renamed("_n"), F.expr(f"1 + count div {rows_per_slice}").alias("_slices"))
-    sliced = df.join(F.broadcast(slices), same("_n")).select(*df.columns, F.pmod(F.xxhash64(*order), F.col("_slices")).alias("_slice"))
-    before = (
-        sliced.groupBy(*keys, "_slice").count()
-        .withColumn("_before", F.sum("count").over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)))
-        .select(*renamed("_k"), F.col("_slice").alias("_s"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    )
-    inner = sliced.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order)).cast("long") - 1)
-    return inner.join(before, same("_k") & (F.col("_slice") == F.col("_s")), "left").select(*df.columns, (F.col("_rank") + F.col("_before")).alias(out))
+    left, right = [a for a, _ in on], [b for _, b in on]
+    counts = big.groupBy(*left).count()
+    total = big.count()
+    heavy = counts.where(F.col("count") > max(1000, total // share)).select(*_renamed(left, "_h"), F.expr(f"1 + count div {max(1000, total // share)}").alias("_salts"))
+    many = F.coalesce("_salts", F.lit(1))
+    dealt = big.join(F.broadcast(heavy), _same(left, "_h"), "left").select(*big.columns, F.pmod(F.monotonically_increasing_id(), many).alias("_salt"))
+    repeated = small.join(F.broadcast(heavy), _same(right, "_h"), "left").select(*small.columns, F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("_copy"))
+    match = reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in on]) & (F.col("_salt") == F.col("_copy"))
+    return dealt.join(repeated, match, how).drop("_salt", "_copy")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -90,7 +141,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while state[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        rooted = spread_join(both.where("v > u"), least.withColumnRenamed("u", "node"), [("u", "node")])
+        large = rooted.select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = scratch(large.where("hi > lo").distinct(), "large-star")
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi > lo")

@@ -38,7 +38,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionAll(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    two = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = rows.unionAll(two)
     back = read_back(conversations(threads(rows)))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -101,7 +102,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mixolve.llm.packing import pack_documents
 
-    return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), fill=True)
 
 
 OP7_SQL = """

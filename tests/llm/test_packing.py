@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from mixolve.llm.packing import best_pattern, column_generation, cut_pieces, pack_documents, plan_sequences
+from mixolve.llm.packing import best_pattern, column_generation, cut_pieces, pack, pack_documents, plan_sequences
 from mixolve.llm.queries import tokenizer_file
 
 FILE = tokenizer_file("word_bpe_49k.json")
@@ -63,3 +63,48 @@ def test_empty_table_and_ids(spark):
     assert pack_documents(spark, spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
     piece = cut_pieces(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), FILE, keep_ids=True).first()
     assert piece.ids == [*Tokenizer.from_file(FILE).encode("one two").ids, 2]
+
+
+def test_filled_sequences_hold_every_id_with_little_padding(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["one", "Two", "three,", "vier!"]) for _ in range(rng.choice([0, 1, 17, rng.randint(10, 900), 2500, 9000])))) for i in range(400)]
+    rows += [(500, None), (501, ""), (None, "x"), (7, "again"), (7, "again")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, piece int, used int, size int, offset int")
+    got = pack_documents(spark, docs, FILE, fill=True).collect()
+    tok = Tokenizer.from_file(FILE)
+    left = {}
+    for i, t in rows:
+        left.setdefault(i, []).append(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4"))
+    held = {}
+    for r in got:
+        assert any(zlib.crc32(d[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and len(d) == r.doc_tokens for d in left[r.doc_id])
+        held.setdefault(r.doc_id, []).append((r.start, r.length))
+    for i, docs_of in left.items():
+        assert sorted(x for a, n in held[i] for x in range(a, a + n)) == sorted(x for d in docs_of for x in range(len(d)))
+    sequences, padding = {}, 0
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
+    assert padding < 0.005 * sum(r.length for r in got)
+    assert pack_documents(spark, docs.limit(0), FILE, fill=True).count() == 0
+
+
+def test_equal_lengths_that_fit_badly_are_cut(spark):
+    docs = spark.createDataFrame([(i, "one " * 2499) for i in range(30)], "doc_id long, text string")
+    n = len(Tokenizer.from_file(FILE).encode("one " * 2499, add_special_tokens=False).ids) + 1
+    got = pack_documents(spark, docs, FILE, fill=True).collect()
+    assert sum(r.length for r in got) == 30 * n and len({r.sequence_id for r in got}) <= 30 * n // 4096 + 12
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["size", "rank", "slot", "lo", "hi", "base", "each", "_size", "_p", "_rank"]
+    pieces = spark.createDataFrame([(i, 0, 1 + 40 * i % 900, i, *range(len(names))) for i in range(60)], ["doc_id", "start", "length", "ids_crc32", *names])
+    got = pack(pieces)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert sorted(got.drop("sequence_id", "offset").collect()) == sorted(pieces.collect())
