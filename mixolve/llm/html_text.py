@@ -1,4 +1,4 @@
-"""Main text of web pages: markup where it speaks, repeats across a host's pages where it doesn't."""
+"""Main text of web pages: markup where it speaks, a suffix array of the host's pages where it doesn't."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixolve.llm.common import scratch
+from mixolve.llm.common import scratch, spread_join
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -23,16 +24,20 @@ INLINE = {
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "meta", "link", "source", "track", "param",
 }
 #: Words of class, id and role that mark what isn't main text (fixed values).
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|"
-    r"notice|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|respond|disqus|widget|pagination|pager|toolbar|login|signup|search|"
-    r"contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
+MARKS = set(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead "
+    "cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments respond disqus widget widgets "
+    "pagination pager toolbar login signup search contentinfo complementary header".split()
+)
+#: Words that may stand beside them in a name without saying that it is something else (fixed values).
+BESIDE = set(
+    "area bar block body bottom box button buttons card cell col column container content footer form global group head header heading icon icons inner item items left line link links list lists "
+    "local main mobile module outer page pages panel post posts primary right row secondary section sections site slot small table text thread title top unit user wide wrap wrapper".split()
 )
-STATES = re.compile(r"(?:has|no|with|without|is)[-_]", re.I)
 CLOSED_BY_BLOCK = {"p"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-OUT, MAIN, SKIP = 0, 1, 2
+#: What a block is: unmarked text outside an article, article text, never main text, and article text under a doubtful name.
+OUT, MAIN, SKIP, WEAK = 0, 1, 2, 3
 
 
 def decode(text: str) -> str:
@@ -46,24 +51,37 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
-def marked(value: str) -> bool:
-    """Whether a word of a class, id or role marks chrome; has-sidebar and the like only speak of it."""
-    return MARKS.search(value) is not None and any(MARKS.search(w) and not STATES.match(w) for w in value.split())
+def marked(value: str) -> int:
+    """SKIP if a class, id or role names chrome and nothing else, WEAK if it does so beside other words, as in related-work, else OUT."""
+    found = OUT
+    for token in value.split():
+        parts = [w for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", token) if w]
+        words = {w.lower() for w in parts if not w.isdigit()}
+        if words & MARKS and parts[0].lower() not in ("has", "no", "with", "without", "is"):
+            if words <= MARKS | BESIDE:
+                return SKIP
+            found = WEAK
+    return found
 
 
 def kind_of(name: str, source: str, inside: int) -> int:
-    """Whether an element is main text, never main text, or what it stands in."""
-    if inside == SKIP or name in CHROME and not (name == "header" and inside == MAIN):
+    """What an element's text is, by its name, its attributes and what it stands in."""
+    if inside == SKIP or name in CHROME and not (name == "header" and inside in (MAIN, WEAK)):
         return SKIP
+    kind = MAIN if name in ("article", "main") else inside
     if source.strip(" /"):
         found = attributes(source)
         if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
             return SKIP
-        if name not in ("html", "body") and any(marked(found[a]) for a in ("class", "id", "role") if a in found) and not (name in ("article", "main") and inside == OUT):
-            return SKIP
+        if name not in ("html", "body", "main"):
+            marks = {marked(found[a]) for a in ("class", "id", "role") if a in found}
+            if SKIP in marks:
+                return SKIP
+            if WEAK in marks and inside == MAIN:
+                return WEAK
         if found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody":
             return MAIN
-    return MAIN if name in ("article", "main") else inside
+    return kind
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -137,79 +155,149 @@ def host_of(url: str | None) -> str:
 
 
 def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """A row for each page: its host, the text of its main blocks, and the words of all others as one stream.
+    """A row for each page: host, page (a hash of its html), and what its blocks say.
 
-    `open` has, for a page without a marked article, the stream's ranges that no markup speaks of.
+    `main` is the article text of a page on which nothing else is open to doubt; of other pages
+    `blocks` has all blocks that may be text, (kind, text) in order. `others` has the texts outside the article.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = rows.withColumn("page", F.xxhash64("html"))
+    pair = pa.struct([("kind", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                hosts, mains, streams, opens = [], [], [], []
+                hosts, mains, doubtful, others = [], [], [], []
                 for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
                     found = blocks(page)
-                    main = [t for k, t in found if k == MAIN]
-                    stream: list[str] = []
-                    unmarked: list[int] = []
-                    for kind, text in found:
-                        if kind != MAIN:
-                            words = text.split(" ")
-                            if kind == OUT and not main:
-                                unmarked += [len(stream), len(stream) + len(words)]
-                            stream += words
                     hosts.append(host_of(url))
-                    mains.append(" ".join(main) if main else None)
-                    streams.append(stream)
-                    opens.append(unmarked)
+                    doubt = any(k in (OUT, WEAK) for k, _ in found)
+                    mains.append(None if doubt else " ".join(t for k, t in found if k == MAIN))
+                    doubtful.append([{"kind": k, "text": t} for k, t in found if k != SKIP] if doubt else None)
+                    others.append(list(dict.fromkeys(t for k, t in found if k != MAIN)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()), pa.array(mains, pa.string()), pa.array(streams, pa.list_(pa.string())), pa.array(opens, pa.list_(pa.int32()))],
-                    names=["page_id", "url", "host", "main", "stream", "open"],
+                    [b.column("page_id"), b.column("url"), b.column("page"), pa.array(hosts, pa.string()), pa.array(mains, pa.string()), pa.array(doubtful, pa.list_(pair)), pa.array(others, pa.list_(pa.string()))],
+                    names=["page_id", "url", "page", "host", "main", "blocks", "others"],
                 )
 
-    return rows.mapInArrow(run, "page_id long, url string, host string, main string, stream array<string>, open array<int>")
+    return rows.mapInArrow(run, "page_id long, url string, page long, host string, main string, blocks array<struct<kind:int,text:string>>, others array<string>")
 
 
-def repeated_places(parsed: DataFrame, length: int) -> DataFrame:
-    """(row, places): where in a page's stream runs of `length` words begin that stand in other pages of its host too.
+def _common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of rows of a and b, of which na and nb words count."""
+    same = (a == b) & (np.arange(a.shape[1]) < np.minimum(na, nb)[:, None])
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
 
-    The host's suffix array, cut at `length` words and kept by shuffle: each suffix of the host's
-    concatenated streams is represented by its first `length` words, equal heads meet in a group
-    (summed where they lie, so a footer that all pages share is no hot spot), and a group of two
-    different streams means a common prefix of at least `length`. Only pages that have open text ask
-    for their places.
-    """
-    long = parsed.where(F.size("stream") >= length)
-    page = F.xxhash64("stream")
-    suffixes = long.select("row", "host", page.alias("page"), F.size("open").alias("open"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("stream") - (length - 1)), lambda i: F.slice("stream", i, length))).alias("place", "head"))
-    heads = suffixes.select("row", "host", "page", "open", "place", F.xxhash64("head").alias("h1"), F.hash("head").alias("h2"))
-    shared = heads.groupBy(F.col("host").alias("h"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").drop("a", "b")
-    asking = heads.where("open > 0")
-    return asking.join(shared, (F.col("host") == F.col("h")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).groupBy(F.col("row").alias("r")).agg(F.collect_set("place").alias("places"))
-
-
-def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = 6) -> DataFrame:
-    """(page_id, url, text) of every page.
-
-    A page with an article (or main) element gives that element's blocks, less menus, notices,
-    adverts, forms, comments and the like inside it; such text stays even where other pages repeat it. Of
-    other pages, blocks that no markup marks are kept but for runs of `length` words or more that
-    also stand in different pages of the host; identical streams are one page. Null and empty pages
-    give an empty text; repeated rows each give theirs; other columns are ignored. Parsed pages are
-    written once to the shared folder.
+
+def repeats(texts: DataFrame, least: int = 6, depth: int = 32) -> DataFrame:
+    """(id, place, length, head): the longest common prefix, of `least` words or more, of each suffix with any other of its host.
+
+    texts: host, id, words (hashes). The suffix array of each host: every suffix of every text, known by its first `depth`
+    words, is dealt by range and sorted, so a host of any size is spread; neighbours in that order
+    have the longest common prefixes. Where a task's rows end, its first and last suffix go to the
+    driver (two rows a task) and are compared there. A repeat of over `depth` words shows as
+    overlapping ones. `head` is a hash of the first `least` words.
     """
-    parsed = scratch(parse(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
-    places = repeated_places(parsed, length)
-    marked = parsed.where(F.size("open") == 0).select("page_id", "url", F.coalesce("main", F.lit("")).alias("text"))
-    others = parsed.where(F.size("open") > 0).join(places, F.col("row") == F.col("r"), "left").select("page_id", "url", "stream", "open", "places")
+    spark = texts.sparkSession
+    places = F.sequence(F.lit(0), F.size("words") - least)
+    suffixes = texts.where(F.size("words") >= least).select("host", "id", F.explode(F.transform(places, lambda i: F.struct(i.alias("place"), F.slice("words", i + 1, depth).alias("key")))).alias("s"))
+    suffixes = suffixes.select("host", "id", "s.place", "s.key", F.xxhash64(F.slice("s.key", 1, least)).alias("head"))
+    ordered = suffixes.repartitionByRange("host", "key").sortWithinPartitions("host", "key")
+    names = ["id", "place", "length", "head", "host", "key", "part", "last"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = []
-            for stream, ranges, starts in zip(b.column("stream").to_pylist(), b.column("open").to_pylist(), b.column("places").to_pylist()):
-                covered = {p + k for p in starts or () for k in range(length)}
-                texts.append(" ".join(stream[i] for a, z in zip(ranges[::2], ranges[1::2]) for i in range(a, z) if i not in covered))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        from pyspark import TaskContext
 
-    return marked.unionAll(others.mapInArrow(run, "page_id long, url string, text string"))
+        part, carry = TaskContext.get().partitionId(), None
+
+        def edge(b: pa.RecordBatch, i: int, last: bool) -> pa.RecordBatch:
+            one = b.slice(i, 1)
+            told = [one.column("id"), one.column("place"), pa.array([0], pa.int32()), one.column("head"), one.column("host"), one.column("key"), pa.array([part], pa.int32()), pa.array([last])]
+            return pa.RecordBatch.from_arrays(told, names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if carry is None:
+                yield edge(b, 0, False)
+            both = b if carry is None else pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
+            n = np.diff(both.column("key").offsets.to_numpy())
+            rows = np.repeat(np.arange(both.num_rows), n)
+            keys = np.zeros((both.num_rows, depth), np.int64)
+            keys[rows, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)] = both.column("key").flatten().to_numpy()
+            host = both.column("host").dictionary_encode().indices.to_numpy()
+            length = np.where(host[:-1] == host[1:], _common(keys[:-1], n[:-1], keys[1:], n[1:]), 0)
+            at = np.flatnonzero(length >= least)
+            for side in (at, at + 1):
+                told = both.select(["id", "place", "head"]).take(pa.array(side))
+                empty = [pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.list_(pa.int64())), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([told.column("id"), told.column("place"), pa.array(length[at].astype(np.int32)), told.column("head"), *empty], names=names)
+            carry = b.slice(b.num_rows - 1, 1)
+        if carry is not None:
+            yield edge(carry, 0, True)
+
+    found = scratch(ordered.mapInArrow(run, "id long, place int, length int, head long, host string, key array<long>, part int, last boolean"), "suffixes")
+    edges = sorted(found.where("last IS NOT NULL").collect(), key=lambda r: (r["part"], r["last"]))  # two rows a task
+    across = []
+    for a, b in zip(edges, edges[1:]):
+        if a["last"] and not b["last"] and a["host"] == b["host"]:
+            n = next((i for i, (x, y) in enumerate(zip(a["key"], b["key"])) if x != y), min(len(a["key"]), len(b["key"])))
+            across += [(r["id"], r["place"], n, r["head"]) for r in (a, b) if n >= least]
+    pairs = found.where("last IS NULL").select("id", "place", "length", "head").unionAll(spark.createDataFrame(across, "id long, place int, length int, head long"))
+    return pairs.groupBy("id", "place", "head").agg(F.max("length").alias("length"))
+
+
+def boilerplate(parsed: DataFrame, least: int, share: float) -> DataFrame:
+    """(host, text) of block texts that host repeats cover: half of the words or more, on `share` of the host's pages (2 at least).
+
+    Pages that are the same count once, and a text once with the number of pages that have it, so
+    that what stands on all pages meets in sums and not in a task. A text of under `least` words
+    must repeat as a whole.
+    """
+    pages = parsed.select("host", "page", "others").dropDuplicates(["host", "page"])
+    hosts = pages.groupBy(F.col("host").alias("h")).agg(F.greatest(F.lit(2), F.ceil(F.count("*") * share)).alias("enough"))
+    texts = pages.select("host", "page", F.explode("others").alias("text")).groupBy("host", "text").agg(F.count("*").alias("pages"), F.min("page").alias("low"), F.max("page").alias("high"))
+    texts = scratch(texts.withColumn("id", F.monotonically_increasing_id()).withColumn("words", F.transform(F.split("text", " "), lambda w: F.xxhash64(w))), "host-texts")
+    found = repeats(texts.select("host", "id", "words"), least)
+    whole = texts.where((F.size("words") >= least) & (F.col("low") != F.col("high")))  # stands for its copies on other pages
+    whole = whole.select("id", F.lit(0).alias("place"), F.xxhash64(F.slice("words", 1, least)).alias("head"), F.size("words").alias("length"))
+    found = found.unionByName(whole).groupBy("id", "place", "head").agg(F.max("length").alias("length"))
+    told = found.join(texts.select(F.col("id").alias("i"), "host", "pages", "low", "high"), F.col("id") == F.col("i"))
+    told = scratch(told.select("host", "id", "place", "length", "head", "pages", "low", "high"), "repeats")
+    heads = told.groupBy("host", "head").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    heads = spread_join(heads, hosts, [("host", "h")]).where("pages >= enough").select(F.col("host").alias("hh"), F.col("head").alias("g"))
+    spans = spread_join(told.select("host", "id", "place", "length", "head"), heads, [("host", "hh"), ("head", "g")])
+    spans = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("place") + F.col("length")).alias("end")))).alias("s"))
+    covered = F.aggregate("s", F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["at"], x["place"]))).alias("n")))
+    long = texts.join(spans.select(F.col("id").alias("i"), covered["n"].alias("n")), F.col("id") == F.col("i")).where(2 * F.col("n") >= F.size("words"))
+    short = spread_join(texts.where((F.size("words") < least) & (F.col("low") < F.col("high"))), hosts, [("host", "h")]).where("pages >= enough")
+    return long.select("host", "text").unionAll(short.select("host", "text"))
+
+
+def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = 6, share: float = 0.1, prose: int = 25) -> DataFrame:
+    """(page_id, url, text) of every page: its blocks in order, less what markup or the host's repeats say is not main text.
+
+    Menus, headers, footers, notices, adverts, forms, comments and the like go by their markup. Article
+    (or main) elements stay, also where other pages repeat them: syndicated text does. All other
+    blocks, and those in an article under a doubtful name, are decided by the host's suffix array:
+    they go where runs of `length` words or more that `share` of the host's pages have (2 at least) cover half of
+    them. Unmarked blocks beside an article stay only if they hold more words than it. Where nothing
+    would be left of a page, its blocks of at least `prose` words stay: it is a copy of another page. Pages with the same
+    html are one page of the host. Words are compared by 64-bit hashes. Null and empty pages
+    give an empty text; repeated rows each give theirs; other columns are ignored; an empty table
+    stays empty. Parsed pages are written once to the shared folder.
+    """
+    parsed = scratch(parse(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
+    gone = boilerplate(parsed, length, share)
+    sure = parsed.where(F.col("blocks").isNull()).select("page_id", "url", F.col("main").alias("text"))
+    parts = parsed.where(F.col("blocks").isNotNull()).select("row", "page_id", "url", "host", F.posexplode("blocks").alias("at", "b")).select("row", "page_id", "url", "host", "at", "b.*")
+    asked = spread_join(parts.withColumn("asked", F.when(F.col("kind") != MAIN, F.col("text"))), gone.select(F.col("host").alias("h"), F.col("text").alias("t")), [("host", "h"), ("asked", "t")], "left")
+    told = F.struct("at", "kind", "text", F.col("t").isNull().alias("own"), F.size(F.split("text", " ")).alias("n"))
+    whole = asked.groupBy("row", "page_id", "url").agg(F.array_sort(F.collect_list(told)).alias("b"))
+    words = lambda test: F.aggregate(F.filter("b", test), F.lit(0), lambda s, x: s + x["n"])
+    whole = whole.withColumn("beside", words(lambda x: (x["kind"] == OUT) & x["own"]) > words(lambda x: (x["kind"] == MAIN) | ((x["kind"] == WEAK) & x["own"])))
+    kept = F.filter("b", lambda x: (x["kind"] == MAIN) | (x["own"] & ((x["kind"] == WEAK) | F.col("beside"))))
+    whole = whole.withColumn("kept", kept)
+    last = F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.filter("b", lambda x: x["n"] >= prose))
+    return sure.unionAll(whole.select("page_id", "url", F.array_join(F.transform(last, lambda x: x["text"]), " ").alias("text")))

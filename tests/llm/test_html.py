@@ -1,6 +1,10 @@
 """Main text of pages."""
 
-from mixolve.llm.html_text import blocks, host_of, main_text
+import random
+
+from pyspark.sql import functions as F
+
+from mixolve.llm.html_text import blocks, host_of, main_text, repeats
 
 PAGES = [
     (1, "http://a.x/1", "<body><div id=top>Home About News Contact Us Now please</div><div>unique words of one page here</div><div class='comments'><p>nice one</p></div></body>"),
@@ -31,3 +35,47 @@ def test_long_and_broken_pages():
     assert blocks("<a href='x>" * 300 + "end")
     assert blocks("<" * 2000) and blocks("<!-- open") == [] and blocks("<script>x") == []
     assert host_of("https://u:p@Ex.com:8/x?y") == "ex.com" and host_of("//h/x") == "h" and host_of("no") == ""
+
+
+def test_names_that_only_resemble_chrome_stay(spark):
+    page = "<article><p>one</p><section class='related-work'>two</section><p class='share-price'>three</p><div id='menu-prices'>four</div><div class='relatedPosts'>no</div><p id='comment-12'>no</p></article>"
+    card = "<div>the body of this page stands in no article at all</div><article class='comment'>no</article><article>card</article>"
+    df = spark.createDataFrame([(1, "http://a.x", page), (2, "http://a.x/2", card)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in main_text(df).collect()} == {1: "one two three four", 2: "the body of this page stands in no article at all card"}
+
+
+def test_repeats_decide_where_markup_does_not(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    notice, quote, body = prose(40), prose(8), [prose(60) for _ in range(30)]
+    html = lambda i, text: f"<div>Home News Shop</div><div>{text}</div><div>{notice}</div><div>All rights kept by this host for {word()} {i}</div>"
+    rows = [(i, "http://h.x", html(i, body[i] + (" " + quote if i % 3 == 0 else ""))) for i in range(30)]
+    rows += [(100, "http://h.x", f"<div>Home News Shop</div><div>{body[0]} {quote}</div><div>{notice}</div>")]  # a copy of page 0's body
+    rows += [(i, "http://h.x", "<article><p>" + body[3] + "</p><div class='related-reading'>see also the other pages of h</div></article>") for i in range(200, 210)]
+    rows += [(300, "http://other.x", f"<div>Home News Shop</div><p>{notice}</p>")]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == body[i] + (" " + quote if i % 3 == 0 else "")
+    assert got[100] == got[0] and got[300] == f"Home News Shop {notice}"
+    assert got[200] == body[3] + " see also the other pages of h"  # the same html ten times is one page
+
+
+def test_suffix_array_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = [(rng.choice("ab"), i, [rng.randint(0, 3) for _ in range(rng.randint(0, 60))]) for i in range(60)]
+    texts += [("c", 900, [5] * 300), ("c", 901, [5] * 40 + [6])]
+    df = spark.createDataFrame(texts, "host string, id long, words array<long>").repartition(5)
+    for least, depth in ((4, 32), (6, 8)):
+        got = {(r.id, r.place): r.length for r in repeats(df, least, depth).collect()}
+        want = {}
+        suffixes = [(h, i, p, tuple(w[p : p + depth])) for h, i, w in texts for p in range(len(w) - least + 1)]
+        for h, i, p, key in suffixes:
+            best = 0
+            for h2, i2, p2, other in suffixes:
+                if h == h2 and (i, p) != (i2, p2) and key[:least] == other[:least]:
+                    best = max(best, next((k for k, (x, y) in enumerate(zip(key, other)) if x != y), min(len(key), len(other))))
+            if best >= least:
+                want[i, p] = best
+        assert got == want
+    assert repeats(df.limit(0)).count() == 0 and repeats(df.where(F.size("words") < 3)).count() == 0
