@@ -129,9 +129,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def _op9_sql() -> str:
-    from mixolve.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, KINDS, SECRET
+    from mixolve.llm.secrets import ENDPOINT, IDENT, KINDS, SECRET
 
-    patterns = [ASSIGN, *(f"({p})" for p in (ACCESS, HEX, SECRET, IDENT, ENDPOINT))]
+    # The base patterns as the contract says them, so that a wrong one in the operator shows.
+    assign = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [assign, "(AKIA[A-Z0-9]{16,})", "([0-9a-f]{24,})", *(f"({p})" for p in (SECRET, IDENT, ENDPOINT))]
     rows = ", ".join("({}, '{}', '{}')".format(i, k, p.replace("'", "''")) for i, (k, p) in enumerate(zip(KINDS, patterns)))
     said = "coalesce(string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind){}, '')"
     return f"""

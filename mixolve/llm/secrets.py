@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixolve.llm.common import scratch
+from mixolve.llm.common import scratch, spread_join
 
 #: Kinds in their order. The first three are the base; of the others a span is reported only where
 #: complementary parts stand within its scope.
@@ -18,23 +20,41 @@ IDENT = r"""(?:[aA]ccess_?[kK]ey(?:_?[iI]d)?|[cC]lient_?[iI]d|[aA]ccount(?:_?[iI
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~%/-]*)?"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being computed once however often body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running combination (sum, maximum) of an array of ints: root-n chunks are folded, then shifted by the chunks before."""
+
+    def folded(chunk: Column) -> Column:
+        return F.aggregate(F.slice(chunk, 2, F.size(chunk)), F.slice(chunk, 1, 1), lambda out, x: F.array_append(out, combine(F.element_at(out, -1), x)))
+
+    def shifted(inner: Column) -> Column:
+        last = F.transform(inner, lambda c: F.element_at(c, -1))
+        before = F.concat(F.array(F.lit(None).cast("int")), folded(last))
+        return F.flatten(F.zip_with(inner, F.slice(before, 1, F.size(inner)), lambda c, b: F.transform(c, lambda x: F.when(b.isNull(), x).otherwise(combine(b, x)))))
+
+    def split(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return bound(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda k: bound(F.slice(v, k * w + 1, w), folded)))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(split(v), shifted)).otherwise(v))
+
+
 def _places(text: Column, pattern: str, hits: Column, good: Column | None = None) -> Column:
     """array<struct<start,end>> of a pattern's matches, leftmost and not overlapping, in code points.
 
-    What lies between matches is what split() leaves, so lengths in turn give the places; `good`
-    (array of boolean) says which matches count.
+    What lies between matches is what split() leaves, so running sums of lengths give the places;
+    `good` (array of boolean) says which matches count. The work is in proportion to the text and n ** 1.5 of its matches.
     """
-    gaps = F.transform(F.split(text, pattern), F.length)
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), F.transform(hits, F.length).alias("size"), (good if good is not None else F.transform(hits, lambda h: F.lit(True))).alias("good"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    walked = F.aggregate(
-        both, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(x["good"], F.array_append(s["out"], F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end")))).otherwise(s["out"]).alias("out"),
-        ),
-    )
-    return F.when(F.size(hits) > 0, walked["out"]).otherwise(none)
+    sizes = F.transform(hits, F.length)
+    gaps = F.transform(F.slice(F.split(text, pattern), 1, F.size(hits)), F.length)
+    ends = running(F.zip_with(gaps, sizes, lambda g, n: g + n), lambda a, b: a + b)
+    told = F.arrays_zip(ends.alias("end"), sizes.alias("size"), (good if good is not None else F.transform(hits, lambda h: F.lit(True))).alias("good"))
+    found = F.transform(F.filter(told, lambda x: x["good"]), lambda x: F.struct((x["end"] - x["size"]).alias("start"), x["end"].alias("end")))
+    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def find_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -95,7 +115,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep_text: bool = False, sc
     """docs (without the text, unless it is kept) with `base` and `spans`: arrays of struct<start, kind, end>.
 
     Both are sorted by start, then kind, which numbers KINDS; `base` has the assign, access and hex
-    matches, `spans` the linked weak parts as well. Null and empty texts have none; equal texts have
+    matches, `spans` the linked weak parts as well. Null and empty texts have none; very long texts with
+    any number of matches are searched whole; equal texts have
     the same; repeated rows are reported each; nothing is capped. Columns named base or spans are
     replaced. What is found is written to the shared folder, so texts are searched once.
     """
@@ -104,7 +125,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep_text: bool = False, sc
     rows = parts.select(*keep, "_key", F.array_sort(numbered(KINDS[:3])).alias("base"))
     alone = rows.where(F.col("_key").isNull()).select(*keep, "base", F.col("base").alias("spans"))
     more = link(parts, scope).withColumnRenamed("key", "_k")
-    both = rows.where(F.col("_key").isNotNull()).join(more, F.col("_key") == F.col("_k"), "left")
+    both = spread_join(rows.where(F.col("_key").isNotNull()), more, [("_key", "_k")], "left")
     return alone.unionAll(both.select(*keep, "base", F.array_sort(F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.concat("base", "linked")))))
 
 
@@ -114,13 +135,27 @@ def spans_text(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """text with each run of overlapping spans (sorted by start) replaced by mask."""
-    walked = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).otherwise(s["out"]).alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) > 0, F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.lit((1 << 31) - 1)))).otherwise(text)
+def redact(text: Column, spans: Column, mask: str = "[SECRET]", block: int = 512) -> Column:
+    """text with each run of overlapping spans (sorted by start) replaced by mask.
+
+    The text is cut into blocks once, so that a piece between spans is taken from its own blocks and not
+    counted from the text's beginning; a text of any length with any number of spans takes time in proportion.
+    """
+
+    def piece(parts: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / block).cast("int"), F.floor((b - 1) / block).cast("int")
+        head = F.element_at(parts, first + 1)
+        across = F.concat(
+            F.substring(head, a - first * block + 1, F.lit(block)), F.array_join(F.slice(parts, first + 2, last - first - 1), ""), F.substring(F.element_at(parts, last + 1), F.lit(1), b - last * block)
+        )
+        return F.when(a >= b, "").when(first == last, F.substring(head, a - first * block + 1, b - a)).otherwise(across)
+
+    def masked(s: Column) -> Column:
+        tops = running(F.transform(s["spans"], lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        before = F.concat(F.array(F.lit(0)), F.slice(tops, 1, F.size(tops) - 1))
+        runs = F.filter(F.zip_with(s["spans"], before, lambda x, at: F.struct(x["start"].alias("start"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+        kept = F.transform(runs, lambda x: F.concat(piece(s["parts"], x["at"], x["start"]), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), piece(s["parts"], F.array_max(tops), s["length"]))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, bound(F.struct(spans.alias("spans"), parts.alias("parts"), F.length(text).alias("length")), masked)).otherwise(text)

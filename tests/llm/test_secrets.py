@@ -78,3 +78,34 @@ def test_sql_gives_the_same_rows(spark, tmp_path):
     got = op9_secrets(spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
     assert sum("secret" in r[-1] for r in want.fetchall()) > 5
+
+
+def test_a_text_of_very_many_matches(spark):
+    import time
+
+    one = "ab" * 12 + " x é "
+    text = one * 200_000
+    df = spark.createDataFrame([(1, text), (2, "token=abcdef " * 3000 + "y" * 9000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in scan(df, keep_text=True).select("doc_id", F.size("base").alias("n"), F.element_at("base", -1).alias("last"), redact(F.col("text"), F.col("spans")).alias("m")).collect()}
+    assert got[1].n == 200_000 and tuple(got[1].last) == (len(one) * 199_999, 2, len(one) * 199_999 + 24)
+    assert got[1].m == "[SECRET] x é " * 200_000 and got[2].m == "[SECRET] " * 3000 + "y" * 9000
+    assert time.time() - began < 60  # some 16 s of four cores
+
+
+def test_masking_overlaps_against_plain_python(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.randint(1, 60)))
+        spans = sorted((a, rng.randint(0, 5), min(len(text), a + rng.randint(1, 9))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 8))))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "id long, text string, spans array<struct<start:int,kind:int,end:int>>")
+    got = {r.id: r.m for r in df.select("id", redact(F.col("text"), F.col("spans"), "#", 7).alias("m")).collect()}
+    for i, text, spans in rows:
+        at, out = 0, ""
+        for a, _, z in spans:
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, z)
+        assert got[i] == out + text[at:]
