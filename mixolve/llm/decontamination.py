@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mixolve.llm.common import drop_scratch, scratch
+
 #: Words are runs of 0-9, a-z and everything beyond ASCII, A-Z being lowered first.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Odd multipliers, one for each place in a k-gram.
-PLACES = [0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(1, 17)]
+#: Odd multipliers, one for each place in a k-gram, drawn by a rule.
+PLACES = np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -27,10 +29,11 @@ def grams(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     h, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
     for j in range(k):
-        part = ids[j : j + n]
-        whole &= part != 0
-        h += part.astype(np.uint64) * np.uint64(PLACES[j])
+        whole &= ids[j : j + n] != 0
+        h += mixed[j : j + n] * PLACES[j]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -53,11 +56,13 @@ def winnow(h: np.ndarray, whole: np.ndarray, w: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of a block of benchmark items, with their words to extend hits.
+    """Fingerprints of a block of benchmark items, and the items' windows to extend hits to.
 
     An item's windows are its runs of `window` words, or all its words if it has fewer. With k-grams
     kept as the minimum of window - k + 1 neighbours, any shared run of window words shares a kept
-    k-gram. Shorter items are looked up by the hash of all their words.
+    k-gram. Shorter items are looked up by the hash of all their words. Windows of the same words are
+    one class with a set of items, and equal sets are one, so a phrase that many items share is met
+    once at each place and not once an item.
     """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int, k: int):
@@ -66,75 +71,68 @@ class Index:
         flat: list[int] = [0]
         where: list[int] = [-1]
         self.names: list[str] = []
-        short: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, list[int]] = {}
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if not ids:
                 continue
             if len(ids) < window:
-                short.setdefault(len(ids), []).append((len(flat), len(self.names)))
+                short.setdefault(len(ids), []).append(len(flat))
             flat += [*ids, 0]
             where += [len(self.names)] * (len(ids) + 1)
             self.names.append(name)
         self.ids, self.item = np.array(flat, np.int64), np.array(where, np.int64)
+        self.sets: list[np.ndarray] = []
+        self._known: dict[bytes, int] = {}
         h, whole = grams(self.ids, k)
-        at = winnow(h, whole, window - k + 1)
-        order = np.argsort(h[at], kind="stable")
-        self.keys, self.places = h[at][order], at[order]
-        self.short = {}
-        for n, found in short.items():
-            hashes, _ = grams(self.ids, n)
-            starts = np.array([f[0] for f in found])
-            order = np.argsort(hashes[starts], kind="stable")
-            self.short[n] = (hashes[starts][order], starts[order])
-
-    @staticmethod
-    def _pairs(h: np.ndarray, at: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Join by hash: (place in the documents, place in the items)."""
-        low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-        n = high - low
-        hit = np.flatnonzero(n)
-        left = np.repeat(at[hit], n[hit])
-        inner = np.arange(len(left)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
-        return left, places[np.repeat(low[hit], n[hit]) + inner]
-
-    def _reach(self, ids: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
-        """How many words from p and q on, in direction step, are the same."""
-        out, live, k = np.zeros(len(p), np.int64), np.arange(len(p)), 0
-        while len(live):
-            a, b = p[live] + step * k, q[live] + step * k
-            inside = (a >= 0) & (a < len(ids)) & (b >= 0) & (b < len(self.ids))
-            same = inside.copy()
-            same[inside] = (ids[a[inside]] == self.ids[b[inside]]) & (ids[a[inside]] != 0)
-            live = live[same]
-            out[live] += 1
-            k += 1
-        return out
+        self.keys = np.unique(h[winnow(h, whole, window - k + 1)])
+        h, whole = grams(self.ids, window)
+        self.windows = self._classes(h, np.flatnonzero(whole), window)
+        self.short = {n: self._classes(grams(self.ids, n)[0], np.array(at), n) for n, at in short.items()}
+
+    def _classes(self, h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, a place, number of the set of items) of each class of windows that begin at these places."""
+        pairs = np.unique(np.stack([h[at].view(np.int64), self.item[at], at]), axis=1)
+        alike = np.flatnonzero(np.diff(pairs[0]) == 0)
+        if any((self.ids[pairs[2, alike] + j] != self.ids[pairs[2, alike + 1] + j]).any() for j in range(n)):
+            raise ValueError("two windows share a 64-bit hash: draw other multipliers")
+        new = np.ones(pairs.shape[1], bool)
+        new[1:] = (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1])
+        hashes, items, places = pairs[:, new]  # sorted by hash, then item
+        heads = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] - 1 if len(hashes) else 0))
+        sets = np.empty(len(heads), np.int64)
+        for i, (a, z) in enumerate(zip(heads.tolist(), [*heads[1:].tolist(), len(items)])):
+            some = items[a:z]
+            sets[i] = self._known.setdefault(some.tobytes(), len(self.sets))
+            if sets[i] == len(self.sets):
+                self.sets.append(some)
+        return hashes[heads], places[heads], sets
+
+    def _found(self, ids: np.ndarray, at: np.ndarray, n: int, classes: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(place, set) of those places at which the n words are a window's, compared word for word."""
+        hashes, places, sets = classes
+        if not len(hashes) or not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own = grams(ids[at[:, None] + np.arange(n)].ravel(), n)[0][::n].view(np.int64)
+        k = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        near = np.flatnonzero(hashes[k] == own)
+        step = np.arange(n)
+        near = near[(ids[at[near][:, None] + step] == self.ids[places[k[near]][:, None] + step]).all(axis=1)]
+        return at[near], sets[k[near]]
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, item) of every run of document words that covers windows of an item."""
-        starts, ends, items = [], [], []
+        """(start, end, set of items) of every window of an item that stands in the document words."""
         h, whole = grams(ids, self.k)
         at = winnow(h, whole, self.window - self.k + 1)
-        p, q = self._pairs(h[at], at, self.keys, self.places)
-        if len(p):
-            back, ahead = self._reach(ids, p - 1, q - 1, -1), self._reach(ids, p, q, 1)
-            long = back + ahead >= self.window
-            starts.append((p - back)[long])
-            ends.append((p + ahead)[long])
-            items.append(self.item[q][long])
-        for n, (keys, places) in self.short.items():
-            h, whole = grams(ids, n)
-            at = np.flatnonzero(whole)
-            p, q = self._pairs(h[at], at, keys, places)
-            if len(p):
-                same = self._reach(ids, p, q, 1) >= n
-                starts.append(p[same])
-                ends.append(p[same] + n)
-                items.append(self.item[q][same])
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(starts), np.concatenate(ends), np.concatenate(items)
+        at = at[np.isin(h[at], self.keys)]
+        at = np.unique(at[:, None] - np.arange(self.window - self.k + 1))  # windows around a shared fingerprint
+        at = at[(at >= 0) & (at <= len(ids) - self.window)]
+        start, sets = self._found(ids, at, self.window, self.windows)
+        found = [(start, start + self.window, sets)]
+        for n, classes in self.short.items():
+            start, sets = self._found(ids, np.flatnonzero(grams(ids, n)[1]), n, classes)
+            found.append((start, start + n, sets))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -151,8 +149,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out:
     """Add to docs the struct `out`: n_words, spans (flat, disjoint word ranges that items' windows cover), items.
 
     The benchmark is broadcast as an index, in blocks of about block_bytes of text each, one pass
-    over the documents a block, so a benchmark of any size is searched whole in bounded memory. The
-    documents aren't shuffled. Null and empty texts have no words and no hits; benchmark rows with a
+    over the documents a block; what a pass finds is written to the shared folder before the next
+    block is read, so one index is held at a time, however large the benchmark. The
+    documents aren't shuffled. Null and empty texts have no words and no hits; very long ones are
+    searched whole; benchmark rows with a
     null ID or no words are ignored; repeated items and rows count as they are; without benchmark
     rows nothing is hit. A column named like `out` is replaced, all others are kept.
     """
@@ -161,11 +161,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out:
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
-    keep = [c for c in docs.columns if c != out]
-    now = docs.select(*keep)
+    now = docs.select(*[c for c in docs.columns if c != out])
     schema = T.StructType([*now.schema.fields, T.StructField(out, shape)])
     for block in range(blocks):
-        mine = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+        mine = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in mine.collect()], window, k))  # block_bytes of text
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -175,8 +174,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out:
                     batch = whole.slice(at, 1000)
                     yield _scanned(batch, index, text_col, out, shape)
 
-        now = now.mapInArrow(run, schema)
-    return now
+        found = now.mapInArrow(run, schema)
+        if block == blocks - 1:
+            return found
+        written = scratch(found, "scanned")
+        sent.unpersist()
+        if block:
+            drop_scratch(now)
+        now = written
 
 
 def _scanned(batch: pa.RecordBatch, index: Index, text_col: str, out: str, shape: T.StructType) -> pa.RecordBatch:
@@ -191,16 +196,15 @@ def _scanned(batch: pa.RecordBatch, index: Index, text_col: str, out: str, shape
         inside[first - 1] = False
         inside[-1] = False
         flat[inside] = np.fromiter(map(index.vocabulary.get, chain.from_iterable(words), repeat(0)), np.int64, int(n.sum()))
-    start, end, item = index.hits(flat)
+    start, end, sets = index.hits(flat)
     doc = np.searchsorted(first, start, "right") - 1
     earlier = batch.column(out).to_pylist() if out in batch.schema.names else [None] * len(words)
     spans: dict[int, list] = {}
     items: dict[int, set] = {}
-    if len(start):
-        seen = np.unique(np.stack([doc, start - first[doc], end - first[doc], item]), axis=1)
-        for d, a, b, i in seen.T.tolist():
-            spans.setdefault(d, []).append((a, b))
-            items.setdefault(d, set()).add(index.names[i])
+    for d, a, b in np.unique(np.stack([doc, start - first[doc], end - first[doc]]), axis=1).T.tolist():
+        spans.setdefault(d, []).append((a, b))
+    for d, k in np.unique(np.stack([doc, sets]), axis=1).T.tolist():
+        items.setdefault(d, set()).update(map(index.names.__getitem__, index.sets[k].tolist()))
     for d, e in enumerate(earlier):
         if e and e["items"]:
             spans.setdefault(d, []).extend(zip(e["spans"][::2], e["spans"][1::2]))

@@ -47,3 +47,18 @@ def test_empty_tables_and_columns(spark):
     got = scan(docs, none)
     assert got.columns == ["doc_id", "text", "_leak"] and report(got).collect()[0].contaminated is False
     assert scan(docs.limit(0), none).count() == 0
+
+
+def test_a_phrase_of_many_items_and_many_blocks(spark):
+    import time
+
+    phrase = " ".join(f"p{i}" for i in range(12))
+    items = [(str(i), f"a{i} b{i} {phrase} c{i} d{i}") for i in range(3000)] + [("x", "short one"), ("y", None), (None, phrase)]
+    docs = [(1, f"z {phrase} " * 400), (2, f"a7 b7 {phrase} c7"), (3, "short one " * 5000 + "short"), (4, None), (5, phrase[:-4])]
+    df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, _leak int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    began = time.time()
+    for size in (1 << 25, 20_000):
+        got = {r.doc_id: r for r in report(scan(df, bench, block_bytes=size)).collect()}
+        assert [(got[i].n_words, got[i].n_hit, got[i].n_items) for i in (1, 2, 3, 4, 5)] == [(5200, 4800, 3000), (15, 15, 3000), (10001, 10000, 1), (0, 0, 0), (11, 11, 3000)]
+    assert time.time() - began < 120
