@@ -63,10 +63,48 @@ def drop_scratch(df: DataFrame) -> None:
     _delete(df.sparkSession, [m for m in _made if m.rpartition("/")[2] in names])
 
 
-def clear_scratch(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Delete all scratch tables of this process but `keep`: for use when results that read them are written."""
-    names = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
-    _delete(spark, [m for m in _made if m.rpartition("/")[2] not in names])
+def scratch_folders() -> list[str]:
+    """Scratch folders that this process has made and not deleted."""
+    return list(_made)
+
+
+def clear_scratch(spark: SparkSession, *keep: DataFrame, spare: list[str] = ()) -> None:
+    """Delete the scratch tables of this process but those of `keep` and `spare`: for use when results that read them are written."""
+    names = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
+    _delete(spark, [m for m in _made if m not in spare and m.rpartition("/")[2] not in names])
+
+
+def clear_before(docs: DataFrame, folders: list[str]) -> None:
+    """Delete those scratch folders that docs doesn't read and whose files are older than those of docs: what they were for is written."""
+    jvm, spark, read = docs.sparkSession.sparkContext._jvm, docs.sparkSession, docs.inputFiles()
+    there = [f for f in folders if f in _made and not any(f"/{f.rpartition('/')[2]}/" in x for x in read)]
+    if not read or not there:
+        return
+
+    def changed(path: str) -> int:
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+    written = changed(read[0])
+    _delete(spark, [f for f in there if changed(f) < written])
+
+
+def _named(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, text_col: str, **more: str) -> DataFrame:
+    """docs as _doc (a struct of all columns but the text), _said (the text) and copies of columns under new names.
+
+    So that operators can add columns of their own whatever those of docs are called; see restored.
+    """
+    others = [F.col(_named(c)) for c in docs.columns if c != text_col]
+    return docs.select(F.struct(F.lit(True).alias("_"), *others).alias("_doc"), F.col(_named(text_col)).alias("_said"), *[F.col(_named(c)).alias(n) for n, c in more.items()])
+
+
+def restored(rows: DataFrame, columns: list[str], text_col: str, **changed: Column) -> DataFrame:
+    """The columns of the table that carried() took, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("_said") if c == text_col else F.col(f"_doc.{_named(c)}")).alias(c) for c in columns])
 
 
 def _same(keys: list[str], prefix: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixolve.llm.common import drop_scratch, scratch
+from mixolve.llm.common import carried, drop_scratch, restored, scratch
 
 #: Words are runs of 0-9, a-z and everything beyond ASCII, A-Z being lowered first.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -223,3 +223,9 @@ def report(scanned: DataFrame, out: str = "_leak", id_col: str = "doc_id") -> Da
         F.size(f"{out}.items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.col(f"{out}.items")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
+
+
+def drop_hit(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns whatever their names, that hold no window of a benchmark item."""
+    scanned = scan(carried(docs, text_col), benchmark, text_col="_said", **how)
+    return restored(scanned.where(F.size("_leak.items") == 0), docs.columns, text_col)

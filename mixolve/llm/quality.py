@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixolve.llm.common import scratch
+from mixolve.llm.common import carried, restored, scratch
 
 #: Characters that prose seldom has (fixed values).
 SYMBOLS = "!|%$&*#@^~<>{}[]\\/=+_`"
@@ -128,8 +128,8 @@ def learn(stats: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, *
 
     A document's label is the mean of its labels, 1 from one half on; null labels and IDs teach nothing.
     """
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
-    return fit(stats.where(~held_out(id_col)).join(marks, F.col(id_col) == F.col("_id")).select("label", "_stats.*"), **how)
+    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_labelled")).agg((F.avg(label_col) >= 0.5).cast("double").alias("label"))
+    return fit(stats.where(~held_out(id_col)).join(marks, F.col(id_col) == F.col("_labelled")).select("label", "_stats.*"), **how)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **how) -> DataFrame:
@@ -148,8 +148,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     """The rows of docs, all columns, whose score is at least threshold. Learns as score_documents does.
 
     Documents are written to the shared folder with their statistics, so these are counted once and
-    only they, not the texts, meet the labels.
+    only they, not the texts, meet the labels. Null and empty texts are scored like any; repeated
+    rows each; columns of docs may have any name; an empty table stays empty.
     """
-    rows = scratch(statistics(docs, text_col=text_col), "scored")
-    model = learn(rows.select(id_col, "_stats"), labels, id_col=id_col, label_col=label_col, **how)
-    return rows.where(model.score("_stats") >= threshold).select(*docs.columns)
+    rows = scratch(statistics(carried(docs, text_col, _id=id_col), text_col="_said"), "scored")
+    model = learn(rows.select("_id", "_stats"), labels.withColumnRenamed(id_col, "_id"), id_col="_id", label_col=label_col, **how)
+    return restored(rows.where(model.score("_stats") >= threshold), docs.columns, text_col)

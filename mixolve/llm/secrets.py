@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixolve.llm.common import scratch, spread_join
+from mixolve.llm.common import carried, restored, scratch, spread_join
 
 #: Kinds in their order. The first three are the base; of the others a span is reported only where
 #: complementary parts stand within its scope.
@@ -159,3 +159,11 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]", block: int = 512
 
     parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
     return F.when(F.size(spans) > 0, bound(F.struct(spans.alias("spans"), parts.alias("parts"), F.length(text).alias("length")), masked)).otherwise(text)
+
+
+def mask_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_chars", scope: int = 256) -> DataFrame:
+    """All rows of docs, all columns whatever their names, secrets masked and length_col, if it is there, counted anew where they are."""
+    found = scan(carried(docs, text_col), text_col="_said", keep_text=True, scope=scope)
+    found = found.withColumn("_hit", F.size("spans") > 0).withColumn("_said", redact(F.col("_said"), F.col("spans")))
+    length = {length_col: F.when(F.col("_hit"), F.length("_said").cast("long")).otherwise(F.col(f"_doc.`{length_col}`"))} if length_col in docs.columns else {}
+    return restored(found, docs.columns, text_col, **length)

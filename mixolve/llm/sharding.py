@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixolve.llm.common import ranked, scratch
+from mixolve.llm.common import ranked, scratch, spread_join
 
 #: Sizes are told apart to this many leading bits: at most 2**BITS classes an octave of size.
 BITS = 9
@@ -118,7 +118,8 @@ def shard(rows: DataFrame, *, group_col: str, size_col: str, shards: int | None
 
     Either `shards`, filled near equally, or `capacity`, which opens as few as best-fit-decreasing
     needs (a larger group gets one of its own size). Groups are summed where they lie, then counted
-    by size class; only the classes' counts (at most 2**BITS an octave of size) go to the driver,
+    by size class. A class counts with its mean size for `shards` and with its largest for `capacity`, which
+    therefore is never passed. Only the classes' counts (at most 2**BITS an octave of size) go to the driver,
     are packed, and come back as ranges of ranks within a class. No group's rows meet in one task.
     Null groups are one group, null sizes count 0; an empty table stays empty. Extra columns are
     kept; `shard` and `slot` in the input are replaced. The input is read three times, so give a
@@ -130,7 +131,7 @@ def shard(rows: DataFrame, *, group_col: str, size_col: str, shards: int | None
     groups = rows.groupBy(F.col(group_col).alias("_group")).agg(size)
     shift = F.greatest(F.length(F.bin("_bytes")) - BITS - 1, F.lit(0))
     groups = scratch(groups.withColumn("_class", F.expr(f"shiftright(_bytes, int(greatest(length(bin(_bytes)) - {BITS + 1}, 0)))") + shift * (1 << BITS + 1)), "groups")
-    classes = groups.groupBy("_class").agg(F.ceil(F.avg("_bytes")).cast("long").alias("size"), F.count("*").alias("n")).collect()  # bounded by the classes
+    classes = groups.groupBy("_class").agg((F.ceil(F.avg("_bytes")) if capacity is None else F.max("_bytes")).cast("long").alias("size"), F.count("*").alias("n")).collect()  # bounded by the classes
     runs = [(r["size"], r["n"]) for r in classes]
     if shards is not None:
         placed = into_bins(runs, shards)
@@ -140,7 +141,7 @@ def shard(rows: DataFrame, *, group_col: str, size_col: str, shards: int | None
     ranges = spark.createDataFrame([(classes[k]["_class"], a, b, w) for k, a, b, w in placed], "_c long, _from long, _to long, shard int")
     order = ranked(groups.select("_group", "_class"), ["_class"], ["_group"], "_rank")
     homes = order.join(F.broadcast(ranges), (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).select("_group", "shard")
-    placed_rows = scratch(rows.join(homes, F.col(group_col).eqNullSafe(F.col("_group"))).drop("_group"), "placed")
+    placed_rows = scratch(spread_join(rows, homes, [(group_col, "_group")]).drop("_group"), "placed")
     return ranked(placed_rows, ["shard"], kept, "slot")
 
 

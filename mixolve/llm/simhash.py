@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixolve.llm.common import components, scratch
+from mixolve.llm.common import carried, clear_scratch, components, restored, scratch, scratch_folders, spread_join
 from mixolve.llm.minhash import similar_edges
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -229,7 +229,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", fp_col: str = "fp", limit
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("_group_fp"), "component_id")
     keep = [c for c in docs.columns if c != "component_id"]
-    out = docs.select(*keep).join(named, F.col(fp_col) == F.col("_group_fp"), "left")
+    out = spread_join(docs.select(*keep), named, [(fp_col, "_group_fp")], "left")  # copies of one text are split
     return out.select(*keep, F.when(F.col("_group_fp").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -239,14 +239,20 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return groups(scratch(with_fingerprint(rows, shingle=shingle), "fingerprints"), limit=limit)
 
 
-def one_of_each(docs: DataFrame, *, text_col: str = "text", shingle: int = 3, limit: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, less all but one row of each group of near copies. Rows are told apart by number, not by ID.
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, less all but one row of each group of near copies: the one of the least ID (null IDs last, ties by a hash of the text).
 
-    Links are SimHashes of `shingle` words at most `limit` bits apart, and shingle sets of `words` words of at least the Jaccard similarity.
+    Links are SimHashes of `shingle` words at most `limit` bits apart, and shingle sets of `words`
+    words of at least the Jaccard similarity. Texts without words are linked by their fingerprint of zero. Repeated
+    rows are copies of each other; an empty table stays empty; columns of docs may have any name.
     """
-    keep = docs.columns
-    rows = scratch(with_fingerprint(docs, text_col, "_fp", shingle, keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+    whole, others = carried(docs, text_col, _id=id_col), scratch_folders()
+    rows = scratch(with_fingerprint(whole, "_said", "_fp", shingle, keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
     found = groups(rows.select("_row", "_fp"), id_col="_row", fp_col="_fp", limit=limit)
     known = scratch(found.where(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("a"), F.col("component_id").alias("b")), "simhash-links")
-    linked = components(similar_edges(rows, known, text_col=text_col, shingle=words, similarity=similarity), "a", "b")
-    return rows.join(linked.where("node <> root"), F.col("_row") == F.col("node"), "left_anti").select(*keep)
+    linked = scratch(components(similar_edges(rows, known, text_col="_said", shingle=words, similarity=similarity), "a", "b"), "near-copies")
+    clear_scratch(docs.sparkSession, rows, linked, spare=others)
+    members = rows.select("_row", "_id", F.xxhash64("_said").alias("_tie")).join(linked, F.col("_row") == F.col("node"))
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col("_row").alias("row")))["row"].alias("stays"))
+    gone = linked.join(first.select(F.col("root").alias("r"), "stays"), F.col("root") == F.col("r")).where("node <> stays").select("node")
+    return rows.join(gone, F.col("_row") == F.col("node"), "left_anti").transform(restored, docs.columns, text_col)

@@ -87,3 +87,18 @@ def test_ranks_are_gapless_over_slices(spark):
     for r in ranked(df, ["k"], ["v"], "rank", 50).collect():
         got.setdefault(r.k, []).append(r.rank)
     assert {k: sorted(v) for k, v in got.items()} == {None: list(range(1000)), 1: list(range(1000)), 2: list(range(1000))}
+
+
+def test_capacity_is_never_passed(spark):
+    rng = random.Random(4)
+    sizes = [rng.randint(50_000, 90_000) for _ in range(400)] + [2_000_000]
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "g long, size long, _class string")
+    held = {}
+    for r in shard(df, group_col="g", size_col="size", capacity=1_000_000).collect():
+        held.setdefault(r.shard, []).append(r.size)
+    assert all(sum(v) <= 1_000_000 or v == [2_000_000] for v in held.values()) and len(held) <= sum(sizes) / 1_000_000 * 1.05 + 3
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "é" * 2_000_000), (2, "a"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r["size"] for r in shard_documents(df, 2).collect()} == {1: 4_000_001, 2: 2, 3: 1}
