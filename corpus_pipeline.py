@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mixolve.llm import decontamination, packing, quality, secrets, simhash
-from mixolve.llm.common import scratch, table
+from mixolve.llm.common import clear_before, drop_scratch, scratch, scratch_folders, table
 from mixolve.llm.queries import tokenizer_file
 
 
@@ -16,34 +17,53 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles of Jaccard similarity 0.8 or more, or 3-word SimHashes at most 3 of 64 bits apart."""
+    """One document, that of the least ID, of each group of near copies: 5-word shingles of Jaccard similarity 0.8 or more, or 3-word SimHashes at most 3 of 64 bits apart."""
     return simhash.one_of_each(docs)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of a benchmark item."""
-    return decontamination.scan(docs, table(spark, sf_dir, "benchmark")).where(F.size("_leak.items") == 0).select(*docs.columns)
+    return decontamination.drop_hit(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets and linked credentials masked, n_chars counted anew."""
-    masked = secrets.scan(docs, keep_text=True).withColumn("text", F.when(F.size("spans") > 0, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secrets.mask_secrets(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents in sequences of 4096."""
-    return packing.pack_documents(spark, docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack_documents(spark, docs, tokenizer_file("word_bpe_49k.json"), fill=True)
+
+
+#: Scratch folders of the stage that ran last.
+_left: list[str] = []
+
+
+def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the scratch tables of the one before it, if that one's result has been written since: docs is newer."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear_before(docs, _left)
+        others = scratch_folders()
+        out = stage(spark, docs, sf_dir)
+        _left[:] = [f for f in scratch_folders() if f not in others]
+        return out
+
+    return run_stage
 
 
-STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean_of_benchmarks), ("secrets", without_secrets), ("packing", packed)]
+STAGES = [("quality", staged(good)), ("near_duplicates", staged(distinct)), ("decontamination", staged(clean_of_benchmarks)), ("secrets", staged(without_secrets)), ("packing", staged(packed))]
 
 #: No stage but the third can be said in SQL; tests hold the whole against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; a stage's documents are deleted when those of the next are written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs, before = scratch(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        if k:
+            drop_scratch(before)
     return STAGES[-1][1](spark, docs, sf_dir)
