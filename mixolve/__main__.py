@@ -7,8 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixolve.functions.expressions import dilution_of, replicate_of
-from mixolve.operators import atlas, linear, metrics, simulate, solvers
+from mixolve.operators import atlas, linear, metrics, network, reads, simulate, solvers
 from mixolve.sources import files
 
 
@@ -23,6 +22,9 @@ def generate(spark: SparkSession, a) -> None:
         x = simulate.methylation(simulate.coverage(linear.mixture(w, profiles), seed=seed), seed=seed).withColumn("split", F.lit(split))
         prop, obs = (w, x) if prop is None or obs is None else (prop.unionByName(w), obs.unionByName(x))
     files.write_dataset({"obs": obs, "prop": prop, "atlas": profiles}, a.out)
+    for split in ("train", "val"):
+        data = files.read_dataset(spark, a.out, split)
+        reads.checked(data["prop"], data["obs"])
 
 
 def solve(spark: SparkSession, a) -> None:
@@ -38,12 +40,11 @@ def solve(spark: SparkSession, a) -> None:
 
 def dilutions(spark: SparkSession, a) -> None:
     """Score estimates of samples named d<dilution>_<i> for one type."""
-    rows = spark.read.parquet(a.estimates)
-    if not rows.where(F.col("cell_type") == a.type).limit(1).count():
-        known = [r[0] for r in rows.select("cell_type").distinct().orderBy("cell_type").collect()]
-        raise SystemExit(f"no type {a.type!r}; there are {', '.join(known)}")
-    told = rows.where(F.col("cell_type") == a.type).select("sample", dilution_of("sample").alias("dilution"), replicate_of("sample").alias("replicate"), F.col("w").alias("contribution"))
-    files.write_report(told.orderBy("dilution", "replicate"), f"{a.out}/contributions")
+    try:
+        told = metrics.dilution_frame(spark.read.parquet(a.estimates), a.type)
+    except ValueError as e:
+        raise SystemExit(str(e)) from e
+    files.write_report(told, f"{a.out}/contributions")
     files.write_report(metrics.dilution_metrics(told), f"{a.out}/metrics")
 
 
@@ -52,6 +53,52 @@ def limits(spark: SparkSession, a) -> None:
     files.write_report(atlas.detection_limits(atlas.fill(files.read_atlas(spark, a.atlas), a.fill)), a.out)
 
 
+def counts(spark: SparkSession, a) -> None:
+    """Class reads (Parquet) by the markers of a table (Parquet) and write counts, a folder a sample."""
+    files.write_cache(files.some(reads.classify(spark.read.parquet(a.reads), spark.read.parquet(a.markers)), "reads on markers"), a.out)
+
+
+def _rows(data: dict) -> DataFrame:
+    """(sample, x, y, weight) of a dataset's split."""
+    y = data["prop"].groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_type", "w"))), lambda s: s["w"]).alias("y"))
+    return network.features(data["obs"]).join(y, "sample").join(reads.sample_weights(data["prop"]), "sample")
+
+
+def train(spark: SparkSession, a) -> None:
+    """Train a perceptron on a dataset's training split, judged on its validation split; writes model and history."""
+    rows, held = _rows(files.read_dataset(spark, a.dataset, "train")), _rows(files.read_dataset(spark, a.dataset, "val"))
+    one = files.some(rows, "training rows").select(F.size("x").alias("m"), F.size("y").alias("k")).first()
+    model = network.Perceptron(one["m"], one["k"], a.hidden, a.seed)
+    history = network.fit(model, rows, validation=held, epochs=a.epochs, rate=a.rate, dropout=a.dropout, checkpoint=f"{a.out}/model")
+    files.write_report(spark.createDataFrame(history, "epoch int, rate double, train_loss double, val_loss double"), f"{a.out}/history")
+
+
+def predict(spark: SparkSession, a) -> None:
+    """Score a split of a dataset with a trained model."""
+    data = files.read_dataset(spark, a.dataset, a.split)
+    found = network.load(spark, a.model).score(network.features(data["obs"]), linear.types_of(data["atlas"]))
+    files.write_report(found, a.out, "parquet")
+
+
+def group(spark: SparkSession, a) -> None:
+    """Grouped factorisation of a split, groups by correlation of profiles."""
+    data = files.read_dataset(spark, a.dataset, a.split)
+    groups = atlas.greedy_groups(atlas.correlations(data["atlas"]), linear.types_of(data["atlas"]), threshold=a.threshold)
+    files.write_report(solvers.grouped(data["obs"], data["atlas"], groups)[0], a.out, "parquet")
+
+
+def maps(spark: SparkSession, a) -> None:
+    """Principal components and metric scaling of a marker table's types."""
+    import numpy as np
+
+    profiles = atlas.some_markers(files.read_atlas(spark, a.atlas))
+    names = linear.types_of(profiles)
+    square = lambda df, v: (lambda found: np.array([[found[x, y] for y in names] for x in names]))({(r["a"], r["b"]): r[v] for r in df.collect()})  # noqa: E731  K x K
+    scores = solvers.principal_components(square(atlas.gram_of_types(atlas.standardised(profiles)), "g"), 2)
+    points, _ = solvers.multidimensional_scaling(square(atlas.distances(profiles), "distance"))
+    files.write_report(spark.createDataFrame([(n, *map(float, p), *map(float, q)) for n, p, q in zip(names, scores, points)], "cell_type string, pc1 double, pc2 double, x double, y double"), a.out)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="mixolve", description=__doc__)
     commands = parser.add_subparsers(required=True)
@@ -60,6 +107,11 @@ def main(argv: list[str] | None = None) -> None:
         (solve, {"dataset": str, "out": str, "--solver": "nnls", "--split": "val", "--regularisation": "none", "--alpha": 0.1, "--l1-ratio": 0.5}),
         (dilutions, {"estimates": str, "type": str, "out": str}),
         (limits, {"atlas": str, "out": str, "--fill": "drop"}),
+        (counts, {"reads": str, "markers": str, "out": str}),
+        (train, {"dataset": str, "out": str, "--hidden": 256, "--epochs": 100, "--rate": 1e-3, "--dropout": 0.2, "--seed": 42}),
+        (predict, {"dataset": str, "model": str, "out": str, "--split": "val"}),
+        (group, {"dataset": str, "out": str, "--split": "val", "--threshold": 0.3}),
+        (maps, {"atlas": str, "out": str}),
     ):
         command = commands.add_parser(run.__name__, help=run.__doc__)
         for name, kind in options.items():

@@ -16,19 +16,18 @@ def ratio(a: Column | str, b: Column | str, empty: float | None = None) -> Colum
 
 
 def r2(truth: Column | str, pred: Column | str) -> Column:
-    """Aggregate: 1 - SSE/SST; NULL for constant truth. Not regr_r2, which is a squared correlation."""
+    """Aggregate: 1 - SSE/SST from central moments; NULL for constant truth. Not regr_r2, which is a squared correlation."""
     t, p = col(truth), col(pred)
-    total = F.sum(t * t) - F.sum(t) * F.sum(t) / F.count(t)
-    return F.when(F.min(t) < F.max(t), 1 - F.sum((t - p) * (t - p)) / total)
+    total = F.var_pop(t) * F.count(t)
+    return F.when((F.min(t) < F.max(t)) & (total > 0), 1 - F.sum((t - p) * (t - p)) / F.when(total > 0, total))
 
 
 def correlation(a: Column | str, b: Column | str, empty: float | None = None) -> Column:
-    """Aggregate: Pearson correlation from moments; `empty` where either side is constant."""
-    a, b = col(a), col(b)
-    n = F.count(a)
-    va, vb = F.sum(a * a) - F.sum(a) * F.sum(a) / n, F.sum(b * b) - F.sum(b) * F.sum(b) / n
-    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return F.when(varied, (F.sum(a * b) - F.sum(a) * F.sum(b) / n) / F.sqrt(va * vb)).otherwise(F.lit(empty).cast("double"))
+    """Aggregate: Pearson correlation from central moments over rows with both values; `empty` where either side is constant."""
+    x, y = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (spread > 0)
+    return F.when(varied, F.least(F.greatest(F.covar_pop(x, y) / F.when(spread > 0, spread), F.lit(-1.0)), F.lit(1.0))).otherwise(F.lit(empty).cast("double"))
 
 
 def close(a: Column | str, b: Column | str, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
@@ -99,3 +98,19 @@ def sample_name(path: Column | str) -> Column:
 def running_loss(losses: Column | str, beta: float = 0.98) -> Column:
     """Exponential running average, in order, of an array of losses."""
     return F.aggregate(losses, F.lit(0.0), lambda s, x: s * beta + x * (1 - beta))
+
+
+def cache_name(path: Column | str) -> Column:
+    """First eight digits of the MD5 of a path: the prefix of its cache."""
+    return F.left(F.md5(col(path).cast("string").cast("binary")), F.lit(8))
+
+
+def time_stamp(moment: Column | None = None) -> Column:
+    """yyyymmdd_hhmmss of a time, now by default."""
+    return F.date_format(F.current_timestamp() if moment is None else moment, "yyyyMMdd_HHmmss")
+
+
+def bucket(x: Column | str, low: float, high: float, n: int) -> Column:
+    """Number from 0 of the n equal bins of [low, high] that x lies in; the last holds high; NULL outside."""
+    v = col(x)
+    return F.when((v >= low) & (v <= high), F.least(F.floor((v - low) * n / (high - low)), F.lit(n - 1)).cast("int"))

@@ -22,9 +22,16 @@ def to_wide(long: DataFrame, ids: list[str], types: list[str]) -> DataFrame:
 
 
 def full_markers(atlas: DataFrame) -> DataFrame:
-    """Markers without a NULL in any cell type. Raises where none is left."""
-    kept = atlas.groupBy("marker").agg(F.count_if(F.col("h").isNull()).alias("n")).where("n = 0").select("marker")
-    return kept
+    """Markers without a NULL in any cell type."""
+    return atlas.groupBy("marker").agg(F.count_if(F.col("h").isNull()).alias("n")).where("n = 0").select("marker")
+
+
+def some_markers(atlas: DataFrame) -> DataFrame:
+    """The atlas of markers without a NULL; raises where there is none."""
+    kept = full_markers(atlas)
+    if not kept.limit(1).count():
+        raise ValueError("no marker has a value in every cell type")
+    return atlas.join(kept, "marker", "left_semi")
 
 
 def fill(atlas: DataFrame, policy: str) -> DataFrame:
@@ -33,7 +40,8 @@ def fill(atlas: DataFrame, policy: str) -> DataFrame:
         return distinct_profiles(atlas.join(full_markers(atlas), "marker", "left_semi"))
     if policy not in ("mean_cell_type", "mean"):
         raise ValueError(f"unknown policy {policy!r}; one of drop, mean_cell_type, mean")
-    filled = atlas.withColumn("h", F.coalesce("h", F.avg("h").over(W.partitionBy("cell_type"))))
+    means = atlas.groupBy(F.col("cell_type").alias("_type")).agg(F.avg("h").alias("_mean"))  # partial sums: no task holds a type's markers
+    filled = atlas.join(means, F.col("cell_type") == F.col("_type")).withColumn("h", F.coalesce("h", "_mean")).drop("_type", "_mean")
     return distinct_profiles(filled) if policy == "mean_cell_type" else filled
 
 

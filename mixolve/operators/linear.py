@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixolve.functions.expressions import correlation, dot, normalised
+from mixolve.operators.atlas import profiles
 
 
 def mixture(prop: DataFrame, atlas: DataFrame) -> DataFrame:
@@ -13,18 +18,54 @@ def mixture(prop: DataFrame, atlas: DataFrame) -> DataFrame:
     return prop.join(atlas, "cell_type").groupBy("sample", "marker").agg(F.sum(F.col("w") * F.col("h")).alias("mix"))
 
 
-def gram(obs: DataFrame, atlas: DataFrame, weight: Column) -> DataFrame:
-    """(sample, a, b, g) for a <= b: sums over markers of weight^2 h_a h_b. Markers without coverage add nothing."""
-    seen = obs.where("c > 0").select("sample", "marker", (weight * weight).alias("ww"))
-    left = atlas.select("marker", F.col("cell_type").alias("a"), F.col("h").alias("ha"))
-    both = left.join(atlas.select(F.col("marker").alias("m"), F.col("cell_type").alias("b"), F.col("h").alias("hb")), F.expr("marker = m and a <= b")).drop("m")
-    return seen.join(both, "marker").groupBy("sample", "a", "b").agg(F.sum(F.col("ww") * F.col("ha") * F.col("hb")).alias("g"))
+def _moments(rows: DataFrame, atlas: DataFrame, schema: str, sums: Callable[[np.ndarray, np.ndarray], Iterator[tuple]]) -> DataFrame:
+    """Join (sample, marker, u) with profiles and sum by sample, first within each batch of rows: `sums` takes (u, profiles) of one sample."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for frame in frames:
+            out = []
+            if len(frame):
+                h, u = np.stack(frame["profile"].to_numpy()).astype(float), frame["u"].to_numpy(float)
+                for sample, at in frame.groupby("sample").indices.items():
+                    out += [(sample, *told) for told in sums(u[at], h[at])]
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.join(profiles(atlas), "marker").select("sample", "u", "profile").mapInPandas(run, schema)
+
+
+def types_of(atlas: DataFrame) -> list[str]:
+    """Names of the cell types in order: one a column of the problem."""
+    return [r["cell_type"] for r in atlas.select("cell_type").distinct().orderBy("cell_type").collect()]
+
+
+def _name(types: list[str], number: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, types)), F.col(number) + 1)
+
+
+def gram(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0") -> DataFrame:
+    """(sample, a, b, g) for a <= b: sums over markers of weight^2 h_a h_b. Markers without coverage add nothing, unless `seen` says so.
+
+    A batch of rows is summed to K x K numbers a sample where it lies; only these are shuffled.
+    """
+    types = types_of(atlas)
+    a, b = np.triu_indices(len(types))
+
+    def sums(u: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
+        g = (h * u[:, None]).T @ h
+        return zip(a.tolist(), b.tolist(), g[a, b].tolist())
+
+    rows = obs.where(seen).select("sample", "marker", (weight * weight).cast("double").alias("u"))
+    parts = _moments(rows, atlas, "sample string, i int, j int, g double", sums)
+    return parts.groupBy("sample", "i", "j").agg(F.sum("g").alias("g")).select("sample", _name(types, "i").alias("a"), _name(types, "j").alias("b"), "g")
 
 
-def gram_rhs(obs: DataFrame, atlas: DataFrame, weight: Column) -> DataFrame:
-    """(sample, a, r): sums over markers of weight^2 h_a x."""
-    seen = obs.where("c > 0").select("sample", "marker", (weight * weight * F.col("x")).alias("wx"))
-    return seen.join(atlas, "marker").groupBy("sample", F.col("cell_type").alias("a")).agg(F.sum(F.col("wx") * F.col("h")).alias("r"))
+def gram_rhs(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0") -> DataFrame:
+    """(sample, a, r): sums over markers of weight^2 h_a x, summed where rows lie as in gram."""
+    types = types_of(atlas)
+    rows = obs.where(seen).select("sample", "marker", (weight * weight * F.coalesce("x", F.lit(0.0))).cast("double").alias("u"))
+    parts = _moments(rows, atlas, "sample string, i int, r double", lambda u, h: enumerate((u @ h).tolist()))
+    return parts.groupBy("sample", "i").agg(F.sum("r").alias("r")).select("sample", _name(types, "i").alias("a"), "r")
 
 
 def systems(g: DataFrame, r: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mixolve.functions.expressions import correlation, r2, ratio
+from mixolve.functions.expressions import bucket, correlation, dilution_of, r2, ratio, replicate_of
 
 #: Ranges of true proportions (fixed values).
 RANGES = [(0.0, 1e-4, "Ultra-low"), (1e-4, 1e-3, "Very-low"), (1e-3, 1e-2, "Low"), (1e-2, 1e-1, "Medium"), (1e-1, 1.0, "High")]
@@ -105,15 +105,16 @@ def error_analysis(pairs: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def detection_metrics(pairs: DataFrame) -> DataFrame:
-    """pairs(cell_type, repeat, truth, pred): means over repeats, and R2 pooled as 1 - mse / variance of predictions."""
-    per = pairs.groupBy("cell_type", "repeat").agg(
+def detection_metrics(pairs: DataFrame, keys: tuple = ("cell_type",)) -> DataFrame:
+    """pairs(keys, repeat, truth, pred): means over repeats, and R2 pooled as 1 - mse / variance of predictions."""
+    per = pairs.groupBy(*keys, "repeat").agg(
         F.avg(err() * err()).alias("mse"), F.avg(F.when(F.col("truth") > 0, F.col("pred") / F.when(F.col("truth") > 0, F.col("truth")))).alias("ratio_error"),
         F.avg(ratio(F.abs(err()), "truth")).alias("relative_error"), F.avg("pred").alias("mean_pred"), F.stddev_pop("pred").alias("std_pred"),
     )
-    means = per.groupBy("cell_type").agg(*[F.avg(c).alias(c) for c in ("mse", "ratio_error", "relative_error", "mean_pred", "std_pred")])
-    pooled = pairs.groupBy("cell_type").agg(F.when(F.min("pred") < F.max("pred"), 1 - F.avg(err() * err()) / F.var_pop("pred")).otherwise(0.0).alias("r2"))
-    return means.join(pooled, "cell_type")
+    means = per.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("mse", "ratio_error", "relative_error", "mean_pred", "std_pred")])
+    spread = F.var_pop("pred")
+    pooled = pairs.groupBy(*keys).agg(F.when(spread > 0, 1 - F.avg(err() * err()) / F.when(spread > 0, spread)).otherwise(0.0).alias("r2"))
+    return means.join(pooled, list(keys))
 
 
 def uncertainty_by_epoch(rows: DataFrame) -> DataFrame:
@@ -135,3 +136,29 @@ def early_stop(losses: DataFrame, patience: int = 10) -> DataFrame:
     since = best.withColumn("improved", before.isNull() | (F.col("loss") < before)).withColumn("streak", F.sum(F.col("improved").cast("int")).over(w))
     waited = since.withColumn("waited", F.row_number().over(W.partitionBy("run", "streak").orderBy("epoch")) - 1)
     return waited.select("run", "epoch", "loss", "best", "improved", "waited", (F.max("waited").over(w) >= patience).alias("stopped"))
+
+
+def dilution_frame(estimates: DataFrame, cell_type: str) -> DataFrame:
+    """(sample, dilution, replicate, contribution) of samples named d<dilution>_<i>, in that order. Raises if no estimate is of the type."""
+    rows = estimates.where(F.col("cell_type") == cell_type)
+    if not rows.limit(1).count():
+        known = [r[0] for r in estimates.select("cell_type").distinct().orderBy("cell_type").collect()]
+        raise ValueError(f"no type {cell_type!r}; there are {', '.join(known)}")
+    told = rows.select("sample", dilution_of("sample").alias("dilution"), replicate_of("sample").alias("replicate"), F.col("w").alias("contribution"))
+    return told.orderBy("dilution", "replicate")
+
+
+def checked_pairs(truth: DataFrame, estimates: DataFrame) -> DataFrame:
+    """pairs(sample, cell_type, truth, pred). Raises unless both sides have the same samples and types, each once."""
+    both = truth.select("sample", "cell_type", F.col("w").alias("truth")).join(estimates.select("sample", "cell_type", F.col("w").alias("pred")), ["sample", "cell_type"], "full")
+    odd = both.groupBy("sample", "cell_type").agg(F.count("*").alias("n"), F.count("truth").alias("t"), F.count("pred").alias("p")).where("n <> 1 or t <> 1 or p <> 1").limit(1).collect()
+    if odd:
+        raise ValueError(f"truth and estimates don't match at {odd[0].asDict()}")
+    return both
+
+
+def histogram(rows: DataFrame, keys: list[str], value: str, low: float = 0.0, high: float = 1.0, bins: int = 50) -> DataFrame:
+    """(keys, bin, lo, n): counts in equal bins of [low, high]; values outside and NULLs are left out."""
+    step = (high - low) / bins
+    binned = rows.select(*keys, bucket(value, low, high, bins).alias("bin")).where("bin IS NOT NULL")
+    return binned.groupBy(*keys, "bin").agg(F.count("*").alias("n")).withColumn("lo", low + F.col("bin") * step)

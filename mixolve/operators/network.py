@@ -1,8 +1,8 @@
-"""A small perceptron and an unrolled solver over observed fractions: scoring by Spark, training by summed gradients."""
+"""A perceptron and an unrolled solver over observed fractions: scoring by Spark, training of the perceptron by summed gradients."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,27 +26,33 @@ class Perceptron:
             "w2": rng.normal(size=(hidden, types)) / np.sqrt(hidden), "b2": np.zeros(types),
         }
 
-    def forward(self, x: np.ndarray, keep: bool = False):
+    def forward(self, x: np.ndarray, parts: bool = False, keep: np.ndarray | None = None):
         z = x @ self.p["w1"] + self.p["b1"]
         sd = np.sqrt(z.var(axis=1, keepdims=True) + 1e-5)
         n = (z - z.mean(axis=1, keepdims=True)) / sd
         a = n * self.p["g"] + self.p["s"]
-        r = np.maximum(a, 0)
+        r = np.maximum(a, 0) * (1 if keep is None else keep)
         o = r @ self.p["w2"] + self.p["b2"]
         e = np.exp(o - o.max(axis=1, keepdims=True))
         y = e / e.sum(axis=1, keepdims=True)
-        return (y, n, sd, a, r) if keep else y
-
-    def gradient(self, x: np.ndarray, truth: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Summed gradient of the summed squared error, and the error."""
-        y, n, sd, a, r = self.forward(x, True)
-        dy = 2 * (y - truth)
+        return (y, n, sd, a, r) if parts else y
+
+    @property
+    def width(self) -> int:
+        return self.p["w1"].shape[1]
+
+    def gradient(self, x: np.ndarray, truth: np.ndarray, criterion: Callable | None = None, weights: np.ndarray | None = None, keep: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], float]:
+        """Summed gradient of the summed, weighted loss, and the loss; `keep` scales hidden values (dropout)."""
+        y, n, sd, a, r = self.forward(x, True, keep)
+        loss, dy = (criterion or squared_error)(y, truth)
+        if weights is not None:
+            loss, dy = loss * weights, dy * weights[:, None]
         do = y * (dy - (dy * y).sum(axis=1, keepdims=True))
-        da = (do @ self.p["w2"].T) * (a > 0)
+        da = (do @ self.p["w2"].T) * (1 if keep is None else keep) * (a > 0)
         dn = da * self.p["g"]
         dz = (dn - dn.mean(axis=1, keepdims=True) - n * (dn * n).mean(axis=1, keepdims=True)) / sd
         g = {"w1": x.T @ dz, "b1": dz.sum(axis=0), "g": (da * n).sum(axis=0), "s": da.sum(axis=0), "w2": r.T @ do, "b2": do.sum(axis=0)}
-        return g, float(((y - truth) ** 2).sum())
+        return g, float(loss.sum())
 
     def score(self, rows: DataFrame, types: list[str]) -> DataFrame:
         """(sample, cell_type, w) of rows(sample, x)."""
@@ -61,34 +67,86 @@ class Perceptron:
         return rows.mapInPandas(run, "sample string, cell_type string, w double")
 
 
-def train(model: Perceptron, rows: DataFrame, *, epochs: int = 20, rate: float = 1e-2, patience: int = 10, halve_after: int = 5, clip: float = 1.0, decay: float = 1e-4) -> list[float]:
+class UnrolledSolver:
+    """Projected gradient, unrolled: a step size for each step, corrections to the profiles, and a two-layer transform of the input.
+
+    Parameters are given (the transform is the identity by default), e.g. from a model trained elsewhere. A step moves against the
+    gradient of the coverage-weighted error, cuts at 0 and divides by the sum.
+    """
+
+    def __init__(self, profiles: np.ndarray, steps: np.ndarray, correction: np.ndarray | None = None, first: tuple[np.ndarray, np.ndarray] | None = None, second: tuple[np.ndarray, np.ndarray] | None = None):
+        k, m = profiles.shape
+        self.steps, self.first, self.second = steps, first, second
+        self.profiles, self.corrected = profiles, profiles + 1 / (1 + np.exp(-(np.zeros((k, m)) if correction is None else correction)))
+
+    def forward(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(proportions, coverage-weighted reconstruction by the given profiles) of rows of values and coverage."""
+        z = np.maximum(x if self.first is None else x @ self.first[0] + self.first[1], 0)
+        z = (z if self.second is None else z @ self.second[0] + self.second[1]) * c
+        w = np.zeros((len(x), len(self.corrected)))
+        for step in self.steps:
+            w = np.maximum(w - step * (((w @ self.corrected) * c - z) @ self.corrected.T), 0)
+            w = w / (w.sum(axis=1, keepdims=True) + 1e-8)
+        return w, (w @ self.profiles) * c
+
+    def score(self, rows: DataFrame, types: list[str]) -> DataFrame:
+        """(sample, cell_type, w) of rows(sample, x, c), arrays in the order of the profiles' markers."""
+        sent = rows.sparkSession.sparkContext.broadcast(self)  # types x markers numbers, and a transform of markers x markers if there is one
+
+        def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    w, _ = sent.value.forward(np.stack(f["x"].to_numpy()).astype(float), np.stack(f["c"].to_numpy()).astype(float))
+                    yield pd.DataFrame({"sample": np.repeat(f["sample"].to_numpy(), len(types)), "cell_type": np.tile(types, len(f)), "w": w.ravel()})
+
+        return rows.mapInPandas(run, "sample string, cell_type string, w double")
+
+
+def squared_error(y: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(loss of each row, its gradient by the outputs)."""
+    return ((y - truth) ** 2).sum(axis=1), 2 * (y - truth)
+
+
+def fit(model, rows: DataFrame, *, validation: DataFrame | None = None, criterion: Callable = squared_error, epochs: int = 20, rate: float = 1e-2, patience: int = 10, halve_after: int = 5, clip: float = 1.0, decay: float = 1e-4, dropout: float = 0.0, seed: int = 42, checkpoint: str | None = None) -> list[dict]:
     """Adam on gradients that tasks sum where their rows lie; one summed gradient comes back an epoch.
 
-    rows(sample, x, y). The rate halves after `halve_after` epochs without a better loss, training ends
-    after `patience`, and the best parameters stay. Returns the losses.
+    rows(sample, x, y[, weight]) and validation alike. `model` has parameters p and gradient(x, truth, criterion, weights, keep), `criterion`
+    gives each row's loss and gradient; dropout is drawn by epoch and task. The rate halves after `halve_after` epochs without a better
+    validation loss (training loss without validation), training ends after `patience`, and the best parameters stay and are
+    saved to `checkpoint` when they are found. Returns epoch, rate, train_loss and val_loss of each epoch.
     """
-    data = rows.select("x", "y").persist()
-    first, second, losses, best, kept, stale = {}, {}, [], np.inf, None, 0
+    weighted = lambda df: df.select("x", "y", (F.col("weight") if "weight" in df.columns else F.lit(1.0)).cast("double").alias("weight"))
+    data, held = weighted(rows).persist(), weighted(validation).persist() if validation is not None else None
+    first, second, history, best, kept, stale = {}, {}, [], np.inf, None, 0
+    context = rows.sparkSession.sparkContext
     for epoch in range(1, epochs + 1):
-        sent = rows.sparkSession.sparkContext.broadcast(model)
+        sent = context.broadcast(model)
+
+        def run(frames: Iterable[pd.DataFrame], sent=sent, epoch=epoch) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
 
-        def run(frames: Iterable[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            total, loss, n = None, 0.0, 0
+            rng, total, loss, n = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()]), None, 0.0, 0
             for f in frames:
                 if len(f):
-                    g, miss = sent.value.gradient(np.stack(f["x"].to_numpy()).astype(float), np.stack(f["y"].to_numpy()).astype(float))
+                    x = np.stack(f["x"].to_numpy()).astype(float)
+                    keep = (rng.random((len(f), sent.value.width)) >= dropout) / (1 - dropout) if dropout else None
+                    g, miss = sent.value.gradient(x, np.stack(f["y"].to_numpy()).astype(float), criterion, f["weight"].to_numpy(), keep)
                     flat = np.concatenate([g[k].ravel() for k in sorted(g)])
                     total, loss, n = flat if total is None else total + flat, loss + miss, n + len(f)
             if n:
-                yield pd.DataFrame({"g": [total.tolist()], "loss": [loss], "n": [n]})
-
-        parts = data.mapInPandas(run, "g array<double>, loss double, n long")
-        sums = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-        head = parts.agg(F.sum("loss"), F.sum("n")).first()
-        flat = np.array([r["v"] for r in sums.orderBy("i").collect()]) / head[1]  # one number a parameter
-        losses.append(head[0] / head[1])
-        if losses[-1] < best:
-            best, kept, stale = losses[-1], {k: v.copy() for k, v in model.p.items()}, 0
+                yield pd.DataFrame({"i": np.arange(-2, len(total)), "v": np.concatenate([[loss, n], total])})
+
+        sums = data.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+        told = np.array([r["v"] for r in sums.orderBy("i").collect()])  # one number a parameter
+        if not len(told):
+            raise ValueError("no rows to train on")
+        flat, loss = told[2:] / told[1], told[0] / told[1]
+        judged = mean_loss(model, held, criterion) if held is not None else loss
+        history.append({"epoch": epoch, "rate": rate, "train_loss": float(loss), "val_loss": float(judged)})
+        if judged < best:
+            best, kept, stale = judged, {k: v.copy() for k, v in model.p.items()}, 0
+            if checkpoint:
+                save(model, rows.sparkSession, checkpoint)
         else:
             stale += 1
             if stale % halve_after == 0:
@@ -103,9 +161,31 @@ def train(model: Perceptron, rows: DataFrame, *, epochs: int = 20, rate: float =
             first[k] = 0.9 * first.get(k, 0) + 0.1 * g
             second[k] = 0.999 * second.get(k, 0) + 0.001 * g * g
             model.p[k] = model.p[k] - rate * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.999**epoch)) + 1e-8)
+        sent.unpersist()
     data.unpersist()
+    if held is not None:
+        held.unpersist()
     model.p = kept or model.p
-    return losses
+    return history
+
+
+def train(model, rows: DataFrame, **how) -> list[float]:
+    """fit, but only the training losses."""
+    return [h["train_loss"] for h in fit(model, rows, **how)]
+
+
+def mean_loss(model, rows: DataFrame, criterion: Callable = squared_error) -> float:
+    """The weighted loss a row of rows(x, y, weight), summed where they lie."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                y = sent.value.forward(np.stack(f["x"].to_numpy()).astype(float))
+                yield pd.DataFrame({"loss": [float((criterion(y, np.stack(f["y"].to_numpy()).astype(float))[0] * f["weight"].to_numpy()).sum())], "n": [len(f)]})
+
+    told = rows.mapInPandas(run, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
+    return told[0] / told[1] if told[1] else float("nan")
 
 
 def save(model: Perceptron, df_session, path: str) -> None:

@@ -113,6 +113,24 @@ def integrity(prop: DataFrame, obs: DataFrame, tolerance: float = 1e-3, least_co
     return sums.join(obs.agg(F.count("*").alias("n_cells"), F.count_if(F.col("c") < least_coverage).alias("low_coverage")))
 
 
+def checked(prop: DataFrame, obs: DataFrame, tolerance: float = 1e-3) -> None:
+    """Raises if there are no samples, proportions don't sum to 1, or a value with coverage is missing."""
+    told = integrity(prop, obs, tolerance).first()
+    missing = obs.where(F.col("x").isNull() != (F.col("c") == 0)).limit(1).count()
+    if not told["n_samples"] or not told["n_cells"] or told["bad_sums"] or missing:
+        raise ValueError(f"bad dataset: {told.asDict()}, {'values and coverage disagree' if missing else 'values are complete'}")
+
+
+def in_site_order(rows: DataFrame) -> DataFrame:
+    """Rows sorted by their coordinates."""
+    return rows.orderBy(*COORDS)
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Rows in a random order that depends on key and seed alone."""
+    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+
+
 def coverage_histogram(obs: DataFrame) -> DataFrame:
     return obs.groupBy("c").agg(F.count("*").alias("cells"))
 
@@ -121,12 +139,13 @@ def weighted_resample(rows: DataFrame, key: str, weight: str, n: int, seed: int
     """n draws with replacement, in proportion to weight: cumulative weights by partial sums, draws ranged over them.
 
     Slices of the key order get their cumulative start from a small table, so no task holds all
-    rows. Draws are explode()d where they fall: an equi-join on slice, then the range within it.
+    rows. A draw finds its slice in that table and its row by an equi-join on the slice. Draws come
+    from a hash of their number, so partitions don't matter.
     """
     slices = rows.select(key, F.col(weight).cast("double").alias("wt"), F.pmod(F.xxhash64(key), F.lit(64)).alias("slice"))
     ends = slices.groupBy("slice").agg(F.sum("wt").alias("total")).withColumn("hi", F.sum("total").over(W.orderBy("slice"))).withColumn("lo", F.col("hi") - F.col("total"))
     inside = slices.withColumn("up", F.sum("wt").over(W.partitionBy("slice").orderBy(key))).withColumn("down", F.col("up") - F.col("wt"))
     total = ends.agg(F.max("hi").alias("all"))
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.rand(seed).alias("r")).join(F.broadcast(total)).withColumn("at", F.col("r") * F.col("all")).join(F.broadcast(ends), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), ((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("r")).join(F.broadcast(total)).withColumn("at", F.col("r") * F.col("all")).join(F.broadcast(ends), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
     placed = draws.select("draw", "slice", (F.col("at") - F.col("lo")).alias("off"))
     return placed.join(inside, "slice").where((F.col("off") >= F.col("down")) & (F.col("off") < F.col("up"))).select("draw", key)

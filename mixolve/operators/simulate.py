@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Share of samples for each range of proportions, what is left going to the first (fixed values).
 STRATA = [(0.0, 1e-4, "Ultra-low", 0.3), (1e-4, 1e-3, "Very-low", 0.25), (1e-3, 1e-2, "Low", 0.2), (1e-2, 1e-1, "Medium", 0.15), (1e-1, 1.0, "High", 0.1)]
 
+#: Levels of the dilution sweep (fixed values).
+SWEEP = (1e-4, 1e-3, 5e-3, 0.01, 0.05, 0.1, 0.15, 0.2)
+
 
 def proportions(spark: SparkSession, n: int, types: list[str], *, seed: int = 42, strata: list = STRATA) -> DataFrame:
     """(sample, stratum, cell_type, w): n samples, some types drawn in the sample's range, the rest by a Dirichlet; sums are 1."""
@@ -26,7 +29,8 @@ def proportions(spark: SparkSession, n: int, types: list[str], *, seed: int = 42
                 which = int(np.searchsorted(cuts, i, "right")) + 1
                 low, high, name, _ = strata[which if which < len(strata) else 0]
                 if which >= len(strata):
-                    w = np.maximum(rng.dirichlet(np.full(k, 0.1)), 1e-4)
+                    w = np.minimum(rng.dirichlet(np.full(k, 0.1)), high)  # all types are brought to the range's top, then divided by their sum
+                    w = w if w.sum() > 0 else np.ones(k)
                 else:
                     w = np.zeros(k)
                     r = int(rng.integers(1, max(2, k // 2)))
@@ -89,6 +93,24 @@ def dilutions(spark: SparkSession, types: list[str], target: str, levels: list[f
     return spark.range(len(levels) * repeats).mapInPandas(run, "sample string, dilution double, replicate int, cell_type string, w double")
 
 
+def dilution_sweep(spark: SparkSession, types: list[str], *, levels: tuple = SWEEP, repeats: int = 5, samples: int = 100, seed: int = 42) -> DataFrame:
+    """(sample, dilution, target, repeat, cell_type, w): `samples` mixtures for each type, level and repeat, the target at its level, the others near even."""
+    k, each = len(types), repeats * samples
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            i = frame["id"].to_numpy()
+            target, level = i // (len(levels) * each), np.array(levels)[i // each % len(levels)]
+            w = np.stack([np.random.default_rng([seed, int(n)]).uniform(0.25, 0.35, k) for n in i]) if len(i) else np.zeros((0, k))
+            w[np.arange(len(i)), target] = 0
+            w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300) * (1 - level)[:, None]
+            w[np.arange(len(i)), target] = level
+            told = {"sample": [f"x{n}" for n in i], "dilution": level, "target": [types[t] for t in target], "repeat": (i // samples % repeats + 1).astype(np.int32)}
+            yield pd.DataFrame({n: np.repeat(np.asarray(v), k) for n, v in told.items()} | {"cell_type": types * len(i), "w": w.ravel()})
+
+    return spark.range(k * len(levels) * each).mapInPandas(run, "sample string, dilution double, target string, repeat int, cell_type string, w double")
+
+
 def negative_binomial_coverage(mixes: DataFrame, *, mean: float = 30.0, r: float = 5.0, empty: float = 0.1, seed: int = 42) -> DataFrame:
     """Coverage by a gamma-Poisson draw; a share `empty` of the cells has none."""
 

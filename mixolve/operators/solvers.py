@@ -6,14 +6,17 @@ memory is bounded by markers x types, however many samples there are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixolve.operators import linear
 from mixolve.operators.atlas import profiles
+from mixolve.operators.reads import WEIGHTS
+from mixolve.sources.files import written
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
@@ -41,6 +44,31 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
     return w
 
 
+def nnls_of_sums(q: np.ndarray, r: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """min w q w - 2 r w with w >= 0, by the same active sets, from the sums q = a'a and r = a'b alone."""
+    k = len(r)
+    w, free = np.zeros(k), np.zeros(k, bool)
+    scale = max(float(np.abs(r).max(initial=0.0)), 1e-300)
+    for _ in range(10 * k + 30):
+        slope = r - q @ w
+        slope[free] = -np.inf
+        if free.all() or slope.max() <= tolerance * scale:
+            break
+        free[int(slope.argmax())] = True
+        while True:
+            s = np.zeros(k)
+            s[free] = np.linalg.lstsq(q[np.ix_(free, free)], r[free], rcond=None)[0]
+            low = free & (s <= 0)
+            if not low.any():
+                w = s
+                break
+            share = (w[low] / np.maximum(w[low] - s[low], 1e-300)).min()
+            w = w + share * (s - w)
+            free &= w > 1e-14
+            w[~free] = 0.0
+    return w
+
+
 def on_simplex(v: np.ndarray) -> np.ndarray:
     """The nearest point with w >= 0 and sum 1."""
     u = np.sort(v)[::-1]
@@ -88,11 +116,9 @@ def solve_nnls(h, x, c, weight: str = "linear") -> np.ndarray:
 
 def solve_simplex(h, x, c, weight: str = "linear", regularisation: str = "none", alpha: float = 0.0, l1_ratio: float = 0.5) -> np.ndarray:
     """Regularised least squares on the simplex, where the absolute sum is constant: lasso equals none, elastic net a weaker ridge."""
-    if regularisation not in ("none", "ridge", "lasso", "elasticnet"):
-        raise ValueError(f"unknown regularisation {regularisation!r}; one of none, ridge, lasso, elasticnet")
+    ridge = ridge_of(regularisation, alpha, l1_ratio)
     u = weights(c, weight)
     a, b = h * u[:, None], x * u
-    ridge = {"ridge": alpha, "elasticnet": alpha * (1 - l1_ratio)}.get(regularisation, 0.0)
     return simplex_least_squares(a.T @ a + ridge * np.eye(h.shape[1]), a.T @ b)
 
 
@@ -126,18 +152,52 @@ def solve_iterative(h, x, c, weight: str = "sqrt", rounds: int = 3, base: float
     return share(best)
 
 
-#: Solvers by name; any callable (h, x, c, **options) -> w can be added.
+def ridge_of(regularisation: str, alpha: float, l1_ratio: float) -> float:
+    """On the simplex the absolute sum is constant: lasso equals none, elastic net a weaker ridge."""
+    if regularisation not in ("none", "ridge", "lasso", "elasticnet"):
+        raise ValueError(f"unknown regularisation {regularisation!r}; one of none, ridge, lasso, elasticnet")
+    return {"ridge": alpha, "elasticnet": alpha * (1 - l1_ratio)}.get(regularisation, 0.0)
+
+
+def sums_nnls(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return share(nnls_of_sums(q, r))
+
+
+def sums_simplex(q: np.ndarray, r: np.ndarray, regularisation: str = "none", alpha: float = 0.0, l1_ratio: float = 0.5) -> np.ndarray:
+    return simplex_least_squares(q + ridge_of(regularisation, alpha, l1_ratio) * np.eye(len(r)), r)
+
+
+#: Solvers that need a sample's K x K sums alone, with their usual weighting.
+OF_SUMS: dict[str, tuple[Callable, str]] = {"nnls": (sums_nnls, "linear"), "simplex": (sums_simplex, "linear")}
+#: Solvers that need a sample's rows; any callable (h, x, c, **options) -> w can be used as well.
 SOLVERS: dict[str, Callable] = {"nnls": solve_nnls, "simplex": solve_simplex, "iterative": solve_iterative}
 
 
-def solve(obs: DataFrame, atlas: DataFrame, solver: str | Callable = "nnls", **options) -> DataFrame:
+def solve(obs: DataFrame, atlas: DataFrame, solver: str | Callable = "nnls", *, weight: str | Callable | None = None, **options) -> DataFrame:
     """(sample, cell_type, w): each sample's mixture.
 
-    obs(sample, marker, x, c) joins profiles on marker; x without coverage counts as 0. A sample
+    obs(sample, marker, x, c) joins profiles on marker; x without coverage counts as 0. `weight` is a
+    name of WEIGHTS or, for solvers of sums, a function of the coverage column. nnls and simplex are solved from K x K sums a
+    sample, formed where rows lie; other solvers get a sample's rows in one task. A sample
     with no markers in the atlas gives no rows; one with no coverage at all gives zeros (nnls).
     """
-    types = [r["cell_type"] for r in atlas.select("cell_type").distinct().orderBy("cell_type").collect()]  # K names
+    types = linear.types_of(atlas)
+    if isinstance(solver, str) and solver in OF_SUMS:
+        run, usual = OF_SUMS[solver]
+        u = (WEIGHTS[weight or usual] if not callable(weight) else weight)(F.col("c"))
+        filled = obs.withColumn("x", F.coalesce(F.when(F.col("c") > 0, F.col("x")), F.lit(0.0)))
+        told = linear.systems(linear.gram(filled, atlas, u, F.lit(True)), linear.gram_rhs(filled, atlas, u, F.lit(True)))
+
+        def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                w = [run(np.stack(g).astype(float), np.asarray(r, float), **options) for g, r in zip(frame["gram"], frame["rhs"])]
+                yield pd.DataFrame({"sample": np.repeat(frame["sample"].to_numpy(), len(types)), "cell_type": types * len(frame), "w": np.concatenate(w) if w else np.zeros(0)})
+
+        return told.mapInPandas(each, "sample string, cell_type string, w double")
+    if callable(weight):
+        raise ValueError("a weighting function is for solvers of sums; others take the name of one")
     run = SOLVERS[solver] if isinstance(solver, str) else solver
+    options |= {} if weight is None else {"weight": weight}
     rows = obs.select("sample", "marker", F.coalesce(F.when(F.col("c") > 0, F.col("x")), F.lit(0.0)).alias("x"), F.col("c").cast("double").alias("c")).join(profiles(atlas), "marker")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -149,56 +209,70 @@ def solve(obs: DataFrame, atlas: DataFrame, solver: str | Callable = "nnls", **o
     return rows.groupBy("sample").applyInPandas(one, "sample string, cell_type string, w double")
 
 
-def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps: int = 30, tolerance: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
+def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps: int = 1000, tolerance: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
     """Grouped factorisation x ~ A B h: A per sample over groups, B shared by all samples within groups.
 
-    Multiplicative updates. Samples keep their rows of A; a step maps each sample to its new A and the
-    sums that B needs, of which only (groups x types) numbers, already summed by Spark, reach the
-    driver. Returns (sample, cell_type, w) and B.
+    Multiplicative updates, A first, then B, each divided by its sum; ends when the loss after both changes by less than
+    tolerance. A sample is its K x K sums, formed once by Spark, and its row of A; a step maps them to the new A, of which
+    only sums of (groups x types) numbers reach the driver. A's rows are written to storage each twenty
+    steps, so a step never goes back further than that. Returns (sample, cell_type, w) and B.
     """
-    types = [r["cell_type"] for r in atlas.select("cell_type").distinct().orderBy("cell_type").collect()]
+    types = linear.types_of(atlas)
     k, m = len(types), len(groups)
     inside = np.array([[t in g for t in types] for g in groups], float)
     b = inside / inside.sum(axis=1, keepdims=True)
-    rows = obs.where("c > 0").select("sample", "marker", F.col("x")).join(profiles(atlas), "marker")
-    data = rows.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("marker", "x", "profile"))).alias("s")).select("sample", F.transform("s", lambda s: s["x"]).alias("x"), F.flatten(F.transform("s", lambda s: s["profile"])).alias("h")).persist()
-    start = np.full(m, 1.0 / m)
-    last = None
-
-    def step(b: np.ndarray, history: list[np.ndarray]):
-        def run(frames):
+    told = linear.systems(linear.gram(obs, atlas, F.lit(1.0)), linear.gram_rhs(obs, atlas, F.lit(1.0)))
+    squares = obs.where("c > 0").groupBy(F.col("sample").alias("s")).agg(F.sum(F.col("x") * F.col("x")).alias("xx"))
+    rows = told.join(squares, F.col("sample") == F.col("s")).select("sample", F.flatten("gram").alias("q"), "rhs", "xx", F.array(*[F.lit(1.0 / m)] * m).alias("a"))
+    now = written(rows, "grouped")
+
+    def moved(frame: pd.DataFrame, past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(A after a step for each B of past, sums, right sides) of a frame of samples."""
+        a, q, r = (np.stack(frame[c].to_numpy()).astype(float) for c in ("a", "q", "rhs"))
+        q = q.reshape(-1, k, k)
+        for old in past:
+            a = a * (r @ old.T) / (np.einsum("nk,nkl,gl->ng", a @ old, q, old) + 1e-10)
+            a = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-12)
+        return a, q, r
+
+    def sums(past: list[np.ndarray]) -> np.ndarray:
+        def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                out = []
-                for name, x, flat in zip(frame["sample"], frame["x"], frame["h"]):
-                    x, h = np.asarray(x, float), np.asarray(flat, float).reshape(-1, k)
-                    a = start
-                    for old in history:
-                        bh = h @ old.T
-                        wh = bh @ a
-                        a = a * (bh.T @ x) / (bh.T @ wh + 1e-10)
-                        a = a / max(a.sum(), 1e-12)
-                    up = np.outer(a, h.T @ x)
-                    down = np.outer(a, h.T @ wh)
-                    miss = float(((x - h @ (b.T @ a)) ** 2).sum())
-                    out.append((name, a.tolist(), up.ravel().tolist(), down.ravel().tolist(), miss))
-                yield pd.DataFrame(out, columns=["sample", "a", "up", "down", "loss"])
-
-        return data.mapInPandas(run, "sample string, a array<double>, up array<double>, down array<double>, loss double")
-
-    history: list[np.ndarray] = []
-    for _ in range(steps):
-        history.append(b)
-        made = step(b, history)
-        sums = made.select(F.posexplode("up").alias("i", "u"), F.col("down"), "loss").groupBy("i").agg(F.sum("u").alias("u"), F.sum(F.expr("down[i]")).alias("d"), F.sum("loss").alias("loss")).orderBy("i").collect()
-        up, down = np.array([r["u"] for r in sums]).reshape(m, k), np.array([r["d"] for r in sums]).reshape(m, k)
+                if len(frame):
+                    a, q, r = moved(frame, past)
+                    up, down = a.T @ r, np.einsum("ng,nkl,nl->gk", a, q, a @ past[-1])
+                    pairs = np.einsum("ng,nkl,nh->ghkl", a, q, a)  # with B, the loss after its step
+                    flat = np.concatenate([up.ravel(), down.ravel(), pairs.ravel(), [frame["xx"].sum()]])
+                    yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+
+        parts = now.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i")
+        return np.array([r["v"] for r in parts.collect()])  # (groups x types) squared numbers
+
+    past, last = [], None
+    for step in range(steps):
+        past.append(b)
+        flat = sums(past)
+        if not len(flat):
+            break
+        up, down, pairs, xx = flat[: m * k].reshape(m, k), flat[m * k : 2 * m * k].reshape(m, k), flat[2 * m * k : -1].reshape(m, m, k, k), flat[-1]
         b = b * inside * up / (down + 1e-10)
         b = b / np.maximum(b.sum(axis=1, keepdims=True), 1e-12)
-        if last is not None and abs(last - sums[0]["loss"]) < tolerance:
+        loss = float(xx - 2 * (b * up).sum() + np.einsum("gk,ghkl,hl->", b, pairs, b))
+        done = last is not None and abs(last - loss) < tolerance
+        last = loss
+        if done or len(past) == 20 or step == steps - 1:
+            ready = list(past)
+
+            def forward(frames: Iterable[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    if len(frame):
+                        yield frame.assign(a=moved(frame, ready)[0].tolist())
+
+            now, past = written(now.mapInPandas(forward, rows.schema), "grouped"), []
+        if done:
             break
-        last = sums[0]["loss"]
-    final = step(b, history)
     spread = F.explode(F.arrays_zip(F.array(*map(F.lit, types)).alias("cell_type"), F.array(*[sum((F.col("a")[g] * float(b[g, t]) for g in range(m)), F.lit(0.0)) for t in range(k)]).alias("w")))
-    return final.select("sample", spread.alias("z")).select("sample", "z.cell_type", "z.w"), b
+    return now.select("sample", spread.alias("z")).select("sample", "z.cell_type", "z.w"), b
 
 
 def principal_components(gram: np.ndarray, n: int) -> np.ndarray:

@@ -18,6 +18,7 @@ from mixolve.operators import simulate as G
 from mixolve.operators import solvers as S
 from mixolve.plans import tables as T
 from mixolve.plans.tables import sql
+from mixolve.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -313,22 +314,54 @@ def solve_projected_fixed(spark, d):
     return rounded(L.unpacked(L.projected_gradient(systems(spark, d, "none"), 40, 0.01)))
 
 
-for _name, _solver, _options in [
-    ("solve_nnls", "nnls", {}), ("solve_nnls_unweighted", "nnls", {"weight": "none"}), ("solve_simplex", "simplex", {}), ("solve_ridge", "simplex", {"regularisation": "ridge", "alpha": 1.0}),
-    ("solve_lasso", "simplex", {"regularisation": "lasso", "alpha": 1.0}), ("solve_elasticnet", "simplex", {"regularisation": "elasticnet", "alpha": 1.0}), ("solve_nmf", "simplex", {"weight": "linear"}),
-    ("solve_iterative", "iterative", {}), ("solve_iterative_pow15", "iterative", {"weight": "pow1.5", "rounds": 7, "base": 0.005, "least": 7, "one_round": False}),
+def _unweighted(text: str) -> str:
+    return text.replace("o.c * o.c * x.h", "x.h").replace("c * c * o.x", "o.x")
+
+
+def _nnls_sql(system: str) -> str:
+    """Coordinate descent: each step brings one weight, in turn, to its best value that isn't negative."""
+    return sql("reads uxm obs atlas", f""", {system}, it AS (SELECT sample, 0 AS k, [0e0 FOR x IN rhs] AS w FROM sys
+UNION ALL SELECT it.sample, k + 1, list_transform(range(1, len(w) + 1), lambda j: CASE WHEN j = k % len(w) + 1 THEN greatest(0e0, w[j] + (rhs[j] - list_dot_product(gram[j], w)) / gram[j][j]) ELSE w[j] END) FROM it JOIN sys USING (sample) WHERE k < 3000)
+SELECT sample, unnest(types) AS cell_type, round(unnest([x / CASE WHEN list_sum(w) > 0 THEN list_sum(w) ELSE 1 END FOR x IN w]), 5) AS w FROM it JOIN sys USING (sample) WHERE k = 3000""", recursive=True)
+
+
+def _simplex_sql(system: str, ridge: float = 0.0) -> str:
+    """Pairwise descent: each step moves what is best between two weights, pairs taken in turn."""
+    return sql("reads uxm obs atlas", f""", {system}, pairs AS (SELECT list([i, j] ORDER BY i, j) AS ij FROM range(1, 6) a(i), range(1, 6) b(j) WHERE i < j),
+rr AS (SELECT sample, types, rhs, list_transform(gram, lambda row, i: list_transform(row, lambda x, j: CASE WHEN i = j THEN x + {ridge}e0 ELSE x END)) AS gram FROM sys),
+it AS (SELECT sample, 0 AS k, [1e0 / len(rhs) FOR x IN rhs] AS w FROM rr
+UNION ALL SELECT sample, k + 1, list_transform(range(1, len(w) + 1), lambda n: CASE WHEN n = i THEN w[n] + t WHEN n = j THEN w[n] - t ELSE w[n] END) FROM (SELECT sample, k, w, i, j, greatest(-w[i], least(w[j],
+((rhs[i] - list_dot_product(gram[i], w)) - (rhs[j] - list_dot_product(gram[j], w))) / (gram[i][i] + gram[j][j] - 2 * gram[i][j]))) AS t FROM
+(SELECT it.sample, k, w, rhs, gram, ij[k % 10 + 1][1] AS i, ij[k % 10 + 1][2] AS j FROM it JOIN rr USING (sample), pairs WHERE k < 4000)))
+SELECT sample, unnest(types) AS cell_type, round(unnest(w), 5) AS w FROM it JOIN rr USING (sample) WHERE k = 4000""", recursive=True)
+
+
+for _name, _solver, _options, _sql in [
+    ("solve_nnls", "nnls", {}, _nnls_sql(SYSTEM)), ("solve_nnls_unweighted", "nnls", {"weight": "none"}, _nnls_sql(_unweighted(SYSTEM))), ("solve_simplex", "simplex", {}, _simplex_sql(SYSTEM)),
+    ("solve_ridge", "simplex", {"regularisation": "ridge", "alpha": 1.0}, _simplex_sql(SYSTEM, 1.0)), ("solve_lasso", "simplex", {"regularisation": "lasso", "alpha": 1.0}, _simplex_sql(SYSTEM)),
+    ("solve_elasticnet", "simplex", {"regularisation": "elasticnet", "alpha": 1.0}, _simplex_sql(SYSTEM, 0.5)), ("solve_nmf", "simplex", {"weight": "linear"}, _simplex_sql(SYSTEM)),
+    ("solve_iterative", "iterative", {}, None), ("solve_iterative_pow15", "iterative", {"weight": "pow1.5", "rounds": 7, "base": 0.005, "least": 7, "one_round": False}, None),
+    ("solve_own_weighting", "nnls", {"weight": lambda c: F.sqrt(c)}, _nnls_sql(SYSTEM.replace("o.c * o.c * x.h", "o.c * x.h").replace("c * c * o.x", "c * o.x"))),
 ]:
-    QUERIES[_name] = lambda spark, d, s=_solver, o=_options: rounded(S.solve(T.obs(spark, d), T.atlas(spark, d), s, **o))
+    QUERIES[_name] = lambda spark, d, s=_solver, o=_options, n=5 if _sql else 6: rounded(S.solve(T.obs(spark, d), T.atlas(spark, d), s, **o), n)
+    if _sql:
+        ORACLES[_name] = _sql
+
+
+_GROUPS = [["1-URGENT", "2-HIGH"], ["3-MEDIUM"], ["4-NOT SPECIFIED", "5-LOW"]]
 
 
 @query("grouped_nmf")
 def grouped_nmf(spark, d):
-    return rounded(S.grouped(T.obs(spark, d), T.atlas(spark, d), [["1-URGENT", "2-HIGH"], ["3-MEDIUM"], ["4-NOT SPECIFIED", "5-LOW"]], steps=10)[0])
+    """Groups by correlation, what is known first; to the tolerance."""
+    atlas = T.atlas(spark, d)
+    groups = A.greedy_groups(A.correlations(atlas), L.types_of(atlas), _GROUPS)
+    return rounded(S.grouped(T.obs(spark, d), atlas, groups)[0])
 
 
 @query("solve_group_variance")
 def solve_group_variance(spark, d):
-    return rounded(D.solve_with_group_variance(T.obs(spark, d), T.atlas(spark, d), [["1-URGENT", "2-HIGH"], ["3-MEDIUM"], ["4-NOT SPECIFIED", "5-LOW"]]))
+    return rounded(D.solve_with_group_variance(T.obs(spark, d), T.atlas(spark, d), _GROUPS))
 
 
 @query("distinguishability")
@@ -436,9 +469,9 @@ def uncertainty_by_epoch(spark, d):
 
 
 @query("best_worst3", sql("pairs", """, s AS (SELECT cell_type, avg((pred - truth) * (pred - truth)) AS mse FROM pairs GROUP BY cell_type), n AS (SELECT *, row_number() OVER (ORDER BY mse, cell_type) AS up, row_number() OVER (ORDER BY mse DESC, cell_type) AS down FROM s)
-SELECT cell_type, round(mse, 6) AS mse, CASE WHEN up <= 2 THEN 'best' ELSE 'worst' END AS side FROM n WHERE up <= 2 OR down <= 2"""))
+SELECT cell_type, round(mse, 6) AS mse, CASE WHEN up <= 3 THEN 'best' ELSE 'worst' END AS side FROM n WHERE up <= 3 OR down <= 3"""))
 def best_worst3(spark, d):
-    return rounded(M.best_and_worst(T.pairs(spark, d).groupBy("cell_type").agg(F.avg(M.err() * M.err()).alias("mse")), "mse", 2))
+    return rounded(M.best_and_worst(T.pairs(spark, d).groupBy("cell_type").agg(F.avg(M.err() * M.err()).alias("mse")), "mse", 3))
 
 
 @query("topk_mae", sql("pairs", "SELECT cell_type, round(avg(abs(pred - truth)), 6) AS mae FROM pairs GROUP BY cell_type ORDER BY mae DESC, cell_type LIMIT 3"))
@@ -513,19 +546,163 @@ def sim_dilution(spark, d):
 
 @query("detection_sweep")
 def detection_sweep(spark, d):
-    w = G.dilutions(spark, _TYPES, "2-HIGH", T.LEVELS, 5)
-    made = G.methylation(G.negative_binomial_coverage(L.mixture(w, T.atlas(spark, d))))
-    solved = S.solve(made, T.atlas(spark, d), "nnls", weight="none").where(F.col("cell_type") == "2-HIGH")
-    told = solved.join(w.where(F.col("cell_type") == "2-HIGH").select("sample", F.col("w").alias("truth"), F.col("replicate").alias("repeat")), "sample")
-    return M.detection_metrics(told.select("cell_type", "repeat", "truth", F.col("w").alias("pred")))
+    """Every type at eight levels, five repeats of a hundred mixtures: simulated, solved and scored."""
+    atlas = T.embedded_atlas(spark, d)
+    w = G.dilution_sweep(spark, L.types_of(atlas))
+    made = G.methylation(G.negative_binomial_coverage(L.mixture(w, atlas)))
+    truth = w.where("cell_type = target").select("sample", "dilution", F.col("target").alias("cell_type"), "repeat", F.col("w").alias("truth"))
+    told = S.solve(made, atlas, "nnls", weight="none").join(truth, ["sample", "cell_type"])
+    return M.detection_metrics(told.select("dilution", "cell_type", "repeat", "truth", F.col("w").alias("pred")), ("dilution", "cell_type"))
+
+
+_UNROLLED = {"steps": 60, "rate": 2e-5}
+
+
+@query("diffnnls_score", sql("reads uxm obs atlas", f""", {SYSTEM.replace('o.c * o.c * x.h * y.h', 'o.c * (x.h + 0.5e0) * (y.h + 0.5e0)').replace('c * c * o.x * h', 'c * o.x * (h + 0.5e0)')}, it AS (SELECT sample, 0 AS k, [0e0 FOR x IN rhs] AS w FROM sys
+UNION ALL SELECT sample, k, [x / (list_sum(v) + 1e-8) FOR x IN v] FROM (SELECT it.sample, k + 1 AS k, list_transform(range(1, len(w) + 1), lambda i: greatest(w[i] - {_UNROLLED['rate']} * (list_dot_product(gram[i], w) - rhs[i]), 0e0)) AS v FROM it JOIN sys USING (sample) WHERE k < {_UNROLLED['steps']}))
+SELECT sample, unnest(types) AS cell_type, round(unnest(w), 6) AS w FROM it JOIN sys USING (sample) WHERE k = {_UNROLLED['steps']}""", recursive=True))
+def diffnnls_score(spark, d):
+    """The unrolled solver with equal steps, its transform and corrections as they are before training."""
+    import numpy as np
+
+    o, atlas = T.obs(spark, d), T.atlas(spark, d)
+    told = A.profiles(atlas).orderBy("marker").collect()  # types x markers numbers
+    model = N.UnrolledSolver(np.array([r["profile"] for r in told], float).T, np.full(_UNROLLED["steps"], _UNROLLED["rate"]))
+    filled = R.complete(o, o, o).withColumn("x", F.coalesce("x", F.lit(0.0))).withColumn("c", F.col("c").cast("double"))
+    return rounded(model.score(N.features(filled, log_coverage=False).join(N.features(filled.withColumn("x", F.col("c")), log_coverage=False).withColumnRenamed("x", "c"), "sample"), L.types_of(atlas)))
+
+
+def _simulated(spark, d, n: int, seed: int):
+    """(sample, x, y, weight) of simulated mixtures of the embedded atlas."""
+    atlas = T.embedded_atlas(spark, d)
+    w = G.proportions(spark, n, L.types_of(atlas), seed=seed)
+    made = G.methylation(G.coverage(L.mixture(w, atlas), seed=seed), seed=seed)
+    y = w.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_type", "w"))), lambda s: s["w"]).alias("y"))
+    return N.features(made).join(y, "sample").join(R.sample_weights(w), "sample")
+
+
+def _trained(spark, d):
+    model = N.Perceptron(64, 10, 64)
+    return model, N.fit(model, _simulated(spark, d, 2000, 1), validation=_simulated(spark, d, 400, 2), epochs=15, dropout=0.2)
+
+
+@query("training_history")
+def training_history(spark, d):
+    """A perceptron trained on 2000 simulated mixtures and judged on 400: losses and rate by epoch."""
+    return spark.createDataFrame(_trained(spark, d)[1], "epoch int, rate double, train_loss double, val_loss double")
 
 
 @query("mlp_score")
 def mlp_score(spark, d):
-    o = T.obs(spark, d)
-    rows = N.features(R.complete(o, o, o))
-    markers = rows.select(F.max(F.size("x"))).first()[0]
-    return N.Perceptron(markers, 5, 32).score(rows, _TYPES)
+    """Trained on simulated mixtures, scoring others."""
+    return _trained(spark, d)[0].score(_simulated(spark, d, 500, 3), L.types_of(T.embedded_atlas(spark, d)))
+
+
+@query("predict_dilutions", sql("reads uxm obs atlas", f""", {SYSTEM}, it AS (SELECT sample, 0 AS k, [1e0 / len(rhs) FOR x IN rhs] AS w FROM sys
+UNION ALL SELECT it.sample, k + 1, list_transform(range(1, len(w) + 1), lambda i: w[i] * rhs[i] / (list_dot_product(gram[i], w) + 1e-10)) FROM it JOIN sys USING (sample) WHERE k < 60),
+w AS (SELECT sample, types, [x / list_sum(w) FOR x IN w] AS w FROM it JOIN sys USING (sample) WHERE k = 60), u AS (SELECT sample, unnest(types) AS cell_type, unnest(w) AS w FROM w)
+SELECT 'd0.0' || (substr(sample, 2)::INT % 5) || '_' || substr(sample, 2) AS sample, ('0.0' || (substr(sample, 2)::INT % 5))::DOUBLE AS dilution, substr(sample, 2)::INT AS replicate, round(w, 6) AS contribution FROM u WHERE cell_type = '2-HIGH' ORDER BY dilution, replicate""", recursive=True))
+def predict_dilutions(spark, d):
+    """Estimates of samples with dilution names, one type, in order of dilution and replicate."""
+    n = F.substring("sample", 2, 9)
+    named = L.unpacked(L.multiplicative_updates(systems(spark, d), 60)).withColumn("sample", F.concat(F.lit("d0.0"), (n.cast("int") % 5).cast("string"), F.lit("_"), n))
+    return rounded(M.dilution_frame(named, "2-HIGH"))
+
+
+@query("fraction_hist", sql("reads uxm obs", "SELECT sample, least(floor(x * 50), 49)::INT AS bin, count(*) AS n, round(least(floor(x * 50), 49) * 0.02e0, 6) AS lo FROM obs WHERE x IS NOT NULL GROUP BY ALL"))
+def fraction_hist(spark, d):
+    return rounded(M.histogram(T.obs(spark, d), ["sample"], "x"))
+
+
+@query("checked_predictions", sql("reads uxm obs prop", "SELECT sample, cell_type, round(w, 6) AS truth, round(w, 6) AS pred FROM prop"))
+def checked_predictions(spark, d):
+    prop = T.prop(spark, d)
+    R.checked(prop, T.obs(spark, d))
+    return rounded(M.checked_pairs(prop, prop))
+
+
+# Files ---------------------------------------------------------------------------------------------
+
+
+def _sites(df):
+    """Coordinates of a marker by a rule: chromosome, start, end, startCpG, endCpG."""
+    at = F.crc32(F.col("marker").cast("binary")) % 100000
+    told = [F.lit("chr1").alias("chr"), at.cast("int").alias("start"), (at + 50).cast("int").alias("end"), (at * 2).cast("int").alias("startCpG"), (at * 2 + 5).cast("int").alias("endCpG")]
+    return df.select(*told, "*")
+
+
+@query("atlas_file", sql("reads atlas", "SELECT marker, cell_type, round(h, 6) AS h FROM atlas"))
+def atlas_file(spark, d):
+    """A marker table written as TSV (eight columns of metadata, NA for NULL) and read back."""
+    atlas = T.atlas(spark, d)
+    wide = _sites(A.to_wide(atlas, ["marker", "direction"], L.types_of(atlas))).select("chr", "start", "end", "startCpG", "endCpG", F.lit("t").alias("target"), F.col("marker").alias("name"), "direction", *L.types_of(atlas))
+    path = files.shared_folder(spark, "atlas")
+    wide.write.csv(path, sep="\t", header=True, nullValue="NA")
+    return rounded(files.read_atlas(spark, path).select("marker", "cell_type", "h"))
+
+
+@query("count_files", sql("reads uxm", "SELECT sample, u::INT AS u, x::INT AS x, m::INT AS m, count(*) AS n FROM uxm GROUP BY ALL"))
+def count_files(spark, d):
+    """Count tables, a gzipped file a sample, found by name and read in one scan."""
+    path = files.shared_folder(spark, "counts")
+    rows = _sites(T.uxm(spark, d)).select("chr", "start", "end", "startCpG", "endCpG", "u", "x", "m", "sample")
+    rows.withColumn("s", F.col("sample")).drop("sample").repartition("s").write.partitionBy("s").option("compression", "gzip").csv(path, sep="\t")
+    read = spark.read.schema(files.COUNTS).csv(path, sep="\t", comment="#", mode="FAILFAST", recursiveFileLookup=True)
+    named = read.select("u", "x", "m", F.regexp_extract(F.col("_metadata.file_path"), "s=([^/]+)", 1).alias("sample"))
+    return files.some(named, "counts").groupBy("sample", "u", "x", "m").agg(F.count("*").alias("n"))
+
+
+@query("stale_samples", "SELECT 's' || i AS sample FROM range(0, 20) r(i) WHERE i % 3 = 0 OR i % 3 = 1 AND i < 10")
+def stale_samples(spark, d):
+    """Samples without a cache, or with one that is older than their file."""
+    there = spark.range(20).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sample"), F.timestamp_seconds(F.lit(1000) + F.col("id")).alias("modified"), F.col("id"))
+    cached = there.where("id % 3 <> 0").select("sample", F.when((F.col("id") % 3 == 1) & (F.col("id") < 10), F.timestamp_seconds(F.lit(10))).otherwise(F.timestamp_seconds(F.lit(9999))).alias("cached_at"))
+    return files.stale(there, cached).select("sample")
+
+
+@query("dataset_round_trip", sql("reads uxm obs", "SELECT 'train' AS split, sample, marker, round(x, 6) AS x, c FROM obs WHERE substr(sample, 2)::INT % 2 = 0"))
+def dataset_round_trip(spark, d):
+    """A dataset written by split; one split read back."""
+    path = files.shared_folder(spark, "dataset")
+    split = F.when(F.substring("sample", 2, 9).cast("int") % 2 == 0, "train").otherwise("val")
+    files.write_dataset({"obs": T.obs(spark, d).withColumn("split", split), "prop": T.prop(spark, d).withColumn("split", split), "atlas": T.atlas(spark, d)}, path)
+    return rounded(files.read_dataset(spark, path, "train")["obs"].select("split", "sample", "marker", "x", "c"))
+
+
+@query("estimates_csv", sql("reads prop", "SELECT cell_type, sample, round(w, 6) AS w FROM prop"))
+def estimates_csv(spark, d):
+    """Estimates as a wide CSV, a column a sample, read back as rows."""
+    path = files.shared_folder(spark, "estimates")
+    wide = T.prop(spark, d).groupBy(F.col("cell_type").alias("CellType")).pivot("sample", [f"s{i}" for i in range(20)]).agg(F.first("w"))
+    files.write_report(wide, path)
+    return rounded(files.read_estimates_csv(spark, path).where("w IS NOT NULL"))
+
+
+@query("reports", sql("results", "SELECT form, dilution, n FROM (SELECT dilution, count(*) AS n FROM results GROUP BY dilution), (SELECT unnest(['csv', 'json', 'parquet']) AS form)"))
+def reports(spark, d):
+    """A table written in each form of report and read back."""
+    told = T.results(spark, d).groupBy("dilution").agg(F.count("*").alias("n"))
+    out = None
+    for form in ("csv", "json", "parquet"):
+        path = files.shared_folder(spark, form)
+        files.write_report(told, path, form)
+        reader = spark.read.schema("dilution double, n long")
+        read = (reader.csv(path, header=True) if form == "csv" else getattr(reader, form)(path)).select(F.lit(form).alias("form"), "dilution", "n")
+        out = read if out is None else out.unionAll(read)
+    return out
+
+
+@query("read_classes", """WITH r AS (SELECT 's' || (l_suppkey % 20) AS sample, (l_orderkey * 7 % 5000) AS first, (l_orderkey * 7 % 5000) + l_linenumber + 2 AS last, l_quantity::INT % (l_linenumber + 3) AS methylated, l_linenumber + 3 AS n_sites FROM lineitem),
+m AS (SELECT 'm' || i AS marker, CASE WHEN i % 2 = 0 THEN 'U' ELSE 'M' END AS direction, i * 50 AS a, i * 50 + 20 AS z FROM range(0, 100) t(i)), j AS (SELECT sample, marker, direction, methylated::DOUBLE / n_sites AS s FROM r JOIN m ON first < z AND last >= a WHERE n_sites >= 4)
+SELECT sample, marker, direction, count_if(s <= 0.25)::BIGINT AS u, count_if(s > 0.25 AND s < 0.75)::BIGINT AS x, count_if(s >= 0.75)::BIGINT AS m FROM j GROUP BY ALL""")
+def read_classes(spark, d):
+    """Reads met with markers by an interval join, classed by their methylated share."""
+    l = T.load(spark, d, "lineitem")  # noqa: E741
+    first = F.col("l_orderkey") * 7 % 5000
+    rows = l.select(F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("sample"), F.lit("chr1").alias("chr"), first.alias("first"), (first + F.col("l_linenumber") + 2).alias("last"), (F.col("l_quantity").cast("int") % (F.col("l_linenumber") + 3)).alias("methylated"), (F.col("l_linenumber") + 3).alias("n_sites"))
+    i = F.col("id")
+    markers = spark.range(100).select(F.lit("chr1").alias("chr"), F.concat(F.lit("m"), i.cast("string")).alias("marker"), F.when(i % 2 == 0, "U").otherwise("M").alias("direction"), (i * 50).alias("startCpG"), (i * 50 + 20).alias("endCpG"))
+    return R.classify(rows, markers)
 
 
 @query("resample")

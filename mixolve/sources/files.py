@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +33,13 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", sample_name(F.col("_metadata.file_path")).alias("sample"))
 
 
+def some(rows: DataFrame, what: str) -> DataFrame:
+    """rows, or an error that names what is missing."""
+    if not rows.limit(1).count():
+        raise ValueError(f"no {what}")
+    return rows
+
+
 def find_samples(spark: SparkSession, folder: str, pattern: str = "*.pat.gz") -> DataFrame:
     """(path, sample, modified) of a folder's sample files, once each, in order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("modificationTime").alias("modified"))
@@ -77,3 +88,20 @@ def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
 def track(spark: SparkSession, path: str, step: int, values: dict[str, float]) -> None:
     """Append (step, name, value) rows to a metrics table."""
     spark.createDataFrame([(step, k, float(v)) for k, v in values.items()], "step long, name string, value double").write.mode("append").parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or where all runs in one process a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="mixolve-")
+    return f"{named}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: df as a Parquet table in the shared folder."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -176,3 +176,53 @@ def test_command_line(spark, tmp_path):
         main(["dilutions", str(tmp_path / "est"), "Z", str(tmp_path / "dil2")])
     main(["limits", str(tmp_path / "atlas.tsv"), str(tmp_path / "lim")])
     assert spark.read.csv(str(tmp_path / "lim"), header=True).count() == 150
+
+
+def test_correlation_and_r2_of_small_spread(spark):
+    from mixolve.functions.expressions import correlation, r2
+
+    near = [("a", 0.9 + i * 1e-9, float(i)) for i in range(50)] + [("b", 1.0, 1.0), ("b", 1.0000000000000002, 2.0)] + [("c", 0.5, 1.0), ("c", 0.5, 2.0)] + [("d", 1.0, 1.0)] + [("e", None, 1.0), ("e", 1.0, None)]
+    df = spark.createDataFrame(near, "k string, x double, y double")
+    got = {r.k: r for r in df.groupBy("k").agg(correlation("x", "y").alias("c"), r2("x", "x").alias("r")).collect()}
+    assert abs(got["a"].c - 1) < 1e-6 and abs(got["b"].c - 1) < 1e-6 and got["c"].c is None and got["d"].c is None and got["e"].c is None
+    assert got["a"].r == 1 and got["b"].r == 1 and got["c"].r is None
+
+
+def test_ultra_low_shares_are_capped_before_their_sum(spark):
+    from mixolve.operators.simulate import proportions
+
+    shares = {}
+    for r in proportions(spark, 400, list("abcde")).where("stratum = 'Ultra-low'").collect():
+        shares.setdefault(r.sample, []).append(r.w)
+    assert shares and all(abs(sum(w) - 1) < 1e-9 for w in shares.values())
+    assert sum(max(w) < 0.51 for w in shares.values()) > 0.9 * len(shares)  # most have two types or more at the cap
+
+
+def test_what_must_be_raised(spark):
+    import pytest
+
+    from mixolve.operators import atlas, metrics, reads
+    from mixolve.sources import files
+
+    none = spark.createDataFrame([("m", "a", None)], "marker string, cell_type string, h double")
+    prop = spark.createDataFrame([("s", "a", 0.4)], "sample string, cell_type string, w double")
+    obs = spark.createDataFrame([("s", "m", 0.5, 3)], "sample string, marker string, x double, c long")
+    for bad in (lambda: atlas.some_markers(none), lambda: reads.checked(prop, obs), lambda: reads.checked(prop.limit(0), obs), lambda: metrics.dilution_frame(prop, "z"), lambda: metrics.checked_pairs(prop, prop.limit(0)), lambda: files.some(obs.limit(0), "rows")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_orders_stamps_and_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from mixolve.functions.expressions import bucket, cache_name, time_stamp
+    from mixolve.operators import reads
+
+    one = spark.createDataFrame([("a/b",)], "p string").select(cache_name("p"), time_stamp(F.lit("2024-05-06 07:08:09").cast("timestamp")), time_stamp()).first()
+    assert one[0] == __import__("hashlib").md5(b"a/b").hexdigest()[:8] and one[1] == "20240506_070809" and len(one[2]) == 15
+    df = spark.createDataFrame([(float(x),) for x in (0, 0.019, 0.02, 1, 1.1)] + [(None,)], "x double")
+    assert [r[0] for r in df.select(bucket("x", 0, 1, 50)).collect()] == [0, 0, 1, 49, None, None]
+    rows = spark.createDataFrame([("chr2", 1, 2, 3, 4), ("chr1", 5, 6, 7, 8), ("chr1", 1, 2, 3, 4)], "chr string, start int, end int, startCpG int, endCpG int")
+    assert [(r.chr, r.start) for r in reads.in_site_order(rows).collect()] == [("chr1", 1), ("chr1", 5), ("chr2", 1)]
+    mixed = [[r.start for r in reads.shuffled(spark.range(30).selectExpr("id AS start").repartition(n), "start").collect()] for n in (1, 4)]
+    assert mixed[0] == mixed[1] != sorted(mixed[0]) and sorted(mixed[0]) == list(range(30))
