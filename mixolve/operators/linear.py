@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,22 +19,6 @@ def mixture(prop: DataFrame, atlas: DataFrame) -> DataFrame:
     return prop.join(atlas, "cell_type").groupBy("sample", "marker").agg(F.sum(F.col("w") * F.col("h")).alias("mix"))
 
 
-def _moments(rows: DataFrame, atlas: DataFrame, schema: str, sums: Callable[[np.ndarray, np.ndarray], Iterator[tuple]]) -> DataFrame:
-    """Join (sample, marker, u) with profiles and sum by sample, first within each batch of rows: `sums` takes (u, profiles) of one sample."""
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        for frame in frames:
-            out = []
-            if len(frame):
-                h, u = np.stack(frame["profile"].to_numpy()).astype(float), frame["u"].to_numpy(float)
-                for sample, at in frame.groupby("sample").indices.items():
-                    out += [(sample, *told) for told in sums(u[at], h[at])]
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.join(profiles(atlas), "marker").select("sample", "u", "profile").mapInPandas(run, schema)
-
-
 def types_of(atlas: DataFrame) -> list[str]:
     """Names of the cell types in order: one a column of the problem."""
     return [r["cell_type"] for r in atlas.select("cell_type").distinct().orderBy("cell_type").collect()]
@@ -43,29 +28,65 @@ def _name(types: list[str], number: str) -> Column:
     return F.element_at(F.array(*map(F.lit, types)), F.col(number) + 1)
 
 
-def gram(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0") -> DataFrame:
-    """(sample, a, b, g) for a <= b: sums over markers of weight^2 h_a h_b. Markers without coverage add nothing, unless `seen` says so.
+def sums_by_sample(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0", block: int = 100_000) -> DataFrame:
+    """(sample, gram, rhs): sums over markers of weight^2 h_a h_b (K x K, flat) and weight^2 h_a x, types in order.
 
-    A batch of rows is summed to K x K numbers a sample where it lies; only these are shuffled.
+    Only (marker, weight, x) of each observation is shuffled, by sample; a task then sums one sample after the other against
+    the profiles, which are sent in blocks of at most some `block` markers, one pass a block.
     """
-    types = types_of(atlas)
-    a, b = np.triu_indices(len(types))
+    spark, k = obs.sparkSession, len(types_of(atlas))
+    told = profiles(atlas)
+    blocks = 1 + told.count() // block
+    rows = obs.where(seen).select("sample", "marker", (weight * weight).cast("double").alias("u"), (weight * weight * F.coalesce("x", F.lit(0.0))).cast("double").alias("v"))
+    rows = rows.repartition("sample").sortWithinPartitions("sample")
+    parts = []
+    for n in range(blocks):
+        some = told.where(F.pmod(F.xxhash64("marker"), F.lit(blocks)) == n).collect()  # block markers at most, but for chance
+        sent = spark.sparkContext.broadcast(({r["marker"]: i for i, r in enumerate(some)}, np.array([r["profile"] for r in some], float).reshape(-1, k)))
+
+        def run(frames: Iterable[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            index, matrix = sent.value
+            now, q, r = None, np.zeros((k, k)), np.zeros(k)
+            for frame in frames:
+                out = []
+                at = frame["marker"].map(index).to_numpy(float)
+                known = ~np.isnan(at)
+                h, names = matrix[at[known].astype(np.int64)], frame["sample"].to_numpy()[known]
+                u, v = frame["u"].to_numpy()[known], frame["v"].to_numpy()[known]
+                cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(names)]):
+                    if a == b:
+                        continue
+                    if names[a] != now:
+                        if now is not None:
+                            out.append((now, q.ravel().tolist(), r.tolist()))
+                        now, q, r = names[a], np.zeros((k, k)), np.zeros(k)
+                    q += (h[a:b] * u[a:b, None]).T @ h[a:b]
+                    r += v[a:b] @ h[a:b]
+                yield pd.DataFrame(out, columns=["sample", "gram", "rhs"])
+            if now is not None:
+                yield pd.DataFrame([(now, q.ravel().tolist(), r.tolist())], columns=["sample", "gram", "rhs"])
+
+        parts.append(rows.mapInPandas(run, "sample string, gram array<double>, rhs array<double>"))
+    if blocks == 1:
+        return parts[0]
+    each = reduce(DataFrame.unionAll, parts).select("sample", F.posexplode(F.concat("gram", "rhs")).alias("i", "v")).groupBy("sample", "i").agg(F.sum("v").alias("v"))
+    whole = each.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("s"))
+    return whole.select("sample", F.slice("s", 1, k * k).alias("gram"), F.slice("s", k * k + 1, k).alias("rhs"))
 
-    def sums(u: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
-        g = (h * u[:, None]).T @ h
-        return zip(a.tolist(), b.tolist(), g[a, b].tolist())
 
-    rows = obs.where(seen).select("sample", "marker", (weight * weight).cast("double").alias("u"))
-    parts = _moments(rows, atlas, "sample string, i int, j int, g double", sums)
-    return parts.groupBy("sample", "i", "j").agg(F.sum("g").alias("g")).select("sample", _name(types, "i").alias("a"), _name(types, "j").alias("b"), "g")
+def gram(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0") -> DataFrame:
+    """(sample, a, b, g) for a <= b: sums over markers of weight^2 h_a h_b. Markers without coverage add nothing, unless `seen` says so."""
+    types = types_of(atlas)
+    rows = sums_by_sample(obs, atlas, weight, seen).select("sample", F.posexplode("gram").alias("n", "g"))
+    rows = rows.select("sample", F.floor(F.col("n") / len(types)).cast("int").alias("i"), (F.col("n") % len(types)).alias("j"), "g").where("i <= j")
+    return rows.select("sample", _name(types, "i").alias("a"), _name(types, "j").alias("b"), "g")
 
 
 def gram_rhs(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0") -> DataFrame:
-    """(sample, a, r): sums over markers of weight^2 h_a x, summed where rows lie as in gram."""
+    """(sample, a, r): sums over markers of weight^2 h_a x."""
     types = types_of(atlas)
-    rows = obs.where(seen).select("sample", "marker", (weight * weight * F.coalesce("x", F.lit(0.0))).cast("double").alias("u"))
-    parts = _moments(rows, atlas, "sample string, i int, r double", lambda u, h: enumerate((u @ h).tolist()))
-    return parts.groupBy("sample", "i").agg(F.sum("r").alias("r")).select("sample", _name(types, "i").alias("a"), "r")
+    return sums_by_sample(obs, atlas, weight, seen).select("sample", F.posexplode("rhs").alias("i", "r")).select("sample", _name(types, "i").alias("a"), "r")
 
 
 def systems(g: DataFrame, r: DataFrame) -> DataFrame:

@@ -62,14 +62,26 @@ def coverage(mixes: DataFrame, *, mean: float = 5.0, spread: float = 1.0, factor
     return mixes.withColumn("c", F.when(u("sample", "marker", salt="drop") < rate, 0).otherwise(F.bround(grown)).cast("long"))
 
 
+def uniforms(keys: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n uniform draws for each key (a 64-bit hash), mixed from key, number and seed, so that batches don't matter."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1342543DE82EF95)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
 def methylation(covered: DataFrame, *, seed: int = 42) -> DataFrame:
-    """(sample, marker, x, c): binomial shares of c reads at probability mix; NULL without reads."""
+    """(sample, marker, x, c): binomial shares of c reads at probability mix, a draw a read; NULL without reads."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            n, p = frame["c"].to_numpy(), frame["mix"].clip(0, 1).to_numpy()
-            hits = [np.random.default_rng([seed, int(k) & (1 << 63) - 1]).binomial(a, b) if a else 0 for k, a, b in zip(frame["key"], n, p)]
-            yield pd.DataFrame({"sample": frame["sample"], "marker": frame["marker"], "x": np.where(n > 0, np.array(hits) / np.maximum(n, 1), np.nan), "c": n})
+            n, p, hits = frame["c"].to_numpy(), frame["mix"].clip(0, 1).to_numpy(), np.zeros(len(frame))
+            order = np.argsort(n, kind="stable")
+            for at in np.array_split(order, max(1, len(order) // 500)):  # rows of like coverage together
+                most = int(n[at].max(initial=0))
+                hits[at] = ((uniforms(frame["key"].to_numpy()[at], most, seed) < p[at][:, None]) & (np.arange(most) < n[at][:, None])).sum(axis=1)
+            yield pd.DataFrame({"sample": frame["sample"], "marker": frame["marker"], "x": np.where(n > 0, hits / np.maximum(n, 1), np.nan), "c": n})
 
     keyed = covered.select("sample", "marker", "mix", "c", F.xxhash64("sample", "marker").alias("key"))
     made = keyed.mapInPandas(run, "sample string, marker string, x double, c long")
@@ -111,18 +123,11 @@ def dilution_sweep(spark: SparkSession, types: list[str], *, levels: tuple = SWE
     return spark.range(k * len(levels) * each).mapInPandas(run, "sample string, dilution double, target string, repeat int, cell_type string, w double")
 
 
-def negative_binomial_coverage(mixes: DataFrame, *, mean: float = 30.0, r: float = 5.0, empty: float = 0.1, seed: int = 42) -> DataFrame:
-    """Coverage by a gamma-Poisson draw; a share `empty` of the cells has none."""
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            draws = []
-            for k in frame["key"]:
-                rng = np.random.default_rng([seed, int(k) & (1 << 63) - 1])
-                draws.append(0 if rng.random() < empty else int(rng.poisson(rng.gamma(r, mean / r))))
-            yield frame.assign(c=draws)[["sample", "marker", "mix", "c"]]
-
-    return mixes.select("sample", "marker", "mix", F.xxhash64("sample", "marker").alias("key")).mapInPandas(run, "sample string, marker string, mix double, c long")
+def negative_binomial_coverage(mixes: DataFrame, *, mean: float = 30.0, r: int = 5, empty: float = 0.1, seed: int = 42) -> DataFrame:
+    """Coverage by a negative binomial draw, the sum of r geometric ones; a share `empty` of the cells has none."""
+    u = lambda salt: (F.pmod(F.xxhash64("sample", "marker", F.lit(f"{seed}cover{salt}")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    waits = [F.floor(F.log(u(i)) / float(np.log(mean / (mean + r)))) for i in range(r)]
+    return mixes.select("sample", "marker", "mix", F.when(u("empty") < empty, 0).otherwise(sum(waits[1:], waits[0])).cast("long").alias("c"))
 
 
 def sample_grid(spark: SparkSession, levels: list[str] = ("0", "1e-04", "0.001", "0.005", "0.01", "0.05", "0.1"), repeats: int = 100) -> DataFrame:

@@ -186,11 +186,11 @@ def solve(obs: DataFrame, atlas: DataFrame, solver: str | Callable = "nnls", *,
         run, usual = OF_SUMS[solver]
         u = (WEIGHTS[weight or usual] if not callable(weight) else weight)(F.col("c"))
         filled = obs.withColumn("x", F.coalesce(F.when(F.col("c") > 0, F.col("x")), F.lit(0.0)))
-        told = linear.systems(linear.gram(filled, atlas, u, F.lit(True)), linear.gram_rhs(filled, atlas, u, F.lit(True)))
+        told = linear.sums_by_sample(filled, atlas, u, F.lit(True))
 
         def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                w = [run(np.stack(g).astype(float), np.asarray(r, float), **options) for g, r in zip(frame["gram"], frame["rhs"])]
+                w = [run(np.asarray(g, float).reshape(-1, len(types)), np.asarray(r, float), **options) for g, r in zip(frame["gram"], frame["rhs"])]
                 yield pd.DataFrame({"sample": np.repeat(frame["sample"].to_numpy(), len(types)), "cell_type": types * len(frame), "w": np.concatenate(w) if w else np.zeros(0)})
 
         return told.mapInPandas(each, "sample string, cell_type string, w double")
@@ -212,8 +212,8 @@ def solve(obs: DataFrame, atlas: DataFrame, solver: str | Callable = "nnls", *,
 def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps: int = 1000, tolerance: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
     """Grouped factorisation x ~ A B h: A per sample over groups, B shared by all samples within groups.
 
-    Multiplicative updates, A first, then B, each divided by its sum; ends when the loss after both changes by less than
-    tolerance. A sample is its K x K sums, formed once by Spark, and its row of A; a step maps them to the new A, of which
+    Multiplicative updates, A first, then B by the mixtures before A's step, each divided by its sum; ends when the loss after both changes
+    by less than tolerance, or by less than single precision tells. A sample is its K x K sums, formed once by Spark, and its row of A; a step maps them to the new A, of which
     only sums of (groups x types) numbers reach the driver. A's rows are written to storage each twenty
     steps, so a step never goes back further than that. Returns (sample, cell_type, w) and B.
     """
@@ -221,26 +221,27 @@ def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps:
     k, m = len(types), len(groups)
     inside = np.array([[t in g for t in types] for g in groups], float)
     b = inside / inside.sum(axis=1, keepdims=True)
-    told = linear.systems(linear.gram(obs, atlas, F.lit(1.0)), linear.gram_rhs(obs, atlas, F.lit(1.0)))
+    told = linear.sums_by_sample(obs, atlas, F.lit(1.0))
     squares = obs.where("c > 0").groupBy(F.col("sample").alias("s")).agg(F.sum(F.col("x") * F.col("x")).alias("xx"))
-    rows = told.join(squares, F.col("sample") == F.col("s")).select("sample", F.flatten("gram").alias("q"), "rhs", "xx", F.array(*[F.lit(1.0 / m)] * m).alias("a"))
+    rows = told.join(squares, F.col("sample") == F.col("s")).select("sample", F.col("gram").alias("q"), "rhs", "xx", F.array(*[F.lit(1.0 / m)] * m).alias("a"))
     now = written(rows, "grouped")
 
-    def moved(frame: pd.DataFrame, past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(A after a step for each B of past, sums, right sides) of a frame of samples."""
+    def moved(frame: pd.DataFrame, past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A after a step for each B of past, A before the last step, sums, right sides) of a frame of samples."""
         a, q, r = (np.stack(frame[c].to_numpy()).astype(float) for c in ("a", "q", "rhs"))
-        q = q.reshape(-1, k, k)
+        q, before = q.reshape(-1, k, k), a
         for old in past:
+            before = a
             a = a * (r @ old.T) / (np.einsum("nk,nkl,gl->ng", a @ old, q, old) + 1e-10)
             a = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-12)
-        return a, q, r
+        return a, before, q, r
 
     def sums(past: list[np.ndarray]) -> np.ndarray:
         def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if len(frame):
-                    a, q, r = moved(frame, past)
-                    up, down = a.T @ r, np.einsum("ng,nkl,nl->gk", a, q, a @ past[-1])
+                    a, before, q, r = moved(frame, past)
+                    up, down = a.T @ r, np.einsum("ng,nkl,nl->gk", a, q, before @ past[-1])
                     pairs = np.einsum("ng,nkl,nh->ghkl", a, q, a)  # with B, the loss after its step
                     flat = np.concatenate([up.ravel(), down.ravel(), pairs.ravel(), [frame["xx"].sum()]])
                     yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
@@ -258,7 +259,7 @@ def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps:
         b = b * inside * up / (down + 1e-10)
         b = b / np.maximum(b.sum(axis=1, keepdims=True), 1e-12)
         loss = float(xx - 2 * (b * up).sum() + np.einsum("gk,ghkl,hl->", b, pairs, b))
-        done = last is not None and abs(last - loss) < tolerance
+        done = last is not None and abs(last - loss) < max(tolerance, loss * 2.0**-24 if tolerance else 0)
         last = loss
         if done or len(past) == 20 or step == steps - 1:
             ready = list(past)
@@ -271,6 +272,7 @@ def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps:
             now, past = written(now.mapInPandas(forward, rows.schema), "grouped"), []
         if done:
             break
+    grouped.steps = step + 1 if steps else 0
     spread = F.explode(F.arrays_zip(F.array(*map(F.lit, types)).alias("cell_type"), F.array(*[sum((F.col("a")[g] * float(b[g, t]) for g in range(m)), F.lit(0.0)) for t in range(k)]).alias("w")))
     return now.select("sample", spread.alias("z")).select("sample", "z.cell_type", "z.w"), b
 

@@ -353,10 +353,10 @@ _GROUPS = [["1-URGENT", "2-HIGH"], ["3-MEDIUM"], ["4-NOT SPECIFIED", "5-LOW"]]
 
 @query("grouped_nmf")
 def grouped_nmf(spark, d):
-    """Groups by correlation, what is known first; to the tolerance."""
+    """Groups by correlation, what is known first; forty steps, of which each is a pass over the samples."""
     atlas = T.atlas(spark, d)
     groups = A.greedy_groups(A.correlations(atlas), L.types_of(atlas), _GROUPS)
-    return rounded(S.grouped(T.obs(spark, d), atlas, groups)[0])
+    return rounded(S.grouped(T.obs(spark, d), atlas, groups, steps=40)[0])
 
 
 @query("solve_group_variance")
