@@ -19,8 +19,8 @@ from pyspark.sql import Window as W
 
 from mixolve.llm.common import scratch_path
 
-#: Parquet layout: token IDs dictionary-coded (a vocabulary fits one dictionary page), counters
-#: delta-coded (writer v2), row groups and pages small enough to skip by the page index.
+#: Parquet layout (writer v2): token IDs dictionary-coded (a vocabulary fits one dictionary page), id and
+#: start_in_part delta-coded, n_tokens dictionary-coded where it repeats, row groups and pages small enough to skip by the page index.
 LAYOUT = {
     "parquet.writer.version": "v2",
     "parquet.block.size": str(32 << 20),
@@ -179,8 +179,9 @@ _encoders: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """This worker's encoder; it lives as long as the worker, so that tasks share its cache."""
+    """This worker's encoder, one at a time; it lives as long as the worker, so that tasks share its cache."""
     if (path, spaced) not in _encoders:
+        _encoders.clear()
         _encoders[path, spaced] = Encoder(path, spaced)
     return _encoders[path, spaced]
 
