@@ -67,12 +67,12 @@ class GrayTree:
 
     A node is known by the AND and the OR of what is below: bits where these agree are its pattern.
     Going down, only bits that the parent didn't already share are compared and their differences
-    added up; a group whose sum is over the limit is left with all below it. A leaf is a
-    fingerprint or, in the upper tree, a whole part of the index.
+    added up; a group whose sum is over the limit, or that differs in a bit of `lead`, is left with
+    all below it. A leaf is a fingerprint or, in the upper tree, a whole part of the index.
     """
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, fan: int = 8):
-        self.fan = fan
+    def __init__(self, low: np.ndarray, high: np.ndarray, fan: int = 8, lead: int = 0):
+        self.fan, self.lead = fan, np.uint64(lead)
         self.levels = [(low.astype(np.uint64), high.astype(np.uint64))]
         while len(self.levels[-1][0]) > fan:
             a, o = self.levels[-1]
@@ -95,8 +95,9 @@ class GrayTree:
     def _down(self, queries, level, q, node, sums, known, limit, most):
         a, o = self.levels[level]
         shared = ~(a[node] ^ o[node])
-        sums = sums + np.bitwise_count((queries[q] ^ a[node]) & shared & ~known)
-        near = sums <= limit
+        apart = (queries[q] ^ a[node]) & shared & ~known
+        sums = sums + np.bitwise_count(apart)
+        near = (sums <= limit) & (apart & self.lead == 0)
         q, node, sums, shared = q[near], node[near], sums[near], shared[near]
         if level == 0:
             if len(q):
@@ -124,54 +125,77 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def turns(limit: int) -> list[tuple[int, int]]:
+    """(bits to turn left by, mask of leading bits) of each table: the leading bits of limit + 1 tables share out the 64."""
+    cuts = [64 * t // (limit + 1) for t in range(limit + 2)]
+    return [(at, ((1 << (end - at)) - 1) << (64 - end + at)) for at, end in zip(cuts, cuts[1:])]
+
+
+def turned(fp: Column, by: int) -> Column:
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
+
+
 def near_edges(codes: DataFrame, limit: int = 2, part_rows: int | None = None) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp, distinct, not null) within `limit` bits.
 
-    The fingerprints are dealt into parts by ranges of Gray rank. The bits that an eighth of a part
+    There are limit + 1 tables, each with the fingerprints turned so that other bits lead. At most `limit`
+    bits differ, so in one table at least two near fingerprints agree in all leading bits, and stand
+    in the same run of its Gray order: a table is searched for those alone. So a fingerprint visits
+    few parts however many there are. Each table is dealt into parts by ranges of Gray rank. The bits that an eighth of a part
     shares form the leaves of an upper tree, which is sent to all; it tells each fingerprint which
     parts it must visit. A part has part_rows fingerprints, or by default the square root of their
-    number (2000 at least), so the upper tree has no more than some eight times that root of rows. In a part the residents build a tree of their own and visitors stream through it.
+    number (8000 at least), so the upper trees have no more than some eight times that root of rows a table. In a part the residents build a tree of their own and visitors stream through it.
     Residents that are linked are merged in place, so a dense group gives an edge a member and not
     an edge a pair.
     """
     spark = codes.sparkSession
     n = codes.count()
-    part_rows = part_rows or max(2000, math.isqrt(n))
-    parts, eighth = max(1, -(-n // part_rows)), max(1, part_rows // 8)
-    schema = "part int, visit boolean, fp long"
+    part_rows = part_rows or max(8000, math.isqrt(n))
+    tables = turns(limit)
+    parts, eighth = max(1, -(-n // part_rows)) * len(tables), max(1, part_rows // 8)
+    schema = "part long, visit boolean, fp long"
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
+        task, at = TaskContext.get().partitionId(), 0
         for b in batches:
+            part = task * len(tables) + b.column("t").to_numpy().astype(np.int64)  # a task may hold the end of one table and the start of the next
             leaf = np.arange(at, at + b.num_rows, dtype=np.int64) // eighth
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(leaf), b.column("fp")], names=["part", "leaf", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(leaf), b.column("fp")], names=["part", "leaf", "fp"])
             at += b.num_rows
 
-    dealt = codes.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank").select("fp")
-    home = scratch(dealt.mapInArrow(number, "part int, leaf long, fp long"), "gray-parts")
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), turned(F.col("fp"), by).alias("fp")) for t, (by, _) in enumerate(tables)])).alias("c")
+    dealt = codes.select(each).select("c.t", "c.fp", gray_rank(F.col("c.fp")).alias("rank")).repartitionByRange(parts, "t", "rank").sortWithinPartitions("t", "rank").select("t", "fp")
+    home = scratch(dealt.mapInArrow(number, "part long, leaf long, fp long"), "gray-parts")
     leaves = home.groupBy("part", "leaf").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o"))
-    roots = [(r["part"], r["a"], r["o"]) for r in sorted(leaves.collect(), key=lambda r: (r["part"], r["leaf"]))]  # some eight rows a part
-    sent = spark.sparkContext.broadcast((np.array([r[0] for r in roots], np.int32), np.array([r[1] for r in roots], np.int64).view(np.uint64), np.array([r[2] for r in roots], np.int64).view(np.uint64)))
+    roots = np.array([(r["part"], r["a"], r["o"]) for r in sorted(leaves.collect(), key=lambda r: (r["part"], r["leaf"]))], np.int64).reshape(-1, 3)  # some eight rows a part
+    sent = spark.sparkContext.broadcast(roots)
 
     def visits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, low, high = sent.value
-        tree = GrayTree(low, high)
+        all_leaves = sent.value
+        upper = []
+        for t, (_, lead) in enumerate(tables):
+            of = all_leaves[all_leaves[:, 0] % len(tables) == t]
+            upper.append((of[:, 0], GrayTree(of[:, 1].view(np.uint64), of[:, 2].view(np.uint64), lead=lead)))
         for b in batches:
-            fps = b.column("fp").to_numpy()
-            own = b.column("part").to_numpy()
-            for q, leaf in tree.search(fps.view(np.uint64), limit):
-                q, there = np.unique(np.stack([q, numbers[leaf].astype(np.int64)]), axis=1)
-                here = own[q]  # of two parts one visits the other: which, alternates, so parts have like shares
-                go = (there != here) & ((there > here) == ((there + here) % 2 == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(there[go].astype(np.int32)), pa.array(np.ones(int(go.sum()), bool)), pa.array(fps[q[go]])], names=["part", "visit", "fp"])
+            every, home_of = b.column("fp").to_numpy(), b.column("part").to_numpy()
+            for t, (numbers, tree) in enumerate(upper):
+                mine = home_of % len(tables) == t
+                fps, own = every[mine], home_of[mine]
+                for q, leaf in tree.search(fps.view(np.uint64), limit):
+                    q, there = np.unique(np.stack([q, numbers[leaf]]), axis=1)
+                    here = own[q]  # of two parts one visits the other: which, alternates, so parts have like shares
+                    go = (there != here) & ((there > here) == ((there // len(tables) + here // len(tables)) % 2 == 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(there[go]), pa.array(np.ones(int(go.sum()), bool)), pa.array(fps[q[go]])], names=["part", "visit", "fp"])
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, tree, label, fps = None, [], None, None, None
 
         def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+            by = tables[part % len(tables)][0]
+            back = lambda x: ((x.view(np.uint64) >> np.uint64(by)) | (x.view(np.uint64) << np.uint64(64 - by)) if by else x).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(back(a)), pa.array(back(b))], names=["a", "b"])
 
         def settle() -> pa.RecordBatch:
             nonlocal tree, label, fps
@@ -181,7 +205,7 @@ def near_edges(codes: DataFrame, limit: int = 2, part_rows: int | None = None) -
                 rank ^= rank >> np.uint64(s)
             fps = fps[np.argsort(rank)]
             codes = fps.view(np.uint64)
-            tree, label = GrayTree(codes, codes), np.arange(len(fps))
+            tree, label = GrayTree(codes, codes, lead=tables[part % len(tables)][1]), np.arange(len(fps))
             for q, leaf in tree.search(codes, limit):
                 label = join_labels(label, q, leaf)
             apart = np.flatnonzero(label != np.arange(len(fps)))
