@@ -145,15 +145,16 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_
     return running_sum(df, keys, order, F.lit(1), out, rows_per_slice)
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], how: str = "inner", share: int = 1000) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], how: str = "inner", share: int = 1000, counts: DataFrame | None = None) -> DataFrame:
     """big joined with small on pairs of columns (null-safe), keys of more than 1/share of big's rows split.
 
     At most `share` keys can be so heavy, so their table is broadcast; such a key's rows are dealt
     over salts, and the few rows of small that have it are repeated for each. `how`: inner or left.
-    Columns of the two sides must differ in name; small should have few rows a key.
+    Columns of the two sides must differ in name; small should have few rows a key. `counts` (the
+    keys of big and count), where it is known, saves counting.
     """
     left, right = [a for a, _ in on], [b for _, b in on]
-    counts = big.groupBy(*left).count()
+    counts = big.groupBy(*left).count() if counts is None else counts
     total = big.count()
     heavy = counts.where(F.col("count") > max(1000, total // share)).select(*_renamed(left, "_h"), F.expr(f"1 + count div {max(1000, total // share)}").alias("_salts"))
     many = F.coalesce("_salts", F.lit(1))

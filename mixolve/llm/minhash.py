@@ -8,11 +8,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from mixolve.llm.common import components, scratch
+from mixolve.llm.common import components, scratch, spread_join
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bands of WIDTH minima each: a pair at similarity 0.8 shares none with probability (1 - 0.8**5)**28 = 1.5e-5.
@@ -63,18 +62,28 @@ def sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
     return rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "row long, n int, whole binary, keys array<long>")
 
 
-def alike(rows: DataFrame, pairs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those (a, b) of pairs whose texts' shingle sets have at least the similarity.
+def shingle_sets(rows: DataFrame, ids: DataFrame, text_col: str, shingle: int, most: int = 500_000) -> DataFrame:
+    """(row, s) of the rows whose number is in ids (column id, distinct): the shingle set as bytes.
 
-    Only texts in pairs are read again. Pairs are dealt into cells of two sides by hashes of a and b, and
-    a set goes once to each cell that asks for it, so a row of many pairs is no hot key.
+    Up to `most` ids, a hash table of some tens of MB, are sent to the texts; beyond that the texts are shuffled to the ids.
     """
-    asked = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).join(asked, F.col("row") == F.col("id"), "left_semi")
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["row", "s"])
+        pa.default_memory_pool().release_unused()
+
+    few = ids.count() <= most
+    texts = rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, F.col("row") == F.col("id"), "left_semi")
+    return texts.mapInArrow(run, "row long, s binary")
+
+
+def alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) of pairs whose shingle sets have at least the similarity.
+
+    Pairs are dealt into cells of two sides by hashes of a and b, and a set goes once to each cell
+    that asks for it, so a row of many pairs is no hot key.
+    """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, here = None, {}
@@ -94,41 +103,92 @@ def alike(rows: DataFrame, pairs: DataFrame, text_col: str, shingle: int, simila
             yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64())], names=["a", "b"])
         pa.default_memory_pool().release_unused()
 
-    held = scratch(texts.mapInArrow(sets, "row long, s binary"), "shingle-sets")
-    size = held.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0]
-    sides = max(1, -(-size // (16 << 20)), math.isqrt(pairs.count() // 20_000))
-    part = lambda c: F.pmod(F.hash(c), F.lit(sides)).cast("long")
+    size = sets.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0]
+    sides = max(8, -(-size // (8 << 20)), math.isqrt(pairs.count() // 5000))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
     dealt = pairs.select((part("a") * sides + part("b")).alias("cell"), "a", "b")
     needed = dealt.select("cell", F.col("a").alias("id")).unionAll(dealt.select("cell", F.col("b").alias("id"))).distinct()
-    sent = needed.join(held, F.col("id") == F.col("row")).select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    sent = needed.join(sets, F.col("id") == F.col("row")).select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
     both = sent.unionAll(dealt.select("*", F.lit(None).cast("binary").alias("s")))
     return both.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull()).mapInArrow(compare, "a long, b long")
 
 
-def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 1000) -> DataFrame:
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(row, shared): how many shingles of a set are in another set as well. Sums are made before the shuffle by shingle."""
+
+    def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, s in zip(b.column("row").to_pylist(), b.column("s")):
+                held = np.frombuffer(s.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), row))], names=["x", "row"])
+
+    alone = sets.select("row", "s").mapInArrow(values, "x long, row long").groupBy("x").agg(F.count("*").alias("c"), F.first("row").alias("row")).where("c = 1")
+    alone = alone.groupBy("row").agg(F.count("*").alias("alone")).withColumnRenamed("row", "r")
+    return sets.join(alone, F.col("row") == F.col("r"), "left").select("row", (F.length("s").cast("long") / 8 - F.coalesce("alone", F.lit(0))).cast("int").alias("shared"))
+
+
+def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 5000) -> DataFrame:
     """Edges (a, b), those of `known` included, that connect all rows (column _row) whose shingle sets are at least so similar.
 
-    Equal sets are one. Rows that share a band key are candidates; what they link is first told from
-    neighbours in each bucket, which joins a dense group with an edge or two a member. Then every pair
-    of a bucket that is still apart, and whose sizes allow the similarity, is compared as well, in
-    blocks of about `block` rows of a bucket. So each candidate pair is linked or compared, and nothing else is
-    left out than pairs that share no band.
+    Equal sets are one. Rows that share a band key are candidates; each candidate pair ends up linked
+    (by whatever path), compared, or ruled out by a bound that holds for sure:
+
+    1. Each row is compared with one other: the least row of one of its buckets, of those that aren't yet linked to it.
+    2. In buckets that still hold rows apart, the shingles that no other such row has are counted. A
+       pair of similarity t shares t / (1 + t) of the sum of the two sizes, so both need as many
+       shingles that are shared at all; rows short of it with every partner are left out.
+    3. Step 1 again, with the row of the bucket that has the fewest shingles alone.
+    4. What is then still apart and may be similar is compared pair by pair. Of such a pair one is
+       outside the bucket's largest component, so only those rows meet the whole bucket, dealt in blocks of
+       `block` by `block` rows.
+
+    So nothing is left out than pairs that share no band.
     """
     told = scratch(sketches(rows, text_col, shingle), "sketches")
-    first = told.groupBy("whole").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    first = scratch(first, "distinct-sets")
+    first = scratch(told.groupBy("whole").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-sets")
     copies = told.select("row", "whole").join(first.select(F.col("whole").alias("w"), "least"), F.col("whole") == F.col("w")).where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    edges = scratch(known.select("a", "b").unionAll(copies), "linked")
+
     members = first.select(F.col("least").alias("row"), "n", F.explode("keys").alias("key"))
-    of_key = W.partitionBy("key")
-    buckets = members.withColumn("size", F.count("*").over(of_key)).withColumn("before", F.lag("row").over(of_key.orderBy("n", "row"))).where("size > 1")
-    buckets = scratch(buckets, "buckets")
-    near = scratch(buckets.where("before IS NOT NULL").select(F.greatest("row", "before").alias("a"), F.least("row", "before").alias("b")).distinct(), "neighbours")
-    edges = scratch(known.select("a", "b").unionAll(copies).unionAll(alike(rows, near, text_col, shingle, similarity)), "similar")
-    rooted = buckets.join(components(edges, "a", "b"), F.col("row") == F.col("node"), "left").select("key", "row", "n", "size", F.coalesce("root", "row").alias("root"))
-    rooted = scratch(rooted.select("*", F.min("root").over(of_key).alias("low"), F.max("root").over(of_key).alias("high")).where("low < high").drop("low", "high"), "open-buckets")
-    salts = F.expr(f"int(1 + size div {block})")
-    left = rooted.select("key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.pmod(F.hash("row"), salts).alias("salt"))
-    right = rooted.select(F.col("key").alias("k"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"))
-    apart = left.join(right, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")))
-    rest = apart.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-    return edges.unionAll(alike(rows, scratch(rest, "apart"), text_col, shingle, similarity))
+    many = scratch(members.groupBy("key").count().where("count > 1"), "bucket-sizes")
+    buckets = scratch(spread_join(members, many.select(F.col("key").alias("k")), [("key", "k")], counts=many).select("key", "row", "n"), "buckets")
+
+    def apart(rooted: DataFrame, best: Column) -> tuple[DataFrame, DataFrame]:
+        """Buckets that hold more than one component, one row each with its best row; and their rows."""
+        buckets = rooted.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(best.alias("rank"), "row", "root")).alias("hub")).where("low < high")
+        buckets = scratch(buckets.select("key", "count", "hub"), "open-buckets")
+        return buckets, spread_join(rooted, buckets.select(F.col("key").alias("k"), "hub"), [("key", "k")], counts=buckets).drop("k")
+
+    def with_roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        bare = rows.drop("root")
+        return bare.join(components(edges, "a", "b"), F.col("row") == F.col("node"), "left").select(*bare.columns, F.coalesce("root", "row").alias("root"))
+
+    def to_hubs(found: DataFrame) -> DataFrame:
+        """A pair for each row that isn't linked to the best row of all its buckets."""
+        return found.where(F.col("hub.root") != F.col("root")).groupBy(F.col("row").alias("a")).agg(F.min("hub")["row"].alias("b"))
+
+    _, found = apart(with_roots(buckets, edges), F.lit(0))
+    found = scratch(found, "open-rows")
+    sets = scratch(shingle_sets(rows, found.select(F.col("row").alias("id")).distinct(), text_col, shingle), "shingle-sets")
+    edges = scratch(edges.unionAll(alike(sets, scratch(to_hubs(found), "first-pairs"), similarity)), "linked")
+
+    _, found = apart(with_roots(found.drop("hub"), edges), F.lit(0))
+    found = scratch(found.drop("hub"), "open-rows")
+    counts = shared_counts(sets.join(found.select(F.col("row").alias("id")).distinct(), F.col("row") == F.col("id"), "left_semi"))
+    found = found.join(counts.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).drop("r")
+    may = scratch(found.where(F.col("shared") >= similarity * F.col("n") - 1e-9), "may-link")  # of a pair the union holds all n, and no more than `shared` are common
+    _, found = apart(may, F.col("n") - F.col("shared"))
+    edges = scratch(edges.unionAll(alike(sets, scratch(to_hubs(found), "second-pairs"), similarity)), "linked")
+
+    sizes, found = apart(with_roots(may, edges), F.lit(0))
+    found = scratch(found.drop("hub"), "open-rows")
+    by_root = found.groupBy("key", "root").count().groupBy(F.col("key").alias("k")).agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"))
+    by_root = by_root.select("k", F.col("top.root").alias("most"), F.expr(f"1 + (size - top.count) div {block}").alias("ls"), F.expr(f"1 + size div {block}").alias("rs"))
+    dealt = scratch(spread_join(found, by_root, [("key", "k")], counts=sizes).drop("k"), "dealt")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = dealt.where("root <> most").select("key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("root").alias("ra"), F.pmod(F.xxhash64("row"), "ls").alias("i"), numbers("rs").alias("j"))
+    right = dealt.select(F.col("key").alias("k"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("root").alias("rb"), (F.col("root") == F.col("most")).alias("main"), F.pmod(F.xxhash64("row"), "rs").alias("j2"), numbers("ls").alias("i2"))
+    meet = (F.col("key") == F.col("k")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("ra") != F.col("rb")) & (F.col("main") | (F.col("a") > F.col("b")))
+    enough = F.least("sa", "sb") >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9
+    rest = left.join(right, meet & enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    return edges.unionAll(alike(sets, scratch(rest, "apart"), similarity))
