@@ -133,11 +133,11 @@ def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text",
     Equal sets are one. Rows that share a band key are candidates; each candidate pair ends up linked
     (by whatever path), compared, or ruled out by a bound that holds for sure:
 
-    1. Each row is compared with one other: the least row of one of its buckets, of those that aren't yet linked to it.
+    1. Each row is compared with one other: the least row of its buckets.
     2. In buckets that still hold rows apart, the shingles that no other such row has are counted. A
        pair of similarity t shares t / (1 + t) of the sum of the two sizes, so both need as many
        shingles that are shared at all; rows short of it with every partner are left out.
-    3. Step 1 again, with the row of the bucket that has the fewest shingles alone.
+    3. Each row is compared with one that it isn't linked to yet: that with the fewest shingles alone.
     4. What is then still apart and may be similar is compared pair by pair. Of such a pair one is
        outside the bucket's largest component, so only those rows meet the whole bucket, dealt in blocks of
        `block` by `block` rows.
@@ -153,34 +153,38 @@ def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text",
     many = scratch(members.groupBy("key").count().where("count > 1"), "bucket-sizes")
     buckets = scratch(spread_join(members, many.select(F.col("key").alias("k")), [("key", "k")], counts=many).select("key", "row", "n"), "buckets")
 
-    def apart(rooted: DataFrame, best: Column) -> tuple[DataFrame, DataFrame]:
+    def apart(members: DataFrame, best: Column) -> tuple[DataFrame, DataFrame]:
         """Buckets that hold more than one component, one row each with its best row; and their rows."""
-        buckets = rooted.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(best.alias("rank"), "row", "root")).alias("hub")).where("low < high")
+        buckets = members.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(best.alias("rank"), "row", "root")).alias("hub")).where("low < high")
         buckets = scratch(buckets.select("key", "count", "hub"), "open-buckets")
-        return buckets, spread_join(rooted, buckets.select(F.col("key").alias("k"), "hub"), [("key", "k")], counts=buckets).drop("k")
+        return buckets, spread_join(members, buckets.select(F.col("key").alias("k"), "hub"), [("key", "k")], counts=buckets).drop("k")
 
-    def with_roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    def rooted(rows: DataFrame, stars: DataFrame) -> DataFrame:
         bare = rows.drop("root")
-        return bare.join(components(edges, "a", "b"), F.col("row") == F.col("node"), "left").select(*bare.columns, F.coalesce("root", "row").alias("root"))
+        return bare.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("row") == F.col("node"), "left").select(*bare.columns, F.coalesce("root", "row").alias("root"))
+
+    def merged(edges: DataFrame) -> DataFrame:
+        """Edges from each linked row to its root, so the next round starts from stars."""
+        return scratch(components(edges, "a", "b").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
 
     def to_hubs(found: DataFrame) -> DataFrame:
         """A pair for each row that isn't linked to the best row of all its buckets."""
         return found.where(F.col("hub.root") != F.col("root")).groupBy(F.col("row").alias("a")).agg(F.min("hub")["row"].alias("b"))
 
-    _, found = apart(with_roots(buckets, edges), F.lit(0))
+    _, found = apart(buckets.withColumn("root", F.col("row")), F.lit(0))
     found = scratch(found, "open-rows")
     sets = scratch(shingle_sets(rows, found.select(F.col("row").alias("id")).distinct(), text_col, shingle), "shingle-sets")
-    edges = scratch(edges.unionAll(alike(sets, scratch(to_hubs(found), "first-pairs"), similarity)), "linked")
+    edges = merged(edges.unionAll(alike(sets, scratch(to_hubs(found), "first-pairs"), similarity)))
 
-    _, found = apart(with_roots(found.drop("hub"), edges), F.lit(0))
+    _, found = apart(rooted(found.drop("hub"), edges), F.lit(0))
     found = scratch(found.drop("hub"), "open-rows")
     counts = shared_counts(sets.join(found.select(F.col("row").alias("id")).distinct(), F.col("row") == F.col("id"), "left_semi"))
     found = found.join(counts.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).drop("r")
     may = scratch(found.where(F.col("shared") >= similarity * F.col("n") - 1e-9), "may-link")  # of a pair the union holds all n, and no more than `shared` are common
     _, found = apart(may, F.col("n") - F.col("shared"))
-    edges = scratch(edges.unionAll(alike(sets, scratch(to_hubs(found), "second-pairs"), similarity)), "linked")
+    edges = merged(edges.unionAll(alike(sets, scratch(to_hubs(found), "second-pairs"), similarity)))
 
-    sizes, found = apart(with_roots(may, edges), F.lit(0))
+    sizes, found = apart(rooted(may, edges), F.lit(0))
     found = scratch(found.drop("hub"), "open-rows")
     by_root = found.groupBy("key", "root").count().groupBy(F.col("key").alias("k")).agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"))
     by_root = by_root.select("k", F.col("top.root").alias("most"), F.expr(f"1 + (size - top.count) div {block}").alias("ls"), F.expr(f"1 + size div {block}").alias("rs"))
