@@ -279,4 +279,5 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     members = rows.select("_row", "_id", F.xxhash64("_said").alias("_tie")).join(linked, F.col("_row") == F.col("node"))
     first = members.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col("_row").alias("row")))["row"].alias("stays"))
     gone = linked.join(first.select(F.col("root").alias("r"), "stays"), F.col("root") == F.col("r")).where("node <> stays").select("node")
+    gone = scratch(gone, "gone")  # written, so its size is known when the join is planned: the texts are shuffled only where the numbers are too many to send
     return rows.join(gone, F.col("_row") == F.col("node"), "left_anti").transform(restored, docs.columns, text_col)
