@@ -36,6 +36,26 @@ def best_pattern(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(value[capacity]), pattern
 
 
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row exchanges by elementwise steps.
+
+    The planner runs in the driver, where the JVM was started from the same process: threads of a linear-algebra
+    library can stand still there, so the plan uses none.
+    """
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        if work[pivot, k] == 0:
+            raise np.linalg.LinAlgError("singular basis")
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        rest = work[:, k].copy()
+        rest[k] = 0
+        work -= rest[:, None] * work[k]
+    return work[:, n:]
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Solve the cutting-stock linear program: (patterns as columns, how often each is used).
 
@@ -44,12 +64,12 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
     which bounds the sequences above the optimum by that share, or after `rounds`.
     """
     basis = np.diag(np.floor(capacity / sizes)).astype(float)
-    inverse, x = np.linalg.inv(basis), demand / np.diag(basis)
+    inverse, x = np.diag(1 / np.diag(basis)), demand / np.diag(basis)
     for k in range(rounds):
         worth, column = best_pattern(inverse.sum(axis=0), sizes, capacity)
         if worth <= 1 + tolerance:
             break
-        d = inverse @ column
+        d = (inverse * column).sum(axis=1)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
@@ -57,11 +77,11 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
         x[out] = step
         basis[:, out] = column
         if k % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = inverse_of(basis)
+            x = np.maximum((inverse * demand).sum(axis=1), 0)
         else:
             row = inverse[out] / d[out]
-            inverse -= np.outer(d, row)
+            inverse -= d[:, None] * row
             inverse[out] = row
     return basis, x
 

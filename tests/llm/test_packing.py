@@ -1,13 +1,14 @@
 """Plans hold every piece and waste little; pieces are placed without gaps."""
 
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from mixolve.llm.packing import best_pattern, column_generation, cut_pieces, pack, pack_documents, plan_sequences
+from mixolve.llm.packing import best_pattern, column_generation, cut_pieces, inverse_of, pack, pack_documents, plan_sequences
 from mixolve.llm.queries import tokenizer_file
 
 FILE = tokenizer_file("word_bpe_49k.json")
@@ -33,6 +34,21 @@ def test_plan_holds_every_piece_near_the_bound(seed):
     assert np.allclose(basis @ x, [histogram[s] for s in sizes], atol=1e-6)
 
 
+def test_many_sizes_are_planned_in_a_process_that_started_spark(spark):
+    rng = random.Random(9)
+    histogram = {s: rng.randint(1, 200) for s in range(1, 257)}
+    began = time.time()
+    plan, sizes = plan_sequences(histogram, 256)
+    assert time.time() - began < 60
+    assert dict(zip(sizes.tolist(), sum(p * t for p, t in plan).tolist())) == histogram
+
+
+def test_inverse_by_elimination():
+    rng = np.random.default_rng(1)
+    matrix = rng.integers(0, 5, (40, 40)) * (rng.random((40, 40)) < 0.2) + np.eye(40)[rng.permutation(40)] * 7
+    assert np.abs((inverse_of(matrix)[:, :, None] * matrix[None]).sum(axis=1) - np.eye(40)).max() < 1e-9
+
+
 def test_documents_are_packed_whole(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["one", "Two", "three,", "vier!"]) for _ in range(rng.choice([0, 3, rng.randint(10, 900), rng.randint(10, 900), 5000])))) for i in range(300)]
