@@ -111,6 +111,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+#: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixolve.llm.url_filter import judge
+
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 OP7_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 fine AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
@@ -151,6 +162,15 @@ UNION ALL SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY v
 """
 
 
+OP12_SQL = r"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3 :] ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+r(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/'))
+SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, coalesce(arg_max(verdict, length(h || p)), 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path
+"""
+
+
 def _op9_sql() -> str:
     from mixolve.llm.secrets import ENDPOINT, IDENT, KINDS, SECRET
 
@@ -186,5 +206,6 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
     "op11_divergence": op11_divergence,
+    "op12_url_filter": op12_url_filter,
 }
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_secrets": _op9_sql(), "op11_divergence": OP11_SQL}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_secrets": _op9_sql(), "op11_divergence": OP11_SQL, "op12_url_filter": OP12_SQL}
