@@ -122,6 +122,12 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mixolve.llm.alignment import token_alignment
+
+    return token_alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 OP7_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 fine AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
@@ -207,5 +213,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_divergence": op11_divergence,
     "op12_url_filter": op12_url_filter,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_secrets": _op9_sql(), "op11_divergence": OP11_SQL, "op12_url_filter": OP12_SQL}
