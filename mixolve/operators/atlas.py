@@ -21,6 +21,13 @@ def to_wide(long: DataFrame, ids: list[str], types: list[str]) -> DataFrame:
     return long.groupBy(*ids).pivot("cell_type", types).agg(F.first("h"))
 
 
+def fixed(atlas: DataFrame) -> DataFrame:
+    """The atlas written once to the shared folder, so that what reads it several times doesn't make it anew."""
+    from mixolve.sources.files import written
+
+    return written(atlas.select("marker", "cell_type", "h"), "atlas")
+
+
 def full_markers(atlas: DataFrame) -> DataFrame:
     """Markers without a NULL in any cell type."""
     return atlas.groupBy("marker").agg(F.count_if(F.col("h").isNull()).alias("n")).where("n = 0").select("marker")

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixolve.functions.expressions import correlation, dot, normalised
+from mixolve.operators import atlas as A
 from mixolve.operators.atlas import profiles
+from mixolve.sources.files import written
 
 
 def mixture(prop: DataFrame, atlas: DataFrame) -> DataFrame:
@@ -28,55 +30,96 @@ def _name(types: list[str], number: str) -> Column:
     return F.element_at(F.array(*map(F.lit, types)), F.col(number) + 1)
 
 
-def sums_by_sample(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0", block: int = 100_000) -> DataFrame:
-    """(sample, gram, rhs): sums over markers of weight^2 h_a h_b (K x K, flat) and weight^2 h_a x, types in order.
+#: Rows of one sample that are summed by one task at most, but for chance.
+ROWS_PER_TASK = 4096
+
 
-    Only (marker, weight, x) of each observation is shuffled, by sample; a task then sums one sample after the other against
-    the profiles, which are sent in blocks of at most some `block` markers, one pass a block.
+def moments_by_sample(obs: DataFrame, atlas: DataFrame, weights: list[Column], seen: Column | str = "c > 0", block: int = 100_000) -> DataFrame:
+    """(sample, m): for each weight the sums over markers of weight * z z', z being the K profile values, x and 1, in order of types.
+
+    m is an array with (K + 2) squared numbers for each weight. Profiles are written once and sent in blocks of some `block`
+    markers; observations are shuffled once, by sample and slice of its markers, summed there against the slice's block, and only
+    sums are shuffled again. So a sample of many markers isn't one task.
     """
-    spark, k = obs.sparkSession, len(types_of(atlas))
-    told = profiles(atlas)
-    blocks = 1 + told.count() // block
-    rows = obs.where(seen).select("sample", "marker", (weight * weight).cast("double").alias("u"), (weight * weight * F.coalesce("x", F.lit(0.0))).cast("double").alias("v"))
-    rows = rows.repartition("sample").sortWithinPartitions("sample")
+    spark = obs.sparkSession
+    told = written(profiles(atlas), "profiles")
+    markers = told.count()
+    if not markers:
+        return spark.createDataFrame([], "sample string, m array<array<double>>")
+    k = told.select(F.size("profile")).first()[0]
+    z, blocks = k + 2, 1 + markers // block
+    slices = blocks * (1 + min(markers, block) // ROWS_PER_TASK)
+    names = [f"w{i}" for i in range(len(weights))]
+    of = lambda n: F.pmod(F.xxhash64("marker"), F.lit(n))
+    rows = obs.where(seen).select("sample", "marker", F.coalesce("x", F.lit(0.0)).alias("x"), *[w.cast("double").alias(n) for w, n in zip(weights, names)])
+    if blocks > 1:
+        rows = written(rows.withColumn("block", of(slices) % blocks).repartition("block", "sample", of(slices)), "observations", "block")
     parts = []
     for n in range(blocks):
-        some = told.where(F.pmod(F.xxhash64("marker"), F.lit(blocks)) == n).collect()  # block markers at most, but for chance
+        some = told.where(of(slices) % blocks == n).collect()  # block markers at most, but for chance
         sent = spark.sparkContext.broadcast(({r["marker"]: i for i, r in enumerate(some)}, np.array([r["profile"] for r in some], float).reshape(-1, k)))
+        mine = rows.where(F.col("block") == n).drop("block") if blocks > 1 else rows
 
         def run(frames: Iterable[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index, matrix = sent.value
-            now, q, r = None, np.zeros((k, k)), np.zeros(k)
+            now, total = None, np.zeros((len(names), z * z))
             for frame in frames:
                 out = []
                 at = frame["marker"].map(index).to_numpy(float)
                 known = ~np.isnan(at)
-                h, names = matrix[at[known].astype(np.int64)], frame["sample"].to_numpy()[known]
-                u, v = frame["u"].to_numpy()[known], frame["v"].to_numpy()[known]
-                cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
-                for a, b in zip([0, *cuts], [*cuts, len(names)]):
+                samples = frame["sample"].to_numpy()[known]
+                each = np.column_stack([matrix[at[known].astype(np.int64)], frame["x"].to_numpy()[known], np.ones(len(samples))])
+                w = frame[names].to_numpy()[known]
+                cuts = np.flatnonzero(samples[1:] != samples[:-1]) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(samples)]):
                     if a == b:
                         continue
-                    if names[a] != now:
+                    if samples[a] != now:
                         if now is not None:
-                            out.append((now, q.ravel().tolist(), r.tolist()))
-                        now, q, r = names[a], np.zeros((k, k)), np.zeros(k)
-                    q += (h[a:b] * u[a:b, None]).T @ h[a:b]
-                    r += v[a:b] @ h[a:b]
-                yield pd.DataFrame(out, columns=["sample", "gram", "rhs"])
+                            out.append((now, total.tolist()))
+                        now, total = samples[a], np.zeros((len(names), z * z))
+                    for i in range(len(names)):
+                        total[i] += ((each[a:b] * w[a:b, i, None]).T @ each[a:b]).ravel()
+                yield pd.DataFrame(out, columns=["sample", "m"])
             if now is not None:
-                yield pd.DataFrame([(now, q.ravel().tolist(), r.tolist())], columns=["sample", "gram", "rhs"])
+                yield pd.DataFrame([(now, total.tolist())], columns=["sample", "m"])
 
-        parts.append(rows.mapInPandas(run, "sample string, gram array<double>, rhs array<double>"))
-    if blocks == 1:
+        parts.append(mine.repartition("sample", of(slices)).sortWithinPartitions("sample").mapInPandas(run, "sample string, m array<array<double>>"))
+    if slices == 1:
         return parts[0]
-    each = reduce(DataFrame.unionAll, parts).select("sample", F.posexplode(F.concat("gram", "rhs")).alias("i", "v")).groupBy("sample", "i").agg(F.sum("v").alias("v"))
-    whole = each.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("s"))
-    return whole.select("sample", F.slice("s", 1, k * k).alias("gram"), F.slice("s", k * k + 1, k).alias("rhs"))
+
+    def add_up(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, None
+        for frame in frames:
+            out = []
+            for sample, m in zip(frame["sample"], frame["m"]):
+                m = np.stack(m)
+                if sample != now:
+                    if now is not None:
+                        out.append((now, total.tolist()))
+                    now, total = sample, m
+                else:
+                    total = total + m
+            yield pd.DataFrame(out, columns=["sample", "m"])
+        if now is not None:
+            yield pd.DataFrame([(now, total.tolist())], columns=["sample", "m"])
+
+    return reduce(DataFrame.unionAll, parts).repartition("sample").sortWithinPartitions("sample").mapInPandas(add_up, "sample string, m array<array<double>>")
+
+
+def sums_by_sample(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0", block: int = 100_000) -> DataFrame:
+    """(sample, gram, rhs, xx, n): sums over markers of weight^2 h_a h_b (K x K, flat), weight^2 h_a x and weight^2 x x, types in order, and of weight^2."""
+    told = moments_by_sample(obs, atlas, [weight * weight], seen, block).select("sample", F.col("m")[0].alias("m"), F.sqrt(F.size(F.col("m")[0])).cast("int").alias("z"))
+    row = lambda i, size: F.slice("m", i * F.col("z") + 1, size)
+    k = F.col("z") - 2
+    gram = F.flatten(F.transform(F.sequence(F.lit(0), k - 1), lambda i: row(i, k)))
+    last = F.element_at(row(k, F.col("z")), -2)
+    return told.select("sample", gram.alias("gram"), row(k, k).alias("rhs"), last.alias("xx"), F.element_at("m", -1).alias("n"))
 
 
 def gram(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0") -> DataFrame:
     """(sample, a, b, g) for a <= b: sums over markers of weight^2 h_a h_b. Markers without coverage add nothing, unless `seen` says so."""
+    atlas = A.fixed(atlas)
     types = types_of(atlas)
     rows = sums_by_sample(obs, atlas, weight, seen).select("sample", F.posexplode("gram").alias("n", "g"))
     rows = rows.select("sample", F.floor(F.col("n") / len(types)).cast("int").alias("i"), (F.col("n") % len(types)).alias("j"), "g").where("i <= j")
@@ -85,16 +128,17 @@ def gram(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str =
 
 def gram_rhs(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0") -> DataFrame:
     """(sample, a, r): sums over markers of weight^2 h_a x."""
+    atlas = A.fixed(atlas)
     types = types_of(atlas)
     return sums_by_sample(obs, atlas, weight, seen).select("sample", F.posexplode("rhs").alias("i", "r")).select("sample", _name(types, "i").alias("a"), "r")
 
 
-def systems(g: DataFrame, r: DataFrame) -> DataFrame:
+def systems(obs: DataFrame, atlas: DataFrame, weight: Column, seen: Column | str = "c > 0") -> DataFrame:
     """(sample, types, gram ARRAY<ARRAY>, rhs ARRAY): the normal equations of each sample, K x K values a row."""
-    mirrored = g.unionByName(g.where("a < b").select("sample", F.col("b").alias("a"), F.col("a").alias("b"), "g"))
-    rows = mirrored.groupBy("sample", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "g"))), lambda s: s["g"]).alias("row"))
-    told = rows.join(r, ["sample", "a"]).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("a", "row", "r"))).alias("s"))
-    return told.select("sample", F.transform("s", lambda s: s["a"]).alias("types"), F.transform("s", lambda s: s["row"]).alias("gram"), F.transform("s", lambda s: s["r"]).alias("rhs"))
+    atlas = A.fixed(atlas)
+    types = types_of(atlas)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(len(types) - 1)), lambda i: F.slice("gram", i * len(types) + 1, len(types)))
+    return sums_by_sample(obs, atlas, weight, seen).select("sample", F.array(*map(F.lit, types)).alias("types"), rows.alias("gram"), "rhs")
 
 
 def multiplicative_updates(system: DataFrame, steps: int = 60) -> DataFrame:

@@ -1,7 +1,7 @@
 """Constrained solvers for each sample: small numpy problems inside tasks, samples spread by Spark.
 
-A sample's problem is its markers (rows) by the cell types (columns); groups hold one sample each, so
-memory is bounded by markers x types, however many samples there are.
+The named solvers work on sums of types x types numbers a sample, formed where observations lie; a callable of the user's
+gets a sample's markers (rows) by the cell types (columns).
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixolve.operators import linear
-from mixolve.operators.atlas import profiles
+from mixolve.operators.atlas import fixed, profiles
 from mixolve.operators.reads import WEIGHTS
-from mixolve.sources.files import written
+from mixolve.sources.files import clear, written
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
@@ -152,6 +152,42 @@ def solve_iterative(h, x, c, weight: str = "sqrt", rounds: int = 3, base: float
     return share(best)
 
 
+def refined_of_moments(own: np.ndarray, root: np.ndarray, linear: np.ndarray, plain: np.ndarray, rounds: int = 3, base: float = 1e-4, least: int = 3, one_round: bool = True) -> np.ndarray:
+    """solve_iterative from a sample's sums alone (see linear.moments_by_sample): of the solver's squared weight, of sqrt(c), of c and of 1.
+
+    A residual's sums are those of x less those of the mixture, so its mean, spread and covariance with each profile follow from
+    the sums of sqrt(c), c and 1, and so does the coverage-weighted error. A spread under what rounding leaves of the sums counts as none.
+    """
+    k = len(own) - 2
+    x, one = k, k + 1
+    now = nnls_of_sums(own[:k, :k], own[:k, x])
+    n = plain[one, one]
+    mean_h = plain[:k, one] / n
+    spread_h = np.diag(plain)[:k] / n - mean_h**2
+    varied = spread_h > 1e-13 * np.maximum(np.diag(plain)[:k] / n, 1e-300)
+    best, least_error = now, np.inf
+    for t in range(rounds):
+        squares = linear[x, x] - 2 * now @ linear[:k, x] + now @ linear[:k, :k] @ now
+        mean = (root[one, x] - now @ root[:k, one]) / n
+        spread = squares / n - mean**2
+        corr = np.zeros(k)
+        if spread > 1e-13 * linear[x, x] / n:
+            together = (root[:k, x] - root[:k, :k] @ now) / n - mean * mean_h
+            corr[varied] = np.minimum(np.abs(together[varied]) / np.sqrt(spread * spread_h[varied]), 1)
+        chosen = corr > corr.max() * (0.3 + 0.1 * t)
+        if chosen.sum() < least:
+            chosen[np.argsort(-corr, kind="stable")[:least]] = True
+        chosen |= now > base * (1 + t)
+        now = np.zeros(k)
+        now[chosen] = nnls_of_sums(own[:k, :k][np.ix_(chosen, chosen)], own[:k, x][chosen])
+        error = float(linear[x, x] - 2 * now @ linear[:k, x] + now @ linear[:k, :k] @ now)
+        if error < least_error:
+            least_error, best = error, now
+        if one_round and np.allclose(now, best, rtol=1e-5, atol=1e-8):
+            break
+    return share(best)
+
+
 def ridge_of(regularisation: str, alpha: float, l1_ratio: float) -> float:
     """On the simplex the absolute sum is constant: lasso equals none, elastic net a weaker ridge."""
     if regularisation not in ("none", "ridge", "lasso", "elasticnet"):
@@ -167,43 +203,46 @@ def sums_simplex(q: np.ndarray, r: np.ndarray, regularisation: str = "none", alp
     return simplex_least_squares(q + ridge_of(regularisation, alpha, l1_ratio) * np.eye(len(r)), r)
 
 
-#: Solvers that need a sample's K x K sums alone, with their usual weighting.
-OF_SUMS: dict[str, tuple[Callable, str]] = {"nnls": (sums_nnls, "linear"), "simplex": (sums_simplex, "linear")}
-#: Solvers that need a sample's rows; any callable (h, x, c, **options) -> w can be used as well.
-SOLVERS: dict[str, Callable] = {"nnls": solve_nnls, "simplex": solve_simplex, "iterative": solve_iterative}
+#: Solvers that need a sample's K x K sums alone, with their usual weighting and what other weights (of c, not squared) they need sums of.
+OF_SUMS: dict[str, tuple[Callable, str, tuple]] = {
+    "nnls": (lambda m, **o: sums_nnls(m[:-2, :-2], m[:-2, -2], **o), "linear", ()),
+    "simplex": (lambda m, **o: sums_simplex(m[:-2, :-2], m[:-2, -2], **o), "linear", ()),
+    "iterative": (refined_of_moments, "sqrt", (F.sqrt, lambda c: c, lambda c: F.lit(1.0))),
+}
 
 
 def solve(obs: DataFrame, atlas: DataFrame, solver: str | Callable = "nnls", *, weight: str | Callable | None = None, **options) -> DataFrame:
     """(sample, cell_type, w): each sample's mixture.
 
     obs(sample, marker, x, c) joins profiles on marker; x without coverage counts as 0. `weight` is a
-    name of WEIGHTS or, for solvers of sums, a function of the coverage column. nnls and simplex are solved from K x K sums a
-    sample, formed where rows lie; other solvers get a sample's rows in one task. A sample
+    name of WEIGHTS or, for the solvers of OF_SUMS, a function of the coverage column. Those are solved from sums of
+    types x types numbers a sample, formed where rows lie; any other callable (h, x, c, **options) -> w gets a sample's
+    rows, at most the atlas's markers, in one task. A sample
     with no markers in the atlas gives no rows; one with no coverage at all gives zeros (nnls).
     """
+    atlas = fixed(atlas)
     types = linear.types_of(atlas)
-    if isinstance(solver, str) and solver in OF_SUMS:
-        run, usual = OF_SUMS[solver]
+    if isinstance(solver, str):
+        run, usual, more = OF_SUMS[solver]
         u = (WEIGHTS[weight or usual] if not callable(weight) else weight)(F.col("c"))
         filled = obs.withColumn("x", F.coalesce(F.when(F.col("c") > 0, F.col("x")), F.lit(0.0)))
-        told = linear.sums_by_sample(filled, atlas, u, F.lit(True))
+        told = linear.moments_by_sample(filled, atlas, [u * u, *[f(F.col("c")) for f in more]], F.lit(True))
 
         def each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                w = [run(np.asarray(g, float).reshape(-1, len(types)), np.asarray(r, float), **options) for g, r in zip(frame["gram"], frame["rhs"])]
+                w = [run(*[np.asarray(one, float).reshape(len(types) + 2, -1) for one in m], **options) for m in frame["m"]]
                 yield pd.DataFrame({"sample": np.repeat(frame["sample"].to_numpy(), len(types)), "cell_type": types * len(frame), "w": np.concatenate(w) if w else np.zeros(0)})
 
         return told.mapInPandas(each, "sample string, cell_type string, w double")
     if callable(weight):
         raise ValueError("a weighting function is for solvers of sums; others take the name of one")
-    run = SOLVERS[solver] if isinstance(solver, str) else solver
     options |= {} if weight is None else {"weight": weight}
     rows = obs.select("sample", "marker", F.coalesce(F.when(F.col("c") > 0, F.col("x")), F.lit(0.0)).alias("x"), F.col("c").cast("double").alias("c")).join(profiles(atlas), "marker")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("marker")
         h = np.stack(frame["profile"].to_numpy()).astype(float)
-        w = run(h, frame["x"].to_numpy(float), frame["c"].to_numpy(float), **options)
+        w = solver(h, frame["x"].to_numpy(float), frame["c"].to_numpy(float), **options)
         return pd.DataFrame({"sample": frame["sample"].iloc[0], "cell_type": types, "w": w})
 
     return rows.groupBy("sample").applyInPandas(one, "sample string, cell_type string, w double")
@@ -217,13 +256,12 @@ def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps:
     only sums of (groups x types) numbers reach the driver. A's rows are written to storage each twenty
     steps, so a step never goes back further than that. Returns (sample, cell_type, w) and B.
     """
+    atlas = fixed(atlas)
     types = linear.types_of(atlas)
     k, m = len(types), len(groups)
     inside = np.array([[t in g for t in types] for g in groups], float)
     b = inside / inside.sum(axis=1, keepdims=True)
-    told = linear.sums_by_sample(obs, atlas, F.lit(1.0))
-    squares = obs.where("c > 0").groupBy(F.col("sample").alias("s")).agg(F.sum(F.col("x") * F.col("x")).alias("xx"))
-    rows = told.join(squares, F.col("sample") == F.col("s")).select("sample", F.col("gram").alias("q"), "rhs", "xx", F.array(*[F.lit(1.0 / m)] * m).alias("a"))
+    rows = linear.sums_by_sample(obs, atlas, F.lit(1.0)).select("sample", F.col("gram").alias("q"), "rhs", "xx", F.array(*[F.lit(1.0 / m)] * m).alias("a"))
     now = written(rows, "grouped")
 
     def moved(frame: pd.DataFrame, past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +307,8 @@ def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps:
                     if len(frame):
                         yield frame.assign(a=moved(frame, ready)[0].tolist())
 
-            now, past = written(now.mapInPandas(forward, rows.schema), "grouped"), []
+            before, now, past = now, written(now.mapInPandas(forward, rows.schema), "grouped"), []
+            clear(now.sparkSession, [before.inputFiles()[0].rpartition("/")[0]] if before.inputFiles() else [])
         if done:
             break
     grouped.steps = step + 1 if steps else 0

@@ -291,12 +291,20 @@ def candidate_types(spark, d):
 
 
 def systems(spark, d, weight="linear"):
-    obs, atlas, u = T.obs(spark, d), T.atlas(spark, d), R.WEIGHTS[weight](F.col("c"))
-    return L.systems(L.gram(obs, atlas, u), L.gram_rhs(obs, atlas, u))
+    return L.systems(T.obs(spark, d), T.atlas(spark, d), R.WEIGHTS[weight](F.col("c")))
 
 
-SYSTEM = f"""{GRAM}, {RHS}, rw AS (SELECT sample, a, list(g ORDER BY b) AS row FROM g GROUP BY sample, a),
+ROWS_SYS = """rw AS (SELECT sample, a, list(g ORDER BY b) AS row FROM g GROUP BY sample, a),
 sys AS (SELECT sample, list(a ORDER BY a) AS types, list(row ORDER BY a) AS gram, list(r ORDER BY a) AS rhs FROM rw JOIN r USING (sample, a) GROUP BY sample)"""
+SYSTEM = f"{GRAM}, {RHS}, {ROWS_SYS}"
+
+
+def GRAM_OF(power: float) -> str:
+    return GRAM.replace("o.c * o.c *", f"pow(o.c, {power}) *")
+
+
+def RHS_OF(power: float) -> str:
+    return RHS.replace("c * c *", f"pow(c, {power}) *")
 
 
 @query("solve_weighted_fixed", sql("reads uxm obs atlas", f""", {SYSTEM}, it AS (SELECT sample, 0 AS k, [1e0 / len(rhs) FOR x IN rhs] AS w FROM sys
@@ -318,11 +326,41 @@ def _unweighted(text: str) -> str:
     return text.replace("o.c * o.c * x.h", "x.h").replace("c * c * o.x", "o.x")
 
 
+def _leaves(name: str, system: str) -> str:
+    """Every set of the five types with its exact weights and error (less a constant): elimination of the types in turn, each with and without."""
+    return f"""{name}_it AS (SELECT sample, types, 1 AS j, []::INT[] AS free, list_append(list_transform(gram, lambda row, i: list_append(row, rhs[i])), list_append(rhs, 0e0)) AS a FROM {system}
+UNION ALL SELECT sample, types, j + 1, CASE WHEN t THEN list_append(free, j) ELSE free END, CASE WHEN t THEN
+    list_transform(a, lambda row, i: list_transform(row, lambda x, c: CASE WHEN i = j THEN a[j][c] / a[j][j] ELSE x - row[j] * a[j][c] / a[j][j] END)) ELSE a END FROM {name}_it, (VALUES (true), (false)) s(t) WHERE j <= 5),
+{name} AS (SELECT sample, types, free, a[6][6] AS miss, list_transform(range(1, 6), lambda i: CASE WHEN list_contains(free, i) THEN a[i][6] ELSE 0e0 END) AS w FROM {name}_it WHERE j = 6)"""
+
+
+_SHARED = "[x / CASE WHEN list_sum(w) > 0 THEN list_sum(w) ELSE 1 END FOR x IN w]"
+
+
 def _nnls_sql(system: str) -> str:
-    """Coordinate descent: each step brings one weight, in turn, to its best value that isn't negative."""
-    return sql("reads uxm obs atlas", f""", {system}, it AS (SELECT sample, 0 AS k, [0e0 FOR x IN rhs] AS w FROM sys
-UNION ALL SELECT it.sample, k + 1, list_transform(range(1, len(w) + 1), lambda j: CASE WHEN j = k % len(w) + 1 THEN greatest(0e0, w[j] + (rhs[j] - list_dot_product(gram[j], w)) / gram[j][j]) ELSE w[j] END) FROM it JOIN sys USING (sample) WHERE k < 3000)
-SELECT sample, unnest(types) AS cell_type, round(unnest([x / CASE WHEN list_sum(w) > 0 THEN list_sum(w) ELSE 1 END FOR x IN w]), 5) AS w FROM it JOIN sys USING (sample) WHERE k = 3000""", recursive=True)
+    """Of all sets of types, that of the least error whose weights aren't negative."""
+    return sql("reads uxm obs atlas", f""", {system}, {_leaves("leaf", "sys")}, best AS (SELECT sample, any_value(types) AS types, arg_min(w, miss) AS w FROM leaf WHERE list_min(w) >= 0 GROUP BY sample)
+SELECT sample, unnest(types) AS cell_type, round(unnest({_SHARED}), 5) AS w FROM best""", recursive=True)
+
+
+def _iterative_sql(power: float, rounds: int, base: float, least: int) -> str:
+    """Rounds of candidate types by the residual's correlation; a round's best set is among those of candidates alone."""
+    told = [f"{GRAM_OF(2 * power)}, {RHS_OF(2 * power)}, {ROWS_SYS}, {_leaves('leaf', 'sys')}", "n0 AS (SELECT sample, any_value(types) AS types, arg_min(w, miss) AS w FROM leaf WHERE list_min(w) >= 0 GROUP BY sample)"]
+    error = "SELECT sample, sum(c * (coalesce(x, 0) - mix) * (coalesce(x, 0) - mix)) AS error FROM f{} GROUP BY sample"
+    for k in range(rounds):
+        fit = "f{} AS (SELECT o.sample, o.marker, any_value(o.x) AS x, any_value(o.c) AS c, sum(u.w * h) AS mix FROM obs o JOIN (SELECT sample, unnest(types) AS cell_type, unnest(w) AS w FROM n{}) u USING (sample) JOIN atlas a ON a.cell_type = u.cell_type AND a.marker = o.marker GROUP BY ALL)"
+        told += [
+            fit.format(k, k),
+            f"c{k} AS (SELECT sample, cell_type, coalesce(abs(corr((coalesce(x, 0) - mix) * sqrt(c), h)), 0) AS corr FROM f{k} JOIN atlas USING (marker) GROUP BY ALL)",
+            f"""k{k} AS (SELECT c.sample, list(i::INT) AS chosen FROM (SELECT *, max(corr) OVER s AS top, row_number() OVER (PARTITION BY sample ORDER BY corr DESC, cell_type) AS rank, count_if(corr > m * {0.3 + 0.1 * k}e0) OVER s AS near
+FROM (SELECT *, max(corr) OVER (PARTITION BY sample) AS m FROM c{k}) WINDOW s AS (PARTITION BY sample)) c JOIN (SELECT sample, unnest(types) AS cell_type, unnest(w) AS w, unnest(range(1, 6)) AS i FROM n{k}) USING (sample, cell_type)
+WHERE corr > top * {0.3 + 0.1 * k}e0 OR (near < {least} AND rank <= {least}) OR w > {base * (1 + k)}e0 GROUP BY c.sample)""",
+            f"n{k + 1} AS (SELECT sample, any_value(types) AS types, arg_min(w, miss) AS w FROM leaf JOIN k{k} USING (sample) WHERE list_min(w) >= 0 AND len(list_filter(free, lambda i: NOT list_contains(chosen, i))) = 0 GROUP BY sample)",
+        ]
+    told.append(fit.format(rounds, rounds))
+    each = " UNION ALL ".join(f"SELECT sample, types, w, error, {k} AS k FROM n{k} JOIN ({error.format(k)}) USING (sample)" for k in range(1, rounds + 1))
+    return sql("reads uxm obs atlas", f""", {", ".join(told)}, best AS (SELECT sample, any_value(types) AS types, arg_min(w, round(error, 9) + k * 1e-12) AS w FROM ({each}) GROUP BY sample)
+SELECT sample, unnest(types) AS cell_type, round(unnest({_SHARED}), 5) AS w FROM best""", recursive=True)
 
 
 def _simplex_sql(system: str, ridge: float = 0.0) -> str:
@@ -340,7 +378,8 @@ for _name, _solver, _options, _sql in [
     ("solve_nnls", "nnls", {}, _nnls_sql(SYSTEM)), ("solve_nnls_unweighted", "nnls", {"weight": "none"}, _nnls_sql(_unweighted(SYSTEM))), ("solve_simplex", "simplex", {}, _simplex_sql(SYSTEM)),
     ("solve_ridge", "simplex", {"regularisation": "ridge", "alpha": 1.0}, _simplex_sql(SYSTEM, 1.0)), ("solve_lasso", "simplex", {"regularisation": "lasso", "alpha": 1.0}, _simplex_sql(SYSTEM)),
     ("solve_elasticnet", "simplex", {"regularisation": "elasticnet", "alpha": 1.0}, _simplex_sql(SYSTEM, 0.5)), ("solve_nmf", "simplex", {"weight": "linear"}, _simplex_sql(SYSTEM)),
-    ("solve_iterative", "iterative", {}, None), ("solve_iterative_pow15", "iterative", {"weight": "pow1.5", "rounds": 7, "base": 0.005, "least": 7, "one_round": False}, None),
+    ("solve_iterative", "iterative", {}, _iterative_sql(0.5, 1, 1e-4, 3)),
+    ("solve_iterative_pow15", "iterative", {"weight": "pow1.5", "rounds": 7, "base": 0.005, "least": 7, "one_round": False}, _iterative_sql(1.5, 7, 0.005, 7)),
     ("solve_own_weighting", "nnls", {"weight": lambda c: F.sqrt(c)}, _nnls_sql(SYSTEM.replace("o.c * o.c * x.h", "o.c * x.h").replace("c * c * o.x", "c * o.x"))),
 ]:
     QUERIES[_name] = lambda spark, d, s=_solver, o=_options, n=5 if _sql else 6: rounded(S.solve(T.obs(spark, d), T.atlas(spark, d), s, **o), n)

@@ -90,6 +90,10 @@ def track(spark: SparkSession, path: str, step: int, values: dict[str, float]) -
     spark.createDataFrame([(step, k, float(v)) for k, v in values.items()], "step long, name string, value double").write.mode("append").parquet(path)
 
 
+#: Folders of tables that this process wrote for itself and didn't delete yet.
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: in spark.checkpoint.dir, or where all runs in one process a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -97,11 +101,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="mixolve-")
-    return f"{named}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{named}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: df as a Parquet table in the shared folder."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Cut the lineage: df as a Parquet table in the shared folder, laid out by some columns if asked."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete folders made by shared_folder, all by default: for use when what reads them is written or done with."""
+    for folder in list(_written) if folders is None else folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _written:
+            _written.remove(folder)
