@@ -35,7 +35,7 @@ def words(text: bytes, most: int = 4 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-def term_counts(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", entries: int = 200_000) -> DataFrame:
+def term_counts(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", entries: int = 500_000) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term, several rows a key.
 
     A task counts into a table of at most `entries` terms before it hands them on, so a hot source
@@ -45,13 +45,12 @@ def term_counts(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "s
     kept = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
     def rows(held: dict) -> pa.RecordBatch:
-        out = [(lang, source, term, n, seen[term]) for (lang, source), (count, seen) in held.items() for term, n in count.items()]
-        out += [(*group, None, 0, 0) for group in held]
-        lang, source, term, n, docs = zip(*out)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())],
-            names=["lang", "source", "term", "n", "docs"],
-        )
+        sizes = [len(count) + 1 for count, _ in held.values()]
+        name = lambda i: pa.chunked_array([pa.repeat(group[i], n) for group, n in zip(held, sizes)], pa.string()).combine_chunks()
+        flat = lambda parts, end, kind: pa.chunked_array([pa.array([*part, end], kind) for part in parts]).combine_chunks()
+        terms = flat((count for count, _ in held.values()), None, pa.binary()).cast(pa.string())
+        n, docs = flat((count.values() for count, _ in held.values()), 0, pa.int64()), flat((map(seen.get, count) for count, seen in held.values()), 0, pa.int64())
+        return pa.RecordBatch.from_arrays([name(0), name(1), terms, n, docs], names=["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -73,6 +72,7 @@ def term_counts(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "s
                         held, size = {}, 0
         if held:
             yield rows(held)
+        pa.default_memory_pool().release_unused()  # the worker stays, and shares its executor's memory
 
     return kept.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
