@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,6 +83,45 @@ def logspace(low: float, high: float, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pow(F.lit(10.0), F.lit(low) + (high - low) * i / (n - 1)))
 
 
+def log_gamma(x: Column | str) -> Column:
+    """ln of the gamma function of a positive number: its asymptotic series after eight steps up."""
+    v = col(x)
+    z = v + 8
+    steps = F.log(v * (v + 1) * (v + 2) * (v + 3)) + F.log((v + 4) * (v + 5) * (v + 6) * (v + 7))
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0)))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def student_p(rows: DataFrame, t: str, df: str, out: str, terms: int = 300) -> DataFrame:
+    """rows with `out`: the two-sided p-value of Student's t at df degrees of freedom; NULL where either is NULL or df isn't positive.
+
+    The regularised incomplete beta function at df / (df + t^2) by its continued fraction, folded inside Catalyst; of its two
+    forms the one that converges fast is taken.
+    """
+    d = F.when(F.col(df) > 0, F.col(df).cast("double"))
+    x0 = d / (d + F.col(t) * F.col(t))
+    swap = x0 > (d / 2 + 1) / (d / 2 + 2.5)
+    told = rows.withColumn("_b", F.when(d.isNotNull() & F.col(t).isNotNull(), F.struct(
+        F.when(swap, F.lit(0.5)).otherwise(d / 2).alias("a"), F.when(swap, d / 2).otherwise(F.lit(0.5)).alias("b"), F.when(swap, 1 - x0).otherwise(x0).alias("x"), swap.alias("swap"))))
+    a, b, x = (F.col(f"_b.{n}") for n in ("a", "b", "x"))
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(F.greatest(x, F.lit(1e-300))) + b * F.log1p(-F.least(x, F.lit(1 - 1e-16)))) / a
+    tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    start = 1 / tiny(1 - (a + b) * x / (a + 1))
+
+    def step(s: Column, n: Column) -> Column:
+        m = F.floor((n + 1) / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        term = F.when(n % 2 == 1, even).otherwise(odd)
+        down, up = 1 / tiny(1 + term * s["d"]), tiny(1 + term / s["c"])
+        return F.struct(up.alias("c"), down.alias("d"), (s["f"] * up * down).alias("f"))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(2 * terms)), F.struct(F.lit(1.0).alias("c"), start.alias("d"), start.alias("f")), step, lambda s: s["f"])
+    value = F.when(x <= 0, F.lit(0.0)).otherwise(front * folded)
+    p = clip(F.when(F.col("_b.swap"), 1 - value).otherwise(value), 0.0, 1.0)
+    return told.withColumn(out, F.when(F.col("_b").isNotNull(), p)).drop("_b")
+
+
 def dilution_of(name: Column | str) -> Column:
     """The dilution in a sample name d<dilution>_<i>; NULL if there is none."""
     return F.substring(F.split_part(col(name), F.lit("_"), F.lit(1)), 2, 100).try_cast("double")
@@ -101,8 +142,9 @@ def running_loss(losses: Column | str, beta: float = 0.98) -> Column:
 
 
 def cache_name(path: Column | str) -> Column:
-    """First eight digits of the MD5 of a path: the prefix of its cache."""
-    return F.left(F.md5(col(path).cast("string").cast("binary")), F.lit(8))
+    """Name of a sample file's cache: <sample>.mem.<first six digits of the MD5 of its folder>."""
+    folder = F.regexp_extract(col(path), r"^(.*)/[^/]*$", 1)
+    return F.concat(sample_name(path), F.lit(".mem."), F.left(F.md5(folder.cast("binary")), F.lit(6)))
 
 
 def time_stamp(moment: Column | None = None) -> Column:

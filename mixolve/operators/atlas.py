@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mixolve.functions.expressions import correlation, logspace, ratio
+from mixolve.functions.expressions import correlation, logspace, ratio, student_p
 
 
 def to_long(wide: DataFrame, ids: list[str], name: str = "cell_type", value: str = "h") -> DataFrame:
@@ -118,6 +118,25 @@ def detection_limits(atlas: DataFrame, *, coverage: int = 30, low: float = -4, h
     )
 
 
+def group_table(spark: SparkSession, groups: list[list[str]]) -> DataFrame:
+    """(grp, cell_type) of groups numbered from 1: a row a type."""
+    return spark.createDataFrame([(i + 1, t) for i, g in enumerate(groups) for t in g], "grp int, cell_type string")
+
+
+def group_correlations(corr: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grp, n_types, a, b, corr): the correlations of all pairs of a group's types, each type with itself included."""
+    sized = groups.join(groups.groupBy("grp").agg(F.count("*").cast("int").alias("n_types")), "grp")
+    one, two = sized.withColumnRenamed("cell_type", "a"), groups.select(F.col("grp").alias("_grp"), F.col("cell_type").alias("b"))
+    return corr.join(one, "a").join(two, "b").where(F.col("grp") == F.col("_grp")).select("grp", "n_types", "a", "b", "corr")
+
+
+def min_max(rows: DataFrame, keys: list[str], value: str, out: str, least: float = 1e-10) -> DataFrame:
+    """rows with `out`: value scaled to [0, 1] by its least and largest within the keys; 0 where they are equal, NULL stays NULL."""
+    w = W.partitionBy(*keys)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    return rows.withColumn(out, (F.col(value) - low) / (high - low + least))
+
+
 def top_markers(scores: DataFrame, keys: list[str], score: str, k: int = 10) -> DataFrame:
     """The k best markers of each key, ties by name."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(score), "marker"))
@@ -154,11 +173,12 @@ def greedy_groups(corr: DataFrame, types: list[str], known: list[list[str]] = ()
 
 
 def welch(rows: DataFrame, keys: list[str], value: str, group: str, a: str, b: str) -> DataFrame:
-    """Welch's t and the effect size |mean difference| / (population deviation of b + 1e-10) per key."""
+    """Welch's t, its degrees of freedom, two-sided p-value and the effect size |mean difference| / (population deviation of b + 1e-10) per key."""
     side = lambda g, f, n: f(F.when(F.col(group) == g, F.col(value))).alias(n)
     moments = rows.groupBy(*keys).agg(
         side(a, F.avg, "ma"), side(b, F.avg, "mb"), side(a, F.var_samp, "va"), side(b, F.var_samp, "vb"), side(a, F.count, "na"), side(b, F.count, "nb"), side(b, F.stddev_pop, "sb"),
     )
     error = F.when((F.col("na") > 1) & (F.col("nb") > 1), F.col("va") / F.col("na") + F.col("vb") / F.col("nb"))
     terms = F.when((F.col("na") > 1) & (F.col("nb") > 1), F.pow(F.col("va") / F.col("na"), 2) / (F.col("na") - 1) + F.pow(F.col("vb") / F.col("nb"), 2) / (F.col("nb") - 1))
-    return moments.select(*keys, ratio(F.col("ma") - F.col("mb"), F.sqrt(error)).alias("t"), ratio(error * error, terms).alias("df"), (F.abs(F.col("ma") - F.col("mb")) / (F.col("sb") + 1e-10)).alias("effect"))
+    told = moments.select(*keys, ratio(F.col("ma") - F.col("mb"), F.sqrt(error)).alias("t"), ratio(error * error, terms).alias("df"), (F.abs(F.col("ma") - F.col("mb")) / (F.col("sb") + 1e-10)).alias("effect"))
+    return student_p(told, "t", "df", "p")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from mixolve.functions.expressions import logspace
-from mixolve.operators.atlas import profiles
+from mixolve.operators import atlas as A
+from mixolve.sources.files import written
 
 
 def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -37,89 +39,119 @@ def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(np.where(swap, 1 - value, value), 0, 1)
 
 
-def mean_correlation(mixtures: np.ndarray, block: int = 512) -> np.ndarray:
-    """Mean absolute correlation of each column with all others, in blocks of columns; constant columns have none."""
-    z = mixtures - mixtures.mean(axis=0)
-    size = np.sqrt((z * z).sum(axis=0))
-    z = np.where(size > 1e-12, z / np.where(size > 1e-12, size, 1), 0)
-    m = z.shape[1]
-    return np.concatenate([np.abs(z[:, i : i + block].T @ z).sum(axis=1) - 1 for i in range(0, m, block)]) / max(m - 1, 1)
+def blocks_of(rows: DataFrame, key: str, values: str, size: int = 512) -> DataFrame:
+    """(block, keys, v): rows of a key and an array of numbers, dealt by a hash into blocks of some `size`, one row a block; written."""
+    rows = written(rows.select(F.col(key).alias("key"), F.col(values).alias("value")), "keys")
+    count = rows.count()
+    number = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-count // size)))).cast("int")
+    held = rows.groupBy(number.alias("block")).agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("s"))
+    return written(held.select("block", F.transform("s", lambda x: x["key"]).alias("keys"), F.flatten(F.transform("s", lambda x: x["value"])).alias("v"), F.lit(count).alias("count")), "blocks")
 
 
-def distinguishability(atlas: DataFrame, *, low: float = 1e-4, high: float = 0.2, steps: int = 50, draws: int = 10_000, top: int = 10, seed: int = 42) -> DataFrame:
-    """(cell_type, step, concentration, n_distinguishable, top_markers) over types and concentrations.
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Each block met with each, itself included: (a, b, count, keys, v, other): a row a pair of blocks."""
+    left = blocks.crossJoin(F.broadcast(blocks.agg((F.max("block") + 1).alias("n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))  # one number
+    right = blocks.select(F.col("block").alias("b"), F.col("v").alias("other"))
+    return left.withColumnRenamed("block", "a").join(right, "b").select("a", "b", "count", "keys", "v", "other")
+
+
+def correlation_sums(h: np.ndarray, other: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """For each row of h the sum over rows of other of |h S o| / sqrt(h S h * o S o); rows without spread count as 0."""
+    one, two = (np.einsum("mk,kl,ml->m", x, spread, x) for x in (h, other))
+    scale = lambda v: np.where(v > 1e-24, 1 / np.sqrt(np.where(v > 1e-24, v, 1)), 0.0)
+    return np.abs((h @ spread @ other.T) * scale(one)[:, None] * scale(two)).sum(axis=1)
 
-    Each task draws even Dirichlet mixtures of the other types, without and with the type, tests every
-    marker (p < 0.05 and an effect over 0.5), and ranks markers by effect times independence. Draws are
-    seeded by type and step. Every task holds the profiles, types x markers numbers.
+
+def mean_correlation(atlas: DataFrame, *, block: int = 512) -> DataFrame:
+    """(marker, mean_corr): the mean absolute correlation, over types, of each marker with all others; 0 for constant markers.
+
+    A block product: each pair of blocks of markers is one row, so no task holds all markers.
     """
-    spark = atlas.sparkSession
-    types = [r["cell_type"] for r in atlas.select("cell_type").distinct().orderBy("cell_type").collect()]
-    rows = profiles(atlas).orderBy("marker").collect()  # types x markers numbers
-    markers, h = [r["marker"] for r in rows], spark.sparkContext.broadcast(np.array([r["profile"] for r in rows], float).T)
-    grid = spark.createDataFrame(list(enumerate(types)), "k int, cell_type string").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    grid = grid.withColumn("concentration", F.element_at(logspace(math.log10(low), math.log10(high), steps), F.col("step") + 1))
+    centred = A.profiles(atlas).select("marker", F.transform("profile", lambda x: x - F.aggregate("profile", F.lit(0.0), lambda s, y: s + y) / F.size("profile")).alias("profile"))
+    pairs = block_pairs(blocks_of(centred, "marker", "profile", block))
 
-    def run(frames):
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                h = np.asarray(row.v, float).reshape(len(row.keys), -1)
+                other = np.asarray(row.other, float).reshape(-1, h.shape[1])
+                sums = correlation_sums(h, other, np.eye(h.shape[1]))
+                own = (h * h).sum(axis=1) > 1e-24 if row.a == row.b else np.zeros(len(h), bool)
+                yield pd.DataFrame({"marker": row.keys, "part": (sums - own) / max(row.count - 1, 1)})
+
+    return pairs.mapInPandas(run, "marker string, part double").groupBy("marker").agg(F.greatest(F.sum("part"), F.lit(0.0)).alias("mean_corr"))
+
+
+def draw_moments(spark: SparkSession, k: int, conditions: int, draws: int, seed: int, chunk: int = 1000) -> DataFrame:
+    """(target, condition, side, mean, spread): mean and covariance of `draws` even Dirichlet draws over the types but the target.
+
+    A row a chunk of draws, seeded by target, condition, side and chunk; chunks are summed by Spark. Arrays have k and k x k numbers, 0 at the target.
+    """
+    chunks = -(-draws // chunk)
+    grid = spark.range(k * conditions * 2 * chunks).select((F.col("id") % chunks).alias("chunk"), F.expr(f"id div {chunks} % 2").cast("int").alias("side"), F.expr(f"id div {2 * chunks} % {conditions}").cast("int").alias("condition"), F.expr(f"id div {2 * chunks * conditions}").cast("int").alias("target"))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for k, name, step, conc in zip(frame["k"], frame["cell_type"], frame["step"], frame["concentration"]):
-                rng = np.random.default_rng([seed, int(k), int(step)])
-                others = np.delete(h.value, k, axis=0)
-                without = rng.dirichlet(np.ones(len(others)), draws) @ others
-                there = conc * h.value[k] + (1 - conc) * rng.dirichlet(np.ones(len(others)), draws) @ others
-                va, vb = there.var(axis=0, ddof=1) / draws, without.var(axis=0, ddof=1) / draws
-                error = np.maximum(va + vb, 1e-300)
-                gap = there.mean(axis=0) - without.mean(axis=0)
-                p = student_tail(gap / np.sqrt(error), error**2 / np.maximum((va**2 + vb**2) / (draws - 1), 1e-300))
-                effect = np.abs(gap) / (without.std(axis=0) + 1e-10)
-                shared = (mean_correlation(without) + mean_correlation(there)) / 2
-                alone = 1 - (shared - shared.min()) / (shared.max() - shared.min() + 1e-10)
-                best = np.argsort(-effect * alone, kind="stable")[:top]
-                out.append((name, int(step), float(conc), int(((p < 0.05) & (effect > 0.5)).sum()), [markers[i] for i in best]))
-            yield pd.DataFrame(out, columns=["cell_type", "step", "concentration", "n_distinguishable", "top_markers"])
-
-    return grid.repartition("k", "step").mapInPandas(run, "cell_type string, step int, concentration double, n_distinguishable int, top_markers array<string>")
-
-
-def solve_with_group_variance(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, group_weights: list[float] | None = None, penalty: float = 0.1, steps: int = 100, rate: float = 0.01, batch: int = 32, seed: int = 42) -> DataFrame:
-    """(sample, cell_type, w): reconstruction error plus softplus-weighted variance of each group's types within a batch.
-
-    A batch is about `batch` samples dealt by a hash, solved together by Adam from a seeded start; the
-    weights are positive parts, divided by their sum.
+            for target, condition, side, number in zip(frame["target"], frame["condition"], frame["side"], frame["chunk"]):
+                n = min(chunk, draws - int(number) * chunk)
+                d = np.insert(np.random.default_rng([seed, int(target), int(condition), int(side), int(number)]).dirichlet(np.ones(k - 1), n), int(target), 0.0, axis=1)
+                out.append((target, condition, side, [n, *d.sum(axis=0), *(d.T @ d).ravel()]))
+            yield pd.DataFrame(out, columns=["target", "condition", "side", "sums"])
+
+    sums = grid.repartition("target", "condition").mapInPandas(run, "target int, condition int, side int, sums array<double>")
+    whole = sums.select("target", "condition", "side", F.posexplode("sums").alias("i", "v")).groupBy("target", "condition", "side", "i").agg(F.sum("v").alias("v"))
+    told = whole.groupBy("target", "condition", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("s"))
+    mean = F.transform(F.slice("s", 2, k), lambda x: x / F.col("s")[0])
+    centred = F.transform(F.slice("s", k + 2, k * k), lambda x, i: (x - F.col("s")[0] * F.element_at("mean", (F.floor(i / k) + 1).cast("int")) * F.element_at("mean", (i % k + 1).cast("int"))) / (F.col("s")[0] - 1))
+    return told.withColumn("mean", mean).select("target", "condition", "side", "mean", centred.alias("spread"))
+
+
+def distinguishability(atlas: DataFrame, *, low: float = 1e-4, high: float = 0.2, steps: int = 50, draws: int = 10_000, top: int = 10, seed: int = 42, block: int = 512) -> DataFrame:
+    """(cell_type, step, concentration, n_distinguishable, top_markers) over types and concentrations.
+
+    Even Dirichlet mixtures of the other types, without and with the type, are drawn; every marker is tested (p < 0.05 by Welch's t and an
+    effect over 0.5) and ranked by effect times independence, which is 1 less its min-max scaled mean absolute correlation with all others.
+    Mixtures are linear in the draws, so a marker's mean, variance and correlations follow from the draws' means and covariances,
+    types x types numbers summed over chunks of draws. Correlations are a product of blocks of markers, a row for each pair of
+    blocks and type; no task and not the driver holds all markers.
     """
+    spark = atlas.sparkSession
+    atlas = A.fixed(atlas)
     types = [r["cell_type"] for r in atlas.select("cell_type").distinct().orderBy("cell_type").collect()]
-    weights = np.log1p(np.exp(np.array(group_weights or [0.0] * len(groups))))
-    inside = [[types.index(t) for t in g] for g in groups]
-    rows = obs.select("sample", "marker", F.coalesce("x", F.lit(0.0)).alias("x"), "c").join(profiles(atlas), "marker")
-    told = rows.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("marker", "x", "c", "profile"))).alias("s"))
-    n = told.count()
-    told = told.withColumn("batch", F.pmod(F.xxhash64("sample"), F.lit(max(1, -(-n // batch)))))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sample")
-        names = sorted({r["marker"] for s in frame["s"] for r in s})
-        at = {m: i for i, m in enumerate(names)}
-        x, mask, h = np.zeros((len(frame), len(at))), np.zeros((len(frame), len(at))), np.zeros((len(types), len(at)))
-        for i, s in enumerate(frame["s"]):
-            for r in s:
-                j = at[r["marker"]]
-                x[i, j], mask[i, j], h[:, j] = r["x"], r["c"] > 0, r["profile"]
-        w = np.random.default_rng([seed, int(frame["batch"].iloc[0])]).random((len(frame), len(types)))
-        first, second, b = np.zeros_like(w), np.zeros_like(w), len(frame)
-        for k in range(1, steps + 1):
-            up = np.maximum(w, 0)
-            total = np.maximum(up.sum(axis=1, keepdims=True), 1e-12)
-            p = up / total
-            g = -2 * ((mask * (x - p @ h)) @ h.T) / max(mask.sum(), 1)
-            for weight, those in zip(weights, inside):
-                if b > 1:
-                    g[:, those] += penalty * weight / len(groups) / len(those) * 2 * (p[:, those] - p[:, those].mean(axis=0)) / (b - 1)
-            g = (g - (g * p).sum(axis=1, keepdims=True)) / total * (w > 0)
-            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-            w = w - rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-        p = np.maximum(w, 0)
-        p = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({"sample": np.repeat(frame["sample"].to_numpy(), len(types)), "cell_type": types * len(frame), "w": p.ravel()})
-
-    return told.groupBy("batch").applyInPandas(run, "sample string, cell_type string, w double")
+    k = len(types)
+    moments = written(draw_moments(spark, k, steps, draws, seed), "moments")
+    per_type = moments.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("condition", "side", "mean", "spread"))).alias("s"))  # 2 x steps covariances
+    per_type = per_type.select("target", F.flatten(F.transform("s", lambda x: x["mean"])).alias("means"), F.flatten(F.transform("s", lambda x: x["spread"])).alias("spreads"))
+    pairs = block_pairs(blocks_of(A.profiles(atlas), "marker", "profile", block)).withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).join(per_type, "target")
+    concentration = [10 ** (math.log10(low) + (math.log10(high) - math.log10(low)) * i / max(steps - 1, 1)) for i in range(steps)]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                h, other = (np.asarray(v, float).reshape(-1, k) for v in (row.v, row.other))
+                means, spreads = np.asarray(row.means, float).reshape(steps, 2, k), np.asarray(row.spreads, float).reshape(steps, 2, k, k)
+                for step, c in enumerate(concentration):
+                    shared = np.zeros(len(h))
+                    for side in (0, 1):
+                        own = np.einsum("mk,kl,ml->m", h, spreads[step, side], h) > 1e-24 if row.a == row.b else 0
+                        shared += (correlation_sums(h, other, spreads[step, side]) - own) / max(row.count - 1, 1) / 2
+                    out = {"target": row.target, "step": step, "marker": row.keys, "shared": shared, "p": np.nan, "effect": np.nan}
+                    if row.b == 0:
+                        without, there = (np.einsum("mk,kl,ml->m", h, spreads[step, side], h) for side in (0, 1))
+                        va, vb = there * (1 - c) ** 2 / draws, without / draws
+                        error = np.maximum(va + vb, 1e-300)
+                        gap = c * h[:, row.target] + (1 - c) * (h @ means[step, 1]) - h @ means[step, 0]
+                        out["p"] = student_tail(gap / np.sqrt(error), error**2 / np.maximum((va**2 + vb**2) / (draws - 1), 1e-300))
+                        out["effect"] = np.abs(gap) / (np.sqrt(np.maximum(without, 0) * (draws - 1) / draws) + 1e-10)
+                    yield pd.DataFrame(out)
+
+    parts = pairs.mapInPandas(run, "target int, step int, marker string, shared double, p double, effect double")
+    known = lambda c: F.max(F.when(~F.isnan(c), F.col(c)))
+    told = parts.groupBy("target", "step", "marker").agg(F.sum("shared").alias("shared"), known("p").alias("p"), known("effect").alias("effect"))
+    scored = A.min_max(told, ["target", "step"], "shared", "scaled").withColumn("score", F.col("effect") * (1 - F.col("scaled")))
+    order = W.partitionBy("target", "step").orderBy(F.desc("score"), "marker")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).groupBy("target", "step").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "marker"))), lambda s: s["marker"]).alias("top_markers"))
+    told = scored.groupBy("target", "step").agg(F.count_if((F.col("p") < 0.05) & (F.col("effect") > 0.5)).cast("int").alias("n_distinguishable"))
+    name, level = F.element_at(F.array(*map(F.lit, types)), F.col("target") + 1), F.element_at(F.array(*map(F.lit, concentration)), F.col("step") + 1)
+    return told.join(best, ["target", "step"]).select(name.alias("cell_type"), "step", level.alias("concentration"), "n_distinguishable", "top_markers")

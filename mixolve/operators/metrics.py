@@ -148,6 +148,11 @@ def dilution_frame(estimates: DataFrame, cell_type: str) -> DataFrame:
     return told.orderBy("dilution", "replicate")
 
 
+def dilution_levels(results: DataFrame) -> DataFrame:
+    """(dilution, level): the distinct dilutions in order, numbered from 1; they are few."""
+    return results.select("dilution").distinct().select("dilution", F.row_number().over(W.orderBy("dilution")).alias("level"))
+
+
 def checked_pairs(truth: DataFrame, estimates: DataFrame) -> DataFrame:
     """pairs(sample, cell_type, truth, pred). Raises unless both sides have the same samples and types, each once."""
     both = truth.select("sample", "cell_type", F.col("w").alias("truth")).join(estimates.select("sample", "cell_type", F.col("w").alias("pred")), ["sample", "cell_type"], "full")

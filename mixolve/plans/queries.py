@@ -14,11 +14,13 @@ from mixolve.operators import linear as L
 from mixolve.operators import metrics as M
 from mixolve.operators import network as N
 from mixolve.operators import reads as R
+from mixolve.operators import regularised as V
 from mixolve.operators import simulate as G
 from mixolve.operators import solvers as S
 from mixolve.plans import tables as T
 from mixolve.plans.tables import sql
 from mixolve.sources import files
+from mixolve.sources.files import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,12 +185,18 @@ def corr_edges(spark, d):
     return rounded(A.correlated_pairs(A.correlations(T.embedded_atlas(spark, d)), 0.1))
 
 
-@query("group_summary", sql("embedded", f""", {PAIR}, c AS (SELECT a, b, corr(ha, hb) AS corr FROM p WHERE a < b GROUP BY a, b), g AS (SELECT 't' || i AS t, i % 3 AS grp FROM range(10) r(i))
-SELECT x.grp::BIGINT AS grp, count(*) AS n_pairs, round(avg(corr), 6) AS mean_corr FROM c JOIN g x ON x.t = a JOIN g y ON y.t = b WHERE x.grp = y.grp GROUP BY x.grp"""))
+# Greedy groups in SQL: the types in turn; one that isn't taken yet takes all others that correlate with it and aren't taken.
+@query("group_summary", sql("embedded", f""", {PAIR}, c AS (SELECT a, b, corr(ha, hb) AS corr FROM p GROUP BY a, b), t AS (SELECT list(DISTINCT cell_type ORDER BY cell_type) AS types FROM embedded),
+near AS (SELECT map_from_entries(list((a, bs))) AS m FROM (SELECT a, list(b ORDER BY b) FILTER (a <> b AND abs(corr) > 0.1) AS bs FROM c GROUP BY a)),
+it AS (SELECT 0 AS i, []::VARCHAR[] AS used, []::VARCHAR[][] AS groups UNION ALL SELECT i + 1, list_concat(used, new), CASE WHEN len(new) > 0 THEN list_append(groups, new) ELSE groups END FROM (SELECT i, used, groups,
+    CASE WHEN list_contains(used, types[i + 1]) THEN []::VARCHAR[] ELSE list_concat([types[i + 1]], list_filter(coalesce(m[types[i + 1]], []), lambda o: NOT list_contains(used, o))) END AS new FROM it, t, near WHERE i < len(types))),
+g AS (SELECT grp, unnest(groups[grp]) AS cell_type FROM (SELECT groups, unnest(range(1, len(groups) + 1)) AS grp FROM it, t WHERE i = len(types)))
+SELECT x.grp::INT AS grp, any_value(n)::INT AS n_types, x.cell_type AS a, y.cell_type AS b, round(corr, 6) AS corr FROM g x JOIN g y USING (grp) JOIN c ON a = x.cell_type AND b = y.cell_type JOIN (SELECT grp, count(*) AS n FROM g GROUP BY grp) USING (grp) GROUP BY x.grp, x.cell_type, y.cell_type, corr""", recursive=True))
 def group_summary(spark, d):
-    grp = lambda c: F.substring(c, 2, 9).cast("long") % 3
-    corr = A.correlations(T.embedded_atlas(spark, d)).where("a < b")
-    return rounded(corr.where(grp("a") == grp("b")).groupBy(grp("a").alias("grp")).agg(F.count("*").alias("n_pairs"), F.avg("corr").alias("mean_corr")))
+    """Correlations within each group of types that correlate by more than 0.1."""
+    atlas = A.fixed(T.embedded_atlas(spark, d))
+    corr = written(A.correlations(atlas), "correlations")
+    return rounded(A.group_correlations(corr, A.group_table(spark, A.greedy_groups(corr, L.types_of(atlas), threshold=0.1))))
 
 
 Z = "z AS (SELECT marker, cell_type, (h - avg(h) OVER (PARTITION BY marker)) / CASE WHEN stddev_pop(h) OVER (PARTITION BY marker) = 0 THEN 1 ELSE stddev_pop(h) OVER (PARTITION BY marker) END AS h FROM embedded)"
@@ -238,14 +246,31 @@ def detection_limits(spark, d):
     return rounded(A.detection_limits(T.embedded_atlas(spark, d), threshold=0.01))
 
 
+# The p-value in SQL: the share of cos^(df - 1) beyond atan(t / sqrt(df)), by Simpson's rule of 4000 steps.
 @query("welch_effect", """WITH m AS (SELECT user_id % 20 AS k, avg(value) FILTER (event_type = 'click') AS ma, avg(value) FILTER (event_type = 'view') AS mb, var_samp(value) FILTER (event_type = 'click') AS va, var_samp(value) FILTER (event_type = 'view') AS vb,
-count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb, stddev_pop(value) FILTER (event_type = 'view') AS sb FROM events GROUP BY 1)
-SELECT k, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df, round(abs(ma - mb) / (sb + 1e-10), 6) AS effect FROM m""")
+count(*) FILTER (event_type = 'click') AS na, count(*) FILTER (event_type = 'view') AS nb, stddev_pop(value) FILTER (event_type = 'view') AS sb FROM events GROUP BY 1),
+w AS (SELECT k, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df, abs(ma - mb) / (sb + 1e-10) AS effect FROM m),
+p AS (SELECT k, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(cos(lo + (pi() / 2 - lo) * i / 4000), 0), df - 1)) * (pi() / 2 - lo) / 4000 / 3 / exp(0.5e0 * ln(pi()) + lgamma(df / 2) - lgamma((df + 1) / 2)) * 2 AS p
+    FROM (SELECT k, df, atan(abs(t) / sqrt(df)) AS lo FROM w), range(0, 4001) r(i) GROUP BY k, df, lo)
+SELECT k, round(t, 6) AS t, round(df, 4) AS df, round(p, 6) AS p, round(effect, 6) AS effect FROM w JOIN p USING (k)""")
 def welch_effect(spark, d):
     e = T.load(spark, d, "events").withColumn("k", F.col("user_id") % 20)
     return rounded(A.welch(e, ["k"], "value", "event_type", "click", "view")).withColumn("df", F.round("df", 4))
 
 
+@query("min_max_gaps", sql("embedded", f""", {LOO}, g AS (SELECT cell_type, marker, abs(h - others) AS gap FROM loo)
+SELECT cell_type, marker, round((gap - min(gap) OVER w) / (max(gap) OVER w - min(gap) OVER w + 1e-10), 6) AS scaled FROM g WINDOW w AS (PARTITION BY cell_type)"""))
+def min_max_gaps(spark, d):
+    gaps = A.leave_one_out(T.embedded_atlas(spark, d)).select("cell_type", "marker", F.abs(F.col("h") - F.col("others")).alias("gap"))
+    return rounded(A.min_max(gaps, ["cell_type"], "gap", "scaled").drop("gap"))
+
+
+@query("mean_marker_corr", sql("embedded", """, c AS (SELECT x.marker, coalesce(abs(corr(x.h, y.h)), 0) AS corr FROM embedded x JOIN embedded y ON x.cell_type = y.cell_type AND x.marker <> y.marker GROUP BY x.marker, y.marker)
+SELECT marker, round(avg(corr), 6) AS mean_corr FROM c GROUP BY marker"""))
+def mean_marker_corr(spark, d):
+    return rounded(D.mean_correlation(T.embedded_atlas(spark, d)))
+
+
 # Linear algebra and solvers -------------------------------------------------------------------
 
 
@@ -400,7 +425,34 @@ def grouped_nmf(spark, d):
 
 @query("solve_group_variance")
 def solve_group_variance(spark, d):
-    return rounded(D.solve_with_group_variance(T.obs(spark, d), T.atlas(spark, d), _GROUPS))
+    return rounded(V.solve_with_group_variance(T.obs(spark, d), T.atlas(spark, d), _GROUPS))
+
+
+def _halves(spark, d):
+    """(obs, prop) of every supplier as a sample: a fifth of them held out."""
+    held = F.pmod(F.xxhash64("sample"), F.lit(5)) == 0
+    obs, prop = written(T.obs(spark, d, None), "supplier-obs"), written(T.prop(spark, d, None), "supplier-prop")
+    return (obs.where(~held), prop.where(~held)), (obs.where(held), prop.where(held))
+
+
+def _group_model(spark, d):
+    atlas = A.fixed(T.atlas(spark, d))
+    (obs, prop), (held_obs, held_prop) = _halves(spark, d)
+    train, held = V.batches(obs, atlas, prop), V.batches(held_obs, atlas, held_prop)
+    return *V.fit(V.new_model(atlas, _GROUPS), train, held, epochs=12, rate=0.1, patience=4), held
+
+
+@query("group_variance_fit")
+def group_variance_fit(spark, d):
+    """Weights of three groups learned on every supplier's sample but a fifth: losses and weights by epoch."""
+    return spark.createDataFrame(_group_model(spark, d)[1], V.HISTORY)
+
+
+@query("group_variance_score")
+def group_variance_score(spark, d):
+    """The held-out samples by the learned weights."""
+    model, _, held = _group_model(spark, d)
+    return V.predict(model, held)
 
 
 @query("distinguishability")
@@ -611,6 +663,47 @@ def diffnnls_score(spark, d):
     return rounded(model.score(N.features(filled, log_coverage=False).join(N.features(filled.withColumn("x", F.col("c")), log_coverage=False).withColumnRenamed("x", "c"), "sample"), L.types_of(atlas)))
 
 
+def _unrolled(spark, d, steps: int, rate: float):
+    """An untrained unrolled solver of the atlas, its markers and types."""
+    import numpy as np
+
+    atlas = A.fixed(T.atlas(spark, d))
+    told = A.profiles(atlas).orderBy("marker").collect()  # types x markers numbers
+    return N.UnrolledSolver.untrained(np.array([r["profile"] for r in told], float).T, steps, rate), [r["marker"] for r in told], L.types_of(atlas)
+
+
+@query("unrolled_fit")
+def unrolled_fit(spark, d):
+    """The unrolled solver trained on every supplier's sample but a fifth, by the error of proportions: losses by epoch, the first before any step."""
+    model, markers, types = _unrolled(spark, d, 20, 2e-3)
+    (obs, prop), (held_obs, held_prop) = _halves(spark, d)
+
+    def rows(obs, prop):
+        y = prop.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("cell_type", "w"))).alias("m"))
+        told = N.aligned(obs, markers).join(y, "sample")
+        return told.select("sample", F.concat("x", "c").alias("x"), F.array(*[F.coalesce(F.col("m")[t], F.lit(0.0)) for t in types]).alias("y"))
+
+    history = N.fit(model, rows(obs, prop), validation=rows(held_obs, held_prop), criterion=N.squared_error, epochs=10, rate=1e-3, decay=0.0)
+    return spark.createDataFrame(history, "epoch int, rate double, train_loss double, val_loss double")
+
+
+@query("model_dilutions", sql("reads uxm obs atlas", f""", o2 AS (SELECT * FROM obs WHERE length(marker) % 5 <> 0), {SYSTEM.replace('obs o', 'o2 o').replace('o.c * o.c * x.h * y.h', 'o.c * (x.h + 0.5e0) * (y.h + 0.5e0)').replace('c * c * o.x * h', 'c * o.x * (h + 0.5e0)')}, it AS (SELECT sample, 0 AS k, [0e0 FOR x IN rhs] AS w FROM sys
+UNION ALL SELECT sample, k, [x / (list_sum(v) + 1e-8) FOR x IN v] FROM (SELECT it.sample, k + 1 AS k, list_transform(range(1, len(w) + 1), lambda i: greatest(w[i] - {_UNROLLED['rate']} * (list_dot_product(gram[i], w) - rhs[i]), 0e0)) AS v FROM it JOIN sys USING (sample) WHERE k < {_UNROLLED['steps']})),
+u AS (SELECT sample, unnest(types) AS cell_type, unnest(w) AS w FROM it JOIN sys USING (sample) WHERE k = {_UNROLLED['steps']}), f AS (SELECT 'd0.0' || (substr(sample, 2)::INT % 5) || '_' || substr(sample, 2) AS sample, ('0.0' || (substr(sample, 2)::INT % 5))::DOUBLE AS dilution, substr(sample, 2)::INT AS replicate, w FROM u WHERE cell_type = '2-HIGH')
+SELECT sample, dilution, replicate, round(w, 6) AS contribution, dense_rank() OVER (ORDER BY dilution)::INT AS level FROM f ORDER BY dilution, replicate""", recursive=True))
+def model_dilutions(spark, d):
+    """A model file, loaded, meets samples that lack a fifth of its markers and have others; one type's contributions by dilution, levels numbered."""
+    model, markers, types = _unrolled(spark, d, **_UNROLLED)
+    path = files.shared_folder(spark, "model")
+    N.save(model, spark, path, markers=markers, types=types)
+    obs = T.obs(spark, d).where(F.length("marker") % 5 != 0).select("sample", "marker", "x", "c")
+    strange = obs.withColumn("marker", F.concat(F.lit("other "), "marker"))
+    n = F.substring("sample", 2, 9)
+    found = N.predict(N.load(spark, path), obs.unionAll(strange)).withColumn("sample", F.concat(F.lit("d0.0"), (n.cast("int") % 5).cast("string"), F.lit("_"), n))
+    told = M.dilution_frame(found, "2-HIGH")
+    return rounded(told.join(M.dilution_levels(told), "dilution").select("sample", "dilution", "replicate", "contribution", "level").orderBy("dilution", "replicate"))
+
+
 def _simulated(spark, d, n: int, seed: int):
     """(sample, x, y, weight) of simulated mixtures of the embedded atlas."""
     atlas = T.embedded_atlas(spark, d)

@@ -12,21 +12,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a read: line items, marker from the part, type from the order, U/X/M from the return flag."""
+def reads(spark: SparkSession, sf_dir: str, samples: int | None = 20) -> DataFrame:
+    """One row a read: line items, marker from the part, type from the order, U/X/M from the return flag; suppliers fall into `samples`, or are each one."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
     parts = load(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("|"), "p_type").alias("marker"), F.when(F.length("p_type") % 2 == 0, "U").otherwise("M").alias("direction"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("cell_type"))
+    of = F.col("l_suppkey") % samples if samples else F.col("l_suppkey")
     kind = F.when(F.col("l_returnflag") == "N", "U").when(F.col("l_returnflag") == "R", "X").otherwise("M")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("sample"), "marker", "direction", "cell_type", kind.alias("kind"))
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("s"), of.cast("string")).alias("sample"), "marker", "direction", "cell_type", kind.alias("kind"))
 
 
-def uxm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.count_kinds(reads(spark, sf_dir))
+def uxm(spark: SparkSession, sf_dir: str, samples: int | None = 20) -> DataFrame:
+    return R.count_kinds(reads(spark, sf_dir, samples))
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.observed(uxm(spark, sf_dir))
+def obs(spark: SparkSession, sf_dir: str, samples: int | None = 20) -> DataFrame:
+    return R.observed(uxm(spark, sf_dir, samples))
 
 
 def atlas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +45,9 @@ def atlas_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return atlas(spark, sf_dir).withColumn("h", F.when(~gap, F.round("h", 1)))
 
 
-def prop(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prop(spark: SparkSession, sf_dir: str, samples: int | None = 20) -> DataFrame:
     """Proportions of types among a sample's reads."""
-    n = reads(spark, sf_dir).groupBy("sample", "cell_type").agg(F.count("*").alias("n"))
+    n = reads(spark, sf_dir, samples).groupBy("sample", "cell_type").agg(F.count("*").alias("n"))
     total = n.groupBy("sample").agg(F.sum("n").alias("total"))
     return n.join(total, "sample").select("sample", "cell_type", (F.col("n") / F.col("total")).alias("w"))
 
