@@ -45,8 +45,8 @@ class Vocabulary:
 class ByteTokens(Encoder):
     """A byte-level `tokenizers` file in which special tokens' strings are plain text; texts come with a leading space."""
 
-    def __init__(self, path: str, entries: int = 150_000):
-        super().__init__(path, True, entries)
+    def __init__(self, path: str):
+        super().__init__(path, True)
         self.tokenizer.encode_special_tokens = True
         self.marks, self.border = (), None
         byte = _byte_of()
@@ -62,12 +62,12 @@ class Pieces(Encoder):
 
     PUNCTUATION = ""
 
-    def __init__(self, path: str, entries: int = 150_000):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
-        self.marks, self.lead, self.entries = (), " ", entries
+        self.marks, self.lead = (), " "
         self.young, self.old, self.tails = {}, {}, {}
         self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.vocabulary = Vocabulary([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
@@ -84,23 +84,82 @@ class Pieces(Encoder):
         return out
 
     def _learn(self, words: list[str], lead: str) -> dict[str, bytes]:
-        made = super()._learn(words, lead) if self.apart else dict.fromkeys(words, UNSAFE)
-        if not lead and "" in made:  # the text begins with white space
-            made[""] = UNSAFE
-        return made
+        return super()._learn(words, lead) if self.apart else dict.fromkeys(words, UNSAFE)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.model.encode(text), "<u4")
 
 
-_held: dict[tuple[str, str], tuple[ByteTokens, Pieces]] = {}
+class Pair:
+    """Both tokenizers, with one memory of what single words became: bounded, of two generations.
+
+    A text is cut at single spaces and line ends. To both tokenizers a word in it is that with a space (or line end) before it, the
+    first one too, as the first tokenizer is given a space and the text and the second puts one there itself. Texts with other
+    white space at a cut are encoded whole. Results equal those of whole texts.
+    """
+
+    #: The code of a word that can't stand alone.
+    ALONE = b"\xff\xff\xff\xff"
+
+    def __init__(self, a: str, b: str, entries: int = 100_000):
+        self.first, self.second, self.entries = ByteTokens(a), Pieces(b), entries
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _codes(self, words: list[str]) -> list[bytes]:
+        """Of each word: how many tokens of the first kind, those, and those of the second kind."""
+        if len(self.young) > self.entries:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, words))
+        absent = [i for i, x in enumerate(out) if x is None]
+        asked = [words[i] for i in absent]
+        made = {w: x for w, x in zip(asked, map(self.old.get, asked)) if x is not None}
+        new = [w for w in asked if w not in made]
+        one, two = self.first._learn(new, " "), self.second._learn(new, " ")
+        for w in new:
+            x, y = one[w], two[w]
+            made[w] = self.ALONE if x is UNSAFE or y is UNSAFE else (len(x) // 4).to_bytes(4, "little") + x + y
+        for i, w in zip(absent, asked):
+            out[i] = made[w]
+        self.young.update([(w, x) for w, x in made.items() if len(w) <= Encoder.LONGEST])
+        return out
+
+    def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each tokenizer (flat IDs of all texts, offsets of each text in them). Texts must not be null."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        bounds, place = bounds - bounds[0], coded.indices.to_numpy()
+        codes = self._codes(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        at = np.cumsum(size) - size
+        count = flat[at].astype(np.int64)
+        alone = count == 0xFFFFFFFF
+        count[alone] = 0
+        hard = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(alone[place])])[bounds]))
+        out = []
+        for start, sizes, whole in ((at + 1, count, lambda t: self.first._whole(" " + t)), (at + 1 + count, size - 1 - count, self.second._whole)):
+            sizes = sizes[place]
+            ids, offsets = flat[_spans(start[place], sizes)], np.concatenate([[0], np.cumsum(sizes)])[bounds]
+            if len(hard):
+                each = [ids[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
+                for i in hard.tolist():
+                    text = texts[i].as_py()
+                    each[i] = whole(text) if text else ids[:0]
+                ids, offsets = np.concatenate(each), np.cumsum([0, *map(len, each)])
+            out.append((ids, offsets))
+        return out
+
+
+_held: dict[tuple[str, str], Pair] = {}
 
 
-def encoders(a: str, b: str) -> tuple[ByteTokens, Pieces]:
+def pair(a: str, b: str) -> Pair:
     """This worker's pair of encoders; it lives as long as the worker."""
     if (a, b) not in _held:
         _held.clear()
-        _held[a, b] = ByteTokens(a), Pieces(b)
+        _held[a, b] = Pair(a, b)
     return _held[a, b]
 
 
@@ -124,7 +183,7 @@ def _weighed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[first], np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def linked(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarray, doc: np.ndarray, size_b: int, span: int, most: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def linked(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarray, doc: np.ndarray, size_b: int, span: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, pair) keys, doc * span + a * size_b + b, and how many links each stands for.
 
     Tokens of both sides are in order of their group; doc is each group's document. Links are expanded by
@@ -165,7 +224,7 @@ def linked(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarra
     return _weighed(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in found]]), np.concatenate([np.zeros(0, np.int64), *[w for _, w in found]]))
 
 
-def align(texts: pa.Array, first: ByteTokens, second: Pieces) -> dict[str, np.ndarray | list]:
+def align(texts: pa.Array, both: Pair) -> dict[str, np.ndarray | list]:
     """The alignment of some texts (strings, not null).
 
     n_a, n_b, n_groups, n_links and groups_sha256 of each; keys, the distinct pairs a * (size of the
@@ -173,8 +232,8 @@ def align(texts: pa.Array, first: ByteTokens, second: Pieces) -> dict[str, np.nd
     keys and how many links (times) each stands for.
     """
     spaced = pc.binary_join_element_wise("", texts, " ")
-    (ids_a, at_a), (ids_b, at_b) = first.encode(spaced), second.encode(texts)
-    va, vb = first.vocabulary, second.vocabulary
+    (ids_a, at_a), (ids_b, at_b) = both.encode(texts)
+    va, vb = both.first.vocabulary, both.second.vocabulary
     raw = pc.cast(spaced, pa.large_binary())
     ends = np.concatenate([[0], np.cumsum(pc.binary_length(raw).to_numpy())])
     flat = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
@@ -246,8 +305,8 @@ def chunked(docs: DataFrame, a: str, b: str, *, id_col: str = "doc_id", text_col
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for few in slices(whole, "text", 4 << 20):
-                got, n = align(few.column("text"), *encoders(a, b)), few.num_rows
+            for few in slices(whole, "text", 2 << 20):
+                got, n = align(few.column("text"), pair(a, b)), few.num_rows
                 yield batch(
                     n, chunk=pa.repeat(chunk, n), doc_id=few.column("doc_id"), groups_sha256=pa.array(got["groups_sha256"], pa.string()), places=lists(got["places"], got["offsets"], pa.int32()),
                     times=lists(got["times"], got["offsets"], pa.int32()), **{c: pa.array(got[c], pa.int64()) for c in NUMBERS},
@@ -302,7 +361,7 @@ def token_alignment(docs: DataFrame, a: str, b: str, **columns: str) -> DataFram
     """
     chunks = scratch(chunked(docs, a, b, **columns), "alignments", compression="zstd")
     pairs = chunks.where("keys is not null").select("chunk", "first", F.posexplode(F.arrays_zip("keys", "docs")).alias("i", "x")).select("chunk", (F.col("first") + F.col("i")).alias("place"), F.col("x.keys").alias("key"), F.col("x.docs").alias("docs"))
-    counts = scratch(pair_counts(pairs, encoders(a, b)[1].model.vocab_size()), "pair-table")
+    counts = scratch(pair_counts(pairs, pair(a, b).second.model.vocab_size()), "pair-table")
     found = pairs.select("chunk", "place", "key").join(counts, "key").select(F.col("chunk").alias("of"), "place", "count", "best")
     told = chunks.where("keys is null").select("chunk", "doc_id", *NUMBERS, "groups_sha256", "places", "times")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"

@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from mixolve.llm.alignment import ByteTokens, Pieces, align, linked, token_alignment
+from mixolve.llm.alignment import Pair, align, linked, token_alignment
 from mixolve.llm.queries import tokenizer_file
 
 A, B = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
@@ -88,14 +88,13 @@ def test_as_token_by_token(spark, parts):
 
 def test_remembered_words_give_what_whole_texts_give():
     texts = [t for t in ODD if t] + sample(300, 7)
-    first, second = ByteTokens(A, 50), Pieces(B, 50)
+    both = Pair(A, B, 50)
     tok, sp = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     tok.encode_special_tokens = True
     for some in (texts[:100], texts[100:], texts):
-        ids, at = first.encode(pa.array([" " + t for t in some]))
+        (ids, at), (ids_b, at_b) = both.encode(pa.array(some))
         assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [tok.encode(" " + t, add_special_tokens=False).ids for t in some]
-        ids, at = second.encode(pa.array(some))
-        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [sp.encode(t) for t in some]
+        assert [ids_b[i:j].tolist() for i, j in zip(at_b[:-1], at_b[1:])] == [sp.encode(t) for t in some]
 
 
 def test_links_of_large_groups_and_in_blocks():
@@ -114,5 +113,5 @@ def test_empty_and_a_very_long_text(spark):
     assert token_alignment(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
     rows = [(1, "one Two\nthree, " * 100_000), (2, "one Two")]
     assert in_order(token_alignment(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()) == in_order(brute(rows))
-    none = align(pa.array([""]), ByteTokens(A), Pieces(B))
+    none = align(pa.array([""]), Pair(A, B))
     assert none["n_links"].tolist() == [0] and none["groups_sha256"] == [""]
