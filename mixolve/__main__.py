@@ -21,10 +21,10 @@ def generate(spark: SparkSession, a) -> None:
         w = simulate.proportions(spark, n, types, seed=seed).withColumn("split", F.lit(split))
         x = simulate.methylation(simulate.coverage(linear.mixture(w, profiles), seed=seed), seed=seed).withColumn("split", F.lit(split))
         prop, obs = (w, x) if prop is None or obs is None else (prop.unionByName(w), obs.unionByName(x))
-    files.write_dataset({"obs": obs, "prop": prop, "atlas": profiles}, a.out)
+    obs, prop = files.written(obs, "obs"), files.written(prop, "prop")
     for split in ("train", "val"):
-        data = files.read_dataset(spark, a.out, split)
-        reads.checked(data["prop"], data["obs"])
+        reads.checked(prop.where(F.col("split") == split), obs.where(F.col("split") == split))  # before anything is in its place
+    files.write_dataset({"obs": obs, "prop": prop, "atlas": profiles}, a.out)
 
 
 def solve(spark: SparkSession, a) -> None:
@@ -54,8 +54,10 @@ def limits(spark: SparkSession, a) -> None:
 
 
 def counts(spark: SparkSession, a) -> None:
-    """Class reads (Parquet) by the markers of a table (Parquet) and write counts, a folder a sample."""
-    files.write_cache(files.some(reads.classify(spark.read.parquet(a.reads), spark.read.parquet(a.markers)), "reads on markers"), a.out)
+    """Class reads (Parquet) by the markers of a table (Parquet) into a cache, a folder a sample; what is there and no older than the reads' table stays."""
+    rows = files.some(spark.read.parquet(a.reads), "reads")
+    samples = rows.groupBy("sample").agg(F.max(F.col("_metadata.file_modification_time")).alias("modified"))
+    files.some(files.refresh_cache(rows, spark.read.parquet(a.markers), samples, a.out), "reads on markers")
 
 
 def _rows(data: dict) -> DataFrame:
@@ -64,20 +66,38 @@ def _rows(data: dict) -> DataFrame:
     return network.features(data["obs"]).join(y, "sample").join(reads.sample_weights(data["prop"]), "sample")
 
 
+def _unrolled_rows(data: dict, markers: list[str]) -> DataFrame:
+    """(sample, x, y) for the unrolled solver: x holds values and then coverages."""
+    y = data["prop"].groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_type", "w"))), lambda s: s["w"]).alias("y"))
+    return network.aligned(data["obs"], markers).join(y, "sample").select("sample", F.concat("x", "c").alias("x"), "y")
+
+
 def train(spark: SparkSession, a) -> None:
-    """Train a perceptron on a dataset's training split, judged on its validation split; writes model and history."""
-    rows, held = _rows(files.read_dataset(spark, a.dataset, "train")), _rows(files.read_dataset(spark, a.dataset, "val"))
-    one = files.some(rows, "training rows").select(F.size("x").alias("m"), F.size("y").alias("k")).first()
-    model = network.Perceptron(one["m"], one["k"], a.hidden, a.seed)
-    history = network.fit(model, rows, validation=held, epochs=a.epochs, rate=a.rate, dropout=a.dropout, checkpoint=f"{a.out}/model")
+    """Train a perceptron or an unrolled solver on a dataset's training split, judged on its validation split; writes model and history."""
+    data, held = files.read_dataset(spark, a.dataset, "train"), files.read_dataset(spark, a.dataset, "val")
+    types = linear.types_of(data["atlas"])
+    told = files.some(atlas.profiles(data["atlas"]).orderBy("marker"), "markers").collect()  # types x markers numbers
+    markers, how = [r["marker"] for r in told], {"epochs": a.epochs, "rate": a.rate}
+    if a.kind == "unrolled":
+        import numpy as np
+
+        model = network.UnrolledSolver.untrained(np.array([r["profile"] for r in told], float).T, a.steps, a.step)
+        rows, judged = _unrolled_rows(data, markers), _unrolled_rows(held, markers)
+    else:
+        model = network.Perceptron(len(markers), len(types), a.hidden, a.seed)
+        rows, judged, how = _rows(data), _rows(held), how | {"dropout": a.dropout}
+    history = network.fit(model, files.some(rows, "training rows"), validation=judged, **how)
+    network.save(model, spark, f"{a.out}/model", markers=markers, types=types)
     files.write_report(spark.createDataFrame(history, "epoch int, rate double, train_loss double, val_loss double"), f"{a.out}/history")
 
 
 def predict(spark: SparkSession, a) -> None:
-    """Score a split of a dataset with a trained model."""
+    """Score a split of a dataset with a trained model, markers met by name; a type's name adds its contributions by dilution."""
     data = files.read_dataset(spark, a.dataset, a.split)
-    found = network.load(spark, a.model).score(network.features(data["obs"]), linear.types_of(data["atlas"]))
-    files.write_report(found, a.out, "parquet")
+    found = network.predict(network.load(spark, a.model), data["obs"], least=a.least)
+    files.write_report(found, a.out if not a.type else f"{a.out}/estimates", "parquet")
+    if a.type:
+        files.write_report(metrics.dilution_frame(spark.read.parquet(f"{a.out}/estimates"), a.type), f"{a.out}/contributions")
 
 
 def group(spark: SparkSession, a) -> None:
@@ -87,6 +107,20 @@ def group(spark: SparkSession, a) -> None:
     files.write_report(solvers.grouped(data["obs"], data["atlas"], groups)[0], a.out, "parquet")
 
 
+def variance(spark: SparkSession, a) -> None:
+    """Learn the weights of groups of correlated types on a dataset's training split, judged on its validation split; writes model, history and estimates of the latter."""
+    from mixolve.operators import regularised
+
+    data, held = files.read_dataset(spark, a.dataset, "train"), files.read_dataset(spark, a.dataset, "val")
+    profiles = atlas.fixed(data["atlas"])
+    model = regularised.new_model(profiles, threshold=a.threshold, penalty=a.penalty, seed=a.seed)
+    rows, judged = (regularised.batches(d["obs"], profiles, d["prop"], batch=a.batch) for d in (data, held))
+    model, history = regularised.fit(model, rows, judged, epochs=a.epochs, rate=a.rate, patience=a.patience)
+    regularised.save(model, spark, f"{a.out}/model")
+    files.write_report(spark.createDataFrame(history, regularised.HISTORY), f"{a.out}/history", "json")
+    files.write_report(regularised.predict(model, judged), f"{a.out}/estimates", "parquet")
+
+
 def maps(spark: SparkSession, a) -> None:
     """Principal components and metric scaling of a marker table's types."""
     import numpy as np
@@ -108,8 +142,9 @@ def main(argv: list[str] | None = None) -> None:
         (dilutions, {"estimates": str, "type": str, "out": str}),
         (limits, {"atlas": str, "out": str, "--fill": "drop"}),
         (counts, {"reads": str, "markers": str, "out": str}),
-        (train, {"dataset": str, "out": str, "--hidden": 256, "--epochs": 100, "--rate": 1e-3, "--dropout": 0.2, "--seed": 42}),
-        (predict, {"dataset": str, "model": str, "out": str, "--split": "val"}),
+        (train, {"dataset": str, "out": str, "--hidden": 256, "--epochs": 100, "--rate": 1e-3, "--dropout": 0.2, "--seed": 42, "--kind": "perceptron", "--steps": 100, "--step": 0.1}),
+        (predict, {"dataset": str, "model": str, "out": str, "--split": "val", "--type": "", "--least": 0.0}),
+        (variance, {"dataset": str, "out": str, "--threshold": 0.3, "--penalty": 0.1, "--batch": 32, "--epochs": 100, "--rate": 1e-3, "--patience": 10, "--seed": 42}),
         (group, {"dataset": str, "out": str, "--split": "val", "--threshold": 0.3}),
         (maps, {"atlas": str, "out": str}),
     ):

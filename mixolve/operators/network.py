@@ -84,6 +84,8 @@ class UnrolledSolver:
         k, m = profiles.shape
         self.profiles, self.sparsity = np.asarray(profiles, float), sparsity
         self.p = {"steps": np.asarray(steps, float), "correction": np.zeros((k, m)) if correction is None else correction}
+        #: What a training rate is multiplied by: step sizes move in proportion to what they are.
+        self.scale = {"steps": float(np.abs(self.p["steps"]).mean())}
         for name, layer in (("1", first), ("2", second)):
             if layer is not None:
                 self.p |= {f"w{name}": layer[0], f"b{name}": layer[1]}
@@ -228,14 +230,14 @@ def fit(model, rows: DataFrame, *, validation: DataFrame | None = None, criterio
                 rate /= 2
             if stale >= patience:
                 break
-        flat *= min(1.0, clip / max(float(np.linalg.norm(flat)), 1e-12))
+        flat *= min(1.0, clip / max(float((flat * flat).sum()) ** 0.5, 1e-12))
         at = 0
         for k in sorted(model.p):
             g = flat[at : at + model.p[k].size].reshape(model.p[k].shape) + decay * model.p[k]
             at += model.p[k].size
             first[k] = 0.9 * first.get(k, 0) + 0.1 * g
             second[k] = 0.999 * second.get(k, 0) + 0.001 * g * g
-            model.p[k] = model.p[k] - rate * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.999**epoch)) + 1e-8)
+            model.p[k] = model.p[k] - rate * getattr(model, "scale", {}).get(k, 1.0) * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.999**epoch)) + 1e-8)
         sent.unpersist()
     model.p = kept or model.p
     return history

@@ -130,7 +130,11 @@ def negative_binomial_coverage(mixes: DataFrame, *, mean: float = 30.0, r: int =
     return mixes.select("sample", "marker", "mix", F.when(u("empty") < empty, 0).otherwise(sum(waits[1:], waits[0])).cast("long").alias("c"))
 
 
-def sample_grid(spark: SparkSession, levels: list[str] = ("0", "1e-04", "0.001", "0.005", "0.01", "0.05", "0.1"), repeats: int = 100) -> DataFrame:
+#: Levels of the dilution benchmark as its sample names have them (fixed values).
+LEVEL_NAMES = ("0", "1e-04", "0.001", "0.005", "0.01", "0.05", "0.1")
+
+
+def sample_grid(spark: SparkSession, levels: tuple[str, ...] = LEVEL_NAMES, repeats: int = 100) -> DataFrame:
     """(name, dilution, replicate) of the dilution benchmark's samples."""
     told = spark.createDataFrame([(x, float(x)) for x in levels], "level string, dilution double")
     return told.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).select(F.concat(F.lit("d"), "level", F.lit("_"), F.col("replicate").cast("string")).alias("name"), "dilution", "replicate")

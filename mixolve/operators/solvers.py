@@ -316,12 +316,38 @@ def grouped(obs: DataFrame, atlas: DataFrame, groups: list[list[str]], *, steps:
     return now.select("sample", spread.alias("z")).select("sample", "z.cell_type", "z.w"), b
 
 
+def eigen(a: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, descending, and eigenvectors (columns) of a symmetric matrix, by cyclic Jacobi rotations.
+
+    For K x K matrices in the driver, where the JVM was started from the same process: threads of a linear-algebra library can stand still there, and
+    rotations need none.
+    """
+    a, n = np.array(a, float), len(a)
+    v = np.eye(n)
+    for _ in range(sweeps):
+        if (np.triu(a, 1) ** 2).sum() <= 1e-28 * max((a * a).sum(), 1e-300):
+            break
+        for i in range(n - 1):
+            for j in range(i + 1, n):
+                if abs(a[i, j]) <= 1e-18 * max(abs(a[i, i]) + abs(a[j, j]), 1e-300):
+                    continue
+                turn = (a[j, j] - a[i, i]) / (2 * a[i, j])
+                t = (1.0 if turn >= 0 else -1.0) / (abs(turn) + (turn * turn + 1) ** 0.5)
+                c = 1 / (t * t + 1) ** 0.5
+                s = t * c
+                for m in (a, a.T, v):
+                    x, y = m[:, i].copy(), m[:, j].copy()
+                    m[:, i], m[:, j] = c * x - s * y, s * x + c * y
+    order = np.argsort(-np.diag(a), kind="stable")
+    return np.diag(a)[order], v[:, order]
+
+
 def principal_components(gram: np.ndarray, n: int) -> np.ndarray:
-    """Scores of the types on n components from their K x K inner products."""
+    """Scores of the types on n components from their K x K inner products; a component's largest loading is positive."""
     centred = gram - gram.mean(axis=0) - gram.mean(axis=1)[:, None] + gram.mean()
-    values, vectors = np.linalg.eigh(centred)
-    order = np.argsort(-values)[:n]
-    return vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
+    values, vectors = (x[..., :n] for x in eigen(centred))
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1, 1)
+    return vectors * np.sqrt(np.maximum(values, 0))
 
 
 def multidimensional_scaling(d: np.ndarray, dims: int = 2, seed: int = 42, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -333,6 +359,6 @@ def multidimensional_scaling(d: np.ndarray, dims: int = 2, seed: int = 42, steps
         b = -np.where(now > 1e-12, d / np.maximum(now, 1e-12), 0.0)
         np.fill_diagonal(b, 0.0)
         np.fill_diagonal(b, -b.sum(axis=1))
-        x = b @ x / k
+        x = np.einsum("ij,jd->id", b, x) / k
     now = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     return x, float(((now - d) ** 2).sum() / 2)

@@ -21,6 +21,7 @@ from mixolve.plans import tables as T
 from mixolve.plans.tables import sql
 from mixolve.sources import files
 from mixolve.sources.files import written
+from mixolve.streaming.score import score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,15 +126,42 @@ def atlas_semi(spark, d):
     return rounded(R.only_known(T.atlas(spark, d), small).select("marker", "cell_type", "h"))
 
 
-@query("sample_grid", "SELECT 'd' || level || '_' || i AS name, level::DOUBLE AS dilution, i::INT AS replicate FROM (SELECT unnest(['0', '1e-04', '0.001', '0.005', '0.01', '0.05', '0.1']) AS level), range(1, 101) r(i)")
+_LEVEL = "(['0', '1e-04', '0.001', '0.005', '0.01', '0.05', '0.1'])[(event_id % 7 + 1)::INT]"
+
+
+def _named(spark, d):
+    """(event_id, name): a sample name for each event, its level by number and its replicate by user."""
+    level = F.element_at(F.array(*map(F.lit, G.LEVEL_NAMES)), (F.col("event_id") % 7 + 1).cast("int"))
+    return T.load(spark, d, "events").select("event_id", F.concat(F.lit("d"), level, F.lit("_"), (F.col("user_id") % 110).cast("string")).alias("name"))
+
+
+@query("sample_grid", f"""WITH n AS (SELECT 'd' || {_LEVEL} || '_' || (user_id % 110) AS name FROM events)
+SELECT 'd' || level || '_' || i AS name, level::DOUBLE AS dilution, i::INT AS replicate, count(n.name) AS n_results FROM (SELECT unnest(['0', '1e-04', '0.001', '0.005', '0.01', '0.05', '0.1']) AS level) CROSS JOIN range(1, 101) r(i) LEFT JOIN n ON n.name = 'd' || level || '_' || i GROUP BY level, i""")
 def sample_grid(spark, d):
-    return G.sample_grid(spark)
+    """The samples of the dilution series, and how many results there are of each."""
+    told = _named(spark, d).groupBy("name").agg(F.count("*").alias("n"))
+    return G.sample_grid(spark).join(told, "name", "left").select("name", "dilution", "replicate", F.coalesce("n", F.lit(0)).alias("n_results"))
 
 
-@query("parse_dilution", "SELECT 'd' || level || '_' || i AS name, level::DOUBLE AS dilution, i::INT AS replicate, 'd' || level || '_' || i AS from_path FROM (SELECT unnest(['0', '1e-04', '0.001', '0.005', '0.01', '0.05', '0.1']) AS level), range(1, 101) r(i) UNION ALL SELECT 'other', NULL, NULL, 'other'")
+@query("parse_dilution", f"""WITH n AS (SELECT DISTINCT {_LEVEL} AS level, user_id % 110 AS i FROM events)
+SELECT 'd' || level || '_' || i AS name, level::DOUBLE AS dilution, i::INT AS replicate, 'd' || level || '_' || i AS from_path, 'd' || level || '_' || i || '.mem.' || left(md5('/data/run.1'), 6) AS cache FROM n
+UNION ALL SELECT DISTINCT event_type, NULL, NULL, event_type, event_type || '.mem.' || left(md5('/data/run.1'), 6) FROM events""")
 def parse_dilution(spark, d):
-    names = G.sample_grid(spark).select("name").unionAll(spark.createDataFrame([("other",)], "name string"))
-    return names.select("name", X.dilution_of("name").alias("dilution"), X.replicate_of("name").alias("replicate"), X.sample_name(F.concat(F.lit("/data/run.1/"), "name", F.lit(".pat.gz"))).alias("from_path"))
+    """Dilution, replicate and name read from sample names and paths; other names have none."""
+    names = _named(spark, d).select("name").unionAll(T.load(spark, d, "events").select("event_type")).distinct()
+    path = F.concat(F.lit("/data/run.1/"), "name", F.lit(".pat.gz"))
+    return names.select("name", X.dilution_of("name").alias("dilution"), X.replicate_of("name").alias("replicate"), X.sample_name(path).alias("from_path"), X.cache_name(path).alias("cache"))
+
+
+@query("activations", """WITH v AS (SELECT event_id, value / 100e0 - 2 AS x, user_id % 100 AS g FROM events), t AS (SELECT g, max(x) AS top, sum(exp(x)) AS total FROM v GROUP BY g)
+SELECT event_id, round(greatest(x, 0), 6) AS relu, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(ln(1 + exp(x)), 6) AS softplus, round(exp(x) / total, 6) AS softmax, round(least(greatest(x, -1), 1.5), 6) AS clipped, abs(x - round(x, 1)) <= 1e-8 + 0.01e0 * abs(round(x, 1)) AS near FROM v JOIN t USING (g)""")
+def activations(spark, d):
+    """The scalar functions of the networks, and the softmax of each group of users."""
+    v = T.load(spark, d, "events").select("event_id", (F.col("value") / 100 - 2).alias("x"), (F.col("user_id") % 100).alias("g"))
+    held = v.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("s"))
+    soft = held.select(F.explode(F.arrays_zip(F.transform("s", lambda s: s["event_id"]).alias("event_id"), X.softmax(F.transform("s", lambda s: s["x"])).alias("softmax"))).alias("z")).select("z.*")
+    told = v.select("event_id", X.relu("x").alias("relu"), X.sigmoid("x").alias("sigmoid"), X.softplus("x").alias("softplus"), X.clip("x", -1.0, 1.5).alias("clipped"), X.close("x", F.round("x", 1), 0.01).alias("near"))
+    return rounded(told.join(soft, "event_id"))
 
 
 # Atlas -------------------------------------------------------------------------------------------
@@ -616,7 +644,8 @@ _TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 @query("sim_proportions")
 def sim_proportions(spark, d):
-    return G.proportions(spark, 500, _TYPES)
+    """As many mixtures as there are suppliers, of the atlas's types."""
+    return G.proportions(spark, T.load(spark, d, "supplier").count(), L.types_of(T.atlas(spark, d)))
 
 
 @query("sim_coverage")
@@ -675,7 +704,7 @@ def _unrolled(spark, d, steps: int, rate: float):
 @query("unrolled_fit")
 def unrolled_fit(spark, d):
     """The unrolled solver trained on every supplier's sample but a fifth, by the error of proportions: losses by epoch, the first before any step."""
-    model, markers, types = _unrolled(spark, d, 20, 2e-3)
+    model, markers, types = _unrolled(spark, d, 20, 2e-5)
     (obs, prop), (held_obs, held_prop) = _halves(spark, d)
 
     def rows(obs, prop):
@@ -683,7 +712,7 @@ def unrolled_fit(spark, d):
         told = N.aligned(obs, markers).join(y, "sample")
         return told.select("sample", F.concat("x", "c").alias("x"), F.array(*[F.coalesce(F.col("m")[t], F.lit(0.0)) for t in types]).alias("y"))
 
-    history = N.fit(model, rows(obs, prop), validation=rows(held_obs, held_prop), criterion=N.squared_error, epochs=10, rate=1e-3, decay=0.0)
+    history = N.fit(model, rows(obs, prop), validation=rows(held_obs, held_prop), criterion=N.squared_error, epochs=10, rate=3e-3, decay=0.0)
     return spark.createDataFrame(history, "epoch int, rate double, train_loss double, val_loss double")
 
 
@@ -776,22 +805,87 @@ def atlas_file(spark, d):
 @query("count_files", sql("reads uxm", "SELECT sample, u::INT AS u, x::INT AS x, m::INT AS m, count(*) AS n FROM uxm GROUP BY ALL"))
 def count_files(spark, d):
     """Count tables, a gzipped file a sample, found by name and read in one scan."""
-    path = files.shared_folder(spark, "counts")
-    rows = _sites(T.uxm(spark, d)).select("chr", "start", "end", "startCpG", "endCpG", "u", "x", "m", "sample")
-    rows.withColumn("s", F.col("sample")).drop("sample").repartition("s").write.partitionBy("s").option("compression", "gzip").csv(path, sep="\t")
-    read = spark.read.schema(files.COUNTS).csv(path, sep="\t", comment="#", mode="FAILFAST", recursiveFileLookup=True)
-    named = read.select("u", "x", "m", F.regexp_extract(F.col("_metadata.file_path"), "s=([^/]+)", 1).alias("sample"))
-    return files.some(named, "counts").groupBy("sample", "u", "x", "m").agg(F.count("*").alias("n"))
+    path = files.shared_folder(spark, "count-files")
+    files.write_counts(_sites(T.uxm(spark, d)), path)
+    found = files.some(files.find_samples(spark, path, "*.counts.gz"), "files").select("sample")
+    rows = files.some(files.read_counts(spark, path), "counts").join(found, "sample", "left_semi")
+    return rows.groupBy("sample", "u", "x", "m").agg(F.count("*").alias("n"))
 
 
-@query("stale_samples", "SELECT 's' || i AS sample FROM range(0, 20) r(i) WHERE i % 3 = 0 OR i % 3 = 1 AND i < 10")
+@query("stale_samples", """WITH f AS (SELECT 's' || user_id % 50 AS sample, max(ts) AS modified FROM events WHERE event_type = 'click' GROUP BY 1), c AS (SELECT 's' || user_id % 50 AS sample, max(ts) AS cached_at FROM events WHERE event_type = 'view' AND user_id % 50 < 40 GROUP BY 1)
+SELECT sample FROM f LEFT JOIN c USING (sample) WHERE cached_at IS NULL OR cached_at < modified""")
 def stale_samples(spark, d):
-    """Samples without a cache, or with one that is older than their file."""
-    there = spark.range(20).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sample"), F.timestamp_seconds(F.lit(1000) + F.col("id")).alias("modified"), F.col("id"))
-    cached = there.where("id % 3 <> 0").select("sample", F.when((F.col("id") % 3 == 1) & (F.col("id") < 10), F.timestamp_seconds(F.lit(10))).otherwise(F.timestamp_seconds(F.lit(9999))).alias("cached_at"))
+    """Samples without a cache, or with one that is older than their file; times from events."""
+    e = T.load(spark, d, "events").withColumn("sample", F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string")))
+    there = e.where("event_type = 'click'").groupBy("sample").agg(F.max("ts").alias("modified"))
+    cached = e.where("event_type = 'view' AND user_id % 50 < 40").groupBy("sample").agg(F.max("ts").alias("cached_at"))
     return files.stale(there, cached).select("sample")
 
 
+def _classified(spark, d):
+    """(reads, markers): line items as reads with site ranges, and a hundred markers on them."""
+    l = T.load(spark, d, "lineitem")  # noqa: E741
+    first = F.col("l_orderkey") * 7 % 5000
+    rows = l.select(F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("sample"), F.lit("chr1").alias("chr"), first.alias("first"), (first + F.col("l_linenumber") + 2).alias("last"), (F.col("l_quantity").cast("int") % (F.col("l_linenumber") + 3)).alias("methylated"), (F.col("l_linenumber") + 3).alias("n_sites"))
+    i = F.col("id")
+    return rows, spark.range(100).select(F.lit("chr1").alias("chr"), F.concat(F.lit("m"), i.cast("string")).alias("marker"), F.when(i % 2 == 0, "U").otherwise("M").alias("direction"), (i * 50).alias("startCpG"), (i * 50 + 20).alias("endCpG"))
+
+
+_JOINED = """WITH r AS (SELECT 's' || (l_suppkey % 20) AS sample, (l_orderkey * 7 % 5000) AS first, (l_orderkey * 7 % 5000) + l_linenumber + 2 AS last, l_quantity::INT % (l_linenumber + 3) AS methylated, l_linenumber + 3 AS n_sites FROM lineitem),
+m AS (SELECT 'm' || i AS marker, i, CASE WHEN i % 2 = 0 THEN 'U' ELSE 'M' END AS direction, i * 50 AS a, i * 50 + 20 AS z FROM range(0, 100) t(i)), j AS (SELECT sample, marker, direction, methylated::DOUBLE / n_sites AS s FROM r JOIN m ON first < z AND last >= a WHERE n_sites >= 4),
+c AS (SELECT sample, marker, direction, count_if(s <= 0.25)::BIGINT AS u, count_if(s > 0.25 AND s < 0.75)::BIGINT AS x, count_if(s >= 0.75)::BIGINT AS m FROM j GROUP BY ALL)"""
+
+
+@query("incremental_cache", _JOINED + """ SELECT g.sample, k.marker, coalesce(u, 0) AS u, coalesce(x, 0) AS x, coalesce(c.m, 0) AS m, CASE WHEN k.i < 60 AND substr(g.sample, 2)::INT % 2 = 1 THEN 1 ELSE 2 END AS run
+FROM (SELECT DISTINCT sample FROM r) g CROSS JOIN m k LEFT JOIN c ON c.sample = g.sample AND c.marker = k.marker""")
+def incremental_cache(spark, d):
+    """A cache brought up to date twice: the second time half of the samples have changed and forty markers are new, and only those are classed."""
+    rows, markers = _classified(spark, d)
+    path = files.shared_folder(spark, "cache")
+    stamp = lambda year: F.lit(f"{year}-01-01 00:00:00").cast("timestamp")
+    samples = rows.select("sample").distinct()
+    files.refresh_cache(rows, markers.where("startCpG < 3000"), samples.withColumn("modified", stamp(2020)), path, stamp(2021))
+    changed = F.when(F.substring("sample", 2, 9).cast("int") % 2 == 0, stamp(2022)).otherwise(stamp(2020))
+    told = files.refresh_cache(rows, markers, samples.withColumn("modified", changed), path, stamp(2023))
+    return told.select("sample", "marker", "u", "x", "m", F.when(F.col("cached_at") == stamp(2021), 1).otherwise(2).alias("run"))
+
+
+@query("stream_scores", _nnls_sql(SYSTEM))
+def stream_scores(spark, d):
+    """Samples dropped as files in two turns and scored as they come: the batch answer, each sample once."""
+    atlas, obs = A.fixed(T.atlas(spark, d)), written(T.obs(spark, d).select("sample", "marker", "x", "c"), "observations")
+    folder = files.shared_folder(spark, "arriving")
+    for turn in (0, 1):
+        obs.where(F.substring("sample", 2, 9).cast("int") % 2 == turn).repartition(4, "sample").write.mode("append").parquet(f"{folder}/in")
+        score_stream(spark, f"{folder}/in", atlas, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out").select("sample", "cell_type", "w"), 5)
+
+
+@query("solve_callable", _nnls_sql(SYSTEM))
+def solve_callable(spark, d):
+    """A solver that is handed in as a function of a sample's rows."""
+    return rounded(S.solve(T.obs(spark, d), T.atlas(spark, d), S.solve_nnls), 5)
+
+
+@query("tracked", "SELECT event_id % 5 AS step, event_type AS name, round(avg(value), 6) AS value FROM events GROUP BY ALL")
+def tracked(spark, d):
+    """Mean values of each kind of event, logged for five steps and read back."""
+    path = files.shared_folder(spark, "tracker")
+    told = T.load(spark, d, "events").groupBy((F.col("event_id") % 5).alias("step"), "event_type").agg(F.avg("value").alias("v")).collect()  # five steps of a few numbers
+    for step in range(5):
+        files.track(spark, path, step, {r["event_type"]: r["v"] for r in told if r["step"] == step})
+    return rounded(spark.read.parquet(path))
+
+
+@query("ordered_sites", sql("reads", "SELECT 'chr' || length(marker) % 3 AS chr, length(marker) AS start, length(marker) + 50 AS end, 1 AS startCpG, 2 AS endCpG, marker FROM (SELECT DISTINCT marker FROM reads) ORDER BY ALL"))
+def ordered_sites(spark, d):
+    """Markers in the order of made coordinates, after a seeded shuffle."""
+    names = T.reads(spark, d).select("marker").distinct()
+    size = F.length("marker")
+    sites = names.select(F.concat(F.lit("chr"), (size % 3).cast("string")).alias("chr"), size.alias("start"), (size + 50).alias("end"), F.lit(1).alias("startCpG"), F.lit(2).alias("endCpG"), "marker")
+    return R.in_site_order(R.shuffled(sites, "marker"))
+
+
 @query("dataset_round_trip", sql("reads uxm obs", "SELECT 'train' AS split, sample, marker, round(x, 6) AS x, c FROM obs WHERE substr(sample, 2)::INT % 2 = 0"))
 def dataset_round_trip(spark, d):
     """A dataset written by split; one split read back."""
@@ -824,17 +918,10 @@ def reports(spark, d):
     return out
 
 
-@query("read_classes", """WITH r AS (SELECT 's' || (l_suppkey % 20) AS sample, (l_orderkey * 7 % 5000) AS first, (l_orderkey * 7 % 5000) + l_linenumber + 2 AS last, l_quantity::INT % (l_linenumber + 3) AS methylated, l_linenumber + 3 AS n_sites FROM lineitem),
-m AS (SELECT 'm' || i AS marker, CASE WHEN i % 2 = 0 THEN 'U' ELSE 'M' END AS direction, i * 50 AS a, i * 50 + 20 AS z FROM range(0, 100) t(i)), j AS (SELECT sample, marker, direction, methylated::DOUBLE / n_sites AS s FROM r JOIN m ON first < z AND last >= a WHERE n_sites >= 4)
-SELECT sample, marker, direction, count_if(s <= 0.25)::BIGINT AS u, count_if(s > 0.25 AND s < 0.75)::BIGINT AS x, count_if(s >= 0.75)::BIGINT AS m FROM j GROUP BY ALL""")
+@query("read_classes", _JOINED + " SELECT * FROM c")
 def read_classes(spark, d):
     """Reads met with markers by an interval join, classed by their methylated share."""
-    l = T.load(spark, d, "lineitem")  # noqa: E741
-    first = F.col("l_orderkey") * 7 % 5000
-    rows = l.select(F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("sample"), F.lit("chr1").alias("chr"), first.alias("first"), (first + F.col("l_linenumber") + 2).alias("last"), (F.col("l_quantity").cast("int") % (F.col("l_linenumber") + 3)).alias("methylated"), (F.col("l_linenumber") + 3).alias("n_sites"))
-    i = F.col("id")
-    markers = spark.range(100).select(F.lit("chr1").alias("chr"), F.concat(F.lit("m"), i.cast("string")).alias("marker"), F.when(i % 2 == 0, "U").otherwise("M").alias("direction"), (i * 50).alias("startCpG"), (i * 50 + 20).alias("endCpG"))
-    return R.classify(rows, markers)
+    return R.classify(*_classified(spark, d))
 
 
 @query("resample")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,10 +52,67 @@ def stale(samples: DataFrame, cached: DataFrame, force: bool = False) -> DataFra
     return both if force else both.where(F.col("cached_at").isNull() | (F.col("cached_at") < F.col("modified")))
 
 
+#: Columns of a cache, a folder a sample.
+CACHE = "marker string, u long, x long, m long, cached_at timestamp, sample string"
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache at a path; empty where there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], CACHE)
+    return spark.read.schema(CACHE).parquet(path)
+
+
 def write_cache(counts: DataFrame, path: str) -> None:
-    """Append counts, a folder a sample; samples without any reads are left out."""
+    """Replace the folders of the samples in counts (columns of CACHE), all at the end of the job, so that a retry writes the same; samples without any reads are left out."""
     some = counts.groupBy("sample").agg(F.sum(F.col("u") + F.col("x") + F.col("m")).alias("n")).where("n > 0")
-    counts.join(some, "sample", "left_semi").write.mode("append").partitionBy("sample").parquet(path)
+    kept = counts.join(some, "sample", "left_semi").select("marker", "u", "x", "m", "cached_at", "sample")
+    kept.repartition("sample").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample").parquet(path)
+
+
+def refresh_cache(reads: DataFrame, markers: DataFrame, samples: DataFrame, path: str, now: Column | None = None, **how) -> DataFrame:
+    """Bring the cache at a path up to date and return it.
+
+    reads, markers and `how` as classify() takes them; samples(sample, modified): each sample's file and when it changed. A row of the cache
+    counts if it is no older than its sample's file. What lacks for a sample is classed anew, and nothing else: all markers
+    of samples that are new or changed, the new markers of the others. A marker without reads is a row of zeros. Folders of samples
+    that lacked something are replaced, the others not touched; run again, a job that was cut short does what is left.
+    """
+    from mixolve.operators.reads import classify
+
+    spark = reads.sparkSession
+    wanted = written(markers.dropDuplicates(["marker"]), "markers")
+    cached = read_cache(spark, path)
+    valid = cached.join(samples, "sample").where(F.col("cached_at") >= F.col("modified")).join(wanted.select("marker"), "marker", "left_semi").select("sample", "marker", "u", "x", "m", "cached_at")
+    whole = valid.groupBy("sample").agg(F.countDistinct("marker").alias("n")).where(F.col("n") == wanted.count()).select("sample")
+    lacking = samples.select("sample").distinct().join(whole, "sample", "left_anti")
+    todo = written(lacking.join(wanted.select("marker")).join(valid.select("sample", "marker"), ["sample", "marker"], "left_anti"), "todo")
+    mine = reads.join(todo.select("sample").distinct(), "sample", "left_semi")
+    classed = classify(mine, wanted.join(todo.select("marker").distinct(), "marker", "left_semi"), **how).select("sample", "marker", "u", "x", "m")
+    some = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    fresh = todo.join(classed, ["sample", "marker"], "left").select("sample", "marker", some("u"), some("x"), some("m"), (F.current_timestamp() if now is None else now).alias("cached_at"))
+    kept = valid.join(todo.select("sample").distinct(), "sample", "left_semi")
+    write_cache(written(kept.unionByName(fresh), "refreshed"), path)  # written first: what is read here is replaced there
+    return read_cache(spark, path)
+
+
+def write_counts(counts: DataFrame, path: str, ending: str = "counts.gz") -> None:
+    """Count tables without a header, gzipped, one file a sample: <path>/<sample>.<ending>. counts: sample and the columns of COUNTS.
+
+    Spark writes a folder a sample; the driver then renames one file each.
+    """
+    spark = counts.sparkSession
+    away = shared_folder(spark, "counts")
+    counts.select(*COUNTS.names, "sample").repartition("sample").write.partitionBy("sample").option("compression", "gzip").csv(away, sep="\t")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(away).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(path))
+    for folder in system.globStatus(hadoop.Path(f"{away}/sample=*")):
+        parts = system.globStatus(hadoop.Path(f"{folder.getPath()}/part-*"))
+        if len(parts) != 1:
+            raise ValueError(f"{folder.getPath()} has {len(parts)} files")
+        system.rename(parts[0].getPath(), hadoop.Path(f"{path}/{folder.getPath().getName().partition('=')[2]}.{ending}"))
 
 
 def write_dataset(tables: dict[str, DataFrame], base: str) -> None:

@@ -134,7 +134,7 @@ def test_sources_round_trip(spark, tmp_path):
     assert [r.sample for r in found.collect()] == ["s2"]
     cached = spark.createDataFrame([("s2", "2001-01-01")], "sample string, cached_at string").withColumn("cached_at", F.to_timestamp("cached_at"))
     assert files.stale(found, cached).count() == 1
-    counts = spark.createDataFrame([("s1", "m", 1, 0, 0), ("s9", "m", 0, 0, 0)], "sample string, marker string, u long, x long, m long")
+    counts = spark.createDataFrame([("s1", "m", 1, 0, 0), ("s9", "m", 0, 0, 0)], "sample string, marker string, u long, x long, m long").withColumn("cached_at", F.current_timestamp())
     files.write_cache(counts, str(tmp_path / "cache"))
     assert {r.sample for r in spark.read.parquet(str(tmp_path / "cache")).collect()} == {"s1"}
     obs = spark.createDataFrame([("train", "s"), ("val", "t")], "split string, sample string")
@@ -174,6 +174,12 @@ def test_command_line(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "dil/metrics"), header=True).count() == 2
     with pytest.raises(SystemExit):
         main(["dilutions", str(tmp_path / "est"), "Z", str(tmp_path / "dil2")])
+    for kind in ("perceptron", "unrolled"):
+        main(["train", str(tmp_path / "set"), str(tmp_path / kind), "--kind", kind, "--epochs", "2", "--hidden", "8", "--steps", "5", "--step", "1e-3"])
+        main(["predict", str(tmp_path / "set"), str(tmp_path / kind / "model"), str(tmp_path / kind / "out"), "--type", "A"])
+        assert spark.read.parquet(str(tmp_path / kind / "out/estimates")).count() == 36 and spark.read.csv(str(tmp_path / kind / "out/contributions"), header=True).count() == 12
+    main(["variance", str(tmp_path / "set"), str(tmp_path / "var"), "--epochs", "2"])
+    assert spark.read.parquet(str(tmp_path / "var/estimates")).count() == 36 and spark.read.json(str(tmp_path / "var/history")).count() == 2
     main(["limits", str(tmp_path / "atlas.tsv"), str(tmp_path / "lim")])
     assert spark.read.csv(str(tmp_path / "lim"), header=True).count() == 150
 
@@ -218,11 +224,68 @@ def test_orders_stamps_and_buckets(spark):
     from mixolve.functions.expressions import bucket, cache_name, time_stamp
     from mixolve.operators import reads
 
-    one = spark.createDataFrame([("a/b",)], "p string").select(cache_name("p"), time_stamp(F.lit("2024-05-06 07:08:09").cast("timestamp")), time_stamp()).first()
-    assert one[0] == __import__("hashlib").md5(b"a/b").hexdigest()[:8] and one[1] == "20240506_070809" and len(one[2]) == 15
+    one = spark.createDataFrame([("/run.1/s7.pat.gz",)], "p string").select(cache_name("p"), time_stamp(F.lit("2024-05-06 07:08:09").cast("timestamp")), time_stamp()).first()
+    assert one[0] == "s7.mem." + __import__("hashlib").md5(b"/run.1").hexdigest()[:6] and one[1] == "20240506_070809" and len(one[2]) == 15
     df = spark.createDataFrame([(float(x),) for x in (0, 0.019, 0.02, 1, 1.1)] + [(None,)], "x double")
     assert [r[0] for r in df.select(bucket("x", 0, 1, 50)).collect()] == [0, 0, 1, 49, None, None]
     rows = spark.createDataFrame([("chr2", 1, 2, 3, 4), ("chr1", 5, 6, 7, 8), ("chr1", 1, 2, 3, 4)], "chr string, start int, end int, startCpG int, endCpG int")
     assert [(r.chr, r.start) for r in reads.in_site_order(rows).collect()] == [("chr1", 1), ("chr1", 5), ("chr2", 1)]
     mixed = [[r.start for r in reads.shuffled(spark.range(30).selectExpr("id AS start").repartition(n), "start").collect()] for n in (1, 4)]
     assert mixed[0] == mixed[1] != sorted(mixed[0]) and sorted(mixed[0]) == list(range(30))
+
+
+def test_cache_classes_only_what_lacks_and_can_be_run_again(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    stamp = lambda year: F.lit(f"{year}-01-01 00:00:00").cast("timestamp")
+    reads = spark.createDataFrame([(s, "c", 10 * i, 10 * i + 5, 0, 6) for s in ("s1", "s2") for i in range(3)], "sample string, chr string, first long, last long, methylated long, n_sites long")
+    markers = spark.createDataFrame([("c", f"m{i}", "U", 10 * i, 10 * i + 5) for i in range(4)], "chr string, marker string, direction string, startCpG long, endCpG long")
+    samples = spark.createDataFrame([("s1",), ("s2",), ("none",)], "sample string").withColumn("modified", stamp(2020))
+    said = lambda df: {(r.sample, r.marker): (r.u, r.cached_at.year) for r in df.collect()}
+    first = said(files.refresh_cache(reads, markers.where("marker < 'm2'"), samples, path, stamp(2021)))
+    assert first == {(s, m): (1, 2021) for s in ("s1", "s2") for m in ("m0", "m1")}  # a sample without any reads isn't cached
+    changed = samples.withColumn("modified", F.when(F.col("sample") == "s2", stamp(2022)).otherwise(stamp(2020)))
+    want = {("s1", m): (int(m < "m3"), 2021 if m < "m2" else 2023) for m in ("m0", "m1", "m2", "m3")} | {("s2", m): (int(m < "m3"), 2023) for m in ("m0", "m1", "m2", "m3")}
+    assert said(files.refresh_cache(reads, markers, changed, path, stamp(2023))) == want
+    parts = sorted(str(p) for p in (tmp_path / "cache").rglob("*.parquet"))
+    assert said(files.refresh_cache(reads, markers, changed, path, stamp(2024))) == want  # nothing lacks, nothing is written
+    assert sorted(str(p) for p in (tmp_path / "cache").rglob("*.parquet")) == parts
+    import shutil
+
+    shutil.rmtree(tmp_path / "cache" / "sample=s1")  # as after a job that was cut short
+    again = said(files.refresh_cache(reads, markers, changed, path, stamp(2024)))
+    assert {k: v[0] for k, v in again.items()} == {k: v[0] for k, v in want.items()} and {v[1] for k, v in again.items() if k[0] == "s1"} == {2024}
+
+
+def test_scaling_and_levels(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 2.0), ("b", 5.0), ("b", 5.0), ("c", None)], "k string, v double")
+    got = sorted((r.k, -1 if r.s is None else round(r.s, 6)) for r in A.min_max(rows, ["k"], "v", "s").collect())
+    assert got == [("a", 0.0), ("a", 0.5), ("a", 1.0), ("b", 0.0), ("b", 0.0), ("c", -1)]
+    told = spark.createDataFrame([(0.1,), (0.0,), (0.1,)], "dilution double")
+    assert sorted(map(tuple, M.dilution_levels(told).collect())) == [(0.0, 1), (0.1, 2)]
+
+
+def test_marker_correlations_by_blocks(spark):
+    from mixolve.operators.distinguish import mean_correlation
+
+    rng = np.random.default_rng(3)
+    h = rng.uniform(0, 1, (17, 5))
+    h[4] = 0.3
+    atlas = spark.createDataFrame([(f"m{i:02d}", t, float(h[i, k])) for i in range(17) for k, t in enumerate("abcde")], "marker string, cell_type string, h double")
+    z = h - h.mean(axis=1, keepdims=True)
+    size = np.sqrt((z * z).sum(axis=1))
+    corr = np.abs(z @ z.T) / np.where(np.outer(size, size) > 1e-12, np.outer(size, size), np.inf)
+    np.fill_diagonal(corr, 0)
+    for block in (512, 4):
+        got = {r.marker: r.mean_corr for r in mean_correlation(atlas, block=block).collect()}
+        assert np.allclose([got[f"m{i:02d}"] for i in range(17)], corr.sum(axis=1) / 16)
+
+
+def test_folders_are_cleared(spark):
+    import os
+
+    before = list(files._written)
+    path = files.written(spark.range(3).toDF("x"), "some").inputFiles()[0].rpartition("/")[0]
+    mine = [f for f in files._written if f not in before]
+    assert len(mine) == 1 and os.path.isdir(path.removeprefix("file://").removeprefix("file:"))
+    files.clear(spark, mine)
+    assert not os.path.isdir(path.removeprefix("file://").removeprefix("file:")) and files._written == before

@@ -81,6 +81,16 @@ def test_scaling_and_components_keep_distances():
     assert np.allclose(np.sqrt(((scores[:, None] - scores[None]) ** 2).sum(-1)), d)
 
 
+def test_eigen_by_rotations(spark):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 150):  # in a process that started a JVM
+        x = rng.normal(size=(n, n + 3))
+        a = (x[:, None] * x[None]).sum(-1)
+        values, vectors = S.eigen(a)
+        assert (np.diff(values) <= 1e-9).all() and np.allclose((a[:, :, None] * vectors[None]).sum(axis=1), vectors * values, atol=1e-8 * max(values[0], 1))
+    assert S.eigen(np.zeros((3, 3)))[0].tolist() == [0, 0, 0]
+
+
 def test_grouped_factorisation_fits_its_own_model(spark):
     rng = np.random.default_rng(2)
     h = rng.uniform(0, 1, (20, 3))
@@ -279,9 +289,9 @@ def test_trained_unrolled_solver_beats_the_untrained_on_held_out_samples(spark,
     x = rng.binomial(c, w @ h) / c
     rows = spark.createDataFrame([(f"s{i}", [*map(float, x[i]), *map(float, c[i])], [*map(float, w[i])]) for i in range(150)], "sample string, x array<double>, y array<double>")
     train, held = rows.where("cast(substr(sample, 2) as int) < 100"), rows.where("cast(substr(sample, 2) as int) >= 100")
-    model = N.UnrolledSolver.untrained(h, 15, 2e-3)
-    history = N.fit(model, train, validation=held, criterion=N.squared_error, epochs=25, rate=1e-4, decay=0.0)
-    assert min(r["val_loss"] for r in history) < 0.8 * history[0]["val_loss"]
+    model = N.UnrolledSolver.untrained(h, 15, 2e-4)
+    history = N.fit(model, train, validation=held, criterion=N.squared_error, epochs=25, rate=3e-3, decay=0.0)
+    assert min(r["val_loss"] for r in history) < 0.6 * history[0]["val_loss"]
     N.save(model, spark, str(tmp_path / "m"), markers=[f"m{i}" for i in range(12)], types=list("abc"))
     back = N.load(spark, str(tmp_path / "m"))
     assert np.allclose(back.forward(x, c)[0], model.forward(x, c)[0])
