@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
@@ -34,12 +37,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Scratch folders that this process has made and not deleted yet.
-_made: list[str] = []
+_made: set[str] = set()
+#: Where this thread's scratch folders are listed (see owning).
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owning() -> Iterator[list[str]]:
+    """A list of the scratch folders that this thread makes inside, so that who made them can delete them and nobody else's.
+
+    At the end they are the caller's as well, if it lists its own.
+    """
+    outer, mine = _owner.get(), []
+    token = _owner.set(mine)
+    try:
+        yield mine
+    finally:
+        _owner.reset(token)
+        if outer is not None:
+            outer.extend(mine)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    mine = _owner.get()
+    if mine is not None:
+        mine.append(path)
+    return path
 
 
 def scratch(df: DataFrame, name: str, **options) -> DataFrame:
@@ -54,39 +79,44 @@ def _delete(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _made[:] = [m for m in _made if m not in folders]
+        _made.discard(folder)
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """Names of the folders whose files df reads."""
+    return {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
 
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
-    names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
-    _delete(df.sparkSession, [m for m in _made if m.rpartition("/")[2] in names])
+    names = _read_by(df)
+    _delete(df.sparkSession, [m for m in list(_made) if m.rpartition("/")[2] in names])
 
 
-def scratch_folders() -> list[str]:
-    """Scratch folders that this process has made and not deleted."""
-    return list(_made)
+def clear_scratch(spark: SparkSession, folders: list[str] | None = None, *, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete scratch folders, all that this process made by default, but those that `keep` reads: for use when results that read them are written."""
+    names = {n for df in keep for n in _read_by(df)}
+    _delete(spark, [m for m in (list(_made) if folders is None else folders) if m in _made and m.rpartition("/")[2] not in names])
 
 
-def clear_scratch(spark: SparkSession, *keep: DataFrame, spare: list[str] = ()) -> None:
-    """Delete the scratch tables of this process but those of `keep` and `spare`: for use when results that read them are written."""
-    names = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
-    _delete(spark, [m for m in _made if m not in spare and m.rpartition("/")[2] not in names])
+#: Key of a column's metadata, which Parquet files keep: the scratch folders that a stage's result was made from.
+MADE_FROM = "mixolve.made_from"
 
 
-def clear_before(docs: DataFrame, folders: list[str]) -> None:
-    """Delete those scratch folders that docs doesn't read and whose files are older than those of docs: what they were for is written."""
-    jvm, spark, read = docs.sparkSession.sparkContext._jvm, docs.sparkSession, docs.inputFiles()
-    there = [f for f in folders if f in _made and not any(f"/{f.rpartition('/')[2]}/" in x for x in read)]
-    if not read or not there:
-        return
+def signed(result: DataFrame, folders: list[str]) -> DataFrame:
+    """result with a note, in its first column's metadata, of the scratch folders that it reads."""
+    return result.withMetadata(result.columns[0], {MADE_FROM: [f for f in folders if f in _made]})
 
-    def changed(path: str) -> int:
-        path = jvm.org.apache.hadoop.fs.Path(path)
-        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
 
-    written = changed(read[0])
-    _delete(spark, [f for f in there if changed(f) < written])
+def release(docs: DataFrame) -> None:
+    """Delete the scratch folders that docs is a written copy of a result of: the note came back from the files, and docs doesn't read them.
+
+    So they go when their own result was written and handed on, and with nobody else's.
+    """
+    noted = docs.schema.fields[0].metadata.get(MADE_FROM, []) if docs.columns else []
+    names = _read_by(docs) if noted else set()
+    if names and not any(f.rpartition("/")[2] in names for f in noted):
+        _delete(docs.sparkSession, [f for f in noted if f in _made])
 
 
 def _named(name: str) -> str:

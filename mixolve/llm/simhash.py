@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixolve.llm.common import carried, clear_scratch, components, restored, scratch, scratch_folders, spread_join
+from mixolve.llm.common import carried, clear_scratch, components, drop_scratch, owning, restored, scratch, spread_join
 from mixolve.llm.minhash import similar_edges
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -270,14 +270,16 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     words of at least the Jaccard similarity. Texts without words are linked by their fingerprint of zero. Repeated
     rows are copies of each other; an empty table stays empty; columns of docs may have any name.
     """
-    whole, others = carried(docs, text_col, _id=id_col), scratch_folders()
-    rows = scratch(with_fingerprint(whole, "_said", "_fp", shingle, keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
-    found = groups(rows.select("_row", "_fp"), id_col="_row", fp_col="_fp", limit=limit)
-    known = scratch(found.where(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("a"), F.col("component_id").alias("b")), "simhash-links")
-    linked = scratch(components(similar_edges(rows, known, text_col="_said", shingle=words, similarity=similarity), "a", "b"), "near-copies")
-    clear_scratch(docs.sparkSession, rows, linked, spare=others)
+    whole = carried(docs, text_col, _id=id_col)
+    with owning() as mine:
+        rows = scratch(with_fingerprint(whole, "_said", "_fp", shingle, keep_text=True).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
+        found = groups(rows.select("_row", "_fp"), id_col="_row", fp_col="_fp", limit=limit)
+        known = scratch(found.where(F.col("_row") != F.col("component_id")).select(F.col("_row").alias("a"), F.col("component_id").alias("b")), "simhash-links")
+        linked = scratch(components(similar_edges(rows, known, text_col="_said", shingle=words, similarity=similarity), "a", "b"), "near-copies")
+        clear_scratch(docs.sparkSession, mine, keep=(rows, linked))
     members = rows.select("_row", "_id", F.xxhash64("_said").alias("_tie")).join(linked, F.col("_row") == F.col("node"))
     first = members.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col("_row").alias("row")))["row"].alias("stays"))
     gone = linked.join(first.select(F.col("root").alias("r"), "stays"), F.col("root") == F.col("r")).where("node <> stays").select("node")
     gone = scratch(gone, "gone")  # written, so its size is known when the join is planned: the texts are shuffled only where the numbers are too many to send
+    drop_scratch(linked)
     return rows.join(gone, F.col("_row") == F.col("node"), "left_anti").transform(restored, docs.columns, text_col)
