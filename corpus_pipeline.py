@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mixolve.llm import decontamination, packing, quality, secrets, simhash
-from mixolve.llm.common import clear_before, drop_scratch, scratch, scratch_folders, table
+from mixolve.llm.common import drop_scratch, owning, release, scratch, signed, table
 from mixolve.llm.queries import tokenizer_file
 
 
@@ -36,19 +36,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, docs, tokenizer_file("word_bpe_49k.json"), fill=True)
 
 
-#: Scratch folders of the stage that ran last.
-_left: list[str] = []
-
-
 def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes the scratch tables of the one before it, if that one's result has been written since: docs is newer."""
+    """A stage that notes in its result what scratch tables this reads, and deletes those noted in its documents: their written copy is here."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        clear_before(docs, _left)
-        others = scratch_folders()
-        out = stage(spark, docs, sf_dir)
-        _left[:] = [f for f in scratch_folders() if f not in others]
-        return out
+        release(docs)
+        with owning() as mine:
+            out = stage(spark, docs, sf_dir)
+        return signed(out, mine)
 
     return run_stage
 
