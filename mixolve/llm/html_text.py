@@ -27,17 +27,21 @@ INLINE = {
 MARKS = set(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead "
     "cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments respond disqus widget widgets "
-    "pagination pager toolbar login signup search contentinfo complementary header".split()
+    "pagination pager toolbar login signup search contentinfo complementary header reply replies discussion".split()
 )
+#: Those of them that inside an article may as well name a part of it (fixed values).
+DOUBTFUL = set("header masthead banner notice notices alert social widget widgets toolbar search complementary contentinfo promo promotion discussion".split())
 #: Words that may stand beside them in a name without saying that it is something else (fixed values).
 BESIDE = set(
     "area bar block body bottom box button buttons card cell col column container content footer form global group head header heading icon icons inner item items left line link links list lists "
-    "local main mobile module outer page pages panel post posts primary right row secondary section sections site slot small table text thread title top unit user wide wrap wrapper".split()
+    "local main mobile module outer page pages panel post posts primary reader readers right row secondary section sections site slot small table text thread title top unit user wide wrap wrapper".split()
 )
 CLOSED_BY_BLOCK = {"p"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: What a block is: unmarked text outside an article, article text, never main text, and article text under a doubtful name.
-OUT, MAIN, SKIP, WEAK = 0, 1, 2, 3
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What a block is: unmarked text outside an article, article text, never main text, article text under a doubtful name, text under
+#: a name of chrome outside an article, and an article in there. Of the last two blocks() makes one of the others.
+OUT, MAIN, SKIP, WEAK, SOFT, INNER = range(6)
 
 
 def decode(text: str) -> str:
@@ -51,41 +55,57 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
-def marked(value: str) -> int:
-    """SKIP if a class, id or role names chrome and nothing else, WEAK if it does so beside other words, as in related-work, else OUT."""
-    found = OUT
+def marked(value: str) -> tuple[int, set[str]]:
+    """SKIP if a class, id or role names chrome and nothing else, WEAK if it does so beside other words, as in related-work, else OUT; and the words of it that name chrome."""
+    found, said = OUT, set()
     for token in value.split():
         parts = [w for w in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", token) if w]
         words = {w.lower() for w in parts if not w.isdigit()}
         if words & MARKS and parts[0].lower() not in ("has", "no", "with", "without", "is"):
-            if words <= MARKS | BESIDE:
-                return SKIP
-            found = WEAK
-    return found
+            found = SKIP if words <= MARKS | BESIDE else found or WEAK
+            said |= words & MARKS if words <= MARKS | BESIDE else set()
+    return found, said
 
 
 def kind_of(name: str, source: str, inside: int) -> int:
     """What an element's text is, by its name, its attributes and what it stands in."""
-    if inside == SKIP or name in CHROME and not (name == "header" and inside in (MAIN, WEAK)):
+    article = inside in (MAIN, WEAK, INNER)
+    if inside == SKIP or name in CHROME and name != "form" and not (name == "header" and article):
         return SKIP
-    kind = MAIN if name in ("article", "main") else inside
-    if source.strip(" /"):
-        found = attributes(source)
-        if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+    found = attributes(source) if source.strip(" /") else {}
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+        return SKIP
+    told = [marked(found[a]) for a in ("class", "id", "role") if a in found] if name not in ("html", "body", "main") else []
+    mark = max((m for m, _ in told), key=(OUT, WEAK, SKIP).index, default=OUT)
+    begins = name in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody"
+    if article:
+        if name == "form":
+            return SKIP
+        if mark == OUT or name in HEADINGS or inside == INNER and mark == WEAK:
+            return inside
+        if mark == SKIP and not set().union(*(w for _, w in told)) <= DOUBTFUL:
             return SKIP
-        if name not in ("html", "body", "main"):
-            marks = {marked(found[a]) for a in ("class", "id", "role") if a in found}
-            if SKIP in marks:
-                return SKIP
-            if WEAK in marks and inside == MAIN:
-                return WEAK
-        if found.get("role") in ("main", "article") or found.get("itemprop") == "articleBody":
-            return MAIN
-    return kind
+        return WEAK if inside == MAIN else inside
+    if begins:
+        return SKIP if mark == SKIP else MAIN if inside == OUT else INNER
+    return SOFT if mark == SKIP or name == "form" else inside
+
+
+def settled(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Blocks without SOFT and INNER.
+
+    An article under a name of chrome (a page's frame called right-sidebar) is the article if there is no other, else a card. Text
+    under such a name is chrome, but for a page without an article of which it is the larger part: there it is unmarked.
+    """
+    inner = SKIP if any(k == MAIN for k, _ in found) else MAIN
+    found = [(inner if k == INNER else k, t) for k, t in found]
+    words = lambda *kinds: sum(len(t.split(" ")) for k, t in found if k in kinds)
+    soft = OUT if not words(MAIN) and words(SOFT) > words(OUT) else SKIP
+    return [(soft if k == SOFT else k, t) for k, t in found]
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(kind, text) of every block of a page in order, without empty ones."""
+    """(kind, text) of every block of a page in order, without empty ones; kinds are OUT, MAIN, SKIP and WEAK."""
     source = page or ""
     out: list[tuple[int, str]] = []
     held: list[str] = []
@@ -146,7 +166,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         stack.append((name, kind))
         now = kind
     close()
-    return out
+    return settled(out)
 
 
 def host_of(url: str | None) -> str:
@@ -158,7 +178,8 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
     """A row for each page: host, page (a hash of its html), and what its blocks say.
 
     `main` is the article text of a page on which nothing else is open to doubt; of other pages
-    `blocks` has all blocks that may be text, (kind, text) in order. `others` has the texts outside the article.
+    `blocks` has all blocks that may be text, (kind, text) in order. `others` has the distinct texts outside the article, `skipped`
+    all those that markup drops.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("page", F.xxhash64("html"))
@@ -168,7 +189,7 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                hosts, mains, doubtful, others = [], [], [], []
+                hosts, mains, doubtful, others, skipped = [], [], [], [], []
                 for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
                     found = blocks(page)
                     hosts.append(host_of(url))
@@ -176,12 +197,13 @@ def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
                     mains.append(None if doubt else " ".join(t for k, t in found if k == MAIN))
                     doubtful.append([{"kind": k, "text": t} for k, t in found if k != SKIP] if doubt else None)
                     others.append(list(dict.fromkeys(t for k, t in found if k != MAIN)))
+                    skipped.append([t for k, t in found if k == SKIP])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("page_id"), b.column("url"), b.column("page"), pa.array(hosts, pa.string()), pa.array(mains, pa.string()), pa.array(doubtful, pa.list_(pair)), pa.array(others, pa.list_(pa.string()))],
-                    names=["page_id", "url", "page", "host", "main", "blocks", "others"],
+                    [b.column("page_id"), b.column("url"), b.column("page"), pa.array(hosts, pa.string()), pa.array(mains, pa.string()), pa.array(doubtful, pa.list_(pair)), *(pa.array(x, pa.list_(pa.string())) for x in (others, skipped))],
+                    names=["page_id", "url", "page", "host", "main", "blocks", "others", "skipped"],
                 )
 
-    return rows.mapInArrow(run, "page_id long, url string, page long, host string, main string, blocks array<struct<kind:int,text:string>>, others array<string>")
+    return rows.mapInArrow(run, "page_id long, url string, page long, host string, main string, blocks array<struct<kind:int,text:string>>, others array<string>, skipped array<string>")
 
 
 def _common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -190,12 +212,12 @@ def _common(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.
     return np.logical_and.accumulate(same, axis=1).sum(axis=1)
 
 
-def repeats(texts: DataFrame, least: int = 6, depth: int = 32) -> DataFrame:
+def repeats(texts: DataFrame, least: int = 6, depth: int = 8) -> DataFrame:
     """(id, place, length, head): the longest common prefix, of `least` words or more, of each suffix with any other of its host.
 
     texts: host, id, words (hashes). The suffix array of each host: every suffix of every text, known by its first `depth`
-    words, is dealt by range and sorted, so a host of any size is spread; neighbours in that order
-    have the longest common prefixes. Where a task's rows end, its first and last suffix go to the
+    words, is dealt by range and sorted (suffixes that agree, by text and place), so a host of any size and a key of any number
+    of suffixes is spread; neighbours in that order have the longest common prefixes. Where a task's rows end, its first and last suffix go to the
     driver (two rows a task) and are compared there. A repeat of over `depth` words shows as
     overlapping ones. `head` is a hash of the first `least` words.
     """
@@ -203,7 +225,7 @@ def repeats(texts: DataFrame, least: int = 6, depth: int = 32) -> DataFrame:
     places = F.sequence(F.lit(0), F.size("words") - least)
     suffixes = texts.where(F.size("words") >= least).select("host", "id", F.explode(F.transform(places, lambda i: F.struct(i.alias("place"), F.slice("words", i + 1, depth).alias("key")))).alias("s"))
     suffixes = suffixes.select("host", "id", "s.place", "s.key", F.xxhash64(F.slice("s.key", 1, least)).alias("head"))
-    ordered = suffixes.repartitionByRange("host", "key").sortWithinPartitions("host", "key")
+    ordered = suffixes.repartitionByRange("host", "key", "id", "place").sortWithinPartitions("host", "key", "id", "place")
     names = ["id", "place", "length", "head", "host", "key", "part", "last"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +297,26 @@ def boilerplate(parsed: DataFrame, least: int, share: float) -> DataFrame:
     return long.select("host", "text").unionAll(short.select("host", "text"))
 
 
+def dropped_words(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = 6, share: float = 0.1) -> DataFrame:
+    """(page_id, n_main, n_open, n_by_array, n_by_markup): words of each page's article, words that markup leaves open, and of the rest those that the
+    host's suffix array covers and those that markup alone drops. A report of what decides; null and empty pages have zeros."""
+    parsed = scratch(parse(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
+    gone = boilerplate(parsed, length, share)
+    size = lambda text: F.when(F.length(text) > 0, F.size(F.split(text, " "))).otherwise(0)
+    rest = parsed.select("row", "host", F.explode("skipped").alias("text"))
+    met = spread_join(rest, gone.select(F.col("host").alias("h"), F.col("text").alias("t")).distinct(), [("host", "h"), ("text", "t")], "left")
+    sums = met.groupBy(F.col("row").alias("r")).agg(F.sum(F.when(F.col("t").isNotNull(), size(F.col("text"))).otherwise(0)).alias("a"), F.sum(F.when(F.col("t").isNull(), size(F.col("text"))).otherwise(0)).alias("b"))
+    said = lambda test: F.aggregate(F.filter(F.coalesce("blocks", F.array()), test), F.lit(0).cast("long"), lambda n, x: n + size(x["text"]))
+    told = parsed.select("row", "page_id", (size(F.coalesce("main", F.lit(""))) + said(lambda x: x["kind"] == MAIN)).alias("n_main"), said(lambda x: x["kind"] != MAIN).alias("n_open"))
+    some = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return told.join(sums, F.col("row") == F.col("r"), "left").select("page_id", "n_main", "n_open", some("a").alias("n_by_array"), some("b").alias("n_by_markup"))
+
+
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = 6, share: float = 0.1, prose: int = 25) -> DataFrame:
     """(page_id, url, text) of every page: its blocks in order, less what markup or the host's repeats say is not main text.
 
-    Menus, headers, footers, notices, adverts, forms, comments and the like go by their markup. Article
+    Menus, headers, footers, notices, adverts, forms, comments and the like go by their markup; a name of chrome on what
+    holds the page's only article says nothing, nor does one on a heading in it. Article
     (or main) elements stay, also where other pages repeat them: syndicated text does. All other
     blocks, and those in an article under a doubtful name, are decided by the host's suffix array:
     they go where runs of `length` words or more that `share` of the host's pages have (2 at least) cover half of
@@ -288,7 +326,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     give an empty text; repeated rows each give theirs; other columns are ignored; an empty table
     stays empty. Parsed pages are written once to the shared folder.
     """
-    parsed = scratch(parse(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
+    parsed = scratch(parse(pages, id_col, url_col, html_col).drop("skipped").withColumn("row", F.monotonically_increasing_id()), "pages")
     gone = boilerplate(parsed, length, share)
     sure = parsed.where(F.col("blocks").isNull()).select("page_id", "url", F.col("main").alias("text"))
     parts = parsed.where(F.col("blocks").isNotNull()).select("row", "page_id", "url", "host", F.posexplode("blocks").alias("at", "b")).select("row", "page_id", "url", "host", "at", "b.*")

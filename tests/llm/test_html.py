@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from mixolve.llm.html_text import blocks, host_of, main_text, repeats
+from mixolve.llm.html_text import blocks, dropped_words, host_of, main_text, repeats
 
 PAGES = [
     (1, "http://a.x/1", "<body><div id=top>Home About News Contact Us Now please</div><div>unique words of one page here</div><div class='comments'><p>nice one</p></div></body>"),
@@ -79,3 +79,38 @@ def test_suffix_array_against_brute_force(spark):
                 want[i, p] = best
         assert got == want
     assert repeats(df.limit(0)).count() == 0 and repeats(df.where(F.size("words") < 3)).count() == 0
+
+
+def test_names_of_chrome_never_cost_the_article(spark):
+    pages = [
+        ("<div id='page' class='right-sidebar'><article><h2 class='section-header'>One</h2><p>two</p></article></div>", "One two"),
+        ("<article><h1 class='header'>Head</h1><div class='content-header'><h1>Inner</h1></div><p class='notice'>stands</p><p>body</p></article>", "Head Inner stands body"),
+        ("<article><p>text</p><div class='reader-reply'>no</div><section class='replies'><p>no</p></section></article>", "text"),
+        ("<form action='x'><div class='header'>no</div><main>in a form that wraps the page</main></form>", "in a form that wraps the page"),
+        ("<article>only</article><div class='related'><article>a card</article></div>", "only"),
+        ("<div class='notice'><p>the whole of this page stands in a box of that name and in no article</p></div><p>short</p>", "the whole of this page stands in a box of that name and in no article short"),
+        ("<div class='sidebar'><article hidden>no</article><article>yes</article></div><div class='ad'>no</div>", "yes"),
+        ("<main class='header'>main stays</main><header>no</header>", "main stays"),
+        ("<article>a<form><label>no</label></form><div class='ad-box'>no</div><div class='social-box'>b</div></article>", "a b"),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.x", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert [got[i] for i in range(len(pages))] == [want for _, want in pages]
+
+
+def test_doubtful_names_in_articles_go_where_the_host_repeats_them(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    notice, own = prose(20), [prose(30) for _ in range(12)]
+    rows = [(i, "http://h.x", f"<nav>Home News Contact and more of it</nav><article><p>{t}</p><p class='notice'>{notice if i % 2 else t[:70]}</p></article>") for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert all(got[i] == own[i] + ("" if i % 2 else " " + " ".join(own[i][:70].split())) for i in range(12))
+    told = dropped_words(df).collect()
+    assert all((r.n_main, r.n_by_array, r.n_by_markup) == (30, 7, 0) and r.n_open in (10, 11, 20) for r in told)
+
+
+def test_a_key_of_many_suffixes_is_spread(spark):
+    texts = [("h", i, [7, 8, 9, 10, 11, 12, 13, 14, 100 + i]) for i in range(400)]
+    got = {(r.id, r.place): r.length for r in repeats(spark.createDataFrame(texts, "host string, id long, words array<long>"), 6, 8).collect()}
+    assert got == {(i, p): 8 - p for i in range(400) for p in (0, 1, 2)}
