@@ -650,7 +650,8 @@ def sim_proportions(spark, d):
 
 @query("sim_coverage")
 def sim_coverage(spark, d):
-    return G.coverage(L.mixture(G.proportions(spark, 50, _TYPES), T.atlas(spark, d)))
+    """Coverage of as many mixtures as there are suppliers."""
+    return G.coverage(L.mixture(sim_proportions(spark, d), T.atlas(spark, d)))
 
 
 @query("sim_methylation")
@@ -775,11 +776,13 @@ def fraction_hist(spark, d):
     return rounded(M.histogram(T.obs(spark, d), ["sample"], "x"))
 
 
-@query("checked_predictions", sql("reads uxm obs prop", "SELECT sample, cell_type, round(w, 6) AS truth, round(w, 6) AS pred FROM prop"))
+@query("checked_predictions", sql("reads uxm obs atlas prop", f""", {SYSTEM}, {_leaves("leaf", "sys")}, best AS (SELECT sample, any_value(types) AS types, arg_min(w, miss) AS w FROM leaf WHERE list_min(w) >= 0 GROUP BY sample),
+e AS (SELECT sample, unnest(types) AS cell_type, unnest({_SHARED}) AS pred FROM best) SELECT sample, cell_type, round(w, 5) AS truth, round(pred, 5) AS pred FROM prop JOIN e USING (sample, cell_type)""", recursive=True))
 def checked_predictions(spark, d):
-    prop = T.prop(spark, d)
-    R.checked(prop, T.obs(spark, d))
-    return rounded(M.checked_pairs(prop, prop))
+    """Truth beside estimates, after checks that the dataset is sound and that both have the same samples and types, each once."""
+    prop, obs = written(T.prop(spark, d), "prop"), written(T.obs(spark, d), "obs")
+    R.checked(prop, obs)
+    return rounded(M.checked_pairs(prop, written(S.solve(obs, T.atlas(spark, d)), "estimates")), 5)
 
 
 # Files ---------------------------------------------------------------------------------------------
