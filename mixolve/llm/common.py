@@ -119,7 +119,7 @@ def release(docs: DataFrame) -> None:
         _delete(docs.sparkSession, [f for f in noted if f in _made])
 
 
-def _named(name: str) -> str:
+def named(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
@@ -128,13 +128,13 @@ def carried(docs: DataFrame, text_col: str, **more: str) -> DataFrame:
 
     So that operators can add columns of their own whatever those of docs are called; see restored.
     """
-    others = [F.col(_named(c)) for c in docs.columns if c != text_col]
-    return docs.select(F.struct(F.lit(True).alias("_"), *others).alias("_doc"), F.col(_named(text_col)).alias("_said"), *[F.col(_named(c)).alias(n) for n, c in more.items()])
+    others = [F.col(named(c)) for c in docs.columns if c != text_col]
+    return docs.select(F.struct(F.lit(True).alias("_"), *others).alias("_doc"), F.col(named(text_col)).alias("_said"), *[F.col(named(c)).alias(n) for n, c in more.items()])
 
 
 def restored(rows: DataFrame, columns: list[str], text_col: str, **changed: Column) -> DataFrame:
     """The columns of the table that carried() took, some of them changed."""
-    return rows.select(*[changed.get(c, F.col("_said") if c == text_col else F.col(f"_doc.{_named(c)}")).alias(c) for c in columns])
+    return rows.select(*[changed.get(c, F.col("_said") if c == text_col else F.col(f"_doc.{named(c)}")).alias(c) for c in columns])
 
 
 def _same(keys: list[str], prefix: str) -> Column:

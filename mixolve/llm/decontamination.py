@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixolve.llm.common import carried, drop_scratch, restored, scratch
+from mixolve.llm.common import carried, named, restored, scratch
 
 #: Words are runs of 0-9, a-z and everything beyond ASCII, A-Z being lowered first.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -145,13 +146,13 @@ def _merge(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out: str = "_leak", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out: str = "_leak", item_col: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """Add to docs the struct `out`: n_words, spans (flat, disjoint word ranges that items' windows cover), items.
 
     The benchmark is broadcast as an index, in blocks of about block_bytes of text each, one pass
-    over the documents a block; what a pass finds is written to the shared folder before the next
-    block is read, so one index is held at a time, however large the benchmark. The
-    documents aren't shuffled. Null and empty texts have no words and no hits; very long ones are
+    over the documents a block, so one index is held at a time, however large the benchmark. With one block the
+    documents are neither written nor shuffled. With more they are written once; a pass writes what it finds of the rows that it hits,
+    by row number, and the last pass adds it up. Null and empty texts have no words and no hits; very long ones are
     searched whole; benchmark rows with a
     null ID or no words are ignored; repeated items and rows count as they are; without benchmark
     rows nothing is hit. A column named like `out` is replaced, all others are kept.
@@ -161,33 +162,42 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out:
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
-    now = docs.select(*[c for c in docs.columns if c != out])
-    schema = T.StructType([*now.schema.fields, T.StructField(out, shape)])
+    keep = [c for c in docs.columns if c != out]
+    known = carried(docs.select(*map(named, keep)), text_col)
+    known = known.withColumn("_row", F.monotonically_increasing_id()) if blocks > 1 else known.withColumn("_row", F.lit(None).cast("long"))
+    known = known.select("_doc", F.col("_said").alias("_text"), "_row")
+    if blocks > 1:
+        known = scratch(known, "documents")
+    parts: list[DataFrame] = []
     for block in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in mine.collect()], window, k))  # block_bytes of text
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        last = block == blocks - 1
+        now = known if last else known.select("_row", "_text")
+        if last and parts:
+            told = reduce(DataFrame.unionAll, parts).groupBy(F.col("_row").alias("_r")).agg(F.flatten(F.collect_list("found.spans")).alias("spans"), F.flatten(F.collect_list("found.items")).alias("items"))
+            told = scratch(told.select("_r", F.struct(F.lit(0).cast("long").alias("n_words"), "spans", "items").alias("_found")), "found")  # written, so its size is known: texts are shuffled only where hits are too many to send
+            now = now.join(told, F.col("_row") == F.col("_r"), "left").drop("_r")
+        shown = T.StructType([*[f for f in now.schema.fields if f.name not in ("_found", "_text", *(() if last else ("_doc",)))], *([now.schema["_text"]] if last else []), T.StructField("found", shape)])
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             index: Index = sent.value
             for whole in batches:
                 for at in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(at, 1000)
-                    yield _scanned(batch, index, text_col, out, shape)
+                    yield _scanned(whole.slice(at, 1000), index, shape, last)
 
-        found = now.mapInArrow(run, schema)
-        if block == blocks - 1:
-            return found
-        written = scratch(found, "scanned")
-        sent.unpersist()
-        if block:
-            drop_scratch(now)
-        now = written
+        found = now.mapInArrow(run, shown)
+        if not last:
+            parts.append(scratch(found, "scanned"))
+            sent.unpersist()
+    return restored(found.withColumnRenamed("_text", "_said"), [*keep, out], text_col, **{out: F.col("found")})
 
 
-def _scanned(batch: pa.RecordBatch, index: Index, text_col: str, out: str, shape: T.StructType) -> pa.RecordBatch:
+def _scanned(batch: pa.RecordBatch, index: Index, shape: T.StructType, last: bool) -> pa.RecordBatch:
+    """The batch with `found` for each row, joined with what _found has of earlier passes; before the last pass, row numbers and findings of the rows hit alone."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    words = [words_of(t) for t in batch.column(text_col).to_pylist()]
+    words = [words_of(t) for t in batch.column("_text").to_pylist()]
     n = np.array([len(w) for w in words], np.int64)
     first = np.cumsum(n + 1) - n  # a border before each document
     flat = np.zeros(int((n + 1).sum()) + 1, np.int64)
@@ -198,7 +208,7 @@ def _scanned(batch: pa.RecordBatch, index: Index, text_col: str, out: str, shape
         flat[inside] = np.fromiter(map(index.vocabulary.get, chain.from_iterable(words), repeat(0)), np.int64, int(n.sum()))
     start, end, sets = index.hits(flat)
     doc = np.searchsorted(first, start, "right") - 1
-    earlier = batch.column(out).to_pylist() if out in batch.schema.names else [None] * len(words)
+    earlier = batch.column("_found").to_pylist() if "_found" in batch.schema.names else [None] * len(words)
     spans: dict[int, list] = {}
     items: dict[int, set] = {}
     for d, a, b in np.unique(np.stack([doc, start - first[doc], end - first[doc]]), axis=1).T.tolist():
@@ -206,12 +216,14 @@ def _scanned(batch: pa.RecordBatch, index: Index, text_col: str, out: str, shape
     for d, k in np.unique(np.stack([doc, sets]), axis=1).T.tolist():
         items.setdefault(d, set()).update(map(index.names.__getitem__, index.sets[k].tolist()))
     for d, e in enumerate(earlier):
-        if e and e["items"]:
+        if e:
             spans.setdefault(d, []).extend(zip(e["spans"][::2], e["spans"][1::2]))
             items.setdefault(d, set()).update(e["items"])
-    found = [{"n_words": int(n[d]), "spans": _merge(spans.get(d, [])), "items": sorted(items.get(d, ()))} for d in range(len(words))]
-    kept = [i for i, c in enumerate(batch.schema.names) if c != out]
-    return pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(found, to_arrow_type(shape))], names=[*[batch.schema.names[i] for i in kept], out])
+    which = range(len(words)) if last else sorted(items)
+    found = [{"n_words": int(n[d]), "spans": _merge(spans.get(d, [])), "items": sorted(items.get(d, ()))} for d in which]
+    kept = [c for c in ("_doc", "_row", "_text") if c in batch.schema.names] if last else ["_row"]
+    some = batch if last else batch.take(pa.array(list(which), pa.int64()))
+    return pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], pa.array(found, to_arrow_type(shape))], names=[*kept, "found"])
 
 
 def report(scanned: DataFrame, out: str = "_leak", id_col: str = "doc_id") -> DataFrame:

@@ -40,3 +40,10 @@ def test_control_strings_come_back(spark):
     assert [(t.role, t.text) for t in got[2].turns] == [("us\ner&nl;", "first"), ("", ""), ("assistant", "same turn")]
     assert hashlib.sha256(got[None].loss_text.encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
     assert conversations(threads(df.limit(0))).count() == 0
+
+
+def test_a_very_long_text_comes_back(spark):
+    long = "word <|im_end|> & " * 60_000
+    rows = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    got = read_back(conversations(threads(rows))).first()
+    assert [t.text for t in got.turns] == [long, long] and got.loss_text == long

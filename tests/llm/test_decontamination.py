@@ -62,3 +62,13 @@ def test_a_phrase_of_many_items_and_many_blocks(spark):
         got = {r.doc_id: r for r in report(scan(df, bench, block_bytes=size)).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i].n_items) for i in (1, 2, 3, 4, 5)] == [(5200, 4800, 3000), (15, 15, 3000), (10001, 10000, 1), (0, 0, 0), (11, 11, 3000)]
     assert time.time() - began < 120
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    long = "none of this " * 100_000
+    docs = spark.createDataFrame([(1, long + item + " " + long), (2, long)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", item), ("b", "elsewhere only")], "item_id string, text string")
+    for size in (1 << 20, 50):
+        got = {r.doc_id: r for r in report(scan(docs, bench, block_bytes=size)).collect()}
+        assert (got[1].n_words, got[1].n_hit, got[1].n_items) == (600_030, 30, 1) and (got[2].n_words, got[2].n_hit) == (300_000, 0)

@@ -68,3 +68,10 @@ def test_odd_rows(spark):
     kept = one_of_each(df).collect()
     assert len(kept) == 2 and kept[0].asDict().keys() == {"doc_id", "text", "component_id"}
     assert simhash_groups(df.limit(0)).count() == 0 and one_of_each(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 977} x{i % 31}" for i in range(150_000))
+    assert fingerprint(long) & (1 << 64) - 1 == plain_fingerprint(long)
+    df = spark.createDataFrame([(1, long), (2, long.upper()), (3, "something else in here")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash_groups(df).collect()) == [(1, 1), (2, 1), (3, 3)]
