@@ -153,14 +153,15 @@ def parse_dilution(spark, d):
     return names.select("name", X.dilution_of("name").alias("dilution"), X.replicate_of("name").alias("replicate"), X.sample_name(path).alias("from_path"), X.cache_name(path).alias("cache"))
 
 
-@query("activations", """WITH v AS (SELECT event_id, value / 100e0 - 2 AS x, user_id % 100 AS g FROM events), t AS (SELECT g, max(x) AS top, sum(exp(x)) AS total FROM v GROUP BY g)
-SELECT event_id, round(greatest(x, 0), 6) AS relu, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(ln(1 + exp(x)), 6) AS softplus, round(exp(x) / total, 6) AS softmax, round(least(greatest(x, -1), 1.5), 6) AS clipped, abs(x - round(x, 1)) <= 1e-8 + 0.01e0 * abs(round(x, 1)) AS near FROM v JOIN t USING (g)""")
+@query("activations", """WITH v AS (SELECT event_id, ts, value / 100e0 - 2 AS x, user_id % 100 AS g FROM events), t AS (SELECT g, max(x) AS top, sum(exp(x)) AS total FROM v GROUP BY g)
+SELECT event_id, round(greatest(x, 0), 6) AS relu, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(ln(1 + exp(x)), 6) AS softplus, round(exp(x) / total, 6) AS softmax, round(least(greatest(x, -1), 1.5), 6) AS clipped, abs(x - round(x, 1)) <= 1e-8 + 0.01e0 * abs(round(x, 1)) AS near,
+round_even(event_id / 2e0, 0) AS half, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM v JOIN t USING (g)""")
 def activations(spark, d):
     """The scalar functions of the networks, and the softmax of each group of users."""
-    v = T.load(spark, d, "events").select("event_id", (F.col("value") / 100 - 2).alias("x"), (F.col("user_id") % 100).alias("g"))
+    v = T.load(spark, d, "events").select("event_id", "ts", (F.col("value") / 100 - 2).alias("x"), (F.col("user_id") % 100).alias("g"))
     held = v.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("s"))
     soft = held.select(F.explode(F.arrays_zip(F.transform("s", lambda s: s["event_id"]).alias("event_id"), X.softmax(F.transform("s", lambda s: s["x"])).alias("softmax"))).alias("z")).select("z.*")
-    told = v.select("event_id", X.relu("x").alias("relu"), X.sigmoid("x").alias("sigmoid"), X.softplus("x").alias("softplus"), X.clip("x", -1.0, 1.5).alias("clipped"), X.close("x", F.round("x", 1), 0.01).alias("near"))
+    told = v.select("event_id", X.relu("x").alias("relu"), X.sigmoid("x").alias("sigmoid"), X.softplus("x").alias("softplus"), X.clip("x", -1.0, 1.5).alias("clipped"), X.close("x", F.round("x", 1), 0.01).alias("near"), F.bround(F.col("event_id") / 2).alias("half"), X.time_stamp(F.col("ts")).alias("stamp"))
     return rounded(told.join(soft, "event_id"))
 
 
