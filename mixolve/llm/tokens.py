@@ -62,6 +62,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
+        # where the tokenizer lower-cases anyway, words that differ in the case of A-Z are one
+        self.folds = all(self._ids([a]) == self._ids([a.lower()]) and self._ids([f"x{a}x"]) == self._ids([f"x{a.lower()}x"]) for a in string.ascii_uppercase)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -142,7 +144,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat IDs of all texts, offsets of each text in them). Texts must not be null."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.lead else " "), " ")
+        lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts) if self.folds else texts, "\n", " \n" if self.lead else " "), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         bounds = bounds - bounds[0]
