@@ -113,14 +113,35 @@ def alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull()).mapInArrow(compare, "a long, b long")
 
 
+#: 64-bit words of a parity bitmap: enough to rule out pairs at 0.7 of sets up to some 500 shingles; they are shuffled with every bucket of a row.
+PARITY_WORDS = 6
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(row, bits): a bitmap of each set in which a shingle flips the bit that its hash names.
+
+    Two bitmaps differ in no more bits than the sets differ in shingles, so a pair whose bitmaps differ in too many isn't similar.
+    """
+    size = 64 * PARITY_WORDS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [np.packbits(np.bincount((np.frombuffer(s.as_py(), np.uint64) % np.uint64(size)).astype(np.int64), minlength=size) & 1).view(np.int64) for s in b.column("s")]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(bits, pa.list_(pa.int64()))], names=["row", "bits"])
+        pa.default_memory_pool().release_unused()
+
+    return sets.select("row", "s").mapInArrow(run, "row long, bits array<long>")
+
+
 def shared_counts(sets: DataFrame) -> DataFrame:
     """(row, shared): how many shingles of a set are in another set as well. Sums are made before the shuffle by shingle."""
 
     def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, s in zip(b.column("row").to_pylist(), b.column("s")):
-                held = np.frombuffer(s.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), row))], names=["x", "row"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                held = [np.frombuffer(s.as_py(), np.int64) for s in b.column("s")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.repeat(b.column("row").to_numpy(), [len(h) for h in held]))], names=["x", "row"])
 
     alone = sets.select("row", "s").mapInArrow(values, "x long, row long").groupBy("x").agg(F.count("*").alias("c"), F.first("row").alias("row")).where("c = 1")
     alone = alone.groupBy("row").agg(F.count("*").alias("alone")).withColumnRenamed("row", "r")
@@ -140,7 +161,7 @@ def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text",
     3. Each row is compared with one that it isn't linked to yet: that with the fewest shingles alone.
     4. What is then still apart and may be similar is compared pair by pair. Of such a pair one is
        outside the bucket's largest component, so only those rows meet the whole bucket, dealt in blocks of
-       `block` by `block` rows.
+       `block` by `block` rows. Where parity bitmaps differ in more bits than sets of that similarity could in shingles, the pair is ruled out.
 
     So nothing is left out than pairs that share no band.
     """
@@ -187,12 +208,16 @@ def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text",
     sizes, found = apart(rooted(may, edges), F.lit(0))
     found = scratch(found.drop("hub"), "open-rows")
     by_root = found.groupBy("key", "root").count().groupBy(F.col("key").alias("k")).agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"))
+    bits = parities(sets.join(found.select(F.col("row").alias("id")).distinct(), F.col("row") == F.col("id"), "left_semi")).withColumnRenamed("row", "r")
+    found = found.join(bits, F.col("row") == F.col("r")).drop("r")
     by_root = by_root.select("k", F.col("top.root").alias("most"), F.expr(f"1 + (size - top.count) div {block}").alias("ls"), F.expr(f"1 + size div {block}").alias("rs"))
     dealt = scratch(spread_join(found, by_root, [("key", "k")], counts=sizes).drop("k"), "dealt")
     numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = dealt.where("root <> most").select("key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("root").alias("ra"), F.pmod(F.xxhash64("row"), "ls").alias("i"), numbers("rs").alias("j"))
-    right = dealt.select(F.col("key").alias("k"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("root").alias("rb"), (F.col("root") == F.col("most")).alias("main"), F.pmod(F.xxhash64("row"), "rs").alias("j2"), numbers("ls").alias("i2"))
+    left = dealt.where("root <> most").select("key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("root").alias("ra"), F.col("bits").alias("pa"), F.pmod(F.xxhash64("row"), "ls").alias("i"), numbers("rs").alias("j"))
+    right = dealt.select(F.col("key").alias("k"), F.col("row").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("root").alias("rb"), F.col("bits").alias("pb"), (F.col("root") == F.col("most")).alias("main"), F.pmod(F.xxhash64("row"), "rs").alias("j2"), numbers("ls").alias("i2"))
     meet = (F.col("key") == F.col("k")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("ra") != F.col("rb")) & (F.col("main") | (F.col("a") > F.col("b")))
     enough = F.least("sa", "sb") >= (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9
-    rest = left.join(right, meet & enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = differ <= (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    rest = left.join(right, meet & enough & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & near).select("a", "b").distinct()
     return edges.unionAll(alike(sets, scratch(rest, "apart"), similarity))
