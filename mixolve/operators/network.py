@@ -18,6 +18,17 @@ def features(obs: DataFrame, *, log_coverage: bool = True) -> DataFrame:
     return obs.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("marker", value.alias("v"), "c"))), lambda s: s["v"]).alias("x"))
 
 
+#: Rows of features that a task works on at a time: what a training step keeps of them doesn't grow with the batches that Arrow brings.
+ROWS_AT_ONCE = 1024
+
+
+def slices(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames cut to ROWS_AT_ONCE rows; empty ones are left out."""
+    for frame in frames:
+        for at in range(0, len(frame), ROWS_AT_ONCE):
+            yield frame.iloc[at : at + ROWS_AT_ONCE]
+
+
 class Perceptron:
     """Linear, layer norm, ReLU, linear, softmax."""
 
@@ -64,10 +75,9 @@ class Perceptron:
         sent = rows.sparkSession.sparkContext.broadcast(self)  # markers x hidden numbers
 
         def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f):
-                    y = sent.value.forward(np.stack(f["x"].to_numpy()).astype(float))
-                    yield pd.DataFrame({"sample": np.repeat(f["sample"].to_numpy(), len(types)), "cell_type": np.tile(types, len(f)), "w": y.ravel()})
+            for f in slices(frames):
+                y = sent.value.forward(np.stack(f["x"].to_numpy()).astype(float))
+                yield pd.DataFrame({"sample": np.repeat(f["sample"].to_numpy(), len(types)), "cell_type": np.tile(types, len(f)), "w": y.ravel()})
 
         return rows.mapInPandas(run, "sample string, cell_type string, w double")
 
@@ -170,10 +180,9 @@ class UnrolledSolver:
         sent = rows.sparkSession.sparkContext.broadcast(self)  # types x markers numbers, and a transform of markers x markers if there is one
 
         def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f):
-                    w, _ = sent.value.forward(np.stack(f["x"].to_numpy()).astype(float), np.stack(f["c"].to_numpy()).astype(float))
-                    yield pd.DataFrame({"sample": np.repeat(f["sample"].to_numpy(), len(types)), "cell_type": np.tile(types, len(f)), "w": w.ravel()})
+            for f in slices(frames):
+                w, _ = sent.value.forward(np.stack(f["x"].to_numpy()).astype(float), np.stack(f["c"].to_numpy()).astype(float))
+                yield pd.DataFrame({"sample": np.repeat(f["sample"].to_numpy(), len(types)), "cell_type": np.tile(types, len(f)), "w": w.ravel()})
 
         return rows.mapInPandas(run, "sample string, cell_type string, w double")
 
@@ -203,13 +212,12 @@ def fit(model, rows: DataFrame, *, validation: DataFrame | None = None, criterio
             from pyspark import TaskContext
 
             rng, total, loss, n = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()]), None, 0.0, 0
-            for f in frames:
-                if len(f):
-                    x = np.stack(f["x"].to_numpy()).astype(float)
-                    keep = (rng.random((len(f), sent.value.width)) >= dropout) / (1 - dropout) if dropout else None
-                    g, miss = sent.value.gradient(x, np.stack(f["y"].to_numpy()).astype(float), criterion, f["weight"].to_numpy(), keep)
-                    flat = np.concatenate([g[k].ravel() for k in sorted(g)])
-                    total, loss, n = flat if total is None else total + flat, loss + miss, n + len(f)
+            for f in slices(frames):
+                x = np.stack(f["x"].to_numpy()).astype(float)
+                keep = (rng.random((len(f), sent.value.width)) >= dropout) / (1 - dropout) if dropout else None
+                g, miss = sent.value.gradient(x, np.stack(f["y"].to_numpy()).astype(float), criterion, f["weight"].to_numpy(), keep)
+                flat = np.concatenate([g[k].ravel() for k in sorted(g)])
+                total, loss, n = flat if total is None else total + flat, loss + miss, n + len(f)
             if n:
                 yield pd.DataFrame({"i": np.arange(-2, len(total)), "v": np.concatenate([[loss, n], total])})
 
@@ -253,10 +261,9 @@ def mean_loss(model, rows: DataFrame, criterion: Callable | None = None) -> floa
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                loss = sent.value.loss(np.stack(f["x"].to_numpy()).astype(float), np.stack(f["y"].to_numpy()).astype(float), criterion)
-                yield pd.DataFrame({"loss": [float((loss * f["weight"].to_numpy()).sum())], "n": [len(f)]})
+        for f in slices(frames):
+            loss = sent.value.loss(np.stack(f["x"].to_numpy()).astype(float), np.stack(f["y"].to_numpy()).astype(float), criterion)
+            yield pd.DataFrame({"loss": [float((loss * f["weight"].to_numpy()).sum())], "n": [len(f)]})
 
     told = rows.mapInPandas(run, "loss double, n long").agg(F.sum("loss"), F.sum("n")).first()
     return told[0] / told[1] if told[1] else float("nan")

@@ -52,3 +52,18 @@ def test_quotients_are_those_of_doubles(spark):
     given = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (3.0, 2.0), (-3.0, -2.0), (None, 0.0), (1.0, None), (0.0, 0.0)], "a double, b double")
     told = [r[0] for r in given.select(X.quotient("a", "b")).collect()]
     assert told[:6] == [float("inf"), float("-inf"), 1.5, 1.5, None, None] and told[6] != told[6]
+
+
+def test_training_works_on_bounded_slices_of_what_arrow_brings(spark):
+    """One task gets all 5000 rows in one batch; no step sees more than a slice of it."""
+    from mixolve.operators import network as N
+
+    def criterion(y, truth):
+        assert len(y) <= 1024
+        return ((y - truth) ** 2).sum(axis=1), 2 * (y - truth)
+
+    made = spark.range(5000, numPartitions=1).select(F.col("id").cast("string").alias("sample"), F.array(F.rand(1), F.rand(2)).alias("x"), F.array(F.lit(0.3), F.lit(0.7)).alias("y"))
+    model = N.Perceptron(2, 2, 4)
+    history = N.fit(model, made, validation=made, criterion=criterion, epochs=2)
+    assert len(history) == 2 and all(h["val_loss"] >= 0 for h in history)
+    assert model.score(made, ["a", "b"]).count() == 10000
