@@ -67,3 +67,17 @@ def test_training_works_on_bounded_slices_of_what_arrow_brings(spark):
     history = N.fit(model, made, validation=made, criterion=criterion, epochs=2)
     assert len(history) == 2 and all(h["val_loss"] >= 0 for h in history)
     assert model.score(made, ["a", "b"]).count() == 10000
+
+
+def test_mixtures_meet_profiles_without_a_shuffle_of_pairs(spark):
+    """Samples are gathered by sample alone; a type that a marker lacks, or without a value, adds nothing, and a pair without a type in common is no row."""
+    from mixolve.operators import linear as L
+
+    prop = spark.createDataFrame([("s1", "a", 0.25), ("s1", "b", 0.75), ("s2", "b", 0.5), ("s2", "c", 0.5), ("s3", "d", 1.0), ("s4", "a", None)], "sample string, cell_type string, w double")
+    atlas = spark.createDataFrame([("m1", "a", 1.0), ("m1", "b", 0.5), ("m2", "b", None), ("m2", "c", 0.25), ("m3", "b", None), ("m1", "c", 0.1)], "marker string, cell_type string, h double")
+    got = L.mixture(prop, atlas)
+    want = prop.join(atlas, "cell_type").groupBy("sample", "marker").agg(F.sum(F.col("w") * F.col("h")).alias("mix"))
+    plain = lambda df: sorted((r.sample, r.marker, None if r.mix is None else round(r.mix, 12)) for r in df.collect())
+    assert plain(got) == plain(want) and len(plain(got)) == 7
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sample" in plan and "hashpartitioning(cell_type" not in plan and "marker" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
