@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from mixolve.llm.common import components, scratch, spread_join
+from mixolve.llm.common import among, components, scratch, spread_join
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bands of WIDTH minima each: a pair at similarity 0.8 shares none with probability (1 - 0.8**5)**28 = 1.5e-5.
@@ -62,27 +63,47 @@ def sketches(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
     return rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, "row long, n int, whole binary, keys array<long>")
 
 
-def shingle_sets(rows: DataFrame, ids: DataFrame, text_col: str, shingle: int, most: int = 500_000) -> DataFrame:
-    """(row, s) of the rows whose number is in ids (column id, distinct): the shingle set as bytes.
+def bucket_rows(sketched: DataFrame) -> DataFrame:
+    """(key, row, n) of the rows, for each of their keys that another row has as well.
 
-    Up to `most` ids, a hash table of some tens of MB, are sent to the texts; beyond that the texts are shuffled to the ids.
+    Of a batch's rows with the same key one stands for all, with their number; the others have company for sure. So all rows
+    are shuffled once, and a key has no more rows in a task than there are batches.
     """
 
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("keys")
+            key = lists.flatten().to_numpy()
+            lengths = np.diff(lists.offsets.to_numpy())
+            row, n = (np.repeat(b.column(c).to_numpy(), lengths) for c in ("row", "n"))
+            count = np.zeros(len(key), np.int32)
+            _, at, many = np.unique(key, return_index=True, return_counts=True)
+            count[at] = many
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(n, pa.int32()), pa.array(count), pa.array(row, mask=count > 0)], names=["key", "row", "n", "count", "other"])
+
+    rows = sketched.select("row", "n", "keys").mapInArrow(counted, "key long, row long, n int, count int, other long")
+    whole = rows.withColumn("whole", F.sum("count").over(W.partitionBy("key", "other")))
+    return whole.where((F.col("whole") > 1) | F.col("other").isNotNull()).select("key", "row", "n")
+
+
+def shingle_sets(rows: DataFrame, ids: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(row, s) of the rows whose number is in ids (column row): the shingle set as bytes. The texts aren't shuffled (see among)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["row", "s"])
         pa.default_memory_pool().release_unused()
 
-    few = ids.count() <= most
-    texts = rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, F.col("row") == F.col("id"), "left_semi")
+    texts = among(rows.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), "row", ids, of="row")
     return texts.mapInArrow(run, "row long, s binary")
 
 
-def alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def alike(sets: DataFrame, pairs: DataFrame, similarity: float, most: int = 250_000) -> DataFrame:
     """Those (a, b) of pairs whose shingle sets have at least the similarity.
 
     Pairs are dealt into cells of two sides by hashes of a and b, and a set goes once to each cell
-    that asks for it, so a row of many pairs is no hot key.
+    that asks for it, so a row of many pairs is no hot key. Who asks is sent to the sets for up to
+    `most` pairs, some 30 MB; beyond that the sets are shuffled by row before they are by cell.
     """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +124,12 @@ def alike(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64())], names=["a", "b"])
         pa.default_memory_pool().release_unused()
 
-    size = sets.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0]
-    sides = max(8, -(-size // (8 << 20)), math.isqrt(pairs.count() // 5000))
+    size, many = sets.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0], pairs.count()
+    sides = max(8, -(-size // (8 << 20)), math.isqrt(many // 5000))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
     dealt = pairs.select((part("a") * sides + part("b")).alias("cell"), "a", "b")
     needed = dealt.select("cell", F.col("a").alias("id")).unionAll(dealt.select("cell", F.col("b").alias("id"))).distinct()
-    sent = needed.join(sets, F.col("id") == F.col("row")).select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    sent = sets.join(F.broadcast(needed) if many <= most else needed, F.col("id") == F.col("row")).select("cell", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "s")
     both = sent.unionAll(dealt.select("*", F.lit(None).cast("binary").alias("s")))
     return both.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull()).mapInArrow(compare, "a long, b long")
 
@@ -154,7 +175,7 @@ def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text",
     Equal sets are one. Rows that share a band key are candidates; each candidate pair ends up linked
     (by whatever path), compared, or ruled out by a bound that holds for sure:
 
-    1. Each row is compared with one other: the least row of its buckets.
+    1. Each row is compared with one other: the least row of its buckets, unless a known edge joins the two or both to a third.
     2. In buckets that still hold rows apart, the shingles that no other such row has are counted. A
        pair of similarity t shares t / (1 + t) of the sum of the two sizes, so both need as many
        shingles that are shared at all; rows short of it with every partner are left out.
@@ -166,13 +187,10 @@ def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text",
     So nothing is left out than pairs that share no band.
     """
     told = scratch(sketches(rows, text_col, shingle), "sketches")
-    first = scratch(told.groupBy("whole").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct-sets")
-    copies = told.select("row", "whole").join(first.select(F.col("whole").alias("w"), "least"), F.col("whole") == F.col("w")).where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
-    edges = scratch(known.select("a", "b").unionAll(copies), "linked")
-
-    members = first.select(F.col("least").alias("row"), "n", F.explode("keys").alias("key"))
-    many = scratch(members.groupBy("key").count().where("count > 1"), "bucket-sizes")
-    buckets = scratch(spread_join(members, many.select(F.col("key").alias("k")), [("key", "k")], counts=many).select("key", "row", "n"), "buckets")
+    equal = told.groupBy("whole").agg(F.min("row").alias("least"), F.count("*").alias("count")).where("count > 1")
+    copies = told.select("row", "whole").join(equal.select(F.col("whole").alias("w"), "least"), F.col("whole") == F.col("w")).where("row <> least")
+    copies = scratch(copies.select(F.col("row").alias("a"), F.col("least").alias("b")), "equal-sets")
+    edges = known.select("a", "b").unionAll(copies)
 
     def apart(members: DataFrame, best: Column) -> tuple[DataFrame, DataFrame]:
         """Buckets that hold more than one component, one row each with its best row; and their rows."""
@@ -192,14 +210,16 @@ def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text",
         """A pair for each row that isn't linked to the best row of all its buckets."""
         return found.where(F.col("hub.root") != F.col("root")).groupBy(F.col("row").alias("a")).agg(F.min("hub")["row"].alias("b"))
 
-    _, found = apart(buckets.withColumn("root", F.col("row")), F.lit(0))
+    links = known.groupBy("a").agg(F.min("b").alias("b"))
+    buckets = scratch(rooted(bucket_rows(among(told, "row", copies, of="a", keep=False)), links), "buckets")
+    _, found = apart(buckets, F.lit(0))
     found = scratch(found, "open-rows")
-    sets = scratch(shingle_sets(rows, found.select(F.col("row").alias("id")).distinct(), text_col, shingle), "shingle-sets")
+    sets = scratch(shingle_sets(rows, found, text_col, shingle), "shingle-sets")
     edges = merged(edges.unionAll(alike(sets, scratch(to_hubs(found), "first-pairs"), similarity)))
 
     _, found = apart(rooted(found.drop("hub"), edges), F.lit(0))
     found = scratch(found.drop("hub"), "open-rows")
-    counts = shared_counts(sets.join(found.select(F.col("row").alias("id")).distinct(), F.col("row") == F.col("id"), "left_semi"))
+    counts = shared_counts(among(sets, "row", found, of="row"))
     found = found.join(counts.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).drop("r")
     may = scratch(found.where(F.col("shared") >= similarity * F.col("n") - 1e-9), "may-link")  # of a pair the union holds all n, and no more than `shared` are common
     _, found = apart(may, F.col("n") - F.col("shared"))
@@ -208,7 +228,7 @@ def similar_edges(rows: DataFrame, known: DataFrame, *, text_col: str = "text",
     sizes, found = apart(rooted(may, edges), F.lit(0))
     found = scratch(found.drop("hub"), "open-rows")
     by_root = found.groupBy("key", "root").count().groupBy(F.col("key").alias("k")).agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top"))
-    bits = parities(sets.join(found.select(F.col("row").alias("id")).distinct(), F.col("row") == F.col("id"), "left_semi")).withColumnRenamed("row", "r")
+    bits = parities(among(sets, "row", found, of="row")).withColumnRenamed("row", "r")
     found = found.join(bits, F.col("row") == F.col("r")).drop("r")
     by_root = by_root.select("k", F.col("top.root").alias("most"), F.expr(f"1 + (size - top.count) div {block}").alias("ls"), F.expr(f"1 + size div {block}").alias("rs"))
     dealt = scratch(spread_join(found, by_root, [("key", "k")], counts=sizes).drop("k"), "dealt")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mixolve.llm.common import ranked, running_sum, scratch
+from mixolve.llm.common import among, ranked, running_sum, scratch
 from mixolve.llm.tokens import encoder, slices
 
 
@@ -265,8 +265,9 @@ def fill_sequences(packed: DataFrame, ids: DataFrame, *, capacity: int = 4096, s
     cut = met.where(F.floor(a / capacity) == F.col("bin")).select(
         F.col("piece").alias("p"), (a - F.col("from")).alias("skip"), (b - a).alias("length"), (F.col("start") + a - F.col("from")).alias("start"), "doc_id", "doc_tokens", "sequence_id", (F.col("at") + a - F.col("lo")).alias("offset")
     )
+    ids = among(ids.select("piece", "ids"), "piece", freed, of="piece")  # only what is cut is shuffled
     part = F.substring("ids", (4 * F.col("skip") + 1).cast("int"), (4 * F.col("length")).cast("int"))
-    cut = cut.join(ids.select("piece", "ids"), F.col("p") == F.col("piece")).withColumn("ids_crc32", F.crc32(part))
+    cut = cut.join(ids, F.col("p") == F.col("piece")).withColumn("ids_crc32", F.crc32(part))
     return packed.where(F.col("used") > limit).select(*out).unionByName(cut.select(*out))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixolve.llm.common import carried, clear_scratch, components, drop_scratch, owning, restored, scratch, spread_join
+from mixolve.llm.common import among, carried, clear_scratch, components, drop_scratch, join_labels, owning, restored, scratch, spread_join
 from mixolve.llm.minhash import similar_edges
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -113,18 +113,6 @@ class GrayTree:
             yield from self._down(queries, level - 1, again(q), child[real], again(sums), again(shared), limit, most)
 
 
-def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merge the classes of a and b: label holds each item's class, by its least member."""
-    while len(a):
-        x, y = label[a], label[b]
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(up := label[label], label):
-            label = up
-    return label
-
-
 def turns(limit: int) -> list[tuple[int, int]]:
     """(bits to turn left by, mask of leading bits) of each table: the leading bits of limit + 1 tables share out the 64."""
     cuts = [64 * t // (limit + 1) for t in range(limit + 2)]
@@ -280,6 +268,6 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     members = rows.select("_row", "_id", F.xxhash64("_said").alias("_tie")).join(linked, F.col("_row") == F.col("node"))
     first = members.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col("_row").alias("row")))["row"].alias("stays"))
     gone = linked.join(first.select(F.col("root").alias("r"), "stays"), F.col("root") == F.col("r")).where("node <> stays").select("node")
-    gone = scratch(gone, "gone")  # written, so its size is known when the join is planned: the texts are shuffled only where the numbers are too many to send
+    gone = scratch(gone, "gone")
     drop_scratch(linked)
-    return rows.join(gone, F.col("_row") == F.col("node"), "left_anti").transform(restored, docs.columns, text_col)
+    return among(rows, "_row", gone, of="node", keep=False).transform(restored, docs.columns, text_col)
