@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixolve.llm.common import scratch
-from mixolve.llm.tokens import UNSAFE, Encoder, slices
+from mixolve.llm.tokens import UNSAFE, Encoder, slices, spans
 
 
 def _byte_of() -> dict[str, int]:
@@ -68,7 +68,7 @@ class Pieces(Encoder):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.marks, self.lead = (), " "
-        self.young, self.old, self.tails = {}, {}, {}
+        self.tails = {}
         self.apart = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         self.vocabulary = Vocabulary([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.space = self.model.piece_to_id("▁")
@@ -141,7 +141,7 @@ class Pair:
         out = []
         for start, sizes, whole in ((at + 1, count, lambda t: self.first._whole(" " + t)), (at + 1 + count, size - 1 - count, self.second._whole)):
             sizes = sizes[place]
-            ids, offsets = flat[_spans(start[place], sizes)], np.concatenate([[0], np.cumsum(sizes)])[bounds]
+            ids, offsets = flat[spans(start[place], sizes)], np.concatenate([[0], np.cumsum(sizes)])[bounds]
             if len(hard):
                 each = [ids[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
                 for i in hard.tolist():
@@ -163,16 +163,10 @@ def pair(a: str, b: str) -> Pair:
     return _held[a, b]
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers starts[i], starts[i] + 1, ... of sizes[i] each, in one array."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def _only(keep: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """IDs and offsets of the kept documents; the others have none."""
     sizes = np.where(keep, np.diff(offsets), 0)
-    return ids[_spans(offsets[:-1], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+    return ids[spans(offsets[:-1], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _weighed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +206,7 @@ def linked(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarra
     while at < len(a):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         some = slice(at, end)
-        right = _spans(first_b[group_a[some]], times[some])
+        right = spans(first_b[group_a[some]], times[some])
         keys = np.repeat(doc[group_a[some]] * span + a[some] * size_b, times[some]) + b[right]
         if weight_a is None:
             found.append(np.unique(keys, return_counts=True))

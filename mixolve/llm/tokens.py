@@ -36,6 +36,44 @@ LAYOUT = {
 UNSAFE = bytes(1)
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every span, one span after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def _lengths(words: pa.Array) -> np.ndarray:
+    return pc.binary_length(words).to_numpy().astype(np.int64)
+
+
+class Memory:
+    """IDs of pieces that were encoded before, as columns. Of more than `entries`, the half that most batches held stays."""
+
+    def __init__(self, entries: int, longest: int):
+        self.entries, self.longest = entries, longest
+        self.pieces = pa.array([], pa.string())
+        self.flat, self.size, self.met = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """The number of each distinct piece here, -1 for those that aren't."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        self.met[at[at >= 0]] += 1
+        return at
+
+    def add(self, pieces: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        """Distinct pieces that aren't here, with their IDs; long ones are left out."""
+        begin = np.cumsum(size) - size
+        fit = np.flatnonzero(_lengths(pieces) <= self.longest)[: self.entries // 2]
+        kept = np.arange(len(self.size))
+        if len(kept) + len(fit) > self.entries:
+            kept = np.sort(np.argsort(-self.met, kind="stable")[: self.entries // 2])
+            self.met //= 2
+        at = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([self.flat[spans(at[kept], self.size[kept])], flat[spans(begin[fit], size[fit])]])
+        self.pieces = pa.concat_arrays([self.pieces.take(pa.array(kept)), pieces.take(pa.array(fit))])
+        self.size, self.met = np.concatenate([self.size[kept], size[fit]]), np.concatenate([self.met[kept], np.ones(len(fit), np.int64)])
+
+
 class Encoder:
     """Encodes texts with a `tokenizers` file, remembering what single words became.
 
@@ -43,14 +81,15 @@ class Encoder:
     characters. With `spaced`, the space or line end stays with the word behind it (byte-level
     vocabularies); without, white space is dropped by the tokenizer itself. A word that ends in ASCII punctuation after a letter
     or digit is cut there too. Each distinct piece is encoded by the library and kept in a cache of
-    two generations of bounded size; texts that hold a special token's string, or white space of
+    bounded size (see Memory), columns looked up a batch at a time; texts that hold a special token's string, or white space of
     several characters, take the slower exact way. Results equal those of encode() on the whole text.
     """
 
     LONGEST = 64
     PUNCTUATION = string.punctuation
+    SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())  # what str.strip takes; none lies beyond
 
-    def __init__(self, path: str, spaced: bool, entries: int = 300_000):
+    def __init__(self, path: str, spaced: bool, entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,14 +97,13 @@ class Encoder:
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.marks = tuple({s[:2] for s in special if s})
         self.border, self.border_id = next(iter(special.items()), (None, None))
-        self.lead, self.entries = " " if spaced else "", entries
+        self.lead = " " if spaced else ""
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True
         # where the tokenizer lower-cases anyway, words that differ in the case of A-Z are one
         self.folds = all(self._ids([a]) == self._ids([a.lower()]) and self._ids([f"x{a}x"]) == self._ids([f"x{a.lower()}x"]) for a in string.ascii_uppercase)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.memory = Memory(entries, self.LONGEST)
         self.tails: dict[str, bytes] = {}
         self.cuts = re.compile(r"(?<=\S)(?= \S)")
 
@@ -93,7 +131,9 @@ class Encoder:
         return out
 
     def _learn(self, words: list[str], lead: str) -> dict[str, bytes]:
-        """IDs of words that aren't in the cache; UNSAFE marks those that can't stand alone because of white space."""
+        """IDs of words, whatever is remembered; UNSAFE marks those that can't stand alone because of white space."""
+        if len(self.tails) > 10_000:
+            self.tails = {}
         odd: list[str] = []
         cut: list[tuple[str, str, str]] = []
         whole: dict[str, None] = {}
@@ -106,34 +146,52 @@ class Encoder:
                 cut.append((w, base, w[len(base) :]))
             else:
                 whole[w] = None
-        bases = {c[1] for c in cut}
-        known = {} if lead != self.lead else {x: v for x in bases if (v := self.young.get(x) or self.old.get(x)) is not None}
-        whole |= dict.fromkeys(bases.difference(known))
+        whole |= dict.fromkeys(c[1] for c in cut)
         lines = [w for w in whole if w[:1] == "\n"] if lead else []  # nothing stands between a line's end and its next word
         made = dict(zip(lines, self._each(lines, "")))
         rest = [w for w in whole if w not in made]
         made.update(zip(rest, self._each(rest, lead)))
         new = list({c[2] for c in cut}.difference(self.tails))
         self.tails.update(zip(new, self._each(new, "")))
-        made.update([(w, (made.get(base) or known[base]) + self.tails[tail]) for w, base, tail in cut])
+        made.update([(w, made[base] + self.tails[tail]) for w, base, tail in cut])
         made.update(dict.fromkeys(odd, UNSAFE))
         return made
 
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        if len(self.young) > self.entries:
-            self.old, self.young = self.young, {}
-        if len(self.tails) > 10_000:
-            self.tails = {}
-        young, old = self.young, self.old
-        out = list(map(young.get, words))
-        absent = [i for i, x in enumerate(out) if x is None]
-        kept = {w: x for w in map(words.__getitem__, absent) if (x := old.get(w)) is not None}
-        made = self._learn([w for w in map(words.__getitem__, absent) if w not in kept], self.lead)
-        made.update(kept)
-        for i in absent:
-            out[i] = made[words[i]]
-        young.update((w, x) for w, x in made.items() if len(w) <= self.LONGEST)
-        return out
+    def _cut(self, words: pa.Array, lead: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """The rule of _learn for a column of words: which can't stand alone, each up to the punctuation at its end (those: nothing), and that."""
+        size = _lengths(words)
+        odd = np.zeros(len(words), bool)
+        if lead:
+            core = _lengths(pc.utf8_trim(words, characters=self.SPACE))
+            line = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False) & (core > 0) & (size - core == 1)
+            odd = ((core < size) | (size == 0)) & ~line
+        base = pc.utf8_rtrim(words, characters=self.PUNCTUATION)
+        last = pc.utf8_slice_codeunits(base, -1).dictionary_encode()
+        ends = np.array([c.isalnum() for c in last.dictionary.to_pylist()], bool)[last.indices.to_numpy()]
+        short = _lengths(base)
+        tail = np.where(ends & ~odd, size - short, 0)
+        base = pc.if_else(pa.array(odd), "", pc.if_else(pa.array(tail > 0), base, words))
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)].astype(np.int64) + short
+        some = np.frombuffer(words.buffers()[2] or b"", np.uint8)[spans(at, tail)]
+        offsets = np.concatenate([[0], np.cumsum(tail)]).astype(np.int32)
+        return odd, base, pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(some))
+
+    def _lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """IDs of distinct pieces: a flat array, and where in it each begins and how many it has. Those not remembered are encoded."""
+        place = self.memory.find(pieces)
+        absent = np.flatnonzero(place < 0)
+        words = pieces.take(pa.array(absent)).to_numpy(zero_copy_only=False).tolist()
+        lines = [bool(self.lead) and w[:1] == "\n" for w in words]  # nothing stands between a line's end and its next word
+        made = dict.fromkeys(words, b"")
+        for some, lead in (([w for w, x in zip(words, lines) if x], ""), ([w for w, x in zip(words, lines) if w and not x], self.lead)):
+            made.update(zip(some, self._each(some, lead)))
+        size = np.fromiter(map(len, made.values()), np.int64, len(made)) // 4
+        new = np.frombuffer(b"".join(made.values()), "<u4")
+        flat, sizes = np.concatenate([self.memory.flat, new]), np.concatenate([self.memory.size, size])
+        place[absent] = len(self.memory.size) + np.arange(len(absent))
+        at = np.cumsum(sizes) - sizes
+        self.memory.add(pieces.take(pa.array(absent)), new, size)
+        return flat, at[place], sizes[place]
 
     def _whole(self, text: str) -> np.ndarray:
         if not text:
@@ -148,29 +206,34 @@ class Encoder:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         bounds = bounds - bounds[0]
-        place, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = self._lookup(words)
+        place, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
+        odd, base, tail = self._cut(words, self.lead)
+        base, tail = base.dictionary_encode(), tail.dictionary_encode()
+        flat, at, size = self._lookup(base.dictionary)
+        tails = self._each(tail.dictionary.to_pylist(), "")
+        apart = [tails]
         if self.lead:  # the first piece of each text has no space before it
-            firsts = [words[i] for i in place[bounds[:-1]].tolist()]
-            heads = self._learn(list(set(firsts)), "")
-            order = {w: len(ids) + i for i, w in enumerate(heads)}
-            place = place.astype(np.int64)
-            place[bounds[:-1]] = [order[w] for w in firsts]
-            ids += heads.values()
+            firsts, which = np.unique(place[bounds[:-1]], return_inverse=True)
+            heads = words.take(pa.array(firsts)).to_pylist()
+            made = self._learn(heads, "")
+            apart.append([made[w] for w in heads])
+            place[bounds[:-1]] = len(words) + which
+        more = np.fromiter((len(x) // 4 for few in apart for x in few), np.int64)
+        at, size = np.concatenate([at, len(flat) + np.cumsum(more) - more]), np.concatenate([size, more])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(x for few in apart for x in few), "<u4")])
+        # a word is two of these, what comes before the punctuation and that; a first piece is one
+        two = np.stack([base.indices.to_numpy(), len(base.dictionary) + tail.indices.to_numpy()], 1).ravel()
+        start = len(base.dictionary) + len(tails)
+        flat = flat[spans(np.concatenate([at[two], at[start:]]), np.concatenate([size[two], size[start:]]))]
+        size = np.concatenate([size[two[::2]] + size[two[1::2]], size[start:]])
         hard = np.zeros(len(texts), bool)
         for m in self.marks:
             hard |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
-        if any(x is UNSAFE for x in ids):
-            unsafe = np.fromiter((x is UNSAFE for x in ids), bool, len(ids))
-            hard |= np.add.reduceat(unsafe[place], bounds[:-1]) > 0
-            ids = [b"" if x is UNSAFE else x for x in ids]
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = np.cumsum(size) - size
-        sizes = size[place]
-        ends = np.cumsum(sizes)
-        out = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[place] - (ends - sizes), sizes)]
-        offsets = np.concatenate([[0], ends])[bounds]
+        if odd.any():
+            unsafe = np.concatenate([odd, np.zeros(len(size) - len(odd), bool)])[place]
+            hard |= np.diff(np.concatenate([[0], np.cumsum(unsafe)])[bounds]) > 0
+        at, sizes = np.cumsum(size) - size, size[place]
+        out, offsets = flat[spans(at[place], sizes)], np.concatenate([[0], np.cumsum(sizes)])[bounds]
         if hard.any():
             each = [self._whole(texts[i].as_py()) if hard[i] else out[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
             out, offsets = np.concatenate(each), np.cumsum([0, *map(len, each)])
