@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from mixolve.llm.common import among, ranked, running_sum, scratch
+from mixolve.llm.common import among, arrow_rows, give_back, ranked, running_sum, scratch
 from mixolve.llm.tokens import encoder, slices
 
 
@@ -170,9 +170,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, spaced)
+        give_back()  # what tasks of other stages left free in this worker
+        enc = encoder(tokenizer, spaced, entries=200_000)
         for batch in batches:
-            for few in slices(batch, "text"):
+            for few in slices(batch, "text", 2 << 20):
                 ids, ends = enc.encode(few.column("text"))
                 ids, ends = np.insert(ids, ends[1:], end_id).astype("<u4"), ends + np.arange(len(ends))
                 cut = []
@@ -186,7 +187,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
                 elif keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
-        pa.default_memory_pool().release_unused()  # the worker stays, and shares its executor's memory
+                give_back()
 
     return kept.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (f", ids {'binary' if keep_ids == 'binary' else 'array<int>'}" if keep_ids else ""))
 
@@ -278,7 +279,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, *, capa
     cut anywhere, so that the others are full (fill_sequences). Pieces are written to the shared
     folder, so that texts are encoded once.
     """
-    pieces = scratch(cut_pieces(docs, tokenizer, length=capacity, keep_ids="binary" if fill else False, **how).withColumn("piece", F.monotonically_increasing_id()), "pieces", compression="zstd")
+    with arrow_rows(spark, 1000):
+        pieces = scratch(cut_pieces(docs, tokenizer, length=capacity, keep_ids="binary" if fill else False, **how).withColumn("piece", F.monotonically_increasing_id()), "pieces", compression="zstd")
     packed = pack(pieces.drop("ids"), capacity=capacity, unit=unit)
     if not fill:
         return packed.drop("piece")

@@ -64,14 +64,17 @@ class Memory:
         """Distinct pieces that aren't here, with their IDs; long ones are left out."""
         begin = np.cumsum(size) - size
         fit = np.flatnonzero(_lengths(pieces) <= self.longest)[: self.entries // 2]
-        kept = np.arange(len(self.size))
-        if len(kept) + len(fit) > self.entries:
+        if len(self.size) + len(fit) > self.entries:
             kept = np.sort(np.argsort(-self.met, kind="stable")[: self.entries // 2])
-            self.met //= 2
-        at = np.cumsum(self.size) - self.size
-        self.flat = np.concatenate([self.flat[spans(at[kept], self.size[kept])], flat[spans(begin[fit], size[fit])]])
-        self.pieces = pa.concat_arrays([self.pieces.take(pa.array(kept)), pieces.take(pa.array(fit))])
-        self.size, self.met = np.concatenate([self.size[kept], size[fit]]), np.concatenate([self.met[kept], np.ones(len(fit), np.int64)])
+            self.flat, self.pieces = self.ids(kept), self.pieces.take(pa.array(kept))
+            self.size, self.met = self.size[kept], self.met[kept] // 2
+        self.flat = np.concatenate([self.flat, flat[spans(begin[fit], size[fit])]])
+        self.pieces = pa.concat_arrays([self.pieces, pieces.take(pa.array(fit))])
+        self.size, self.met = np.concatenate([self.size, size[fit]]), np.concatenate([self.met, np.ones(len(fit), np.int64)])
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """IDs of the pieces of these numbers, one piece after the other."""
+        return self.flat[spans((np.cumsum(self.size) - self.size)[at], self.size[at])]
 
 
 class Encoder:
@@ -185,13 +188,15 @@ class Encoder:
         made = dict.fromkeys(words, b"")
         for some, lead in (([w for w, x in zip(words, lines) if x], ""), ([w for w, x in zip(words, lines) if w and not x], self.lead)):
             made.update(zip(some, self._each(some, lead)))
-        size = np.fromiter(map(len, made.values()), np.int64, len(made)) // 4
+        found = np.flatnonzero(place >= 0)
+        fresh = np.fromiter(map(len, made.values()), np.int64, len(made)) // 4
         new = np.frombuffer(b"".join(made.values()), "<u4")
-        flat, sizes = np.concatenate([self.memory.flat, new]), np.concatenate([self.memory.size, size])
-        place[absent] = len(self.memory.size) + np.arange(len(absent))
-        at = np.cumsum(sizes) - sizes
-        self.memory.add(pieces.take(pa.array(absent)), new, size)
-        return flat, at[place], sizes[place]
+        size, at, order = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), np.concatenate([found, absent])
+        size[found], size[absent] = self.memory.size[place[found]], fresh
+        at[order] = np.cumsum(size[order]) - size[order]
+        flat = np.concatenate([self.memory.ids(place[found]), new])  # of what this batch holds, not of all that is remembered
+        self.memory.add(pieces.take(pa.array(absent)), new, fresh)
+        return flat, at, size
 
     def _whole(self, text: str) -> np.ndarray:
         if not text:
@@ -243,12 +248,12 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, entries: int = 500_000) -> Encoder:
     """This worker's encoder, one at a time; it lives as long as the worker, so that tasks share its cache."""
-    if (path, spaced) not in _encoders:
+    if (path, spaced, entries) not in _encoders:
         _encoders.clear()
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]
+        _encoders[path, spaced, entries] = Encoder(path, spaced, entries)
+    return _encoders[path, spaced, entries]
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

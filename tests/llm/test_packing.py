@@ -5,9 +5,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from mixolve.llm import packing
 from mixolve.llm.packing import best_pattern, column_generation, cut_pieces, inverse_of, pack, pack_documents, plan_sequences
 from mixolve.llm.queries import tokenizer_file
 
@@ -124,3 +126,25 @@ def test_columns_of_any_name_stay(spark):
     got = pack(pieces)
     assert got.columns == [*pieces.columns, "sequence_id", "offset"]
     assert sorted(got.drop("sequence_id", "offset").collect()) == sorted(pieces.collect())
+
+
+def test_encoding_takes_texts_in_small_slices_and_batches(spark, monkeypatch):
+    class Caught:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    sizes, texts = [], ["one two, three. " * 6000] * 60  # 5.8 million characters
+    real = packing.encoder(FILE, False)
+    seen = type("Seen", (), {"encode": lambda self, t: sizes.append(sum(map(len, t.to_pylist()))) or real.encode(t)})()
+    monkeypatch.setattr(packing, "encoder", lambda *a, **b: seen)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["id", "text"])
+    rows = sum(b.num_rows for b in cut_pieces(Caught(), FILE)([batch]))
+    n = len(real.encode(pa.array(texts[:1]))[0]) + 1
+    assert rows == 60 * -(-n // 4096) and sum(sizes) == 60 * len(texts[0]) and max(sizes) <= 2 << 20
+
+    key, asked = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    written = packing.scratch
+    monkeypatch.setattr(packing, "scratch", lambda df, name, **o: asked.append((name, int(spark.conf.get(key)))) or written(df, name, **o))
+    got = pack_documents(spark, spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), FILE).count()
+    assert got == 2 and asked == [("pieces", 1000)] and spark.conf.get(key) == before
